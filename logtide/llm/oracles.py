@@ -103,7 +103,7 @@ t AS (
 )
 SELECT doc_id, size,
        xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, size - 16), lambda p: CAST(('0x' || substr(hex(encode(text)), 2 * p + 1, 2)) AS BIGINT))),
-           lambda x, b: xor(x >> 8, crc[xor(x, b) & 255 + 1])), 4294967295::BIGINT) AS text_crc32,
+           lambda x, b: xor(x >> 8, crc[(xor(x, b) & 255) + 1])), 4294967295::BIGINT) AS text_crc32,
        'key' AS law, CAST(shard AS INTEGER) AS shard,
        CAST(row_number() OVER (PARTITION BY shard ORDER BY bucket, doc_id) - 1 AS BIGINT) AS slot, CAST(grown AS INTEGER) AS grown_shard
 FROM t, tab
@@ -133,7 +133,7 @@ WITH ls AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FR
 x AS (SELECT doc_id, i, lines[i] AS line, regexp_extract_all(lines[i], '[^\x20\x09-\x0D]+') AS ws
       FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM ls)),
 f AS (SELECT array_to_string(ws, ' ') AS s, len(ws) AS n, any_value(ws) AS ws, min({'d': doc_id, 'i': i}) AS at FROM x WHERE len(ws) > 0 GROUP BY 1, 2),
-v AS (SELECT n, s, at, p, array_to_string(list_concat(ws[1:p - 1], ws[p + 1:]), ' ') AS v
+v AS (SELECT n, s, at, p, array_to_string(list_concat(list_slice(ws, 1, p - 1), list_slice(ws, p + 1, n)), ' ') AS v
       FROM (SELECT *, unnest(range(1, n + 1)) AS p FROM f WHERE n >= 6)),
 pairs AS (
   SELECT late.s FROM v late JOIN (SELECT n, p, v, min(at) AS at FROM v GROUP BY 1, 2, 3) early
