@@ -297,12 +297,13 @@ def gap_severity(loss: Column) -> Column:
 def downsample(series: DataFrame, key: str, order: str, value: str, points: int) -> DataFrame:
     """At most ``points`` rows a series: first, last, least and greatest, and one of each equal part between."""
     by = Window.partitionBy(key).orderBy(order)
-    rows = series.withColumn("n", F.count("*").over(Window.partitionBy(key))).withColumn("i", F.row_number().over(by))
-    tile = F.ntile(max(1, points - 4)).over(by)
-    rows = rows.withColumn("t", tile).withColumn("first_of_tile", F.row_number().over(Window.partitionBy(key, "t").orderBy(order)) == 1)
-    lo, hi = (F.row_number().over(Window.partitionBy(key).orderBy(o, order)) == 1 for o in (F.asc(value), F.desc(value)))
-    rows = rows.withColumn("lo", lo).withColumn("hi", hi)
-    keep = (F.col("n") <= points) | (F.col("i") == 1) | (F.col("i") == F.col("n")) | F.col("lo") | F.col("hi") | F.col("first_of_tile")
+    rows = series.withColumn("__n", F.count("*").over(Window.partitionBy(key))).withColumn("__i", F.row_number().over(by))
+    rows = rows.withColumn("__tile", F.ntile(max(1, points - 4)).over(by))
+    first = lambda part, *o: F.row_number().over(Window.partitionBy(*part).orderBy(*o)) == 1
+    marks = {"__head": first((key, "__tile"), order), "__lo": first((key,), F.asc(value), order), "__hi": first((key,), F.desc(value), order)}
+    rows = rows.withColumns(marks)
+    ends = (F.col("__n") <= points) | (F.col("__i") == 1) | (F.col("__i") == F.col("__n"))
+    keep = ends | F.col("__lo") | F.col("__hi") | F.col("__head")
     return rows.filter(keep).select(*series.columns)
 
 
