@@ -132,16 +132,16 @@ _OP10 = r"""
 WITH ls AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 x AS (SELECT doc_id, i, lines[i] AS line, regexp_extract_all(lines[i], '[^\x20\x09-\x0D]+') AS ws
       FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM ls)),
-f AS (SELECT array_to_string(ws, ' ') AS s, len(ws) AS n, any_value(ws) AS ws, min({'d': doc_id, 'i': i}) AS at FROM x WHERE len(ws) > 0 GROUP BY 1, 2),
-v AS (SELECT n, s, at, p, array_to_string(list_concat(list_slice(ws, 1, p - 1), list_slice(ws, p + 1, n)), ' ') AS v
+f AS (SELECT array_to_string(ws, ' ') AS s, len(ws) AS n, any_value(ws) AS ws, min({'d': doc_id, 'i': i}) AS loc FROM x WHERE len(ws) > 0 GROUP BY 1, 2),
+v AS (SELECT n, s, loc, p, array_to_string(list_concat(list_slice(ws, 1, p - 1), list_slice(ws, p + 1, n)), ' ') AS v
       FROM (SELECT *, unnest(range(1, n + 1)) AS p FROM f WHERE n >= 6)),
 pairs AS (
-  SELECT late.s FROM v late JOIN (SELECT n, p, v, min(at) AS at FROM v GROUP BY 1, 2, 3) early
-    ON early.n = late.n AND early.p = late.p AND early.v = late.v AND early.at < late.at
-  UNION SELECT CASE WHEN v.at > f.at THEN v.s ELSE f.s END FROM v JOIN f ON f.n = v.n - 1 AND f.n >= 6 AND f.s = v.v
+  SELECT late.s FROM v late JOIN (SELECT n, p, v, min(loc) AS loc FROM v GROUP BY 1, 2, 3) early
+    ON early.n = late.n AND early.p = late.p AND early.v = late.v AND early.loc < late.loc
+  UNION SELECT CASE WHEN v.loc > f.loc THEN v.s ELSE f.s END FROM v JOIN f ON f.n = v.n - 1 AND f.n >= 6 AND f.s = v.v
 ), flagged AS (
   SELECT x.doc_id, x.i, x.line,
-         len(x.ws) > 0 AND ({'d': x.doc_id, 'i': x.i} <> f.at OR p.s IS NOT NULL) AS gone
+         len(x.ws) > 0 AND ({'d': x.doc_id, 'i': x.i} <> f.loc OR p.s IS NOT NULL) AS gone
   FROM x LEFT JOIN f ON f.s = array_to_string(x.ws, ' ') AND len(x.ws) > 0 LEFT JOIN pairs p ON p.s = f.s
 )
 SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(count(*) FILTER (gone) AS BIGINT) AS n_dropped,
