@@ -15,6 +15,7 @@ from ..functions import scalars as S
 from ..operators import analytics as A
 from ..operators import detections as D
 from ..operators.reads import HOUR, READS
+from . import more_queries
 from ..sources.request_log import BASELINE_HOURS, CTES, WINDOW_HOURS, request_log, rum_errors, rum_vitals
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -238,6 +239,8 @@ SELECT hour, expected, stored, gap, coalesce(run_length, 0) AS run_length, round
     for name, key, spread in (("repeated_patterns", "ip", "ua"), ("repeated_patterns_fp", "ja4", "ip")):
         add(f"detect_{name}", lambda x, k=key, s=spread: D.repeated_patterns(x, k, s))
     add("detect_crawler_disparity", D.crawler_disparity)
+    for name, (frame, sql) in more_queries.entries(_pops, _POPS_SQL).items():
+        add(name, frame, sql)
     return q, o
 
 

@@ -36,7 +36,7 @@ CODES = {
 
 def read_ndjson(spark: SparkSession, path: str, schema: T.StructType = BASE_SCHEMA) -> DataFrame:
     """Raw lines (plain, gzip or zstd, by suffix) parsed against a declared schema; what does not parse keeps its
-    line in ``_corrupt_record``.  Unreadable containers are skipped and can be found with :func:`unread_files`."""
+    line in ``_corrupt_record``.  Unreadable containers are skipped and can be found with :func:`corrupt_container`."""
     full = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
     lines = spark.read.option("ignoreCorruptFiles", "true").text(path).select(F.col("value").alias("raw"), F.col("_metadata.file_path").alias("_source_file"))
     parsed = lines.withColumn("j", F.from_json("raw", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}))
@@ -52,7 +52,7 @@ def quarantine_split(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
     return good, rows.filter("category IS NOT NULL").select("_source_file", "category", "raw")
 
 
-def unread_files(listed: DataFrame, parsed: DataFrame) -> DataFrame:
+def corrupt_container(listed: DataFrame, parsed: DataFrame) -> DataFrame:
     """Listed files (``path``) of which no row was read."""
     return listed.join(parsed.select(F.col("_source_file").alias("path")).distinct(), "path", "left_anti")
 
@@ -118,7 +118,7 @@ def compact_files(df: DataFrame, path: str, files: int, rows_per_file: int = 5_0
     df.repartitionByRange(files, "timestamp").sortWithinPartitions("timestamp").write.mode("errorifexists").option("compression", "zstd").option("maxRecordsPerFile", rows_per_file).parquet(path)
 
 
-def retention_filter(df: DataFrame, now: str, days: int, rum_days: int, rum_url: str = "/rum-beacon") -> DataFrame:
+def retention_delete(df: DataFrame, now: str, days: int, rum_days: int, rum_url: str = "/rum-beacon") -> DataFrame:
     """Rows young enough to stay; telemetry rows have a longer limit of their own."""
     age = F.lit(now).cast("timestamp") - F.make_interval(days=F.lit(days))
     rum_age = F.lit(now).cast("timestamp") - F.make_interval(days=F.lit(rum_days))
