@@ -57,13 +57,32 @@ def unit_hash(*parts: Column | str) -> Column:
     return (bits + F.lit(0.5)) / F.lit(float(2**52))
 
 
-def keep_rows(docs: DataFrame, kept: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Rows of ``docs`` whose ``key`` is in ``kept`` (one column of that name), every column unchanged.
+def split_by_ids(docs: DataFrame, ids: DataFrame, key: str = "doc_id", bits: int = 22) -> tuple[DataFrame, DataFrame]:
+    """(rows of ``docs`` that may have one of ``ids``, rows that have none), in columns __c0, __c1, ...
 
-    The key is looked up by exact case; null keys match null keys.
+    A bitmap of the hashed ids (2**bits / 8 bytes, whatever their number) is broadcast and tested where the rows are
+    read, so that only the few rows that it lets through need a shuffle to be told for certain.
     """
-    at = docs.columns.index(key)
-    names = [f"__c{i}" for i in range(len(docs.columns))]
-    wanted = kept.select(F.col(key).alias("__key")).distinct()
-    flat = docs.toDF(*names)
-    return flat.join(wanted, flat[f"__c{at}"].eqNullSafe(wanted["__key"]), "left_semi").toDF(*docs.columns)
+    at = f"__c{docs.columns.index(key)}"
+    flat = docs.toDF(*[f"__c{i}" for i in range(len(docs.columns))])
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << bits))
+    marks = ids.select(slot(key).alias("h")).select(F.floor(F.col("h") / 32768).alias("__block"), (F.col("h") % 32768).alias("bit"))
+    # At most 2**bits / 32768 rows of 4 KB.
+    blocks = marks.groupBy("__block").agg(F.bitmap_construct_agg("bit").alias("__bits"))
+    rows = flat.withColumn("__h", slot(at)).withColumn("__block", F.floor(F.col("__h") / 32768)).join(F.broadcast(blocks), "__block", "left")
+    byte = F.conv(F.hex(F.substring("__bits", (F.floor(F.col("__h") % 32768 / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    rows = rows.withColumn("__maybe", F.coalesce(F.getbit(byte, (F.col("__h") % 8).cast("int")) == 1, F.lit(False)))
+    names = flat.columns
+    return rows.filter("__maybe").select(*names), rows.filter("not __maybe").select(*names)
+
+
+def drop_rows(docs: DataFrame, dropped: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``docs`` without the rows whose ``key`` is in ``dropped``, every column unchanged; null keys match null keys.
+
+    The key is looked up by exact case.  Rows that repeat a dropped key go with it.
+    """
+    gone = stage(dropped.select(key).distinct(), "dropped")
+    maybe, clear = split_by_ids(docs, gone, key)
+    at = f"__c{docs.columns.index(key)}"
+    told = maybe.join(gone.withColumnRenamed(key, "__key").hint("merge"), F.col(at).eqNullSafe(F.col("__key")), "left_anti")
+    return clear.unionByName(told).toDF(*docs.columns)

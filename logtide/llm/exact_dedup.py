@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, drop_chars, pick, stage
+from .common import SPACE_CHARS, drop_chars, pick, split_by_ids, stage
 
 _KEY = ["digest", "check", "n_bytes"]
 
@@ -91,19 +91,24 @@ def drop_exact_duplicates(docs: DataFrame, runs: int = 512) -> DataFrame:
 
     Repeated rows (one doc_id and equal text more than once) leave one row.
     """
+    found = stage(exact_duplicates(docs, runs).select("doc_id", "text_sha256", "kept"), "dedup-found")
+    suspects = found.filter("not kept").select("doc_id").distinct()
     kept = (
-        exact_duplicates(docs, runs)
+        found.join(suspects.withColumnRenamed("doc_id", "s"), F.col("doc_id").eqNullSafe(F.col("s")), "left_semi")
         .groupBy("doc_id", "text_sha256")
         .agg(F.max("kept").alias("kept"), F.count("*").alias("copies"))
         .filter("kept")
         .select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"), "copies")
     )
-    names = [f"__c{i}" for i in range(len(docs.columns))]
-    flat = docs.toDF(*names)
+    # Rows whose id has no dropped row pass where they are read; only the others are told apart by a join.
+    maybe, clear = split_by_ids(docs, suspects)
+    names = clear.columns
     at_id, at_text = (f"__c{docs.columns.index(n)}" for n in ("doc_id", "text"))
     sha = F.sha2(drop_chars(F.coalesce(F.col(at_text), F.lit("")), SPACE_CHARS), 256)
-    rows = flat.withColumn("__digest", sha)
-    joined = rows.join(kept, rows[at_id].eqNullSafe(kept["__id"]) & (rows["__digest"] == kept["__sha"]))
+    ids = suspects.withColumnRenamed("doc_id", "__s").hint("merge")
+    rows = maybe.withColumn("__digest", sha)
+    safe = rows.join(ids, F.col(at_id).eqNullSafe(F.col("__s")), "left_anti").select(*names)
+    joined = rows.join(kept.hint("merge"), F.col(at_id).eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__sha")))
     once = joined.filter("copies = 1").select(*names)
     # Equal rows under one id may still differ in white space or other columns: the longest text stays.
     again = (
@@ -112,4 +117,4 @@ def drop_exact_duplicates(docs: DataFrame, runs: int = 512) -> DataFrame:
         .agg(F.max_by(F.struct(*names), F.struct(F.char_length(at_text), *names)).alias("row"))
         .select("row.*")
     )
-    return once.unionByName(again).toDF(*docs.columns)
+    return clear.unionByName(safe).unionByName(once).unionByName(again).toDF(*docs.columns)

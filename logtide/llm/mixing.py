@@ -119,7 +119,7 @@ def apply_mix(docs: DataFrame, **options) -> DataFrame:
         F.max("size").alias("__size"), F.max("taken").alias("__taken")
     )
     flat = docs.toDF(*names)
-    rows = flat.join(mix, flat[at["doc_id"]].eqNullSafe(mix["__id"]))
+    rows = flat.join(mix.hint("merge"), F.col(at["doc_id"]).eqNullSafe(F.col("__id")))
     whole = F.when(F.col("__size") > 0, F.floor(F.col("__taken") / F.col("__size"))).otherwise(F.lit(1)).cast("int")
     rest = (F.col("__taken") - whole * F.col("__size")).cast("int")
     parts = F.concat(

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.shipping import ship_package
-from .common import pick, stage
+from .common import drop_rows, pick, stage
 from .components import components
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -255,7 +255,5 @@ def ngram_components(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, s
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with one document of each component, the one with the smallest doc_id; all columns unchanged."""
-    from .common import keep_rows
-
     found = ngram_components(docs, **options)
-    return keep_rows(docs, found.filter(F.col("component_id").eqNullSafe(F.col("doc_id"))).select("doc_id"))
+    return drop_rows(docs, found.filter(F.col("component_id") != F.col("doc_id")).select("doc_id"))
