@@ -15,6 +15,7 @@ table gives an empty result; a text of any length is cut into as many windows as
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,20 +32,23 @@ from .tokens import default_tokenizer, tokenizer
 _PIECES = "piece long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
 
 
-def fill_window(counts: dict[int, int], capacity: int) -> dict[int, int]:
-    """Of a multiset of lengths, the part whose sum comes closest to ``capacity``: {length: how many}."""
-    reach, mask = 1, (1 << capacity + 1) - 1
+def fill_window(counts: dict[int, int], capacity: int, order: list[int] | None = None) -> dict[int, int]:
+    """Of a multiset of lengths, the part whose sum comes closest to ``capacity``: {length: how many}.
+
+    ``order`` has the lengths of ``counts`` in descending order, where the caller keeps them.
+    """
+    order = sorted(counts, reverse=True) if order is None else order
+    reach, mask, full = 1, (1 << capacity + 1) - 1, 1 << capacity
     steps: list[tuple[int, int, int]] = []
-    for length in sorted(counts, reverse=True):
-        if length > capacity:
-            continue
+    for at in range(bisect_left(order, -capacity, key=lambda n: -n), len(order)):
+        length = order[at]
         left, k = min(counts[length], capacity // length), 1
         while left:
             k = min(k, left)
             steps.append((length, k, reach))
             reach |= reach << length * k & mask
             left, k = left - k, k * 2
-        if reach >> capacity & 1:
+        if reach & full:
             break
     total = reach.bit_length() - 1
     chosen: dict[int, int] = {}
@@ -61,16 +65,19 @@ def pack_lengths(lengths: list[int], capacity: int) -> list[list[int]]:
     for i, n in enumerate(lengths):
         left.setdefault(n, []).append(i)
     counts = {n: len(v) for n, v in left.items()}
+    order = sorted(counts, reverse=True)
     windows = []
-    while counts:
-        longest = max(counts)
-        take = {longest: 1}
+    while order:
+        longest = order[0]
         counts[longest] -= 1
-        for n, k in fill_window({n: c for n, c in counts.items() if c}, capacity - longest).items():
-            take[n] = take.get(n, 0) + k
+        take = fill_window(counts, capacity - longest, order) if longest < capacity else {}
+        take[longest] = take.get(longest, 0) + 1
+        counts[longest] += 1
+        for n, k in take.items():
             counts[n] -= k
+            if not counts[n]:
+                order.remove(n)
         windows.append([left[n].pop() for n in sorted(take, reverse=True) for _ in range(take[n])])
-        counts = {n: c for n, c in counts.items() if c}
     return windows
 
 
@@ -82,15 +89,13 @@ def token_pieces(docs: DataFrame, window: int = 4096, tokenizer_path: str | None
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, next_piece = tokenizer(path).encode, TaskContext.get().partitionId() << 33
+        encode, next_piece, end = tokenizer(path).encode_many, TaskContext.get().partitionId() << 33, np.array([end_id], np.uint32)
         names = [c.split()[0] for c in _PIECES.split(", ")]
         kinds = [pa.int64()] * 6 + [pa.binary()]
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = encode(text.as_py() or "")
-                ids.append(end_id)
-                data = np.frombuffer(ids, np.uint32)
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encode([t or "" for t in batch.column(1).to_pylist()])):
+                data = np.concatenate([ids, end])
                 for start in range(0, len(data), window):
                     part = data[start : start + window]
                     rows.append((next_piece, doc_id, start, len(part), zlib.crc32(part.astype("<u4").tobytes()), len(data), pack(part)))
@@ -101,7 +106,7 @@ def token_pieces(docs: DataFrame, window: int = 4096, tokenizer_path: str | None
 
 
 def pack_documents(
-    docs: DataFrame, window: int = 4096, tokenizer_path: str | None = None, end_id: int = 2, group_pieces: int = 8192, with_ids: bool = True
+    docs: DataFrame, window: int = 4096, tokenizer_path: str | None = None, end_id: int = 2, group_pieces: int = 4096, with_ids: bool = True
 ) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, ``with_ids``, ids.
 

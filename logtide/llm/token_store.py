@@ -101,15 +101,12 @@ def encode_texts(docs: DataFrame, tokenizer_path: str | None = None, end_id: int
     ship_package(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokenizer(path).encode
+        encode, end = tokenizer(path).encode_many, np.array([] if end_id is None else [end_id], np.uint32)
         for batch in batches:
             out, sizes = [], []
-            for text in batch.column(1):
-                ids = encode(text.as_py() or "")
-                if end_id is not None:
-                    ids.append(end_id)
-                sizes.append(len(ids))
-                out.append(pack(np.frombuffer(ids, np.uint32)))
+            for ids in encode([t or "" for t in batch.column(1).to_pylist()]):
+                sizes.append(len(ids) + len(end))
+                out.append(pack(np.concatenate([ids, end])))
             yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int64()), pa.array(out, pa.binary())], ["doc_id", "n_tokens", "ids"])
 
     return pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _TOKENS)
@@ -173,7 +170,6 @@ def read_token_set(spark: SparkSession, path: str) -> DataFrame:
     segments = spark.read.schema(_SEGMENTS).parquet(path)
     files = segments.groupBy("file").agg(F.max(F.col("file_offset") + F.col("n_tokens")).alias("n"))
     before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-    # One row of two numbers per file of the set.
     base = files.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("long").alias("base"))
     rows = segments.join(base, "file").select("base", "file_offset", "doc_ids", "null_ids", "doc_lens", "levels")
 

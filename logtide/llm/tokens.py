@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import os
 import re
-from array import array
+from itertools import chain
+
+import numpy as np
 
 #: White space and separators beyond ASCII space and U+0009 to U+000D.
 _ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
@@ -22,54 +24,135 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: A word of letters below U+0250 (but U+0130) with at most one mark behind it.  Such letters are unchanged by NFC, become lower
+#: case one by one and form one pre-token, and the mark forms another, so the model alone may encode the two.
+_MARKS = ".,;:!?"
+_PLAIN = re.compile("([A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u024f]+)([.,;:!?]?)")
+
+
+def _spelling() -> dict[int, str]:
+    """How byte-level models write the letters from U+0080 to U+024F: a letter for each byte of their UTF-8 form,
+    printable bytes by themselves, the others from U+0100 on."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    names = {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in own)}
+    return {c: "".join(names[b] for b in chr(c).encode()) for c in range(0x80, 0x250)}
+
+
 class WordTokenizer:
-    """``encode(text)`` gives an ``array('I')`` of ids, as the tokenizer does without special tokens.
+    """``encode_many(texts)`` gives an array of ids per text, as the tokenizer does without special tokens.
 
-    At most ``remember`` words are kept; beyond that the memory starts anew, so it stays bounded.
+    Words are numbered; their ids lie in one flat array, so that a text is a gather.  Words not known yet are encoded
+    together.  Beyond ``remember`` words the less used half is forgotten, so memory is bounded.
     """
 
-    def __init__(self, path: str, remember: int = 150_000):
+    def __init__(self, path: str, remember: int = 800_000, chunk_chars: int = 1 << 21):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.remember = remember
-        self.known: dict[str, tuple[int, ...]] = {}
-        model = self.tokenizer.model
-        self.model = model if type(model).__name__ == "BPE" else None
+        self.units = Tokenizer.from_file(path)
+        self.units.normalizer, self.units.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
+        self.remember, self.chunk_chars, self.letters = remember, chunk_chars, _spelling()
+        self._forget(np.zeros(0, np.int64))
+        self.zero = self._whole("0")[0]
+        self.plain = self.by_word = False
         self.by_word = self._whole(_PROBE) == [i for w in _PROBE.split() for i in self._whole(w)]
-        # A word of plain ASCII letters is one pre-token; the model alone may encode it if the tokenizer agrees.
-        plain = ("Hello", "zz", "THE", "qxzqx", "internationalisation")
-        self.plain = self.by_word and self.model is not None and all(self._model(w) == self._whole(w) for w in plain)
+        probes = ["Hello", "zz", "THE", "qxzqx,", "internationalisation.", "\xc9t\xe9", "Stra\xdfe!", "\xd1and\xfa;", "a?"]
+        self.plain = self.by_word and type(self.tokenizer.model).__name__ == "BPE"
+        self.plain = self.plain and all(map(np.array_equal, self._plain(probes), self._flat([self._whole(w) for w in probes])))
 
     def _whole(self, text: str) -> list[int]:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
-    def _model(self, word: str) -> list[int]:
-        return [t.id for t in self.model.tokenize(word.lower())]
-
-    def encode(self, text: str) -> array:
-        if not self.by_word or _ODD_SPACE.search(text):
-            return array("I", self._whole(text))
-        words, known = text.split(), self.known
-        new = {w for w in words if w not in known}
-        if len(known) + len(new) > self.remember:
-            known.clear()
-            new = set(words)
-        rest = []
+    @staticmethod
+    def _flat(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids behind one another, and how many each list has."""
+        lens = np.array([len(x) for x in ids], np.int64)
+        return np.fromiter(chain.from_iterable(ids), np.uint32, int(lens.sum())), lens
+
+    def _plain(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As :meth:`_flat` for plain words, from one call.  Letters and mark are units between spaces; a digit, which
+        no such word has, stands between the words."""
+        low = " 0 ".join([w if w[-1] not in _MARKS else f"{w[:-1]} {w[-1]}" for w in words]).lower()
+        if not low.isascii():
+            low = low.translate(self.letters)
+        ids = np.asarray(self.units.encode_batch_fast([low], add_special_tokens=False)[0].ids, np.uint32)
+        cut = ids == self.zero
+        lens = np.diff(np.concatenate([[-1], np.flatnonzero(cut), [len(ids)]])) - 1
+        return ids[~cut], lens
+
+    def _gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        lens = self.lens[at]
+        ends = np.cumsum(lens)
+        return self.ids[np.repeat(self.starts[at] - (ends - lens), lens) + np.arange(int(ends[-1]) if len(ends) else 0)], lens
+
+    def _forget(self, but: np.ndarray) -> None:
+        """Keep only the words numbered ``but``."""
+        words, uses = [self.words[k] for k in but.tolist()] if len(but) else [], self.uses[but] // 2 if len(but) else None
+        ids, lens = self._gather(but) if len(but) else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+        self.index: dict[str, int] = {}
+        self.words: list[str] = []
+        self.ids, self.starts, self.lens, self.uses = (np.zeros(0, t) for t in (np.uint32, np.int64, np.int64, np.int64))
+        self._learn(words, ids, lens)
+        if uses is not None:
+            self.uses = uses
+
+    def _learn(self, words: list[str], ids: np.ndarray, lens: np.ndarray) -> None:
+        self.index.update(zip(words, range(len(self.words), len(self.words) + len(words))))
+        self.words += words
+        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lens) - lens])
+        self.lens = np.concatenate([self.lens, lens])
+        self.uses = np.concatenate([self.uses, np.zeros(len(words), np.int64)])
+        self.ids = np.concatenate([self.ids, ids])
+
+    def _know(self, words: set[str]) -> None:
+        new = [w for w in words if w not in self.index]
+        if len(self.words) + len(new) > self.remember:
+            self._forget(np.argsort(-self.uses, kind="stable")[: self.remember // 2])
+            new = [w for w in words if w not in self.index]
+        kinds: tuple[list[str], list[str], list[str]] = ([], [], [])
         for w in new:
-            if self.plain and w.isascii() and w.isalpha():
-                known[w] = tuple(self._model(w))
-            else:
-                rest.append(w)
+            body = w if w[-1] not in _MARKS else w[:-1]
+            kinds[0 if body.isalpha() and w.isascii() else 1 if _PLAIN.fullmatch(w) else 2].append(w)
+        for plain in kinds[:2]:
+            if plain and self.plain:
+                self._learn(plain, *self._plain(plain))
+        rest = kinds[2] if self.plain else new
         if rest:
-            for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
-                known[w] = tuple(e.ids)
-        out = array("I")
-        for w in words:
-            out.extend(known[w])
+            self._learn(rest, *self._flat([e.ids for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)]))
+
+    def _chunk(self, texts: list[str]) -> list[np.ndarray]:
+        split = [x.split() for x in texts]
+        flat = list(chain.from_iterable(split))
+        self._know(set(flat))
+        at = np.fromiter(map(self.index.__getitem__, flat), np.int64, len(flat))
+        self.uses += np.bincount(at, minlength=len(self.uses))
+        out, lens = self._gather(at)
+        ends = np.cumsum(lens)
+        last = np.cumsum([len(x) for x in split])
+        return np.split(out, np.concatenate([[0], ends])[last[:-1]])
+
+    def encode_many(self, texts: list[str]) -> list[np.ndarray]:
+        out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(texts)
+        batch, held = [], 0
+        for k, text in enumerate(texts):
+            if not self.by_word or _ODD_SPACE.search(text):
+                out[k] = np.asarray(self._whole(text), np.uint32)
+                continue
+            batch.append(k)
+            held += len(text)
+            if held > self.chunk_chars:
+                for i, ids in zip(batch, self._chunk([texts[i] for i in batch])):
+                    out[i] = ids
+                batch, held = [], 0
+        if batch:
+            for i, ids in zip(batch, self._chunk([texts[i] for i in batch])):
+                out[i] = ids
         return out
 
+    def encode(self, text: str) -> list[int]:
+        return self.encode_many([text])[0].tolist()
+
 
 _loaded: dict[str, WordTokenizer] = {}
 
