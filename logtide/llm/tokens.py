@@ -45,7 +45,7 @@ class WordTokenizer:
     together.  Beyond ``remember`` words the less used half is forgotten, so memory is bounded.
     """
 
-    def __init__(self, path: str, remember: int = 800_000, chunk_chars: int = 1 << 21):
+    def __init__(self, path: str, remember: int = 500_000, chunk_chars: int = 1 << 21):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
