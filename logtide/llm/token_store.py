@@ -164,13 +164,16 @@ def write_token_set(docs: DataFrame, path: str, tokenizer_path: str | None = Non
     ordered.mapInArrow(build, _SEGMENTS).write.option("compression", "zstd").parquet(path)
 
 
-def read_token_set(spark: SparkSession, path: str) -> DataFrame:
+def read_token_set(spark: SparkSession, path: str, broadcast_files: int = 500_000) -> DataFrame:
     """The documents of a token set, read from its files: doc_id, start, n_tokens, ids_crc32, ids (see ``unpack``)."""
     ship_package(spark)
     segments = spark.read.schema(_SEGMENTS).parquet(path)
     files = segments.groupBy("file").agg(F.max(F.col("file_offset") + F.col("n_tokens")).alias("n"))
     before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
     base = files.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("long").alias("base"))
+    # One row of two numbers per file of the set; a set of more files than that joins by shuffle.
+    if segments.select("file").distinct().count() <= broadcast_files:
+        base = F.broadcast(base)
     rows = segments.join(base, "file").select("base", "file_offset", "doc_ids", "null_ids", "doc_lens", "levels")
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
