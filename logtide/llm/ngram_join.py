@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from ..plans.shipping import ship_package
 from .common import drop_rows, pick, stage
-from .components import components
+from .components import components, join_components
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _ORDERS = (np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB))
@@ -163,9 +163,41 @@ def _may_link(n1: Column, p1: Column, n2: Column, p2: Column, num: int, den: int
     return sized & (F.least(n1 - p1, n2 - p2) * (num + den) >= (n1 + n2) * num)
 
 
-def _verify(docs: DataFrame, sigs: DataFrame, pairs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """Of ``pairs`` (a, b) those that meet under orders 2 and 3 and whose whole sets are similar enough."""
-    side = lambda who: sigs.select(F.col("doc_id").alias(who), F.col("sig2").alias(f"{who}2"), F.col("sig3").alias(f"{who}3"))
+def _bitmap(ids: DataFrame, bits: int) -> np.ndarray:
+    """Bits of the hashed ``ids``: 2**bits / 8 bytes whatever their number (more ids only let more rows pass)."""
+    spread = ids.select(_slot("doc_id", bits).alias("h")).select(F.floor(F.col("h") / 32768).alias("block"), (F.col("h") % 32768).alias("bit"))
+    out = np.zeros(max(1, (1 << bits) // 8), np.uint8)
+    for row in spread.groupBy("block").agg(F.bitmap_construct_agg("bit").alias("bits")).collect():
+        part = np.frombuffer(row["bits"], np.uint8)[: len(out)]
+        out[row["block"] * 4096 : row["block"] * 4096 + len(part)] = part
+    return out
+
+
+def _slot(column: str, bits: int) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(1 << bits))
+
+
+def _hits(slots: pa.Array, bitmap: np.ndarray) -> np.ndarray:
+    h = slots.to_numpy(zero_copy_only=False).astype(np.int64)
+    return bitmap[h >> 3] >> (h & 7).astype(np.uint8) & 1 == 1
+
+
+def _verify(docs: DataFrame, sigs: DataFrame, pairs: DataFrame, n: int, num: int, den: int, bits: int = 22) -> DataFrame:
+    """Of ``pairs`` (a, b) those that meet under orders 2 and 3 and whose whole sets are similar enough.
+
+    Neither texts nor signatures of other documents are shuffled: a bitmap of fixed size lets the documents of the
+    pairs through where they are read, and only their sets move.
+    """
+    spark = docs.sparkSession
+    named = lambda rows: rows.select(F.explode(F.array("a", "b")).alias("doc_id"))
+    chosen = spark.sparkContext.broadcast(_bitmap(named(pairs), bits))
+
+    def some_sigs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_hits(batch.column(3), chosen.value))).select([0, 1, 2])
+
+    few = sigs.select("doc_id", "sig2", "sig3", _slot("doc_id", bits).alias("h")).mapInArrow(some_sigs, "doc_id long, sig2 binary, sig3 binary")
+    side = lambda who: few.select(F.col("doc_id").alias(who), F.col("sig2").alias(f"{who}2"), F.col("sig3").alias(f"{who}3")).hint("merge")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -176,15 +208,16 @@ def _verify(docs: DataFrame, sigs: DataFrame, pairs: DataFrame, n: int, num: int
 
     with_sigs = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a2", "b2", "a3", "b3")
     left = stage(with_sigs.mapInArrow(meet, "a long, b long"), "ngram-candidates")
-    wanted = left.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    wanted = spark.sparkContext.broadcast(_bitmap(named(left), bits))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.filter(pa.array(_hits(batch.column(2), wanted.value)))
             data = [shingles(t.as_py(), n).tobytes() for t in batch.column(1)]
             yield pa.record_batch([batch.column(0), pa.array(data, pa.binary())], ["doc_id", "tokens"])
 
-    texts = docs.join(wanted, "doc_id", "left_semi").select("doc_id", "text")
-    whole = stage(texts.mapInArrow(sets, "doc_id long, tokens binary").dropDuplicates(["doc_id"]), "ngram-sets")
+    whole = docs.select("doc_id", "text", _slot("doc_id", bits).alias("h")).mapInArrow(sets, "doc_id long, tokens binary")
+    whole = stage(whole, "ngram-sets")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -196,8 +229,8 @@ def _verify(docs: DataFrame, sigs: DataFrame, pairs: DataFrame, n: int, num: int
                 good.append(both * den >= (len(x) + len(y) - both) * num)
             yield pa.record_batch([pa.array([v for v, k in zip(side, good) if k], pa.int64()) for side in (a, b)], ["a", "b"])
 
-    one = lambda who: whole.select(F.col("doc_id").alias(who), F.col("tokens").alias(f"{who}t"))
-    return left.join(one("b"), "b").join(one("a"), "a").select("a", "b", "at", "bt").mapInArrow(check, "a long, b long")
+    one = lambda who: whole.select(F.col("doc_id").alias(who), F.col("tokens").alias(f"{who}t")).hint("merge")
+    return left.join(one("b"), "b").join(one("a"), "a").select("a", "b", "at", "bt").mapInArrow(check, "a long, b long").distinct()
 
 
 def ngram_components(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, sketch_bits: int = 18) -> DataFrame:
@@ -216,12 +249,12 @@ def ngram_components(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, s
     # Sets of this size link to no different set: one token more or less is too much already.
     least = den // (den - num) - 1
     able = reps.filter(F.col("size") >= least).select(F.col("rep").alias("doc_id"), "size")
-    rows = prefixes.select("doc_id", "prefix").join(able, "doc_id").dropDuplicates(["doc_id"])
+    rows = prefixes.select("doc_id", "prefix").join(able.hint("merge"), "doc_id")
     postings = rows.select("doc_id", F.col("size").cast("int").alias("size"), F.posexplode("prefix").alias("pos", "token"))
 
     front = F.struct("pos", "size", "doc_id")
     tokens = postings.groupBy("token").agg(F.min(front).alias("lead"), F.count("*").alias("k")).filter("k > 1")
-    shared = stage(postings.join(tokens.drop("k"), "token"), "ngram-shared")
+    shared = stage(postings.join(tokens.drop("k").hint("merge"), "token"), "ngram-shared")
     size, pos, lead = F.col("size"), F.col("pos"), F.col("lead")
     stars = shared.filter((F.col("doc_id") != lead["doc_id"]) & _may_link(size, pos, lead["size"], lead["pos"], num, den))
     stars = stars.select(lead["doc_id"].alias("a"), F.col("doc_id").alias("b"))
@@ -235,7 +268,7 @@ def ngram_components(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, s
     named = named.select("token", "doc_id", "size", "pos", F.coalesce("component", "doc_id").alias("comp"), F.coalesce("major", "leader").alias("major"))
     named = stage(named, "ngram-named")
     minor = named.filter("comp != major").select("token", *[F.col(c).alias(f"{c}_m") for c in ("doc_id", "size", "pos", "comp")])
-    rest = named.join(minor, "token").filter(
+    rest = named.join(minor.hint("merge"), "token").filter(
         (F.col("comp") != F.col("comp_m"))
         & ((F.col("comp") == F.col("major")) | (F.col("doc_id") < F.col("doc_id_m")))
         & _may_link(size, pos, F.col("size_m"), F.col("pos_m"), num, den)
@@ -243,7 +276,7 @@ def ngram_components(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, s
     rest = rest.select(F.least("doc_id", "doc_id_m").alias("a"), F.greatest("doc_id", "doc_id_m").alias("b")).distinct()
     rest = stage(rest.join(pairs, ["a", "b"], "left_anti"), "ngram-rest")
     more = _verify(docs, prefixes, rest, n, num, den)
-    final = components(stage(links.unionByName(more), "ngram-all-links"))
+    final = join_components(found, more)
 
     out = members.join(reps.select("set_key", "rep"), "set_key", "left").join(final, F.col("rep") == F.col("node"), "left")
     return out.select(
