@@ -21,13 +21,25 @@ def shared_root(spark: SparkSession) -> str:
     return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS).rstrip("/")
 
 
+def stage_path(spark: SparkSession, name: str) -> str:
+    """A new path for a table of this application in the shared folder."""
+    return f"{shared_root(spark)}/logtide/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_stages(spark: SparkSession) -> None:
+    """Delete the tables that this application has staged; results that still read them must be written first."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{shared_root(spark)}/logtide/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     This cuts the lineage: a lost executor costs a re-read of the table, never a recomputation that could
     number rows differently.  Unlike ``checkpoint()`` the table is columnar, so later reads are pruned.
     """
-    path = f"{shared_root(df.sparkSession)}/logtide/{name}-{uuid.uuid4().hex}"
+    path = stage_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

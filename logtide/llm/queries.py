@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .chat_format import format_conversations, read_back
 from .classifier import fit_quality_model, score_quality
-from .common import shared_root, sources_table, stage
+from .common import sources_table, stage, stage_path
 from .exact_dedup import exact_duplicates
 from .line_dedup import dedup_lines
 from .mixing import mix_sources
@@ -26,7 +25,7 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_root(spark)}/logtide/token-set-{uuid.uuid4().hex}"
+    path = stage_path(spark, "token-set")
     write_token_set(sources_table(spark, sf_dir, "documents"), path)
     return read_token_set(spark, path).drop("ids")
 
