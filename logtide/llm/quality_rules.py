@@ -11,7 +11,8 @@ are noisy, are held to a distance shrunk by ``n / (n + 50)``.
 The vectors are transformed: log of the mean word length, square roots of the shares of capitals, punctuation and
 symbols among the characters, of repeated lines among the lines and of repeated words among the words.  Scatter has
 a floor, as a statistic may be constant in a group.  A (language, source) of fewer than ``min_group`` documents is
-judged with its language, a language with fewer with all documents.
+judged with its language, estimated from all documents of that language, a language with fewer with all documents
+of the table.
 
 Defined results: null text counts as empty, has no words and fails the base rules; null language or source is a
 value like any other; repeated rows are judged alike; an empty table gives an empty result.
@@ -131,12 +132,25 @@ def _with_params(rows: DataFrame, params: DataFrame, salts: int) -> DataFrame:
 
 
 def _groups(rows: DataFrame, min_group: int, salts: int) -> DataFrame:
-    """Add the column group: the name of the finest of (lang, source), lang and all with enough documents."""
+    """Add the columns group, the name of the finest of (lang, source), lang and all with enough documents, and fits,
+    the names of all groups that the row helps to estimate.
+
+    A language is estimated from all its documents, those of its large sources included, and ``*`` from all documents;
+    neither is estimated where no document is judged by it.
+    """
     name = lambda *c: F.to_json(F.struct(*c), {"ignoreNullFields": "false"})
+    by_lang = Window.partitionBy("lang")
     fine = rows.groupBy("lang", "source").agg(F.count("*").alias("n"))
-    fine = fine.withColumn("n_lang", F.sum("n").over(Window.partitionBy("lang")))
-    group = F.when(F.col("n") >= min_group, name("lang", "source")).when(F.col("n_lang") >= min_group, name("lang")).otherwise(F.lit("*"))
-    fine = fine.select(F.col("lang").alias("__l"), F.col("source").alias("__r"), group.alias("group"))
+    fine = fine.withColumns({"n_lang": F.sum("n").over(by_lang), "least": F.min("n").over(by_lang)})
+    fine = stage(fine, "quality-counts")
+    fine = fine.crossJoin(F.broadcast(fine.agg(F.min("n_lang").alias("least_lang"))))
+    large, large_lang = F.col("n") >= min_group, F.col("n_lang") >= min_group
+    group = F.when(large, name("lang", "source")).when(large_lang, name("lang")).otherwise(F.lit("*"))
+    own = F.when(large, name("lang", "source"))
+    of_lang = F.when(large_lang & (F.col("least") < min_group), name("lang"))
+    of_all = F.when(F.col("least_lang") < min_group, F.lit("*"))
+    fits = F.array_compact(F.array(own, of_lang, of_all))
+    fine = fine.select(F.col("lang").alias("__l"), F.col("source").alias("__r"), group.alias("group"), fits.alias("fits"))
     fine = fine.withColumn("__s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     on = F.col("lang").eqNullSafe(F.col("__l")) & F.col("source").eqNullSafe(F.col("__r")) & (F.col("salt") == F.col("__s"))
     return rows.join(fine, on).drop("__l", "__r", "__s")
@@ -185,7 +199,8 @@ def quality_rules(
     salt = F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")
     rows = stage(rows.withColumn("base_failed", failed).withColumn("salt", salt), "quality-rows")
     rest = stage(_groups(rows.filter("not base_failed"), min_group, salts), "quality-groups")
-    params = robust_estimates(rest.select("group", "salt", *STATISTICS), coverage, steps, salts)
+    fits = rest.select(F.explode("fits").alias("group"), "salt", *STATISTICS)
+    params = robust_estimates(fits, coverage, steps, salts)
     out = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     judged = _with_distance(_with_params(rest, params, salts), "d2")
     judged = judged.withColumn("distance", F.col("d2") * F.col("n_words") / (F.col("n_words") + 50))

@@ -106,6 +106,18 @@ def test_quality_counts_and_verdicts(make_docs):
     assert quality_rules(make_docs([])).count() == 0
 
 
+def test_quality_outlier_alone_in_its_source(make_docs):
+    """A small (lang, source) is judged by its whole language, a small language by the whole table."""
+    rng = random.Random(11)
+    shout = " ".join(f"SHOUT{chr(65 + k % 26)}{chr(65 + k // 26)}!!" for k in range(120))
+    rows = [(i, clean(rng, rng.randrange(8, 30)), "a", "en") for i in range(150)]
+    rows += [(150, shout, "z", "en"), (151, shout, "q", "fi"), (152, shout, None, "en"), (153, shout, "a", None), (154, shout, "b", None)]
+    rows += [(160, clean(rng, 12), "y", "en"), (161, clean(rng, 12), "y", "sv"), (162, clean(rng, 12), None, "en")]
+    got = {r["doc_id"]: r["kept"] for r in quality_rules(make_docs(rows)).collect()}
+    assert [i for i in range(150, 155) if got[i]] == []
+    assert all(got[i] for i in (*range(150), 160, 161, 162))
+
+
 def test_factorisation_machine_identity():
     """The linear-time score equals the sum over all pairs."""
     rng = np.random.default_rng(1)
