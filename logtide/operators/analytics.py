@@ -107,6 +107,35 @@ def l2_scores(edges: DataFrame, alpha: float = 0.5) -> DataFrame:
     return out.select("prev", "curr", "n", "row_total", F.round("prob", 8).alias("prob"), "score")
 
 
+def l2_step_scores(logs: DataFrame, edges: DataFrame, keys: Sequence[str] = ("ip", "ua"), route: str = "url", gap: int = GAP_SECONDS, alpha: float = 0.5, beta: float = 0.7) -> DataFrame:
+    """(rid, prev, anchor, curr, prob, score): every request of every session against a matrix fitted before.
+
+    ``edges`` are the :func:`transitions` of the baseline.  The probability of a step is the larger of the direct one
+    and ``beta`` times the one from the anchor, the route before the previous one, where the matrix has that route.
+    A previous route that the matrix has not seen gives 1e-12; the first request of a session, and any request against
+    an empty matrix, scores 0.
+    """
+    by = Window.partitionBy(*keys, "session_no").orderBy("timestamp", "rid")
+    rows = with_sessions(logs, keys, gap).select("rid", F.lag(route).over(by).alias("prev"), F.lag(route, 2).over(by).alias("anchor"), F.col(route).alias("curr"))
+    vocab = edges.select(F.explode(F.array("prev", "curr")).alias("r")).agg(F.countDistinct("r").alias("vocab"))
+    totals = edges.groupBy("prev").agg(F.sum("n").alias("total"))
+
+    def lookup(rows: DataFrame, who: str) -> DataFrame:
+        total = totals.select(F.col("prev").alias("__t"), F.col("total").alias(f"{who}_total"))
+        pair = edges.select(F.col("prev").alias("__p"), F.col("curr").alias("__c"), F.col("n").alias(f"{who}_n"))
+        rows = rows.join(total, F.col(who) == F.col("__t"), "left").drop("__t")
+        return rows.join(pair, (F.col(who) == F.col("__p")) & F.col("curr").eqNullSafe(F.col("__c")), "left").drop("__p", "__c")
+
+    rows = lookup(lookup(rows, "prev"), "anchor").crossJoin(F.broadcast(vocab))
+    smooth = lambda who: (F.coalesce(f"{who}_n", F.lit(0)) + alpha) / (F.col(f"{who}_total") + F.lit(alpha) * F.col("vocab"))
+    direct = F.when(F.col("prev_total").isNull(), 1e-12).otherwise(smooth("prev"))
+    skip = F.when(F.col("anchor_total").isNotNull() & (F.col("anchor") != F.col("prev")), smooth("anchor") * beta)
+    prob = F.when(F.col("prev").isNull() | (F.col("vocab") == 0), 1.0).otherwise(F.greatest(direct, skip))
+    score = F.bround(-F.log10("prob") * (100.0 / 6.0)).cast("int")
+    rows = rows.withColumn("prob", prob).withColumn("score", F.greatest(F.lit(0), F.least(F.lit(100), score)))
+    return rows.select("rid", "prev", "anchor", "curr", F.round("prob", 8).alias("prob"), "score")
+
+
 def l1_scores(logs: DataFrame, key: str = "edge_sid") -> DataFrame:
     """Dwell-time rules: too fast or too regular after three requests of a session."""
     by = Window.partitionBy(key).orderBy("timestamp", "rid")

@@ -96,6 +96,20 @@ _EDGES_SQL = f"""{CTES}, {_SESSION_SQL.format(keys='ip, ua', gap=86400)},
 s2 AS (SELECT lag(url) OVER (PARTITION BY ip, ua, session_no ORDER BY timestamp, rid) AS prev, url AS curr, count(*) OVER w AS events,
   (max(epoch_us(timestamp)) OVER w - min(epoch_us(timestamp)) OVER w) / 1000000.0::DOUBLE / greatest(count(*) OVER w - 1, 1) AS dwell FROM s1 WINDOW w AS (PARTITION BY ip, ua, session_no)),
 edges AS (SELECT prev, curr, count(*) AS n FROM s2 WHERE events >= 2 AND dwell >= 0.2 AND prev IS NOT NULL GROUP BY 1, 2)"""
+#: Sessions of the baseline give the matrix (b0, b1, b2, edges), sessions of all rows the steps (s0, s1, steps).
+_BASE_EDGES_SQL = ", ".join([
+    _SESSION_SQL.format(keys="ip, ua", gap=86400).replace("FROM logs", "FROM logs WHERE is_b").replace("s0", "b0").replace("s1", "b1"),
+    "b2 AS" + _EDGES_SQL.split("s2 AS", 1)[1].replace("s1", "b1").replace("s2", "b2"),
+])
+_L2_STEP_SQL = f"""{CTES}, {_BASE_EDGES_SQL}, {_SESSION_SQL.format(keys='ip, ua', gap=86400)},
+t AS (SELECT prev AS r, sum(n) AS total FROM edges GROUP BY 1), v AS (SELECT count(DISTINCT r) AS vocab FROM (SELECT prev AS r FROM edges UNION SELECT curr FROM edges)),
+steps AS (SELECT rid, lag(url) OVER w AS prev, lag(url, 2) OVER w AS anchor, url AS curr FROM s1 WINDOW w AS (PARTITION BY ip, ua, session_no ORDER BY timestamp, rid)),
+p AS (SELECT steps.*, CASE WHEN steps.prev IS NULL OR vocab = 0 THEN 1.0::DOUBLE ELSE greatest(
+    CASE WHEN tp.total IS NULL THEN 1e-12::DOUBLE ELSE (coalesce(ep.n, 0) + 0.5::DOUBLE) / (tp.total + 0.5::DOUBLE * vocab) END,
+    CASE WHEN ta.total IS NOT NULL AND anchor <> steps.prev THEN (coalesce(ea.n, 0) + 0.5::DOUBLE) / (ta.total + 0.5::DOUBLE * vocab) * 0.7::DOUBLE ELSE 0.0::DOUBLE END) END AS p
+  FROM steps CROSS JOIN v LEFT JOIN t tp ON steps.prev = tp.r LEFT JOIN t ta ON anchor = ta.r
+  LEFT JOIN edges ep ON ep.prev = steps.prev AND ep.curr IS NOT DISTINCT FROM steps.curr LEFT JOIN edges ea ON ea.prev = anchor AND ea.curr IS NOT DISTINCT FROM steps.curr)
+SELECT rid, prev, anchor, curr, round(p, 8) AS prob, CAST(greatest(0, least(100, round_even(-log10(p) * (100.0::DOUBLE / 6.0), 0))) AS INTEGER) AS score FROM p"""
 _SCORED = "sc AS (SELECT edge_sid AS sid, max(edge_score) AS score, bool_or(user_id % 3 = 0) AS bad, max(edge_score_reason) AS reason FROM logs WHERE edge_score IS NOT NULL GROUP BY edge_sid)"
 
 
@@ -162,6 +176,7 @@ SELECT *, count(*) OVER () AS total_routes FROM p QUALIFY row_number() OVER (ORD
     add("l2_score", lambda x: A.l2_scores(edges(x)), f"""{_EDGES_SQL}, t AS (SELECT prev, sum(n) AS row_total FROM edges GROUP BY 1), v AS (SELECT count(DISTINCT r) AS vocab FROM (SELECT prev AS r FROM edges UNION SELECT curr FROM edges)),
 p AS (SELECT edges.*, CAST(row_total AS BIGINT) AS row_total, (n + 0.5::DOUBLE) / (row_total + 0.5::DOUBLE * vocab) AS p FROM edges JOIN t USING (prev), v)
 SELECT prev, curr, n, row_total, round(p, 8) AS prob, CAST(greatest(0, least(100, round_even(-log10(p) * (100.0::DOUBLE / 6.0), 0))) AS INTEGER) AS score FROM p""")
+    add("l2_step_score", lambda x: A.l2_step_scores(x, edges(x.filter("is_b")), gap=86400), _L2_STEP_SQL)
     add("l1_score", lambda x: A.l1_scores(x).groupBy("l1").agg(F.count("*").alias("n")))
     add("roc_auc", lambda x: A.roc_auc(_scored(x)), f"{CTES}, {_SCORED} SELECT count(*) FILTER (bad) AS n_bad, count(*) FILTER (NOT bad) AS n_good, (SELECT round(coalesce(avg(CASE WHEN g.score < b.score THEN 1.0 WHEN g.score = b.score THEN 0.5 ELSE 0.0 END), 0.5), 8) FROM sc g, sc b WHERE b.bad AND NOT g.bad) AS auc FROM sc")
     add("auc_per_reason", lambda x: A.auc_per_reason(_scored(x)), f"{CTES}, {_SCORED}, r AS (SELECT trim(unnest(string_split(reason, ','))) AS reason, score, bad FROM sc) SELECT reason, count(*) FILTER (bad) AS nb, count(*) FILTER (NOT bad) AS ng, (SELECT round(coalesce(avg(CASE WHEN g.score < b.score THEN 1.0 WHEN g.score = b.score THEN 0.5 ELSE 0.0 END), 0.5), 8) FROM r g, r b WHERE b.bad AND NOT g.bad AND g.reason = r.reason AND b.reason = r.reason) AS auc FROM r WHERE reason <> '' GROUP BY reason")
