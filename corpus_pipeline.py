@@ -4,17 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logtide.llm.common import drop_rows, sources_table, stage
+from logtide.llm.common import sources_table, stage
 from logtide.llm.exact_dedup import drop_exact_duplicates
 from logtide.llm.mixing import apply_mix
 from logtide.llm.ngram_join import drop_near_duplicates
 from logtide.llm.packing import pack_documents
-from logtide.llm.quality_rules import quality_rules
+from logtide.llm.quality_rules import drop_low_quality
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    return drop_rows(docs, quality_rules(docs).filter("not kept").select("doc_id"))
+    return drop_low_quality(docs)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -69,6 +69,11 @@ def unit_hash(*parts: Column | str) -> Column:
     return (bits + F.lit(0.5)) / F.lit(float(2**52))
 
 
+def value_key(*parts: Column) -> Column:
+    """64-bit hash of strings that tells null from empty; beside doc_id it names a row by what it says."""
+    return F.xxhash64(*[c for p in parts for c in (F.coalesce(p, F.lit("")), p.isNull())])
+
+
 def split_by_ids(docs: DataFrame, ids: DataFrame, key: str = "doc_id", bits: int = 22) -> tuple[DataFrame, DataFrame]:
     """(rows of ``docs`` that may have one of ``ids``, rows that have none), in columns __c0, __c1, ...
 
@@ -88,13 +93,15 @@ def split_by_ids(docs: DataFrame, ids: DataFrame, key: str = "doc_id", bits: int
     return rows.filter("__maybe").select(*names), rows.filter("not __maybe").select(*names)
 
 
-def drop_rows(docs: DataFrame, dropped: DataFrame, key: str = "doc_id") -> DataFrame:
-    """``docs`` without the rows whose ``key`` is in ``dropped``, every column unchanged; null keys match null keys.
+def drop_rows(docs: DataFrame, dropped: DataFrame, key: str = "doc_id", *more: str) -> DataFrame:
+    """``docs`` without the rows whose ``key``, and ``more`` columns, are in ``dropped``, every column unchanged; null
+    keys match null keys.
 
-    The key is looked up by exact case.  Rows that repeat a dropped key go with it.
+    The keys are looked up by exact case.  Rows that repeat the dropped keys go with them.
     """
-    gone = stage(dropped.select(key).distinct(), "dropped")
+    keys = [key, *more]
+    gone = stage(dropped.select(*keys).distinct(), "dropped")
     maybe, clear = split_by_ids(docs, gone, key)
-    at = f"__c{docs.columns.index(key)}"
-    told = maybe.join(gone.withColumnRenamed(key, "__key").hint("merge"), F.col(at).eqNullSafe(F.col("__key")), "left_anti")
+    same = [F.col(f"__c{docs.columns.index(k)}").eqNullSafe(F.col(f"__key{i}")) for i, k in enumerate(keys)]
+    told = maybe.join(gone.toDF(*[f"__key{i}" for i in range(len(keys))]).hint("merge"), same, "left_anti")
     return clear.unionByName(told).toDF(*docs.columns)

@@ -13,8 +13,11 @@ lines always stay, and lines of fewer than ``min_words`` words go only where the
    needs only the earliest; a line that equals another one's variant is joined with it.  No group emits its pairs.
 5. Candidates are verified word by word, and the later line goes.
 
-Defined results: null text counts as empty and has no lines; repeated rows of one doc_id count as one document and
-get the same result; null doc_ids come first; empty input gives an empty result; extra columns are ignored.
+A document is a doc_id with a text: within the steps doc_id is the pair of the id and the text's hash, so that different
+texts under one id, or none, are different documents.
+
+Defined results: null text counts as empty and has no lines; repeated rows of one doc_id and text count as one document
+and get the same result; null doc_ids come first, different texts of one id in the order of their hashes; empty input gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, SPACE_CHARS, pick, stage
+from .common import SPACE, SPACE_CHARS, pick, stage, value_key
 
 
 def _words(line: Column) -> Column:
@@ -107,6 +110,7 @@ def near_lines(docs: DataFrame, first: DataFrame) -> DataFrame:
 def dedup_lines(docs: DataFrame, min_words: int = 6) -> DataFrame:
     """One row per row of ``docs``: doc_id, text without the dropped lines, n_lines, n_dropped."""
     docs = pick(docs, "doc_id", "text")
+    docs = docs.select(F.struct("doc_id", value_key(F.coalesce("text", F.lit(""))).alias("text_key")).alias("doc_id"), "text")
     lines = stage(_lines(docs, min_words), "lines-all")
     first = lines.groupBy("h", "c", "n").agg(F.min(F.struct("doc_id", "line_no")).alias("at"), F.max("halves").alias("halves"))
     first = stage(first.select("h", "c", "n", "at.doc_id", "at.line_no", "halves"), "lines-first")
@@ -126,7 +130,7 @@ def dedup_lines(docs: DataFrame, min_words: int = 6) -> DataFrame:
         F.array_join(F.transform("stay", lambda i: F.get("lines", i)), "\n")
     )
     return rows.select(
-        "doc_id", text.alias("text"),
+        "doc_id.doc_id", text.alias("text"),
         F.size("lines").cast("long").alias("n_lines"),
         F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"),
     )

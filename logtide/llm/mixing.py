@@ -53,20 +53,19 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, cei
     return t.select("source", "source_size", F.least("cap", F.col("rate") * F.col("weight")).alias("target"))
 
 
-def mix_sources(
+def _mix(
     docs: DataFrame,
+    keep: Sequence[str] = (),
     weights: Sequence[float] = (3.0, 1.0, 2.0),
     share: float = 1.5,
     ceiling: float = 2.0,
     seed: str = "mix",
     per_octave: int = 1024,
 ) -> DataFrame:
-    """One row per row of ``docs``: doc_id, source, size, source_size, target, taken, epochs, weight, sample_key.
-
-    ``weights`` repeat over the sources in code point order, null last.
-    """
+    """The columns of :func:`mix_sources`, and those of ``keep``, which also order documents of equal key, id and size."""
     text = F.coalesce("text", F.lit(""))
-    rows = pick(docs, "doc_id", "source", "text").select(
+    rows = pick(docs, "doc_id", "source", "text", *keep).select(
+        *keep,
         "doc_id",
         "source",
         F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
@@ -93,7 +92,7 @@ def mix_sources(
     ).drop("o_source", "o_bucket")
     in_bucket = (
         Window.partitionBy("source", "bucket")
-        .orderBy("sample_key", "doc_id", "size")
+        .orderBy("sample_key", "doc_id", "size", *keep)
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     before = F.col("offset") + F.coalesce(F.sum("size").over(in_bucket), F.lit(0))
@@ -102,24 +101,33 @@ def mix_sources(
     budget = F.floor(F.col("target") - (F.col("epochs") * F.col("source_size")).cast("double"))
     part = F.greatest(F.lit(0), F.least(F.col("size"), budget - F.col("before")))
     return joined.select(
-        "doc_id", "source", "size", "source_size", "target",
+        *keep, "doc_id", "source", "size", "source_size", "target",
         (F.col("epochs") * F.col("size") + part).cast("long").alias("taken"),
         "epochs", "weight", "sample_key",
     )
 
 
+def mix_sources(docs: DataFrame, **options) -> DataFrame:
+    """One row per row of ``docs``: doc_id, source, size, source_size, target, taken, epochs, weight, sample_key.
+
+    ``weights`` repeat over the sources in code point order, null last.
+    """
+    return _mix(docs, **options)
+
+
 def apply_mix(docs: DataFrame, **options) -> DataFrame:
     """``docs`` as the mix reads them: a document of ``taken`` words comes once for each complete time it is taken
     and once more, cut after its last taken word, for a fraction; documents not taken go.  All columns stay;
     ``n_chars``, where there is one, follows a cut text.  Documents without words are kept once, as they cost none.
+
+    Every row goes by its own size and share: rows are numbered in a staged table, as ids may repeat or be null.
     """
     names = [f"__c{i}" for i in range(len(docs.columns))]
-    at = {n: f"__c{docs.columns.index(n)}" for n in ("doc_id", "text")}
-    mix = mix_sources(docs, **options).groupBy(F.col("doc_id").alias("__id")).agg(
-        F.max("size").alias("__size"), F.max("taken").alias("__taken")
-    )
-    flat = docs.toDF(*names)
-    rows = flat.join(mix.hint("merge"), F.col(at["doc_id"]).eqNullSafe(F.col("__id")))
+    at = {n: f"__c{docs.columns.index(n)}" for n in ("doc_id", "text", "source")}
+    flat = stage(docs.toDF(*names).withColumn("__uid", F.monotonically_increasing_id()), "mix-docs")
+    mix = _mix(flat.select("__uid", *[F.col(c).alias(n) for n, c in at.items()]), ("__uid",), **options)
+    mix = mix.select(F.col("__uid").alias("__id"), F.col("size").alias("__size"), F.col("taken").alias("__taken"))
+    rows = flat.join(mix.hint("merge"), F.col("__uid") == F.col("__id"))
     whole = F.when(F.col("__size") > 0, F.floor(F.col("__taken") / F.col("__size"))).otherwise(F.lit(1)).cast("int")
     rest = (F.col("__taken") - whole * F.col("__size")).cast("int")
     parts = F.concat(

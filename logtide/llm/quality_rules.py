@@ -22,10 +22,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, SPACE_CHARS, drop_chars, pick, stage
+from .common import SPACE, SPACE_CHARS, drop_chars, drop_rows, pick, stage, value_key
 
 SYMBOLS = "#*$%&|<>"
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -57,10 +57,16 @@ def _repeats(rows: DataFrame) -> DataFrame:
     return rows.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).drop("h", "s", "p")
 
 
+def _row_key(*columns: str) -> Column:
+    """Key of text, language and source, on which alone a verdict depends."""
+    return value_key(*[F.col(c) for c in columns])
+
+
 def text_statistics(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, source and counts of each whole text."""
+    """doc_id, lang, source, row_key and counts of each whole text."""
     text = F.coalesce("text", F.lit(""))
-    rows = pick(docs, "doc_id", "text", "lang", "source").withColumn("text", text)
+    rows = pick(docs, "doc_id", "text", "lang", "source").withColumn("row_key", _row_key("text", "lang", "source"))
+    rows = rows.withColumn("text", text)
     trimmed = F.trim(F.col("text"), F.lit(SPACE_CHARS))
     rows = rows.withColumn("words", F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE + "+")))
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
@@ -68,7 +74,7 @@ def text_statistics(docs: DataFrame) -> DataFrame:
     n_chars = F.char_length("text")
     less = lambda chars: (n_chars - F.char_length(drop_chars(F.col("text"), chars))).cast("long")
     return rows.select(
-        "doc_id", "lang", "source",
+        "doc_id", "lang", "source", "row_key",
         F.size("words").cast("long").alias("n_words"),
         (n_chars - less(SPACE_CHARS)).cast("long").alias("word_chars"),
         less(SYMBOLS).alias("n_symbols"),
@@ -189,11 +195,8 @@ def robust_estimates(rows: DataFrame, coverage: float, steps: int, salts: int) -
     return params
 
 
-def quality_rules(
-    docs: DataFrame, cutoff: float = 50.0, coverage: float = 0.75, steps: int = 4, min_group: int = 40, salts: int = 64
-) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-    base_failed, kept, distance (squared, null where the base rules decide)."""
+def _verdicts(docs: DataFrame, cutoff: float, coverage: float, steps: int, min_group: int, salts: int) -> DataFrame:
+    """The columns of :func:`quality_rules`, and row_key."""
     rows = _vector(text_statistics(docs))
     failed = (F.col("n_words") < 20) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 30)
     salt = F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")
@@ -201,9 +204,33 @@ def quality_rules(
     rest = stage(_groups(rows.filter("not base_failed"), min_group, salts), "quality-groups")
     fits = rest.select(F.explode("fits").alias("group"), "salt", *STATISTICS)
     params = robust_estimates(fits, coverage, steps, salts)
-    out = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+    out = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "row_key"]
     judged = _with_distance(_with_params(rest, params, salts), "d2")
     judged = judged.withColumn("distance", F.col("d2") * F.col("n_words") / (F.col("n_words") + 50))
     judged = judged.select(*out, (F.col("distance") <= cutoff).alias("kept"), "distance")
     base = rows.filter("base_failed").select(*out, F.lit(False).alias("kept"), F.lit(None).cast("double").alias("distance"))
     return judged.unionByName(base)
+
+
+def quality_rules(
+    docs: DataFrame, cutoff: float = 50.0, coverage: float = 0.75, steps: int = 4, min_group: int = 40, salts: int = 64
+) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+    base_failed, kept, distance (squared, null where the base rules decide)."""
+    return _verdicts(docs, cutoff, coverage, steps, min_group, salts).drop("row_key")
+
+
+def drop_low_quality(
+    docs: DataFrame, cutoff: float = 50.0, coverage: float = 0.75, steps: int = 4, min_group: int = 40, salts: int = 64
+) -> DataFrame:
+    """``docs`` without the rows that :func:`quality_rules` rejects, all columns unchanged.
+
+    A row goes by its own verdict, whatever other rows have its doc_id, or none.
+    """
+    at = [f"__c{docs.columns.index(c)}" for c in ("text", "lang", "source")]
+    keyed = docs.toDF(*[f"__c{i}" for i in range(len(docs.columns))]).withColumn("row_key", _row_key(*at))
+    names = [*[f"__c{i}" for i in range(len(docs.columns))], "__row_key"]
+    names[docs.columns.index("doc_id")] = "doc_id"
+    failed = _verdicts(docs, cutoff, coverage, steps, min_group, salts).filter("not kept")
+    failed = failed.select(F.col("row_key").alias("__row_key"), "doc_id")
+    return drop_rows(keyed.toDF(*names), failed, "__row_key", "doc_id").drop("__row_key").toDF(*docs.columns)
