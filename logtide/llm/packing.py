@@ -1,15 +1,16 @@
 """Packing by minimum bin slack.
 
-Documents longer than a window are cut into whole windows and a remainder.  Remainders are packed within groups that
-a hash of the document deals out evenly: each window takes the longest remaining piece and then the multiset of
+Documents longer than a window are cut into whole windows and a remainder.  Pieces are packed within groups that a
+hash of the staged piece number deals out evenly, also where many rows share an id or have none: each window takes the longest remaining piece and then the multiset of
 remaining lengths that comes closest to filling it, found by a subset-sum dynamic programme over bitsets (bit ``s``
 of a big integer says that ``s`` tokens can be filled) and read back with counts per length.  Only each group's last
 windows can stay short, so padding vanishes as groups grow.
 
 Groups see lengths, never tokens: the pieces with their ids are a staged table, and the plan joins it by piece.
 
-Defined results: null text counts as empty (a document of just its end id); repeated rows are packed each; an empty
-table gives an empty result; a text of any length is cut into as many windows as it takes.
+Defined results: null text counts as empty (a document of just its end id); a null doc_id stays null; repeated rows
+are packed each, and pieces of equal length go by doc_id, start and number; an empty table gives an empty result; a
+text of any length is cut into as many windows as it takes; extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ..plans.shipping import ship_package
 from .common import pick, stage
-from .token_store import pack
+from .token_store import pack, with_end
 from .tokens import default_tokenizer, tokenizer
 
 _PIECES = "piece long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
@@ -89,18 +90,23 @@ def token_pieces(docs: DataFrame, window: int = 4096, tokenizer_path: str | None
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, next_piece, end = tokenizer(path).encode_many, TaskContext.get().partitionId() << 33, np.array([end_id], np.uint32)
-        names = [c.split()[0] for c in _PIECES.split(", ")]
-        kinds = [pa.int64()] * 6 + [pa.binary()]
+        encode, next_piece = tokenizer(path).encode_array, TaskContext.get().partitionId() << 33
         for batch in batches:
-            rows = []
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encode([t or "" for t in batch.column(1).to_pylist()])):
-                data = np.concatenate([ids, end])
-                for start in range(0, len(data), window):
-                    part = data[start : start + window]
-                    rows.append((next_piece, doc_id, start, len(part), zlib.crc32(part.astype("<u4").tobytes()), len(data), pack(part)))
-                    next_piece += 1
-            yield pa.record_batch([pa.array(list(c), k) for c, k in zip(zip(*rows) if rows else [[]] * 7, kinds)], names)
+            ids, lens = with_end(*encode(batch.column(1)), end_id)
+            # Document k is cut into n[k] pieces; ``at`` is where a piece begins within its document.
+            n, ends = -(-lens // window), np.cumsum(lens)
+            doc, last = np.repeat(np.arange(len(lens)), n), np.cumsum(n)
+            at = (np.arange(len(doc)) - np.repeat(last - n, n)) * window
+            size = np.minimum(window, lens[doc] - at)
+            first = (ends - lens)[doc] + at
+            parts = [ids[a:b] for a, b in zip(first.tolist(), (first + size).tolist())]
+            columns = [
+                pa.array(next_piece + np.arange(len(doc))), batch.column(0).take(pa.array(doc)), pa.array(at), pa.array(size),
+                pa.array([zlib.crc32(x.astype("<u4", copy=False)) for x in parts], pa.int64()), pa.array(lens[doc]),
+                pa.array([pack(x) for x in parts], pa.binary()),
+            ]
+            next_piece += len(doc)
+            yield pa.record_batch(columns, [c.split()[0] for c in _PIECES.split(", ")])
 
     return pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _PIECES)
 
@@ -128,7 +134,7 @@ def pack_documents(
         out = pdf.iloc[order]
         return pd.DataFrame({"piece": out["piece"].to_numpy(), "sequence_id": (int(key[0]) << 32) + number, "offset": offset})
 
-    lengths = pieces.select("piece", "doc_id", "start", "length", F.pmod(F.xxhash64("doc_id", "start"), F.lit(groups)).alias("g"))
+    lengths = pieces.select("piece", "doc_id", "start", "length", F.pmod(F.xxhash64("piece"), F.lit(groups)).alias("g"))
     placed = lengths.groupBy("g").applyInPandas(plan, "piece long, sequence_id long, offset long")
     columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"] + (["ids"] if with_ids else [])
     return pieces.select("piece", *columns).join(placed, "piece").select(*columns[:5], "sequence_id", "offset", *columns[5:])

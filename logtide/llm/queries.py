@@ -27,7 +27,7 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = stage_path(spark, "token-set")
     write_token_set(sources_table(spark, sf_dir, "documents"), path)
-    return read_token_set(spark, path).drop("ids")
+    return read_token_set(spark, path, with_ids=False)
 
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +53,7 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(sources_table(spark, sf_dir, "documents")).drop("ids")
+    return pack_documents(sources_table(spark, sf_dir, "documents"), with_ids=False)
 
 
 def held_out(doc_id: F.Column) -> F.Column:

@@ -11,8 +11,10 @@ token offset within the file, document ids and lengths, and per level the chunks
 File offsets come from a table with one row per file.  Spark's writers commit the files, so a lost executor leaves
 no half-written one, and any store that Spark reaches will do.
 
-Defined results: null text counts as empty, and a document without tokens has just its end id; repeated rows are
-encoded one after the other; null ids come first; an empty table gives an empty token set.
+Defined results: null text counts as empty, and a document without tokens has just its end id; null ids come first;
+rows that share an id (repeated ones, too) follow one another by number of tokens, then by a hash of the ids, so that
+reruns agree; a text of any length is one document of one segment; extra columns, whatever their names, are ignored;
+an empty table gives an empty token set.
 """
 
 from __future__ import annotations
@@ -101,17 +103,21 @@ def encode_texts(docs: DataFrame, tokenizer_path: str | None = None, end_id: int
     ship_package(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = tokenizer(path).encode_many, np.array([] if end_id is None else [end_id], np.uint32)
+        encode = tokenizer(path).encode_array
         for batch in batches:
-            out, sizes = [], []
-            for ids in encode([t or "" for t in batch.column(1).to_pylist()]):
-                sizes.append(len(ids) + len(end))
-                out.append(pack(np.concatenate([ids, end])))
-            yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int64()), pa.array(out, pa.binary())], ["doc_id", "n_tokens", "ids"])
+            ids, lens = with_end(*encode(batch.column(1)), end_id)
+            ends = np.cumsum(lens)
+            out = [pack(ids[a:b]) for a, b in zip((ends - lens).tolist(), ends.tolist())]
+            yield pa.record_batch([batch.column(0), pa.array(lens), pa.array(out, pa.binary())], ["doc_id", "n_tokens", "ids"])
 
     return pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _TOKENS)
 
 
+def with_end(ids: np.ndarray, lens: np.ndarray, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of documents behind one another, and their numbers, with ``end_id`` after each."""
+    return (ids, lens) if end_id is None else (np.insert(ids, np.cumsum(lens), end_id), lens + 1)
+
+
 def pack(ids: np.ndarray) -> bytes:
     small = not len(ids) or int(ids.max()) < 1 << 16
     return (b"\x02" if small else b"\x04") + ids.astype("<u2" if small else "<u4").tobytes()
@@ -124,8 +130,11 @@ def unpack(data: bytes) -> np.ndarray:
 def write_token_set(docs: DataFrame, path: str, tokenizer_path: str | None = None, end_id: int | None = 1, segment_tokens: int = 1 << 18) -> None:
     """Encode ``docs`` and write the token set, in ascending doc_id order, under ``path``."""
     encoded = stage(encode_texts(docs, tokenizer_path, end_id), "tokens")
-    # Range partitioning samples only the id column of the staged table; nothing is encoded twice.
-    ordered = encoded.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
+    # Range partitioning samples the staged table; nothing is encoded twice.  Rows of one id, which may be many, are
+    # told apart by what they hold, so that they spread over files in an order that reruns repeat.
+    order = [F.col("doc_id").asc_nulls_first(), F.col("n_tokens"), F.col("ids_key")]
+    encoded = encoded.withColumn("ids_key", F.xxhash64("ids"))
+    ordered = encoded.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "n_tokens", "ids")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -164,8 +173,9 @@ def write_token_set(docs: DataFrame, path: str, tokenizer_path: str | None = Non
     ordered.mapInArrow(build, _SEGMENTS).write.option("compression", "zstd").parquet(path)
 
 
-def read_token_set(spark: SparkSession, path: str, broadcast_files: int = 500_000) -> DataFrame:
-    """The documents of a token set, read from its files: doc_id, start, n_tokens, ids_crc32, ids (see ``unpack``)."""
+def read_token_set(spark: SparkSession, path: str, broadcast_files: int = 500_000, with_ids: bool = True) -> DataFrame:
+    """The documents of a token set, read from its files: doc_id, start, n_tokens, ids_crc32 and, ``with_ids``, ids
+    (see ``unpack``)."""
     ship_package(spark)
     segments = spark.read.schema(_SEGMENTS).parquet(path)
     files = segments.groupBy("file").agg(F.max(F.col("file_offset") + F.col("n_tokens")).alias("n"))
@@ -175,23 +185,25 @@ def read_token_set(spark: SparkSession, path: str, broadcast_files: int = 500_00
     if segments.select("file").distinct().count() <= broadcast_files:
         base = F.broadcast(base)
     rows = segments.join(base, "file").select("base", "file_offset", "doc_ids", "null_ids", "doc_lens", "levels")
+    schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids binary" if with_ids else "")
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 row = batch.slice(k, 1).to_pylist()[0]
-                codes = DirectCodes.from_row(row["levels"])
                 lens = np.frombuffer(row["doc_lens"], "<i8")
                 ends = np.cumsum(lens)
-                ids, crcs, data = np.frombuffer(row["doc_ids"], "<i8"), [], []
-                for a, b in zip((ends - lens).tolist(), ends.tolist()):
-                    part = codes.slice(a, b)
-                    crcs.append(zlib.crc32(part.astype("<u4").tobytes()))
-                    data.append(pack(part))
+                ids = DirectCodes.from_row(row["levels"]).slice(0, int(ends[-1])).astype("<u4")
+                cuts = list(zip((ends - lens).tolist(), ends.tolist()))
                 gone = np.frombuffer(row["null_ids"], np.uint8).astype(bool)
-                yield pa.record_batch(
-                    [pa.array(ids, pa.int64(), mask=gone), pa.array(ends - lens + row["base"] + row["file_offset"]), pa.array(lens), pa.array(crcs, pa.int64()), pa.array(data, pa.binary())],
-                    ["doc_id", "start", "n_tokens", "ids_crc32", "ids"],
-                )
-
-    return rows.mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
+                columns = [
+                    pa.array(np.frombuffer(row["doc_ids"], "<i8"), pa.int64(), mask=gone),
+                    pa.array(ends - lens + row["base"] + row["file_offset"]),
+                    pa.array(lens),
+                    pa.array([zlib.crc32(ids[a:b]) for a, b in cuts], pa.int64()),
+                ]
+                if with_ids:
+                    columns.append(pa.array([pack(ids[a:b]) for a, b in cuts], pa.binary()))
+                yield pa.record_batch(columns, [c.split()[0] for c in schema.split(", ")])
+
+    return rows.mapInArrow(decode, schema)

@@ -9,7 +9,7 @@ from logtide.llm.packing import fill_window, pack_documents, pack_lengths
 from logtide.llm.token_store import DirectCodes, read_token_set, unpack, write_token_set
 from logtide.llm.tokens import default_tokenizer, tokenizer
 
-TEXTS = ["", None, "Hello world!", "ÉTÉ Straße ΣΑΣ İstanbul", "a b　c", "x" * 5000, "it's don't I'LL", "<|startoftext|> <|endoftext|>", "\x00\x1c\x1f tab\tnl\n", "日本語 テスト 12,345", "é ̈ a", "word " * 6000]
+TEXTS = ["", None, "Hello world!", "ÉTÉ Straße ΣΑΣ İstanbul", "a b　c", "x" * 5000, "it's don't I'LL", "<|startoftext|> <|endoftext|>", "\x00\x1c\x1f tab\tnl\n", "日本語 テスト 12,345", "é ̈ a", "word " * 6000, "Foo, BAR! x1. (a). <|ENDOFTEXT|>", "Ünïcode, straße; ÿ! Ǆ ẞ"]
 
 
 def plain_ids(text):
