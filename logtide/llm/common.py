@@ -12,13 +12,16 @@ SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 
-#: Used only where the session names no shared folder (single-machine tests).
+#: Used only by sessions on one machine that name no shared folder.
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
 
 
 def shared_root(spark: SparkSession) -> str:
-    """Folder that driver and executors share, as the session names it."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS).rstrip("/")
+    """Folder that driver and executors share, as the session names it; a cluster's session must name one."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (named or LOCAL_CHECKPOINTS).rstrip("/")
 
 
 def stage_path(spark: SparkSession, name: str) -> str:
@@ -41,7 +44,17 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """
     path = stage_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def unstage(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more, so that disk is not held until the session ends."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table.staged_at)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def pick(df: DataFrame, *names: str) -> DataFrame:
@@ -74,22 +87,32 @@ def value_key(*parts: Column) -> Column:
     return F.xxhash64(*[c for p in parts for c in (F.coalesce(p, F.lit("")), p.isNull())])
 
 
-def split_by_ids(docs: DataFrame, ids: DataFrame, key: str = "doc_id", bits: int = 22) -> tuple[DataFrame, DataFrame]:
+#: A bitmap has some 16 bits an id, so that few other rows pass, up to 16 MB; more ids than it serves are joined.
+_MAX_BITS = 27
+
+
+def split_by_ids(docs: DataFrame, ids: DataFrame, key: str = "doc_id", max_bits: int = _MAX_BITS) -> tuple[DataFrame, DataFrame]:
     """(rows of ``docs`` that may have one of ``ids``, rows that have none), in columns __c0, __c1, ...
 
-    A bitmap of the hashed ids (2**bits / 8 bytes, whatever their number) is broadcast and tested where the rows are
-    read, so that only the few rows that it lets through need a shuffle to be told for certain.
+    A bitmap of the hashed ids, sized by their number, is broadcast and tested where the rows are read, so that only
+    the few rows that it lets through need a shuffle to be told for certain.  Where it would grow beyond
+    2**max_bits / 8 bytes, most rows are no rarity among the ids any more: then the ids are joined.
     """
     at = f"__c{docs.columns.index(key)}"
     flat = docs.toDF(*[f"__c{i}" for i in range(len(docs.columns))])
+    names = flat.columns
+    bits = max(15, (16 * ids.count()).bit_length())
+    if bits > max_bits:
+        known = ids.select(F.col(key).alias("__known")).distinct().hint("merge")
+        same = F.col(at).eqNullSafe(F.col("__known"))
+        return flat.join(known, same, "left_semi"), flat.join(known, same, "left_anti")
     slot = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << bits))
     marks = ids.select(slot(key).alias("h")).select(F.floor(F.col("h") / 32768).alias("__block"), (F.col("h") % 32768).alias("bit"))
-    # At most 2**bits / 32768 rows of 4 KB.
+    # At most 2**max_bits / 32768 rows of 4 KB.
     blocks = marks.groupBy("__block").agg(F.bitmap_construct_agg("bit").alias("__bits"))
     rows = flat.withColumn("__h", slot(at)).withColumn("__block", F.floor(F.col("__h") / 32768)).join(F.broadcast(blocks), "__block", "left")
     byte = F.conv(F.hex(F.substring("__bits", (F.floor(F.col("__h") % 32768 / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
     rows = rows.withColumn("__maybe", F.coalesce(F.getbit(byte, (F.col("__h") % 8).cast("int")) == 1, F.lit(False)))
-    names = flat.columns
     return rows.filter("__maybe").select(*names), rows.filter("not __maybe").select(*names)
 
 
