@@ -1,8 +1,8 @@
 """Exact deduplication: a tree merge of sorted digest runs.
 
-Every input partition is a run of digests.  Runs merge in binomial rounds, ``2**fan_bits`` ways at a time: in each
-round run ``r`` hands its entries to run ``r >> fan_bits``, and the receiving run keeps, per digest, the best
-entry and the sum of the counts.  A digest so costs each merged run at most ``2**fan_bits`` entries, however many
+Every input partition is a run of digests, sorted by digest.  Runs merge in binomial rounds, ``2**fan_bits`` ways at a
+time: in each round run ``r`` hands its entries to run ``r >> fan_bits``, and the receiving run is merged in digest
+order, keeping per digest the best entry and the sum of the counts, and is written sorted again.  A digest so costs each merged run at most ``2**fan_bits`` entries, however many
 copies there are; the runs themselves stay spread over the cluster because entries are hashed by run *and* digest.
 The winners travel the same tree downwards, so that no join sees a hot key either.
 
@@ -53,15 +53,11 @@ def exact_duplicates(docs: DataFrame, runs: int = 512, fan_bits: int = 3) -> Dat
         "dedup-rows",
     )
     best = F.struct((-F.col("n_chars")).alias("rank"), F.col("doc_id").isNull().alias("none"), "doc_id", "uid")
-    level = stage(rows.groupBy("run", *_KEY).agg(F.min(best).alias("best"), F.count("*").alias("n")), "dedup-runs")
+    merge = lambda entries, *sums: stage(entries.groupBy("run", *_KEY).agg(*sums).sortWithinPartitions("run", *_KEY), "dedup-runs")
+    level = merge(rows, F.min(best).alias("best"), F.count("*").alias("n"))
     levels, width = [level], runs
     while width > 1:
-        level = stage(
-            level.withColumn("run", F.shiftright("run", fan_bits))
-            .groupBy("run", *_KEY)
-            .agg(F.min("best").alias("best"), F.sum("n").alias("n")),
-            "dedup-runs",
-        )
+        level = merge(level.withColumn("run", F.shiftright("run", fan_bits)), F.min("best").alias("best"), F.sum("n").alias("n"))
         levels.append(level)
         width = -(-width // 2**fan_bits)
     # Only groups of two or more have anything to tell the runs below.

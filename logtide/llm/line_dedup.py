@@ -1,8 +1,9 @@
 """Line deduplication by a deletion-neighbourhood join.
 
-A line is its sequence of words; two lines are near where one insertion, deletion or substitution of a word at
-most turns one into the other.  A line goes if it is near an earlier line (by doc_id, then line number); blank
-lines always stay, and lines of fewer than ``min_words`` words go only where they equal an earlier line.
+A line is its sequence of words; two lines are near where ``min(1, words // words_per_edit)`` insertions, deletions or
+substitutions of a word turn one into the other, ``words`` being the number in the shorter one: one word may differ,
+and no more than one in ``words_per_edit``.  A line goes if it is near an earlier line (by doc_id, then line number);
+blank lines always stay.
 
 1. Equal lines collapse to their first occurrence (pre-aggregated by hash, verified by a second hash and length).
 2. Of two near lines either the first or the second half is equal.  Lines that share no half with any other line
@@ -45,14 +46,14 @@ def _half_keys() -> Column:
     return F.array(*halves(n), *halves(n - 1))
 
 
-def _lines(docs: DataFrame, min_words: int) -> DataFrame:
+def _lines(docs: DataFrame, words_per_edit: int) -> DataFrame:
     exploded = docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line"))
     rows = exploded.filter(F.col("line").rlike(r"[^\x20\x09-\x0D]")).withColumn("words", _words(F.col("line")))
     rows = rows.withColumn("n", F.size("words"))
     return rows.select(
         "doc_id", "line_no", "n",
         F.xxhash64("words").alias("h"), F.hash("words").alias("c"),
-        F.when(F.col("n") >= min_words, _half_keys()).alias("halves"),
+        F.when(F.col("n") >= words_per_edit, _half_keys()).alias("halves"),
     )
 
 
@@ -107,11 +108,11 @@ def near_lines(docs: DataFrame, first: DataFrame) -> DataFrame:
     return checked.filter(_near(F.col("early_words"), F.col("late_words"))).select("late.doc_id", "late.line_no").distinct()
 
 
-def dedup_lines(docs: DataFrame, min_words: int = 6) -> DataFrame:
+def dedup_lines(docs: DataFrame, words_per_edit: int = 6) -> DataFrame:
     """One row per row of ``docs``: doc_id, text without the dropped lines, n_lines, n_dropped."""
     docs = pick(docs, "doc_id", "text")
     docs = docs.select(F.struct("doc_id", value_key(F.coalesce("text", F.lit(""))).alias("text_key")).alias("doc_id"), "text")
-    lines = stage(_lines(docs, min_words), "lines-all")
+    lines = stage(_lines(docs, words_per_edit), "lines-all")
     first = lines.groupBy("h", "c", "n").agg(F.min(F.struct("doc_id", "line_no")).alias("at"), F.max("halves").alias("halves"))
     first = stage(first.select("h", "c", "n", "at.doc_id", "at.line_no", "halves"), "lines-first")
     near = near_lines(docs, first).withColumn("near", F.lit(True))

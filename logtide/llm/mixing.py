@@ -10,7 +10,8 @@ of two, so that any weight spreads alike), bucket sums are pre-aggregated, and o
 ordered together.  The join that hands out bucket offsets is keyed by source and bucket.
 
 Defined results: null text counts as empty (size 0, taken 0); null sources form one source, ordered last;
-documents of equal key go by id, then size; repeated rows are taken separately; empty input gives an empty result.
+documents of equal key go by id, then size; repeated rows are taken separately; texts of any length are counted whole;
+extra columns, whatever their names, are ignored (``apply_mix`` keeps them); empty input gives an empty result.
 """
 
 from __future__ import annotations
@@ -53,88 +54,101 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, cei
     return t.select("source", "source_size", F.least("cap", F.col("rate") * F.col("weight")).alias("target"))
 
 
-def _mix(
+def _sampled(docs: DataFrame, keep: Sequence[Column | str], weight: str | None, seed: str, per_octave: int) -> DataFrame:
+    """keep, doc_id, source, size, weight, sample_key and its logarithmic bucket, for each row."""
+    text = F.coalesce("text", F.lit(""))
+    # A weight is positive; others count as the least one.
+    own = quality_weight(text) if weight is None else F.greatest(F.coalesce(F.col(weight).cast("double"), F.lit(0.0)), F.lit(1e-6))
+    rows = docs.select(*keep, "doc_id", "source", F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), own.alias("weight"))
+    rows = rows.withColumn("sample_key", -F.log(unit_hash(F.lit(seed), F.col("doc_id"))) / F.col("weight"))
+    return rows.withColumn("bucket", F.floor(F.log2("sample_key") * F.lit(float(per_octave))).cast("int"))
+
+
+def _offsets(rows: DataFrame, weights: Sequence[float], share: float, ceiling: float) -> DataFrame:
+    """(source, bucket, bucket_size, offset, source_size, target): words before each bucket of a source."""
+    sums = stage(rows.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size")), "mix-buckets")
+    targets = source_targets(sums.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), weights, share, ceiling)
+    in_source = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.withColumn("offset", F.coalesce(F.sum("bucket_size").over(in_source), F.lit(0)))
+    return offsets.join(targets.withColumnRenamed("source", "t_source"), F.col("source").eqNullSafe(F.col("t_source"))).drop("t_source")
+
+
+def _epochs() -> Column:
+    return F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
+
+
+def _budget() -> Column:
+    """Words that a source's last, partial epoch takes."""
+    return F.floor(F.col("target") - (F.col("epochs") * F.col("source_size")).cast("double"))
+
+
+def mix_sources(
     docs: DataFrame,
-    keep: Sequence[str] = (),
     weights: Sequence[float] = (3.0, 1.0, 2.0),
     share: float = 1.5,
     ceiling: float = 2.0,
     seed: str = "mix",
     per_octave: int = 1024,
+    weight: str | None = None,
 ) -> DataFrame:
-    """The columns of :func:`mix_sources`, and those of ``keep``, which also order documents of equal key, id and size."""
-    text = F.coalesce("text", F.lit(""))
-    rows = pick(docs, "doc_id", "source", "text", *keep).select(
-        *keep,
-        "doc_id",
-        "source",
-        F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
-        quality_weight(text).alias("weight"),
-    )
-    key = -F.log(unit_hash(F.lit(seed), F.col("doc_id"))) / F.col("weight")
-    rows = stage(
-        rows.withColumn("sample_key", key).withColumn(
-            "bucket", F.floor(F.log2("sample_key") * F.lit(float(per_octave))).cast("int")
-        ),
-        "mix-rows",
-    )
-    sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
-    sums = stage(sums, "mix-buckets")
-    totals = sums.groupBy("source").agg(F.sum("bucket_size").alias("source_size"))
-    targets = source_targets(totals, weights, share, ceiling)
-    in_source = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.withColumn("offset", F.coalesce(F.sum("bucket_size").over(in_source), F.lit(0)))
-    offsets = offsets.join(
-        targets.withColumnRenamed("source", "t_source"), F.col("source").eqNullSafe(F.col("t_source"))
-    ).select(F.col("source").alias("o_source"), F.col("bucket").alias("o_bucket"), "offset", "source_size", "target")
-    joined = rows.join(
-        offsets, F.col("source").eqNullSafe(F.col("o_source")) & (F.col("bucket") == F.col("o_bucket"))
-    ).drop("o_source", "o_bucket")
-    in_bucket = (
-        Window.partitionBy("source", "bucket")
-        .orderBy("sample_key", "doc_id", "size", *keep)
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    before = F.col("offset") + F.coalesce(F.sum("size").over(in_bucket), F.lit(0))
-    epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
-    joined = joined.withColumn("epochs", epochs.cast("long")).withColumn("before", before)
-    budget = F.floor(F.col("target") - (F.col("epochs") * F.col("source_size")).cast("double"))
-    part = F.greatest(F.lit(0), F.least(F.col("size"), budget - F.col("before")))
-    return joined.select(
-        *keep, "doc_id", "source", "size", "source_size", "target",
-        (F.col("epochs") * F.col("size") + part).cast("long").alias("taken"),
-        "epochs", "weight", "sample_key",
-    )
-
-
-def mix_sources(docs: DataFrame, **options) -> DataFrame:
     """One row per row of ``docs``: doc_id, source, size, source_size, target, taken, epochs, weight, sample_key.
 
-    ``weights`` repeat over the sources in code point order, null last.
+    ``weights`` repeat over the sources in code point order, null last.  ``weight`` names a column of quality weights,
+    such as a classifier's score; without one, the share of markup debris decides.
     """
-    return _mix(docs, **options)
+    rows = stage(_sampled(pick(docs, "doc_id", "source", "text", *([weight] if weight else [])), [], weight, seed, per_octave), "mix-rows")
+    offsets = _offsets(rows, weights, share, ceiling).select(F.col("source").alias("o_source"), F.col("bucket").alias("o_bucket"), "offset", "source_size", "target")
+    joined = rows.join(offsets, F.col("source").eqNullSafe(F.col("o_source")) & (F.col("bucket") == F.col("o_bucket"))).drop("o_source", "o_bucket")
+    in_bucket = Window.partitionBy("source", "bucket").orderBy("sample_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    joined = joined.withColumn("epochs", _epochs()).withColumn("before", F.col("offset") + F.coalesce(F.sum("size").over(in_bucket), F.lit(0)))
+    part = F.greatest(F.lit(0), F.least(F.col("size"), _budget() - F.col("before")))
+    return joined.select("doc_id", "source", "size", "source_size", "target", (F.col("epochs") * F.col("size") + part).cast("long").alias("taken"), "epochs", "weight", "sample_key")
 
 
-def apply_mix(docs: DataFrame, **options) -> DataFrame:
+def apply_mix(
+    docs: DataFrame,
+    weights: Sequence[float] = (3.0, 1.0, 2.0),
+    share: float = 1.5,
+    ceiling: float = 2.0,
+    seed: str = "mix",
+    per_octave: int = 1024,
+    weight: str | None = None,
+    broadcast_sources: int = 100_000,
+) -> DataFrame:
     """``docs`` as the mix reads them: a document of ``taken`` words comes once for each complete time it is taken
     and once more, cut after its last taken word, for a fraction; documents not taken go.  All columns stay;
     ``n_chars``, where there is one, follows a cut text.  Documents without words are kept once, as they cost none.
 
-    Every row goes by its own size and share: rows are numbered in a staged table, as ids may repeat or be null.
+    Texts are not shuffled: the partial epoch of a source ends in one key bucket, and rows of the buckets before and
+    behind it are decided where they are read, by a table of one row per source (broadcast up to
+    ``broadcast_sources`` rows).  Only rows of the boundary buckets, about one in ``per_octave``, are ordered.
+
+    Every row goes by its own size and share, also where ids repeat or are null: rows of equal key go by doc_id, size
+    and a hash of the text, and equal rows are taken one after the other.  Null texts are empty texts, null sources
+    one source; an empty table stays empty.
     """
     names = [f"__c{i}" for i in range(len(docs.columns))]
-    at = {n: f"__c{docs.columns.index(n)}" for n in ("doc_id", "text", "source")}
-    flat = stage(docs.toDF(*names).withColumn("__uid", F.monotonically_increasing_id()), "mix-docs")
-    mix = _mix(flat.select("__uid", *[F.col(c).alias(n) for n, c in at.items()]), ("__uid",), **options)
-    mix = mix.select(F.col("__uid").alias("__id"), F.col("size").alias("__size"), F.col("taken").alias("__taken"))
-    rows = flat.join(mix.hint("merge"), F.col("__uid") == F.col("__id"))
-    whole = F.when(F.col("__size") > 0, F.floor(F.col("__taken") / F.col("__size"))).otherwise(F.lit(1)).cast("int")
-    rest = (F.col("__taken") - whole * F.col("__size")).cast("int")
-    parts = F.concat(
-        F.array_repeat(F.lit(-1), whole),
-        F.when((F.col("__size") > 0) & (rest > 0), F.array(rest)).otherwise(F.array().cast("array<int>")),
-    )
-    rows = rows.withColumn("__part", F.explode(parts))
+    at = {n: f"__c{docs.columns.index(n)}" for n in ("doc_id", "text", "source", *([weight] if weight else []))}
+    flat = docs.toDF(*names)
+    keyed = flat.select(*names, *[F.col(c).alias(n) for n, c in at.items()])
+    rows = _sampled(keyed, names, weight, seed, per_octave)
+    offsets = _offsets(rows.select("source", "bucket", "size"), weights, share, ceiling).withColumn("epochs", _epochs()).withColumn("budget", _budget())
+    # The bucket in which the budget ends: the first one that reaches it.
+    ends = F.min(F.when(F.col("offset") + F.col("bucket_size") >= F.col("budget"), F.struct("bucket", "offset")))
+    table = stage(offsets.groupBy("source", "epochs", "budget").agg(ends.alias("last")), "mix-sources")
+    table = table.select(F.col("source").alias("__s"), "epochs", "budget", F.col("last.bucket").alias("edge"), F.col("last.offset").alias("edge_offset"))
+    table = F.broadcast(table) if table.count() <= broadcast_sources else table.hint("merge")
+    rows = rows.join(table, F.col("source").eqNullSafe(F.col("__s")))
+    edge = F.col("edge").isNotNull() & (F.col("bucket") == F.col("edge"))
+    outside = rows.filter(~edge).withColumn("part", F.when(F.col("edge").isNull() | (F.col("bucket") < F.col("edge")), F.col("size")).otherwise(F.lit(0)))
+    order = Window.partitionBy("source").orderBy("sample_key", "doc_id", "size", F.xxhash64(at["text"])).rowsBetween(Window.unboundedPreceding, -1)
+    before = F.col("edge_offset") + F.coalesce(F.sum("size").over(order), F.lit(0))
+    inside = rows.filter(edge).withColumn("part", F.greatest(F.lit(0), F.least(F.col("size"), F.col("budget") - before)))
+    rows = outside.unionByName(inside)
+    whole = F.when(F.col("size") > 0, F.col("epochs") + F.when(F.col("part") == F.col("size"), 1).otherwise(0)).otherwise(F.lit(1)).cast("int")
+    rest = F.when(F.col("part") < F.col("size"), F.col("part")).otherwise(F.lit(0)).cast("int")
+    parts = F.concat(F.array_repeat(F.lit(-1), whole), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<int>")))
+    rows = rows.select(*names, F.explode(parts).alias("__part"))
     words = F.regexp_extract_all(F.col(at["text"]), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
     cut = F.when(F.col("__part") < 0, F.col(at["text"])).otherwise(F.array_join(F.slice(words, 1, F.greatest(F.col("__part"), F.lit(0))), ""))
     rows = rows.withColumn(at["text"], cut)

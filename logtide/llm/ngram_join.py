@@ -13,8 +13,8 @@ prefix length, prefixes that do not meet prove that the sets do not either.  Can
   signatures, so no link is lost) and are intersected with the candidates before any set is compared;
 * what is left is verified on the whole sets.
 
-Equal sets collapse to their smallest document first.  Then, for each token of order 1, every document meets only the
-token's leader, the one that holds it nearest to its front: the original of a family of copies, which has the fewest
+Equal sets collapse to their smallest document first, and tokens that exactly the same documents hold, such as those of
+a passage, to one.  Then, for each token of order 1, every document meets only the token's leader, the one that holds it nearest to its front: the original of a family of copies, which has the fewest
 rare tokens.  The verified links give components.  Documents that share a token but are still in different components
 meet in a second pass, at least one of them outside the leader's component.  Tokens that many unlinked documents hold
 come last under order 1, and there a document meets only the others of its band of sizes.
@@ -45,7 +45,7 @@ _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _ORDERS = (np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB))
 _BLOCK = 4096
 #: Texts are split so many bytes at a time.
-_CHUNK = 1 << 22
+_CHUNK = 1 << 21
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -281,8 +281,13 @@ def ngram_components(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, s
     rows = prefixes.select("doc_id", "size", "set_key", "prefix").join(able.hint("merge"), ["set_key", "doc_id"]).dropDuplicates(["set_key", "doc_id"])
     postings = stage(rows.select("doc_id", F.col("size").cast("int").alias("size"), F.posexplode("prefix").alias("pos", "token")), "ngram-postings")
 
-    tokens = stage(postings.groupBy("token").agg(F.count("*").alias("k")).filter("k > 1").select("token"), "ngram-tokens")
-    shared = stage(postings.join(tokens.hint("merge"), "token"), "ngram-shared")
+    # Tokens of the same holders make the same candidates; one name for all of them, by a sum over the holders (should
+    # two sets of holders ever have one sum, their documents meet as well: more candidates, none lost).
+    holders = F.sum(F.xxhash64("doc_id").cast("decimal(20,0)"))
+    tokens = postings.groupBy("token").agg(F.count("*").alias("k"), holders.alias("holders")).filter("k > 1")
+    tokens = stage(tokens.select("token", F.xxhash64("k", "holders").alias("holders")), "ngram-tokens")
+    shared = postings.join(tokens.hint("merge"), "token").groupBy(F.col("holders").alias("token"), "doc_id").agg(F.min("pos").alias("pos"), F.first("size").alias("size"))
+    shared = stage(shared, "ngram-shared")
     unstage(postings, tokens)
     leads = stage(shared.groupBy("token").agg(F.min(F.struct("pos", "size", "doc_id")).alias("lead")), "ngram-leads")
     size, pos, lead = F.col("size"), F.col("pos"), F.col("lead")

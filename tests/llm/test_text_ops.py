@@ -33,11 +33,11 @@ def test_parser_rejects_loose_control_strings(spark):
     assert row[0]["text"] is None
 
 
-def brute_lines(rows, min_words=6):
+def brute_lines(rows, words_per_edit=6):
     def near(a, b):
         if a == b:
             return True
-        if min(len(a), len(b)) < min_words or abs(len(a) - len(b)) > 1:
+        if min(len(a), len(b)) < words_per_edit or abs(len(a) - len(b)) > 1:
             return False
         if len(a) == len(b):
             return sum(x != y for x, y in zip(a, b)) == 1
