@@ -1,21 +1,28 @@
 """Quality rules: fixed base rules, then robust multivariate outliers per language and source.
 
-The verdict is a minimum-covariance-determinant one.  For each language and source, the centre and scatter of the
-``coverage`` share of documents that lie closest are found by concentration steps: distances under the present
-estimate, the nearest share, its mean and covariance, and again.  A step is one pre-aggregated pass: rows fall into
-logarithmic distance buckets, every bucket keeps its count, sums and products, and a running total over the buckets
-of a group (a bounded number) gives the moments of the nearest share.  No group is ever gathered, sorted or sampled.
-A document is rejected where its Mahalanobis distance exceeds ``cutoff``; documents with few words, whose shares
-are noisy, are held to a distance shrunk by ``n / (n + 50)``.
+The verdict is a minimum-covariance-determinant one.  Each group of documents - a (language, source), a language, and
+all documents - gets the centre and scatter of the ``coverage`` share of its documents whose covariance has the least
+determinant.  The search is that of the deterministic MCD (Hubert, Rousseeuw, Verdonck 2012): several starts (medians
+with quartile scales, moments of robustly squashed values, classical moments), concentration steps from each, the
+start of least determinant goes on until its determinant stops falling.  A step is two pre-aggregated passes: counts
+per logarithmic distance bucket tell how far the nearest share reaches, sums of values and products of just those rows
+are the new moments.  No group is ever gathered, sorted or sampled, and the tables of groups are the only thing that
+is joined to the rows.
+
+Small groups lean on their parent: the moments of a (language, source) with n documents are ``n / (n + prior)`` its
+own and the rest its language's, and those of a language lean on all documents' alike, so that there is no size at
+which the rule changes.  A document is rejected where its squared Mahalanobis distance exceeds the point that a
+chi-squared variable exceeds with probability ``tail``; documents with few words, whose shares are noisy, are held to
+a distance shrunk by ``n_words / (n_words + 50)``.  Scatter has a floor, as a statistic may be constant in a group:
+a small one for the statistics that vary, and for repeated lines and words, which nine in ten documents lack
+altogether, the spread that clean documents show.
 
 The vectors are transformed: log of the mean word length, square roots of the shares of capitals, punctuation and
-symbols among the characters, of repeated lines among the lines and of repeated words among the words.  Scatter has
-a floor, as a statistic may be constant in a group.  A (language, source) of fewer than ``min_group`` documents is
-judged with its language, estimated from all documents of that language, a language with fewer with all documents
-of the table.
+symbols among the characters, of repeated lines among the lines and of repeated words among the words.
 
 Defined results: null text counts as empty, has no words and fails the base rules; null language or source is a
-value like any other; repeated rows are judged alike; an empty table gives an empty result.
+value like any other; repeated rows are judged alike; texts of any length are counted whole; extra columns, whatever
+their names, are ignored (``drop_low_quality`` keeps them); an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,9 +38,9 @@ SYMBOLS = "#*$%&|<>"
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 PUNCTUATION = "!\"'(),-./:;?@[]\\^_`{}~"
 #: Statistic and the least standard deviation that it is given.
-STATISTICS = {"x0": 0.06, "x1": 0.05, "x2": 0.04, "x3": 0.03, "x4": 0.12, "x5": 0.12}
+STATISTICS = {"x0": 0.03, "x1": 0.02, "x2": 0.02, "x3": 0.015, "x4": 0.12, "x5": 0.12}
 WINDOW = 8
-_D = len(STATISTICS)
+_D, _FLOORS, _SALTS = len(STATISTICS), list(STATISTICS.values()), 64
 
 
 def _repeats(rows: DataFrame) -> DataFrame:
@@ -98,131 +105,199 @@ def _chi2(x: float, d: int) -> float:
     return 1 - math.exp(-x / 2) * sum((x / 2) ** j / math.factorial(j) for j in range(d // 2))
 
 
-def _consistency(coverage: float) -> float:
-    """Factor that makes the scatter of the nearest share of a normal sample that of the whole."""
+def chi2_point(p: float) -> float:
+    """The point below which chi-squared, with a degree of freedom for each statistic, lies with probability ``p``."""
     lo, hi = 0.0, 1e3
     while hi - lo > 1e-9:
         mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if _chi2(mid, _D) < coverage else (lo, mid)
-    return coverage / _chi2(lo, _D + 2)
-
-
-def _with_distance(rows: DataFrame, out: str) -> DataFrame:
-    """Add the squared Mahalanobis distance of x0.. from m0.. under the Cholesky factor l00.. (forward substitution)."""
-    for i in range(_D):
-        z = F.col(f"x{i}") - F.col(f"m{i}")
-        for j in range(i):
-            z = z - F.col(f"l{i}{j}") * F.col(f"y{j}")
-        rows = rows.withColumn(f"y{i}", z / F.col(f"l{i}{i}"))
-    total = sum((F.col(f"y{i}") * F.col(f"y{i}") for i in range(1, _D)), F.col("y0") * F.col("y0"))
-    return rows.withColumn(out, total).drop(*[f"y{i}" for i in range(_D)])
-
-
-def _factor(params: DataFrame) -> DataFrame:
-    """Cholesky factor l of the covariance columns c (lower triangle), per row of a table of groups."""
-    for i in range(_D):
-        for j in range(i + 1):
-            s = F.col(f"c{i}{j}")
-            for k in range(j):
-                s = s - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
-            value = F.sqrt(F.greatest(s, F.lit(1e-12))) if i == j else s / F.col(f"l{j}{j}")
-            params = params.withColumn(f"l{i}{j}", value)
-    return params.select("group", *[f"m{i}" for i in range(_D)], *[f"l{i}{j}" for i in range(_D) for j in range(i + 1)])
-
-
-def _with_params(rows: DataFrame, params: DataFrame, salts: int) -> DataFrame:
-    """Join the group table to the rows.  A group may hold a third of all rows: the key is salted, and the table,
-    one row per group, is repeated for every salt."""
-    spread = params.withColumnRenamed("group", "__g").withColumn("__s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return rows.join(spread, (F.col("group") == F.col("__g")) & (F.col("salt") == F.col("__s"))).drop("__g", "__s")
-
-
-def _groups(rows: DataFrame, min_group: int, salts: int) -> DataFrame:
-    """Add the columns group, the name of the finest of (lang, source), lang and all with enough documents, and fits,
-    the names of all groups that the row helps to estimate.
-
-    A language is estimated from all its documents, those of its large sources included, and ``*`` from all documents;
-    neither is estimated where no document is judged by it.
+        lo, hi = (mid, hi) if _chi2(mid, _D) < p else (lo, mid)
+    return lo
+
+
+def _consistency(coverage: float) -> float:
+    """Factor that makes the scatter of the nearest share of a normal sample that of the whole."""
+    return coverage / _chi2(chi2_point(coverage), _D + 2)
+
+
+# The moments of a group are an array: count, sums, sums of products (the lower triangle by rows).
+_PAIRS = [(i, j) for i in range(_D) for j in range(i + 1)]
+_AT = {p: 1 + _D + k for k, p in enumerate(_PAIRS)}
+_SIZE = 1 + _D + len(_PAIRS)
+_COEFS = [f"w{k}" for k in range(_SIZE)]
+
+
+def _moments(rows: DataFrame, *keys: str, values: list[Column] | None = None) -> DataFrame:
+    """(keys, s): the moment array of x0.., or of ``values``, for each key.  The sums are rows, not columns, so that
+    the code of the aggregate stays small."""
+    x = values or [F.col(f"x{i}") for i in range(_D)]
+    parts = F.array(F.lit(1.0), *x, *[x[i] * x[j] for i, j in _PAIRS])
+    sums = rows.select(*keys, F.posexplode(parts).alias("k", "v")).groupBy(*keys, "k").agg(F.sum("v").alias("v"))
+    entries = sums.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("k", "v"))).alias("e"))  # _SIZE entries
+    return entries.select(*keys, F.transform("e", lambda e: e["v"]).alias("s"))
+
+
+def _inverse(a: Column) -> Column:
+    """(a, logdet): minus the inverse of a symmetric matrix, an array by rows, and the log of its determinant, by
+    sweeping each diagonal element."""
+
+    def sweep(acc: Column, k: Column) -> Column:
+        d = F.greatest(F.get(acc["a"], k * (_D + 1)), F.lit(1e-12))
+
+        def cell(v: Column, at: Column) -> Column:
+            i, j = F.floor(at / _D).cast("int"), at % _D
+            rest = v - F.get(acc["a"], i * _D + k) * F.get(acc["a"], k * _D + j) / d
+            return F.when((i == k) & (j == k), -1 / d).when((i == k) | (j == k), v / d).otherwise(rest)
+
+        return F.struct(F.transform(acc["a"], cell).alias("a"), (acc["logdet"] + F.log(d)).alias("logdet"))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(_D - 1)), F.struct(a.alias("a"), F.lit(0.0).alias("logdet")), sweep)
+
+
+def _fitted(groups: DataFrame, *keep: str, factor: float = 1.0) -> DataFrame:
+    """(keep, logdet, w0..): from moment arrays s, the log of the determinant of the scatter and the coefficients that
+    make the squared distance of a row the product of w with (1, x0.., products)."""
+    at = lambda i, j: _AT[max(i, j), min(i, j)]
+    s = lambda k: F.get("s", F.lit(k)) / F.get("s", F.lit(0))
+    groups = groups.withColumn("m", F.array(*[s(1 + i) for i in range(_D)]))
+    m = lambda i: F.get("m", F.lit(i))
+    cells = [(s(at(i, j)) - m(i) * m(j)) * factor + (_FLOORS[i] ** 2 if i == j else 0.0) for i in range(_D) for j in range(_D)]
+    groups = groups.withColumn("c", F.array(*cells))
+    groups = groups.withColumn("q", _inverse(F.col("c")))
+    # Plain columns from here on, computed once: q.a is minus the inverse.
+    groups = groups.withColumn("p", F.transform(F.col("q")["a"], lambda v: -v))
+    line = lambda i: F.aggregate(F.zip_with(F.slice("p", i * _D + 1, _D), F.col("m"), lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)
+    groups = groups.withColumn("pm", F.transform(F.sequence(F.lit(0), F.lit(_D - 1)), line))
+    zero = F.aggregate(F.zip_with("pm", "m", lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)
+    w = [zero, *[-2 * F.get("pm", F.lit(i)) for i in range(_D)], *[F.get("p", F.lit(i * _D + j)) * (1 if i == j else 2) for i, j in _PAIRS]]
+    return groups.select(*keep, F.col("q")["logdet"].alias("logdet"), *[c.alias(n) for c, n in zip(w, _COEFS)])
+
+
+def _with_distance(rows: DataFrame) -> DataFrame:
+    """Add d2, the squared distance, from x0.. and w0.., and drop the latter."""
+    x = [F.col(f"x{i}") for i in range(_D)]
+    terms = [F.col("w0"), *[F.col(f"w{1 + i}") * x[i] for i in range(_D)], *[F.col(f"w{_AT[i, j]}") * x[i] * x[j] for i, j in _PAIRS]]
+    return rows.withColumn("d2", F.greatest(sum(terms[1:], terms[0]), F.lit(0.0))).drop(*_COEFS)
+
+
+def _with_groups(rows: DataFrame, groups: DataFrame, n_groups: int, on: str, broadcast_groups: int = 20_000) -> DataFrame:
+    """Join a table of ``n_groups`` groups to the rows by ``on``, in both an array of groups or one name.
+
+    Up to ``broadcast_groups`` rows of some 30 numbers are broadcast (5 MB); a larger table is repeated for every salt
+    and merged, as a group may hold a third of all rows.
     """
-    name = lambda *c: F.to_json(F.struct(*c), {"ignoreNullFields": "false"})
-    by_lang = Window.partitionBy("lang")
-    fine = rows.groupBy("lang", "source").agg(F.count("*").alias("n"))
-    fine = fine.withColumns({"n_lang": F.sum("n").over(by_lang), "least": F.min("n").over(by_lang)})
-    fine = stage(fine, "quality-counts")
-    fine = fine.crossJoin(F.broadcast(fine.agg(F.min("n_lang").alias("least_lang"))))
-    large, large_lang = F.col("n") >= min_group, F.col("n_lang") >= min_group
-    group = F.when(large, name("lang", "source")).when(large_lang, name("lang")).otherwise(F.lit("*"))
-    own = F.when(large, name("lang", "source"))
-    of_lang = F.when(large_lang & (F.col("least") < min_group), name("lang"))
-    of_all = F.when(F.col("least_lang") < min_group, F.lit("*"))
-    fits = F.array_compact(F.array(own, of_lang, of_all))
-    fine = fine.select(F.col("lang").alias("__l"), F.col("source").alias("__r"), group.alias("group"), fits.alias("fits"))
-    fine = fine.withColumn("__s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    on = F.col("lang").eqNullSafe(F.col("__l")) & F.col("source").eqNullSafe(F.col("__r")) & (F.col("salt") == F.col("__s"))
-    return rows.join(fine, on).drop("__l", "__r", "__s")
-
-
-def robust_estimates(rows: DataFrame, coverage: float, steps: int, salts: int) -> DataFrame:
-    """Centre and Cholesky factor per group by concentration steps over (group, salt, x0..)."""
-    floors = list(STATISTICS.values())
+    groups = groups.withColumnRenamed(on, "__g")
+    if n_groups <= broadcast_groups:
+        return rows.join(F.broadcast(groups), F.col(on) == F.col("__g")).drop("__g")
+    spread = groups.withColumn("__s", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    return rows.join(spread.hint("merge"), (F.col(on) == F.col("__g")) & (F.col("salt") == F.col("__s"))).drop("__g", "__s")
+
+
+def _bucket(d2: Column) -> Column:
+    """Eight logarithmic buckets to the factor of two, 320 at most."""
+    return F.greatest(F.lit(-80), F.least(F.lit(240), F.floor(F.log2(d2 + 1e-9) * 8))).cast("int")
+
+
+def _step(rows: DataFrame, fits: DataFrame, n: int, coverage: float, name: str) -> DataFrame:
+    """One concentration step for each (group, start): moments of the nearest share, and their fit."""
+    near = _with_distance(_with_groups(rows, fits.drop("logdet", "s"), n, "group")).withColumn("bucket", _bucket(F.col("d2")))
+    counts = near.groupBy("group", "start", "bucket").agg(F.count("*").alias("n"))
+    of, upto = Window.partitionBy("group", "start"), Window.partitionBy("group", "start").orderBy("bucket")
+    counts = counts.select("group", "start", "bucket", F.sum("n").over(upto).alias("upto"), F.sum("n").over(of).alias("all"))
+    reach = counts.filter(F.col("upto") >= F.ceil(F.col("all") * coverage)).groupBy("group", "start").agg(F.min("bucket").alias("reach"))
+    reach = stage(reach, "mcd-reach")
+    limits = reach.join(fits.drop("logdet", "s"), ["group", "start"])
+    inside = _with_distance(_with_groups(rows, limits, n, "group")).filter(_bucket(F.col("d2")) <= F.col("reach"))
+    sums = stage(_moments(inside, "group", "start"), "mcd-moments")
+    return stage(_fitted(sums, "group", "start", "s", factor=_consistency(coverage)), f"mcd-{name}")
+
+
+def robust_moments(rows: DataFrame, coverage: float = 0.75, max_steps: int = 12) -> DataFrame:
+    """(group, s): the moment array of the share of least determinant for each group of (group, salt, x0..)."""
     quart = [F.percentile_approx(f"x{i}", [0.25, 0.5, 0.75], 1000).alias(f"q{i}") for i in range(_D)]
-    params = rows.groupBy("group").agg(*quart)
-    start = {f"m{i}": F.col(f"q{i}")[1] for i in range(_D)}
-    for i in range(_D):
-        sigma = F.greatest((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, F.lit(floors[i]))
-        start |= {f"c{i}{j}": sigma * sigma if i == j else F.lit(0.0) for j in range(i + 1)}
-    params = stage(_factor(params.withColumns(start)), "mcd-start")
-    factor = _consistency(coverage)
-    upto = Window.partitionBy("group").orderBy("bucket")
-    pairs = [(i, j) for i in range(_D) for j in range(i + 1)]
-    for _ in range(steps):
-        near = _with_distance(_with_params(rows, params, salts), "d2")
-        bucket = F.greatest(F.lit(-160), F.least(F.lit(320), F.floor(F.log2(F.col("d2") + 1e-9) * 16))).cast("int")
-        sums = near.withColumn("bucket", bucket).groupBy("group", "bucket").agg(
-            F.count("*").alias("n"),
-            *[F.sum(f"x{i}").alias(f"s{i}") for i in range(_D)],
-            *[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"p{i}{j}") for i, j in pairs],
-        )
-        names = ["n", *[f"s{i}" for i in range(_D)], *[f"p{i}{j}" for i, j in pairs]]
-        run = sums.select("group", "bucket", F.sum("n").over(Window.partitionBy("group")).alias("all"), *[F.sum(c).over(upto).alias(c) for c in names])
-        h = F.col("n") >= F.ceil(F.col("all") * coverage)
-        best = run.filter(h).withColumn("k", F.row_number().over(upto)).filter("k = 1")
-        new = {f"m{i}": F.col(f"s{i}") / F.col("n") for i in range(_D)}
-        for i, j in pairs:
-            cov = (F.col(f"p{i}{j}") / F.col("n") - F.col(f"s{i}") * F.col(f"s{j}") / F.col("n") / F.col("n")) * factor
-            new[f"c{i}{j}"] = cov + F.lit(floors[i] ** 2) if i == j else cov
-        params = stage(_factor(best.withColumns(new)), "mcd-step")
-    return params
-
-
-def _verdicts(docs: DataFrame, cutoff: float, coverage: float, steps: int, min_group: int, salts: int) -> DataFrame:
+    mid = stage(rows.groupBy("group").agg(*quart), "mcd-quartiles")
+    n = mid.count()
+    if not n:
+        return rows.select("group", F.array(F.lit(0.0)).alias("s"))
+    scale = [F.greatest((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, F.lit(_FLOORS[i])) for i in range(_D)]
+    centre = [F.col(f"q{i}")[1] for i in range(_D)]
+    mid = stage(mid.select("group", *[c.alias(f"c{i}") for i, c in enumerate(centre)], *[c.alias(f"d{i}") for i, c in enumerate(scale)]), "mcd-scales")
+    # Moments of a sample of one with the medians as means and the quartile scales as deviations.
+    c, d = [F.col(f"c{i}") for i in range(_D)], [F.col(f"d{i}") for i in range(_D)]
+    diagonal = F.array(F.lit(1.0), *c, *[c[i] * c[j] + (d[i] * d[i] if i == j else 0.0) for i, j in _PAIRS])
+    squashed = [c[i] + d[i] * F.tanh((F.col(f"x{i}") - c[i]) / d[i]) for i in range(_D)]
+    starts = mid.select("group", F.lit(0).alias("start"), diagonal.alias("s"))
+    starts = starts.unionByName(_moments(_with_groups(rows, mid, n, "group"), "group", values=squashed).withColumn("start", F.lit(1)))
+    starts = starts.unionByName(_moments(rows, "group").withColumn("start", F.lit(2)))
+    fits = stage(_fitted(starts, "group", "start", "s"), "mcd-starts")
+    for _ in range(2):
+        fits = _step(rows, fits, 3 * n, coverage, "start")
+    names = fits.columns
+    fits = stage(fits.groupBy("group").agg(F.min(F.struct("logdet", *[c for c in names if c != "logdet"])).alias("b")).select(*[F.col("b")[c].alias(c) for c in names]), "mcd-best")
+    for _ in range(max_steps):
+        new = _step(rows, fits, n, coverage, "step").select("group", *[F.col(c).alias(f"n_{c}") for c in names if c != "group"])
+        both = fits.join(new, "group", "left")
+        falls = F.col("n_logdet") < F.col("logdet") - 1e-6
+        fits = stage(both.select("group", *[F.when(falls, F.col(f"n_{c}")).otherwise(F.col(c)).alias(c) for c in names if c != "group"], falls.alias("fell")), "mcd-kept")
+        more = not fits.filter("fell").isEmpty()
+        fits = fits.drop("fell")
+        if not more:
+            break
+    return fits.select("group", "s")
+
+
+def _name(*columns: str) -> Column:
+    return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+
+
+def _centred(s: str, sign: int) -> Column:
+    """Mean moments with products about the mean (``sign`` -1) from those about zero, or back (+1)."""
+    at = lambda k: F.get(s, F.lit(k))
+    return F.array(*[at(k) for k in range(1 + _D)], *[at(_AT[i, j]) + sign * at(1 + i) * at(1 + j) for i, j in _PAIRS])
+
+
+def _shrunk(robust: DataFrame, rows: DataFrame, prior: float) -> DataFrame:
+    """(group, s): mean moments of every (lang, source), leaning on its language's, which lean on all documents'.
+
+    Centres lean on centres and scatters on scatters; how far the centres lie apart is no scatter, or a document that
+    is alone in its source would excuse itself.
+    """
+    sizes = rows.groupBy("lang", "source").agg(F.count("*").alias("n"))
+    own = robust.select(F.col("group").alias("g"), F.transform("s", lambda v: v / F.get("s", F.lit(0))).alias("s"))
+    own = own.select("g", _centred("s", -1).alias("s"))
+    sizes = sizes.withColumn("n_lang", F.sum("n").over(Window.partitionBy("lang")))
+    for name, key in (("own", _name("lang", "source")), ("of_lang", _name("lang")), ("of_all", F.lit("*"))):
+        sizes = sizes.withColumn("__g", key).join(own.select(F.col("g").alias("__g"), F.col("s").alias(name)), "__g").drop("__g")
+    lean = lambda a, b, n: F.zip_with(a, b, lambda x, y: (x * F.col(n) + y * prior) / (F.col(n) + prior))
+    sizes = sizes.withColumn("of_lang", lean("of_lang", "of_all", "n_lang")).withColumn("c", lean("own", "of_lang", "n"))
+    return sizes.select(_name("lang", "source").alias("group"), _centred("c", 1).alias("s"))
+
+
+def _verdicts(docs: DataFrame, tail: float, coverage: float, prior: float, max_steps: int) -> DataFrame:
     """The columns of :func:`quality_rules`, and row_key."""
     rows = _vector(text_statistics(docs))
     failed = (F.col("n_words") < 20) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 30)
-    salt = F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")
-    rows = stage(rows.withColumn("base_failed", failed).withColumn("salt", salt), "quality-rows")
-    rest = stage(_groups(rows.filter("not base_failed"), min_group, salts), "quality-groups")
-    fits = rest.select(F.explode("fits").alias("group"), "salt", *STATISTICS)
-    params = robust_estimates(fits, coverage, steps, salts)
+    salt = F.pmod(F.xxhash64("doc_id", "row_key"), F.lit(_SALTS)).cast("int")
     out = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "row_key"]
-    judged = _with_distance(_with_params(rest, params, salts), "d2")
+    rows = stage(rows.withColumn("base_failed", failed).withColumn("salt", salt).select(*out, "lang", "source", "salt", *STATISTICS), "quality-rows")
+    rest = rows.filter("not base_failed")
+    levels = F.array(_name("lang", "source"), _name("lang"), F.lit("*"))
+    robust = robust_moments(rest.select(F.explode(levels).alias("group"), "salt", *STATISTICS), coverage, max_steps)
+    groups = stage(_shrunk(robust, rest, prior), "quality-groups")
+    fits = stage(_fitted(groups, "group", factor=_consistency(coverage)), "quality-fits")
+    judged = _with_distance(_with_groups(rest.withColumn("group", _name("lang", "source")), fits.drop("logdet"), fits.count(), "group"))
     judged = judged.withColumn("distance", F.col("d2") * F.col("n_words") / (F.col("n_words") + 50))
-    judged = judged.select(*out, (F.col("distance") <= cutoff).alias("kept"), "distance")
+    judged = judged.select(*out, (F.col("distance") <= chi2_point(1 - tail)).alias("kept"), "distance")
     base = rows.filter("base_failed").select(*out, F.lit(False).alias("kept"), F.lit(None).cast("double").alias("distance"))
     return judged.unionByName(base)
 
 
-def quality_rules(
-    docs: DataFrame, cutoff: float = 50.0, coverage: float = 0.75, steps: int = 4, min_group: int = 40, salts: int = 64
-) -> DataFrame:
+def quality_rules(docs: DataFrame, tail: float = 1e-6, coverage: float = 0.75, prior: float = 40.0, max_steps: int = 12) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, kept, distance (squared, null where the base rules decide)."""
-    return _verdicts(docs, cutoff, coverage, steps, min_group, salts).drop("row_key")
+    return _verdicts(docs, tail, coverage, prior, max_steps).drop("row_key")
 
 
-def drop_low_quality(
-    docs: DataFrame, cutoff: float = 50.0, coverage: float = 0.75, steps: int = 4, min_group: int = 40, salts: int = 64
-) -> DataFrame:
+def drop_low_quality(docs: DataFrame, tail: float = 1e-6, coverage: float = 0.75, prior: float = 40.0, max_steps: int = 12) -> DataFrame:
     """``docs`` without the rows that :func:`quality_rules` rejects, all columns unchanged.
 
     A row goes by its own verdict, whatever other rows have its doc_id, or none.
@@ -231,6 +306,6 @@ def drop_low_quality(
     keyed = docs.toDF(*[f"__c{i}" for i in range(len(docs.columns))]).withColumn("row_key", _row_key(*at))
     names = [*[f"__c{i}" for i in range(len(docs.columns))], "__row_key"]
     names[docs.columns.index("doc_id")] = "doc_id"
-    failed = _verdicts(docs, cutoff, coverage, steps, min_group, salts).filter("not kept")
+    failed = _verdicts(docs, tail, coverage, prior, max_steps).filter("not kept")
     failed = failed.select(F.col("row_key").alias("__row_key"), "doc_id")
     return drop_rows(keyed.toDF(*names), failed, "__row_key", "doc_id").drop("__row_key").toDF(*docs.columns)
