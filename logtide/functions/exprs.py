@@ -9,7 +9,11 @@ from pyspark.sql import functions as F
 
 from ..operators.reads import DURATION_EDGES, HEADER_EDGES, TTL_EDGES, metrics
 
-CRAWLER = "([a-z0-9_.-]*(?:bot|crawler|spider|slurp|archiver|scraper)[a-z0-9_.-]*|headless[a-z0-9_.-]*|python-[a-z0-9_.-]+|curl|wget)"
+# The tokens by which crawlers and clients of libraries name themselves.
+CRAWLER = (
+    "([a-z0-9_.-]*(?:bot|crawler|spider|slurp|archiver|scraper|externalagent|extended|other|preview)[a-z0-9_.-]*|headless[a-z0-9_.-]*|python-[a-z0-9_.-]+"
+    "|go-http-client|curl|wget|scrapy|aiohttp|httpx|okhttp|axios)"
+)
 
 # File endings of the asset types.
 ASSETS = {
@@ -100,9 +104,8 @@ def fetcher_stem(ua: Column) -> Column:
 
 
 def url_flags(logs: DataFrame, patterns: Mapping[str, str]) -> DataFrame:
-    """Add a boolean per pattern, matched on the distinct URLs and joined back."""
-    urls = logs.select("url").distinct().select("url", *[F.coalesce(F.col("url").rlike(p), F.lit(False)).alias(n) for n, p in patterns.items()])
-    return logs.join(urls, "url", "left").fillna(False, list(patterns))
+    """Add a boolean per pattern, row by row: a shuffle of the log by URL would cost more than the matching."""
+    return logs.withColumns({n: F.coalesce(F.col("url").rlike(p), F.lit(False)) for n, p in patterns.items()})
 
 
 def network_health_score(loss: Column, congestion_us: Column, jitter_us: Column, error_pct: Column) -> Column:

@@ -198,11 +198,15 @@ def threshold_sweep(scored: DataFrame, thresholds: Sequence[int]) -> DataFrame:
 
 
 def _last(logs: DataFrame, minutes: int, ago: int = 0) -> DataFrame:
-    """Rows of the last ``minutes`` up to ``ago`` minutes before the newest row."""
-    newest = logs.agg(F.max("timestamp").alias("newest"))
-    rows = logs.crossJoin(F.broadcast(newest))
-    end = F.col("newest") - F.expr(f"INTERVAL {ago} MINUTES")
-    return rows.filter((F.col("timestamp") >= end - F.expr(f"INTERVAL {minutes} MINUTES")) & (F.col("timestamp") <= end)).drop("newest")
+    """Rows of the last ``minutes`` up to ``ago`` minutes before the newest row.
+
+    The newest timestamp is read first (one value), so that the filter is a literal, which prunes files and hours.
+    """
+    newest = logs.agg(F.max("timestamp").cast("string")).first()[0]
+    if newest is None:
+        return logs.limit(0)
+    end = F.lit(newest).cast(logs.schema["timestamp"].dataType) - F.expr(f"INTERVAL {ago} MINUTES")
+    return logs.filter((F.col("timestamp") >= end - F.expr(f"INTERVAL {minutes} MINUTES")) & (F.col("timestamp") <= end))
 
 
 _COMPARE = {">": lambda a, b: a > b, "<": lambda a, b: a < b, ">=": lambda a, b: a >= b, "<=": lambda a, b: a <= b}
@@ -408,10 +412,21 @@ def verified_bots_ts(logs: DataFrame) -> DataFrame:
     return tags.groupBy("bucket", F.replace("tag", F.lit("VERIFIED-BOT."), F.lit("")).alias("bot_type")).agg(F.sum("n").alias("count"))
 
 
-def waf_bots(logs: DataFrame, bots: DataFrame) -> DataFrame:
-    """Requests per bot of the WAF's table, joined by request id; ids are counted before the join."""
-    ids = logs.filter("waf_req_id IS NOT NULL").groupBy("waf_req_id").agg(F.count("*").alias("n"))
-    return ids.join(bots.filter("bot_name IS NOT NULL"), "waf_req_id").groupBy("bot_name", "category").agg(F.sum("n").alias("cnt"))
+def waf_bots(logs: DataFrame, bots: DataFrame, keys: Sequence = ("bot_name", "category")) -> DataFrame:
+    """Requests per ``keys``, columns of the WAF's bot table or of the log, joined by request id.
+
+    Where only bot columns are asked for, ids are counted before the join.
+    """
+    bots = bots.filter("bot_name IS NOT NULL")
+    rows = logs.filter("waf_req_id IS NOT NULL")
+    if all(isinstance(k, str) and k in bots.columns for k in keys):
+        ids = rows.groupBy("waf_req_id").agg(F.count("*").alias("n"))
+        return ids.join(bots, "waf_req_id").groupBy(*keys).agg(F.sum("n").alias("cnt"))
+    own = [k for k in keys if not isinstance(k, str)]
+    of_bots = [k for k in keys if isinstance(k, str)]
+    cells = rows.groupBy("waf_req_id", *own).agg(F.count("*").alias("n"))
+    names = [c for c in cells.columns if c not in ("waf_req_id", "n")]
+    return cells.join(bots, "waf_req_id").groupBy(*names, *of_bots).agg(F.sum("n").alias("cnt"))
 
 
 def column_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -15,8 +15,10 @@ def enrich_bots(logs: DataFrame, patterns: DataFrame, feeds: DataFrame, hosts: D
     are the bots' published ranges; ``hosts`` (ip, host) are resolved names.  A bot with feeds is verified by address,
     one with a host suffix by name; where no name is known yet it is pending.
     """
-    uas = logs.select("ua").distinct().join(F.broadcast(patterns), F.expr("lower(ua) RLIKE pattern")).groupBy("ua").agg(F.min(F.struct("bot", "host_suffix")).alias("m")).select("ua", "m.*")
-    pairs = logs.join(uas, "ua").select("ua", "ip", "bot", "host_suffix").distinct()
+    # Requests of one agent from one address are one pair, folded before any shuffle; patterns are matched on agents.
+    seen = logs.filter("ua IS NOT NULL AND ip IS NOT NULL").select("ua", "ip").distinct()
+    uas = seen.select("ua").distinct().join(F.broadcast(patterns), F.expr("lower(ua) RLIKE pattern")).groupBy("ua").agg(F.min(F.struct("bot", "host_suffix")).alias("m")).select("ua", "m.*")
+    pairs = seen.join(uas, "ua")
     known = feeds.select(F.col("feed").alias("bot")).distinct().withColumn("has_feed", F.lit(True))
     rows = cidr_join(pairs, feeds).join(F.broadcast(known), "bot", "left").join(hosts, "ip", "left")
     by_feed = F.when(F.col("feed") == F.col("bot"), "verified").otherwise("impersonator")
@@ -31,7 +33,7 @@ def wellknown_bots(enriched: DataFrame) -> DataFrame:
     return enriched.filter("bot_name IS NOT NULL").groupBy("bot_name").pivot("bot_state", ["verified", "impersonator", "unverified", "pending"]).count().fillna(0)
 
 
-def bot_efficiency(logs: DataFrame) -> DataFrame:
+def top_bots(logs: DataFrame) -> DataFrame:
     """Share of requests and bytes per crawler token."""
     tok = F.regexp_extract(F.lower("ua"), "([a-z0-9_.-]*(?:bot|crawler|spider)[a-z0-9_.-]*)", 1)
     per = logs.groupBy("ua").agg(F.count("*").alias("n"), F.sum("resp_bytes").alias("b")).groupBy(tok.alias("token")).agg(F.sum("n").alias("requests"), F.sum("b").alias("bytes"))

@@ -259,7 +259,7 @@ DETECTIONS: dict[str, Report] = {
         "ip", {"hits": "count(*)", "distinct_paths": distinct("url"), "span_s": "max(sec) - min(sec)"}, "paths", "distinct_paths", "0",
         where=f"ip IS NOT NULL AND ip <> '' AND url IS NOT NULL AND regexp_like(url, '{PROBE}')", derived={"rps": "round(hits * 1.0 / nullif(span_s, 0), 5)"},
         having="hits >= {hits_floor} AND distinct_paths >= {paths_floor} AND span_s >= 600 AND hits * 1.0 / nullif(span_s, 0) < 0.2", order=["-distinct_paths", "-span_s"], limit=15,
-        params={"hits_floor": 5, "paths_floor": 3}, source="(SELECT *, CAST(round(epoch(timestamp)) AS BIGINT) AS sec FROM logs)",
+        params={"hits_floor": 5, "paths_floor": 3},
     ),
     "credential_enumeration": _detection(
         "ip", {"w_denied": count_if("is_w AND status IN (401, 403)"), "w_attempts": count_if("is_w"), "w_paths": distinct("url", "is_w"), "b_denied": count_if("is_b AND status IN (401, 403)")}, "denied", "w_denied", _scaled("b_denied"),
@@ -379,29 +379,40 @@ def repeated_patterns(logs: DataFrame, key: str = "ip", spread: str = "ua", min_
 def crawler_disparity(logs: DataFrame, min_crawls: int = 50) -> DataFrame:
     """Crawlers that take far more than the visitors they refer: crawls, referrals and bytes per referral.
 
-    User agents are aggregated before any pattern is matched; the stem match is a nested loop over two small
-    aggregates (crawler families by referring sites), never over requests.
+    Crawlers are found on counted user agents; visitors are distinct (site, address) pairs of agents that are none.
     """
-    token = "([a-z0-9_.-]*(bot|crawler|spider|slurp|archiver|scraper|externalagent|extended|other|preview)[a-z0-9_.-]*|headless[a-z0-9_.-]*|python-[a-z0-9_.-]+|go-http-client|curl|wget|scrapy|aiohttp|httpx|okhttp|axios)"
+    from ..functions.exprs import CRAWLER as token
+
+    # Fixed value: the endings that are cut from a crawler's name to get its stem.
     suffix = "(-searchbot|-assistbot|-externalagent|-extended|-user|searchbot|assistbot|externalagent|extended|crawler|spider|slurp|archiver|scraper|preview|other|bot).*$"
     uas = logs.groupBy("ua").agg(F.count_if("is_w").alias("w"), F.count_if("is_b").alias("b"), F.expr("coalesce(sum(resp_bytes) FILTER (WHERE is_w), 0)").alias("wb"))
     site = uas.agg(F.greatest(F.sum("wb"), F.lit(1)).alias("site_bytes"))
     low = F.lower("ua")
-    info = uas.filter("ua IS NOT NULL").select("ua", "w", "b", "wb", F.regexp_extract(low, token, 1).alias("tok"), F.regexp_extract(low, r"https?://(www\.)*([^/.:;\s)]+)", 2).alias("dom"), F.regexp_extract(low, "([a-z0-9]+)-(user|externalfetcher)", 1).alias("fetcher"))
+    info = uas.filter("ua IS NOT NULL").select("ua", "w", "b", "wb", F.regexp_extract(low, token, 1).alias("tok"), F.regexp_extract(low, r"https?://(www\.)*([^/.:;\s)]+)", 2).alias("dom"))
     stem = F.expr("nullif(x, '')").alias("stem")
     crawlers = info.filter("tok <> ''").withColumn("x", F.regexp_replace("tok", suffix, "")).select("*", stem).groupBy(F.coalesce("stem", "tok").alias("bot_stem")).agg(
         F.expr("min(tok) FILTER (WHERE w > 0)").alias("label"), F.expr("max(dom) FILTER (WHERE w > 0)").alias("dom"), F.sum("w").alias("w_crawls"), F.sum("wb").alias("w_bytes"), F.sum("b").alias("b_crawls")
     ).filter(F.col("w_crawls") >= min_crawls)
-    humans = info.filter("tok = ''").select("ua", "fetcher")
     ref_dom = F.regexp_extract(F.lower("referer"), r"https?://(www\.)*([^/.:;\s]+)", 2)
-    visits = logs.filter("ip IS NOT NULL").join(F.broadcast(humans), "ua").select("ip", "is_w", F.coalesce(F.expr("nullif(fetcher, '')"), F.nullif(ref_dom, F.lit(""))).alias("ref"))
+    fetcher = F.regexp_extract(low, "([a-z0-9]+)-(user|externalfetcher)", 1)
+    people = logs.filter("ip IS NOT NULL AND ua IS NOT NULL").filter(F.regexp_extract(low, token, 1) == "")
+    visits = people.select("ip", "is_w", F.coalesce(F.nullif(fetcher, F.lit("")), F.nullif(ref_dom, F.lit(""))).alias("ref"))
     seen = visits.filter("ref IS NOT NULL").select("ref", "ip", "is_w").distinct()
     refs = seen.select("ref").distinct()
     bare = lambda c: F.regexp_replace(c, "[aeiou]", "")
-    match = (F.col("bot_stem") == F.col("ref")) | ((F.length(bare("bot_stem")) >= 3) & (bare("bot_stem") == bare("ref"))) | (
-        (F.length("bot_stem") >= 3) & (F.length("ref") >= 3) & (F.contains("ref", "bot_stem") | F.contains("bot_stem", "ref"))
-    ) | ((F.col("dom") != "") & (F.col("dom") == F.col("ref")))
-    pairs = crawlers.select("bot_stem", "dom").join(refs, match).select("bot_stem", "ref")
+    # Families and sites meet by equal keys: the name, the name without vowels, the domain, and, as one may contain the
+    # other, each part of the longer name as long as the shorter (names have some ten letters, so some fifty parts).
+    key = lambda kind, c, cond: F.when(cond, F.struct(F.lit(kind).alias("kind"), c.alias("key")))
+    long = lambda c: F.length(c) >= 3
+    parts = lambda c: F.flatten(F.transform(F.sequence(F.lit(3), F.greatest(F.length(c), F.lit(3))), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.struct(F.lit("part").alias("kind"), F.substring(c, i, n).alias("key")))))
+    stem_keys = [key("same", F.col("bot_stem"), F.lit(True)), key("bare", bare("bot_stem"), long(bare("bot_stem"))), key("same", F.col("dom"), F.col("dom") != ""), key("part", F.col("bot_stem"), long("bot_stem")), key("whole", F.col("bot_stem"), long("bot_stem"))]
+    ref_keys = [key("same", F.col("ref"), F.lit(True)), key("bare", bare("ref"), F.lit(True)), key("whole", F.col("ref"), long("ref"))]
+    within = lambda c, kind: F.when(long(c), F.transform(parts(F.col(c)), lambda x: F.struct(F.lit(kind).alias("kind"), x["key"].alias("key")))).otherwise(F.array())
+    # A site's parts meet whole stems, a stem's parts meet whole sites.
+    stems = crawlers.select("bot_stem", F.explode(F.array_distinct(F.concat(F.array_compact(F.array(*stem_keys)), within("bot_stem", "whole")))).alias("k"))
+    sites = refs.select("ref", F.explode(F.array_distinct(F.concat(F.array_compact(F.array(*ref_keys)), within("ref", "part")))).alias("k"))
+    met = stems.join(sites, "k").filter(F.col("k.kind").isin("same", "bare") | (F.contains("ref", "bot_stem") | F.contains("bot_stem", "ref")))
+    pairs = met.select("bot_stem", "ref").distinct()
     referred = seen.join(pairs, "ref").groupBy("bot_stem").agg(F.expr("count(DISTINCT ip) FILTER (WHERE is_w)").alias("w_referrals"))
     out = crawlers.join(referred, "bot_stem", "left").crossJoin(F.broadcast(site)).withColumn("w_referrals", F.coalesce("w_referrals", F.lit(0)))
     out = out.withColumn("crawls_per_referral", F.expr("round(w_crawls / greatest(w_referrals, 1), 4)")).withColumn("bytes_per_referral", F.expr("round(w_bytes / greatest(w_referrals, 1), 4)"))

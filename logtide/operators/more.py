@@ -81,9 +81,17 @@ def detection_availability(columns: Iterable[str], required: Mapping[str, Sequen
     return {name: set(fields) <= have for name, fields in required.items()}
 
 
-def alert_cooldown(alerts: DataFrame, seconds: int = 3600) -> DataFrame:
-    """Alerts (name, at) that come at least ``seconds`` after the last one sent, by a running choice per name."""
-    ordered = alerts.groupBy("name").agg(F.sort_array(F.collect_list(F.unix_timestamp("at"))).alias("ts"))
+def alert_cooldown(alerts: DataFrame, seconds: int = 3600, stale_s: int | None = None, now: str | None = None) -> DataFrame:
+    """Alerts (name, at) that come at least ``seconds`` after the last one sent of their name; with ``stale_s`` none
+    that is older than that at ``now``.
+
+    Times count in whole seconds and once each, so that a name's array grows with the time span and not with the
+    number of alerts; only its running choice is sequential.
+    """
+    if stale_s is not None:
+        alerts = alerts.filter(F.unix_timestamp("at") >= F.unix_timestamp(F.lit(now).cast("timestamp")) - stale_s)
+    times = alerts.select("name", F.unix_timestamp("at").alias("t")).distinct()
+    ordered = times.groupBy("name").agg(F.sort_array(F.collect_list("t")).alias("ts"))
     kept = F.aggregate("ts", F.array().cast("array<bigint>"), lambda acc, t: F.when((F.size(acc) == 0) | (t - F.element_at(acc, -1) >= seconds), F.concat(acc, F.array(t))).otherwise(acc))
     return ordered.select("name", F.explode(kept).alias("s")).select("name", F.timestamp_seconds("s").alias("at"))
 

@@ -116,27 +116,6 @@ READS: dict[str, Report] = {
         where=f"{_LAT_OK} AND {{dimension}} IS NOT NULL", order=["-requests"], limit=50, params={"dimension": "server_region"},
     ),
     # Network.
-    "network_heatmap": Report(
-        keys={"asn": "asn", "bucket": HOUR},
-        measures={
-            "reqs": "count(*)", "throughput_bps": r6("percentile(CASE WHEN cache LIKE '%HIT%' AND elapsed > 0 THEN resp_bytes * 1000000.0 / elapsed END, 0.5)"), "rtt_med_us": r6("percentile(tcp_rtt, 0.5)"),
-            "rtt_baseline_us": r6("percentile(rtt_min, 0.5)"), "rtt_congestion_us": r6("percentile(tcp_rtt - rtt_min, 0.5)"), "avg_ploss": r6("avg(ploss)"), "rtt_jitter_us": r6("percentile(rtt_var, 0.5)"), "error_pct": pct("status >= 500"),
-        },
-        where=f"{_RTT_OK} AND asn IS NOT NULL", order=["-reqs"], limit=500,
-        derived={"health": "round(100 * (1 - (0.4 * least(greatest(coalesce(avg_ploss, 0) / 0.05, 0), 1) + 0.3 * least(greatest(coalesce(rtt_congestion_us, 0) / 100000, 0), 1) + 0.2 * least(greatest(coalesce(rtt_jitter_us, 0) / 50000, 0), 1) + 0.1 * least(greatest(coalesce(error_pct, 0) / 10, 0), 1))), 4)"},
-    ),
-    "network_map": Report(
-        keys={"country": "country", "city": "city", "lat": "lat", "lon": "lon", "metro": "metro", "bucket": DAY}, measures={"reqs": "count(*)", "rtt_med_us": r6("percentile(tcp_rtt, 0.5)"), "avg_ploss": r6("avg(ploss)"), "error_pct": pct("status >= 500")},
-        where=f"{_RTT_OK} AND country IS NOT NULL AND country <> ''", order=["-reqs"], limit=5000,
-    ),
-    "metro_leaderboard": Report(
-        keys={"country": "country", "city": "city", "region": "region", "metro": "metro"}, measures={"reqs": "count(*)", "rtt_med_us": r6("percentile(tcp_rtt, 0.5)"), "avg_ploss": r6("avg(ploss)"), "error_pct": pct("status >= 500")},
-        where=f"{_RTT_OK} AND country IS NOT NULL AND country <> ''", order=["-reqs"], limit=100,
-    ),
-    "asn_leaderboard": Report(
-        keys={"asn": "asn"}, measures={"reqs": "count(*)", "p95_us": r6("percentile(tcp_rtt, 0.95)"), "p99_us": r6("percentile(tcp_rtt, 0.99)"), "slow": count_if("c_speed = 'slow'"), "medium": count_if("c_speed = 'medium'"), "fast": count_if("c_speed = 'fast'")},
-        where=f"{_RTT_OK} AND asn IS NOT NULL", order=["-reqs"], limit=50,
-    ),
     "network_quality": Report(keys={"label": "CAST({group} AS STRING)"}, measures={"reqs": "count(*)", "rtt_ms": ms("tcp_rtt", 0.5)}, where=f"{_RTT_OK} AND {{group}} IS NOT NULL", order=["-reqs"], limit=25, params={"group": "country"}),
     "quality_countries": Report(keys={"country": "country"}, measures={"reqs": "count(*)"}, where="country IS NOT NULL AND country <> ''", columns=["country"]),
     "transport_metrics": Report(
@@ -175,7 +154,7 @@ READS: dict[str, Report] = {
     ),
     "proxy_isps": Report(keys={"asn": "asn"}, measures={"count": "count(*)"}, where=_TUNNEL, order=["-count"], limit=10),
     "threat_intel": Report(
-        keys={"tls_fingerprint": "ja3"}, measures={"requests": "count(*)", "matched_waf_rules_count": count_if("waf_sig <> ''"), "bot_percentage": pct("regexp_like(ua, '(?i)bot')", digits=2), "is_anonymized_proxy": "max(CASE WHEN p_type IS NOT NULL AND p_type <> '' THEN 1 ELSE 0 END)"},
+        keys={"tls_fingerprint": "ja3"}, measures={"requests": "count(*)", "top_country": "mode(country, true)", "matched_waf_rules_count": count_if("waf_sig <> ''"), "bot_percentage": pct("regexp_like(ua, '(?i)bot')", digits=2), "is_anonymized_proxy": "max(CASE WHEN p_type IS NOT NULL AND p_type <> '' THEN 1 ELSE 0 END)"},
         where="ja3 IS NOT NULL AND ja3 <> ''", order=["-requests"], limit=50,
     ),
     # Assets and value.
@@ -198,9 +177,8 @@ READS: dict[str, Report] = {
     "value_images": Report(keys={"bucket": DAY}, measures={"requests": "count(*)", "bytes": total("resp_bytes"), "io_saved": total("io_input_bytes - io_output_bytes", "io_input_bytes IS NOT NULL")}, where=f"{_ASSET} = 'Images'"),
     "image_compression": Report(keys={"bucket": DAY}, measures={"input_bytes": total("io_input_bytes"), "output_bytes": total("io_output_bytes"), "ratio": r6("sum(io_output_bytes) * 1.0 / nullif(sum(io_input_bytes), 0)")}, where="io_input_bytes > 0 AND io_output_bytes IS NOT NULL"),
     "image_formats": Report(keys={"io_input_format": "io_input_format", "io_output_format": "io_output_format"}, measures={"requests": "count(*)", "saved_bytes": total("io_input_bytes - io_output_bytes"), "ratio": r6("sum(io_output_bytes) * 1.0 / nullif(sum(io_input_bytes), 0)")}, where="io_input_bytes > 0 AND io_output_bytes IS NOT NULL"),
-    "io_stats_summary": Report(keys={"day": DAY, "format": "io_output_format"}, measures={"transforms": "count(*)", "bytes": total("io_output_bytes")}, where="io_output_format IS NOT NULL"),
+    "io_stats_summary": Report(keys={"day": DAY, "format": "io_output_format"}, measures={"transforms": "count(*)", "bytes": total("io_output_bytes")}, where="io_output_format IS NOT NULL", totals={"every": "sum(transforms)"}, derived={"pct": "round(CAST(transforms * 100.0 / every AS DOUBLE), 4)"}, columns=["day", "format", "transforms", "bytes", "pct"]),
     # Video.
-    "cmcd_timeseries": Report(keys={"bucket": HOUR}, measures={"viewers": distinct("cmcd_sid"), "rebuffer_pct": pct("cmcd_bs"), "avg_buffer": r6("avg(cmcd_bl)"), "avg_bitrate": r6("avg(cmcd_br)"), "throughput": r6("percentile(cmcd_mtp, 0.5)"), "startups": count_if("cmcd_su")}, where="cmcd_sid IS NOT NULL"),
     "cmcd_object_types": Report(keys={"cmcd_ot": "cmcd_ot"}, measures={"request_count": "count(*)"}, where="cmcd_ot IS NOT NULL AND cmcd_ot <> ''"),
     "cmcd_formats": Report(keys={"cmcd_sf": "cmcd_sf"}, measures={"session_count": distinct("cmcd_sid")}, where="cmcd_sf IS NOT NULL AND cmcd_sf <> ''"),
     # Browser telemetry.

@@ -14,6 +14,7 @@ from ..operators import detections as D
 from ..operators import more as M
 from ..operators.reads import HOUR, READS
 from ..sources.request_log import CTES, rum_vitals
+from .read_sql import SQL
 
 Frame = Callable[[DataFrame], DataFrame]
 
@@ -28,14 +29,14 @@ def entries(pops: Callable, pops_sql: str) -> dict[str, tuple[Frame, str | None]
     out["encoding_norm"] = by(lambda: X.encoding_norm(F.col("resp_header_content_encoding"))), grouped("CASE WHEN resp_header_content_encoding = 'gzip' THEN 'gzip' ELSE 'uncompressed' END")
     out["proto_label"] = by(lambda: X.proto_label(F.col("proto"))), grouped("left(proto, 6)")
     out["proto_flags"] = (lambda x: x.select(*X.proto_flags(F.col("proto"))).agg(*[F.sum(f"is_http{v}").alias(f"http{v}") for v in (1, 2, 3)])), f"{CTES} SELECT count(*) FILTER (proto = 'HTTP/1.1') AS http1, count(*) FILTER (proto = 'HTTP/2') AS http2, count(*) FILTER (proto = 'HTTP/3') AS http3 FROM logs"
-    out["size_histogram"] = X.size_histogram, READS["req_header_sizes"].sql(CTES)
-    out["conn_histogram"] = X.conn_histogram, READS["conn_requests_hist"].sql(CTES)
-    out["ttl_histogram"] = (lambda x: X.ttl_histogram(x).withColumnRenamed("min_val", "min_ttl")), READS["ttl_dist"].sql(CTES)
+    out["size_histogram"] = X.size_histogram, f"{CTES} {SQL['req_header_sizes']}"
+    out["conn_histogram"] = X.conn_histogram, f"{CTES} {SQL['conn_requests_hist']}"
+    out["ttl_histogram"] = (lambda x: X.ttl_histogram(x).withColumnRenamed("min_val", "min_ttl")), f"{CTES} {SQL['ttl_dist']}"
     out["duration_histogram"] = (lambda x: X.duration_histogram(x.groupBy("cmcd_sid").agg((F.unix_micros(F.max("timestamp").cast("timestamp")) - F.unix_micros(F.min("timestamp").cast("timestamp"))).alias("us")).withColumn("dur", F.col("us") / 1e6)).select("bucket", "count")), f"{CTES}, d AS (SELECT (epoch_us(max(timestamp)) - epoch_us(min(timestamp))) / 1000000.0::DOUBLE AS d FROM logs GROUP BY cmcd_sid) SELECT CASE WHEN d <= 30 THEN '<30s' WHEN d <= 120 THEN '30s-2m' WHEN d <= 300 THEN '2-5m' WHEN d <= 600 THEN '5-10m' WHEN d <= 1800 THEN '10-30m' WHEN d <= 3600 THEN '30m-1h' ELSE '>1h' END AS bucket, count(*) AS count FROM d GROUP BY 1"
     out["ua_crawler_token"] = by(lambda: X.ua_crawler_token(F.col("ua"))), grouped("CASE WHEN ua LIKE 'Googlebot%' THEN 'googlebot' WHEN ua LIKE 'GPTBot%' THEN 'gptbot' WHEN ua LIKE 'python%' THEN 'python-requests' ELSE '' END")
     out["ua_chrome_major"] = by(lambda: X.ua_chrome_major(F.col("ua"))), grouped("TRY_CAST(nullif(regexp_extract(ua, 'Chrome/([0-9]+)\\.', 1), '') AS INTEGER)")
     out["referer_domain"] = by(lambda: X.referer_domain(F.col("referer"))), grouped("CASE WHEN referer LIKE '%google%' THEN 'google' WHEN referer LIKE '%news%' THEN 'news' END")
-    out["fetcher_stem"] = by(lambda: X.fetcher_stem(F.col("ua"))), grouped("NULL::VARCHAR")
+    out["fetcher_stem"] = by(lambda: X.fetcher_stem(F.col("ua"))), grouped("CASE WHEN ua LIKE '%ChatGPT-User%' THEN 'chatgpt' END")
     out["url_flags"] = (lambda x: X.url_flags(x, {"is_probe": D.PROBE, "is_auth": D.AUTH, "is_comp": D.COMPRESS}).groupBy("is_probe", "is_auth", "is_comp").agg(n_rows())), f"{CTES} SELECT regexp_matches(url, '{D.PROBE}') AS is_probe, regexp_matches(url, '{D.AUTH}') AS is_auth, regexp_matches(url, '{D.COMPRESS}') AS is_comp, count(*) AS n FROM logs GROUP BY 1, 2, 3"
     out["city_label"] = by(lambda: X.city_label()), grouped("concat_ws(', ', city, region, country)")
     out["origin_latency_us"] = (lambda x: x.select(X.origin_latency_us().alias("v")).agg(F.sum("v").cast("long").alias("total"), F.count("v").alias("n"))), f"{CTES} SELECT CAST(sum(coalesce(ottfb, ttfb * 1000000)) AS BIGINT) AS total, count(*) AS n FROM logs"
@@ -47,7 +48,7 @@ def entries(pops: Callable, pops_sql: str) -> dict[str, tuple[Frame, str | None]
     out["proxy_analysis"] = (lambda x: M.proxy_analysis(x, pops(x.sparkSession))), f"""{CTES}, d AS (SELECT *, 2 * 6371 * asin(sqrt(power(sin(radians(lat - pop_lat) / 2), 2) + cos(radians(lat)) * cos(radians(pop_lat)) * power(sin(radians(lon - pop_lon) / 2), 2))) > rtt_min / 1000.0 * 100 + 150 AS far, rtt_min / tcp_rtt AS ratio FROM logs JOIN {pops_sql} USING (pop))
 SELECT CASE WHEN far OR ratio < 0.1 THEN 'High' ELSE 'Medium' END AS risk, count(*) AS requests, count(DISTINCT ip) AS ips, count(*) FILTER (far) AS impossible FROM d WHERE far OR ratio < 0.2 GROUP BY 1"""
     out["cache_collapse_detail"] = (lambda x: M.cache_collapse_detail(x, "/click/item/10")), f"{CTES}, r AS (SELECT *, starts_with(cache, 'HIT') AS hit FROM logs WHERE url = '/click/item/10' AND (starts_with(cache, 'HIT') OR starts_with(cache, 'MISS'))), b AS (SELECT count(*) FILTER (hit) * 1.0::DOUBLE / count(*) AS rate FROM r WHERE is_b) SELECT {HOUR} AS hour, count(*) AS cacheable, count(*) FILTER (hit) AS hits, round(count(*) * max(rate), 4) AS expected_hits FROM r, b GROUP BY 1"
-    out["session_detail"] = (lambda x: M.session_detail(A.with_sessions(x, ["ip"], 86400), {"ip": "10.1.5.21"}, 1).select("rid", "url", "status")), None
+    out["session_detail"] = (lambda x: M.session_detail(A.with_sessions(x, ["ip"], 86400), {"ip": "10.1.5.21"}, 1).select("rid", "url", "status")), f"{CTES}, l AS (SELECT *, epoch_us(timestamp) - lag(epoch_us(timestamp)) OVER (ORDER BY timestamp, rid) AS quiet FROM logs WHERE ip = '10.1.5.21'), n AS (SELECT *, count(*) FILTER (quiet > 86400000000) OVER (ORDER BY timestamp, rid ROWS UNBOUNDED PRECEDING) AS breaks FROM l) SELECT rid, url, status FROM n WHERE breaks = 0 ORDER BY timestamp, rid LIMIT 500"
     out["events_per_session_cap"] = (lambda x: M.events_per_session_cap(x, 20).groupBy("edge_sid").agg(n_rows(), F.max("rid").alias("last"))), f"{CTES}, r AS (SELECT edge_sid, rid FROM logs QUALIFY row_number() OVER (PARTITION BY edge_sid ORDER BY timestamp, rid) <= 20) SELECT edge_sid, count(*) AS n, max(rid) AS last FROM r GROUP BY 1"
     out["share_of_total"] = (lambda x: M.share_of_total(x.groupBy("country").agg(F.count("*").alias("count")))), f"{CTES} SELECT country, count(*) AS count, round(CAST(count(*) * 100.0 / sum(count(*)) OVER () AS DOUBLE), 4) AS pct FROM logs GROUP BY 1"
     out["rank_two_ways"] = (lambda x: M.rank_two_ways(x.groupBy("url").agg(F.count("*").alias("n"), F.sum("resp_bytes").alias("bytes")), "n", "bytes", 5, ["url"])), f"{CTES}, g AS (SELECT url, count(*) AS n, CAST(sum(resp_bytes) AS BIGINT) AS bytes FROM logs GROUP BY 1) SELECT * FROM g QUALIFY row_number() OVER (ORDER BY n DESC, url) <= 5 OR row_number() OVER (ORDER BY bytes DESC, url) <= 5"
@@ -55,12 +56,12 @@ SELECT CASE WHEN far OR ratio < 0.1 THEN 'High' ELSE 'Medium' END AS risk, count
     out["loss_runs"] = (lambda x: M.loss_runs(x.groupBy((F.unix_timestamp(F.col("timestamp").cast("timestamp")) / 3600).cast("long").alias("n")).agg(F.count_if(F.col("status") >= 500).alias("bad")), "bad > 0")), f"{CTES}, h AS (SELECT epoch_us(timestamp) // 3600000000 AS n, count(*) FILTER (status >= 500) AS bad FROM logs GROUP BY 1), i AS (SELECT n, n - row_number() OVER (ORDER BY n) AS i FROM h WHERE bad > 0) SELECT min(n) AS start, count(*) AS length FROM i GROUP BY i"
     hourly = READS["rollup_overview"]
     half = "(hour(timestamp) % 2 = 0)"
-    out["rollup_heal"] = (lambda x: M.rollup_heal(hourly.frame(x.filter(half)), x, hourly.frame)), hourly.sql(CTES)
-    out["partial_hour_merge"] = (lambda x: M.partial_hour_merge(hourly.frame(x.filter("timestamp <= TIMESTAMP_NTZ '2024-01-20 10:30:00'")), x, ["hour"], "2024-01-20 10:30:00", hourly.frame)), hourly.sql(CTES)
+    out["rollup_heal"] = (lambda x: M.rollup_heal(hourly.frame(x.filter(half)), x, hourly.frame)), f"{CTES} {SQL['rollup_overview']}"
+    out["partial_hour_merge"] = (lambda x: M.partial_hour_merge(hourly.frame(x.filter("timestamp <= TIMESTAMP_NTZ '2024-01-20 10:30:00'")), x, ["hour"], "2024-01-20 10:30:00", hourly.frame)), f"{CTES} {SQL['rollup_overview']}"
     out["rollup_repair_day"] = (lambda x: M.rollup_repair_day(hourly.frame(x.filter("event_id % 7 <> 0")), x, "2024-01-15", hourly.frame, "requests")), f"{CTES} SELECT {HOUR} AS hour, count(*) FILTER (event_id % 7 <> 0) AS was, count(*) AS now, count(*) FILTER (event_id % 7 <> 0) <> count(*) AS differs FROM logs WHERE CAST(timestamp AS DATE) = DATE '2024-01-15' GROUP BY 1"
     out["weighted_percentiles"] = (lambda x: M.weighted_percentiles(READS["rollup_origin_pop"].frame(x), ["pop"], "p95_ms")), f"{CTES}, h AS (SELECT {HOUR} AS hour, pop, count(*) AS weight, round(quantile_cont(coalesce(ottfb, ttfb * 1000000), 0.95) / 1000.0, 6) AS p95_ms FROM logs GROUP BY 1, 2) SELECT pop, round(sum(p95_ms * weight) / sum(weight), 6) AS p95_ms, CAST(sum(weight) AS BIGINT) AS weight FROM h GROUP BY 1"
     out["insufficient_baseline"] = (lambda x: M.insufficient_baseline(x, "2024-01-24 00:00:00", 552)), f"{CTES}, h AS (SELECT round((epoch(TIMESTAMP '2024-01-24 00:00:00') - floor(epoch(min(timestamp)))) / 3600.0, 4) AS hours FROM logs) SELECT CAST(hours AS DOUBLE) AS hours, hours < 552 AS insufficient FROM h"
-    out["alert_cooldown"] = (lambda x: M.alert_cooldown(x.filter("status >= 500").select(F.col("pop").alias("name"), F.col("timestamp").cast("timestamp").alias("at")), 86400).groupBy("name").agg(n_rows())), None
+    out["alert_cooldown"] = (lambda x: M.alert_cooldown(x.filter("status >= 500").select(F.col("pop").alias("name"), F.col("timestamp").cast("timestamp").alias("at")), 86400).groupBy("name").agg(n_rows())), CTES.replace("WITH", "WITH RECURSIVE", 1) + ", a AS (SELECT DISTINCT pop AS name, epoch_us(timestamp) // 1000000 AS t FROM logs WHERE status >= 500), r AS (SELECT name, min(t) AS t FROM a GROUP BY 1 UNION ALL SELECT a.name, min(a.t) AS t FROM r JOIN a ON a.name = r.name AND a.t >= r.t + 86400 GROUP BY a.name) SELECT name, count(*) AS n FROM r GROUP BY 1"
     out["rum_header_stats"] = (lambda x: rum_vitals(x).groupBy("browser").agg(F.countDistinct("req_id").alias("beacons"), F.max("timestamp").cast("string").alias("newest"))), f"{CTES} SELECT browser, count(DISTINCT req_id) AS beacons, CAST(max(timestamp) AS VARCHAR) AS newest FROM vitals GROUP BY 1"
     bots = lambda x: x.sparkSession.sql("SELECT * FROM VALUES ('Googlebot', 'googlebot', 'google.com'), ('GPTBot', 'gptbot', NULL) AS t(bot, pattern, host_suffix)")
     feeds = lambda x: x.sparkSession.sql("SELECT * FROM VALUES ('GPTBot', '10.0.0.0/16') AS t(feed, cidr)")
@@ -68,6 +69,5 @@ SELECT CASE WHEN far OR ratio < 0.1 THEN 'High' ELSE 'Medium' END AS risk, count
     out["wellknown_bots"] = (lambda x: B.wellknown_bots(B.enrich_bots(x, bots(x), feeds(x), hosts(x)))), f"""{CTES}, h AS (SELECT ip, min(CASE WHEN user_id % 3 = 1 THEN 'crawl.google.com' ELSE 'evil.example' END) AS host FROM logs WHERE user_id % 3 > 0 GROUP BY 1),
 s AS (SELECT CASE WHEN ua LIKE 'Googlebot%' THEN 'Googlebot' ELSE 'GPTBot' END AS bot_name, CASE WHEN ua LIKE 'GPTBot%' THEN (CASE WHEN ip LIKE '10.0.%' THEN 'verified' ELSE 'impersonator' END) WHEN host IS NULL THEN 'pending' WHEN host LIKE '%google.com' THEN 'verified' ELSE 'impersonator' END AS st FROM logs LEFT JOIN h USING (ip) WHERE ua LIKE 'Googlebot%' OR ua LIKE 'GPTBot%')
 SELECT bot_name, count(*) FILTER (st = 'verified') AS verified, count(*) FILTER (st = 'impersonator') AS impersonator, count(*) FILTER (st = 'unverified') AS unverified, count(*) FILTER (st = 'pending') AS pending FROM s GROUP BY 1"""
-    out["top_bots"] = B.bot_efficiency, f"{CTES}, t AS (SELECT CASE WHEN ua LIKE 'Googlebot%' THEN 'googlebot' WHEN ua LIKE 'GPTBot%' THEN 'gptbot' END AS token, resp_bytes FROM logs), u AS (SELECT CAST(sum(resp_bytes) AS BIGINT) AS site FROM t) SELECT token, count(*) AS requests, CAST(sum(resp_bytes) AS BIGINT) AS bytes, round(CAST(sum(resp_bytes) * 100.0 / max(site) AS DOUBLE), 4) AS bytes_pct FROM t, u WHERE token IS NOT NULL GROUP BY 1"
-    out["bot_efficiency"] = out["top_bots"]
+    out["top_bots"] = B.top_bots, f"{CTES}, t AS (SELECT CASE WHEN ua LIKE 'Googlebot%' THEN 'googlebot' WHEN ua LIKE 'GPTBot%' THEN 'gptbot' END AS token, resp_bytes FROM logs), u AS (SELECT CAST(sum(resp_bytes) AS BIGINT) AS site FROM t) SELECT token, count(*) AS requests, CAST(sum(resp_bytes) AS BIGINT) AS bytes, round(CAST(sum(resp_bytes) * 100.0 / max(site) AS DOUBLE), 4) AS bytes_pct FROM t, u WHERE token IS NOT NULL GROUP BY 1"
     return out

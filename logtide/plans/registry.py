@@ -1,7 +1,7 @@
 """Registered queries of the log analytics operators and the SQL they are compared with.
 
-Every query reads the ``events`` table through the derived request log.  The comparison SQL of a report is the
-report's own statement in SQL; that of the other operators is written out here.
+Every query reads the ``events`` table through the derived request log.  The comparison SQL of reports and detections
+is written out in ``read_sql`` and ``detection_sql``, that of the other operators here and in ``more_queries``.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from ..functions import scalars as S
 from ..operators import analytics as A
 from ..operators import detections as D
 from ..operators.reads import HOUR, READS
-from . import more_queries
+from . import detection_sql, extra_queries, ingest_queries, more_queries, read_sql
 from ..sources.request_log import BASELINE_HOURS, CTES, WINDOW_HOURS, request_log, rum_errors, rum_vitals
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,17 +23,16 @@ Query = Callable[[SparkSession, str], DataFrame]
 #: Thresholds for the queries: the tables are small against the traffic that the defaults assume.
 _EASIER = {
     "low_and_slow": {"paths_floor": 1},
-    "credential_enumeration": {"least": 2, "share": 0.1, "plus": 0},
+    "credential_enumeration": {"least": 10},
     "content_discovery": {"least": 2, "share": 0.02, "urls": 2},
     "session_harvesting": {"least": 5},
     "stale_browser_version": {"least": 50, "factor": 0.5},
     "residential_fingerprint_dispersion": {"ips": 10, "asns": 2},
     "orphaned_deep_crawl": {"least": 10, "urls": 5},
     "tail_latency": {"ratio_floor": 2},
-    "ua_monoculture": {"floor": 0.1, "factor": 0.5},
     "asn_concentration": {"floor": 0.05, "factor": 0.5, "plus": 0},
     "referer_monoculture": {"factor": 0.5},
-    "asn_hosting_shift": {"least": 20, "factor": 1.5},
+    "asn_hosting_shift": {"least": 10, "factor": 0.5},
     "latency_regression": {"ratio": 1.2, "plus_ms": 20},
     "pop_latency_regression": {"ratio": 1.05, "plus_ms": 5},
     "city_latency_regressions": {"ratio": 1.05, "plus_ms": 5},
@@ -47,29 +46,27 @@ _EASIER = {
     "asn_metro_performance": {"min_w": 10, "min_b": 20},
 }
 
-_LOW_AND_SLOW_TS = "(SELECT *, CAST(round(epoch(timestamp)) AS BIGINT) AS sec FROM logs)"
-
 
 def _logs(f: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: f(request_log(spark, sf_dir))
 
 
+def _behind(sql: str) -> str:
+    """``sql``, a statement or one that goes on with named sub-queries, behind the shared ones."""
+    return f"{CTES} {sql}" if sql.startswith("SELECT") else f"{CTES}, {sql}"
+
+
 def _reports() -> tuple[dict[str, Query], dict[str, str]]:
     queries: dict[str, Query] = {}
-    oracles: dict[str, str] = {}
     sources = {"logs": lambda x: x, "vitals": rum_vitals, "errors": rum_errors}
     for name, report in READS.items():
         queries[name] = _logs(lambda logs, r=report: r.frame(sources[r.source](logs)))
-        oracles[name] = report.sql(CTES)
-    for name, report in D.DETECTIONS.items():
-        easier = _EASIER.get(name, {})
-        queries[f"detect_{name}"] = _logs(lambda logs, n=name, e=easier: D.detect(n, logs, **e))
-        oracles[f"detect_{name}"] = report.sql(CTES, **easier)
+    for name in D.DETECTIONS:
+        queries[f"detect_{name}"] = _logs(lambda logs, n=name, e=_EASIER.get(name, {}): D.detect(n, logs, **e))
     for dim in ("asn", "region", "pop"):
         queries[f"network_quality_{dim}"] = _logs(lambda logs, d=dim: READS["network_quality"].frame(logs, group=d))
-        oracles[f"network_quality_{dim}"] = READS["network_quality"].sql(CTES, group=dim)
     queries["fingerprint_top_n_ja3"] = _logs(lambda logs: READS["fingerprint_top_n"].frame(logs, column="ja3"))
-    oracles["fingerprint_top_n_ja3"] = READS["fingerprint_top_n"].sql(CTES, column="ja3")
+    oracles = {n: _behind(sql) for n, sql in read_sql.SQL.items()} | {f"detect_{n}": _behind(sql) for n, sql in detection_sql.SQL.items()}
     return queries, oracles
 
 
@@ -166,7 +163,8 @@ def _special() -> tuple[dict[str, Query], dict[str, str]]:
     for name, gap in (("sessions", 1800), ("sessions_day_gap", 86400)):
         add(name, lambda x, g=gap: A.sessions(x, gap=g), _sessions_sql(gap))
     add("session_count", lambda x: A.sessions(x).agg(F.count("*").alias("sessions"), F.count_if("flagged").alias("flagged")), f"SELECT count(*) AS sessions, count(*) FILTER (flagged) AS flagged FROM ({_sessions_sql(1800)})")
-    add("scoring_sessions", lambda x: A.with_sessions(x, ["ip", "ua"], 86400).groupBy("ip", "ua", "session_no").agg(F.min("timestamp").cast("string").alias("start"), F.sort_array(F.collect_list(F.struct("timestamp", "rid", "url"))).alias("e")).select(F.sha1(F.concat_ws("|", "ip", "ua", "start")).alias("sid"), F.size("e").cast("long").alias("events"), F.get("e", F.lit(0))["url"].alias("entry")))
+    add("scoring_sessions", lambda x: A.with_sessions(x, ["ip", "ua"], 86400).groupBy("ip", "ua", "session_no").agg(F.min("timestamp").cast("string").alias("start"), F.sort_array(F.collect_list(F.struct("timestamp", "rid", "url"))).alias("e")).select(F.sha1(F.concat_ws("|", "ip", "ua", "start")).alias("sid"), F.size("e").cast("long").alias("events"), F.get("e", F.lit(0))["url"].alias("entry")),
+        f"{CTES}, {_SESSION_SQL.format(keys='ip, ua', gap=86400)} SELECT sha1(concat_ws('|', ip, ua, CAST(min(timestamp) AS VARCHAR))) AS sid, count(*) AS events, (list(url ORDER BY timestamp, rid))[1] AS entry FROM s1 GROUP BY ip, ua, session_no")
     add("sessions_from_hours", lambda x: A.sessions_from_hours(READS["rollup_sessions"].frame(x), gap=86400), f"SELECT ip, ja4, session_no, first_ts, last_ts, requests, err4, bytes FROM ({_sessions_sql(86400)})")
     add("shield_routes", A.shield_routes, f"""{CTES}, e AS (SELECT rid, pop AS edge_pop, coalesce(ottfb, ttfb * 1000000) AS e FROM logs WHERE edge), s AS (SELECT prid, pop AS shield_pop, coalesce(ottfb, ttfb * 1000000) AS s FROM logs WHERE NOT edge AND prid <> ''),
 p AS (SELECT edge_pop, shield_pop, count(*) AS requests, round(quantile_cont(e - s, 0.5) / 1000.0, 6) AS p50_ms, round(quantile_cont(e - s, 0.95) / 1000.0, 6) AS p95_ms, round(quantile_cont(e - s, 0.99) / 1000.0, 6) AS p99_ms FROM e JOIN s ON s.prid = e.rid GROUP BY 1, 2)
@@ -177,7 +175,10 @@ SELECT *, count(*) OVER () AS total_routes FROM p QUALIFY row_number() OVER (ORD
 p AS (SELECT edges.*, CAST(row_total AS BIGINT) AS row_total, (n + 0.5::DOUBLE) / (row_total + 0.5::DOUBLE * vocab) AS p FROM edges JOIN t USING (prev), v)
 SELECT prev, curr, n, row_total, round(p, 8) AS prob, CAST(greatest(0, least(100, round_even(-log10(p) * (100.0::DOUBLE / 6.0), 0))) AS INTEGER) AS score FROM p""")
     add("l2_step_score", lambda x: A.l2_step_scores(x, edges(x.filter("is_b")), gap=86400), _L2_STEP_SQL)
-    add("l1_score", lambda x: A.l1_scores(x).groupBy("l1").agg(F.count("*").alias("n")))
+    add("l1_score", lambda x: A.l1_scores(x).groupBy("l1").agg(F.count("*").alias("n")), f"""{CTES}, g AS (SELECT edge_cookie_compliance AS c, row_number() OVER w AS seq, (epoch_us(timestamp) - lag(epoch_us(timestamp)) OVER w) / 1e6 AS dwell, edge_sid, timestamp, rid FROM logs WINDOW w AS (PARTITION BY edge_sid ORDER BY timestamp, rid)),
+r AS (SELECT c, seq, avg(dwell) OVER w AS m, avg(dwell * dwell) OVER w AS q FROM g WINDOW w AS (PARTITION BY edge_sid ORDER BY timestamp, rid ROWS UNBOUNDED PRECEDING)),
+p AS (SELECT CASE WHEN seq > 3 AND m < 0.2 THEN 50 WHEN seq > 3 AND m <= 3 AND q - m * m < 0.05 THEN 40 ELSE 0 END AS pace, CASE WHEN c = 'tampered' THEN 100 WHEN c IN ('missing', 'expired', 'replayed') THEN 75 ELSE 0 END AS cookie FROM r)
+SELECT least(100, pace + cookie) AS l1, count(*) AS n FROM p GROUP BY 1""")
     add("roc_auc", lambda x: A.roc_auc(_scored(x)), f"{CTES}, {_SCORED} SELECT count(*) FILTER (bad) AS n_bad, count(*) FILTER (NOT bad) AS n_good, (SELECT round(coalesce(avg(CASE WHEN g.score < b.score THEN 1.0 WHEN g.score = b.score THEN 0.5 ELSE 0.0 END), 0.5), 8) FROM sc g, sc b WHERE b.bad AND NOT g.bad) AS auc FROM sc")
     add("auc_per_reason", lambda x: A.auc_per_reason(_scored(x)), f"{CTES}, {_SCORED}, r AS (SELECT trim(unnest(string_split(reason, ','))) AS reason, score, bad FROM sc) SELECT reason, count(*) FILTER (bad) AS nb, count(*) FILTER (NOT bad) AS ng, (SELECT round(coalesce(avg(CASE WHEN g.score < b.score THEN 1.0 WHEN g.score = b.score THEN 0.5 ELSE 0.0 END), 0.5), 8) FROM r g, r b WHERE b.bad AND NOT g.bad AND g.reason = r.reason AND b.reason = r.reason) AS auc FROM r WHERE reason <> '' GROUP BY reason")
     add("scoring_curves", lambda x: A.scoring_curves(_scored(x)), f"""{CTES}, {_SCORED}, t AS (SELECT CAST(i AS INTEGER) AS threshold FROM range(101) r(i)), c AS (SELECT threshold, count(*) FILTER (score >= threshold AND bad) AS tp, count(*) FILTER (score >= threshold AND NOT bad) AS fp, count(*) FILTER (bad) AS nb, count(*) FILTER (NOT bad) AS ng FROM t, sc GROUP BY 1)
@@ -190,9 +191,7 @@ SELECT threshold, tp, fp, round(tp * 1.0::DOUBLE / nullif(nb, 0), 8) AS tpr, rou
     add("alert_absolute", lambda x: A.alert_absolute(x, rate, ">", 5.0, 1440), f"{CTES} SELECT count(*) AS requests, CAST(coalesce({rate}, 0) AS DOUBLE) AS val, coalesce({rate}, 0) > 5.0 AS triggered FROM logs WHERE {last.format(a=1440, b=0)}")
     add("alert_relative", lambda x: A.alert_relative(x, rate, 10.0, 1440, 14400), f"{CTES}, n AS (SELECT count(*) AS requests, CAST({rate} AS DOUBLE) AS now FROM logs WHERE {last.format(a=1440, b=0)}), t AS (SELECT CAST({rate} AS DOUBLE) AS \"then\" FROM logs WHERE {last.format(a=14400 + 1440, b=14400)}), v AS (SELECT *, CASE WHEN requests >= 10 AND \"then\" <> 0 THEN round((now - \"then\") / \"then\" * 100.0, 6) END AS val FROM n, t) SELECT requests, now, \"then\", val, coalesce(val > 10.0 AND requests >= 50, false) AS triggered FROM v")
     add("alert_zscore", lambda x: A.alert_zscore(x, "count(*)", 60, 14), f"{CTES}, m AS (SELECT max(timestamp) AS t FROM logs), h AS (SELECT date_trunc('hour', timestamp) AS h, CAST(count(*) AS DOUBLE) AS val FROM logs, m WHERE timestamp >= t - INTERVAL 14 DAYS AND timestamp <= t - INTERVAL 1 HOUR AND hour(timestamp) = hour(t) GROUP BY 1), b AS (SELECT avg(val) AS mean, stddev_samp(val) AS sd FROM h), n AS (SELECT count(*) AS requests, CAST(count(*) AS DOUBLE) AS val FROM logs WHERE {last.format(a=60, b=0)}), z AS (SELECT requests, val, mean, round((val - mean) / (CASE WHEN coalesce(sd, 0) = 0 THEN 0.0001 ELSE sd END), 6) AS zscore FROM n, b) SELECT requests, val, round(mean, 6) AS mean, zscore, coalesce(zscore > 3.0 AND requests >= 50, false) AS triggered FROM z")
-    add("alert_preview", lambda x: x.groupBy(F.hour("timestamp").alias("hour")).agg(F.count("*").alias("requests"), F.count_if("is_w").alias("w_requests")), f"{CTES} SELECT CAST(hour(timestamp) AS INTEGER) AS hour, count(*) AS requests, count(*) FILTER (is_w) AS w_requests FROM logs GROUP BY 1")
     # Rollups with mergeable sketches.
-    add("rollup_minute_facts", lambda x: A.gamma_histogram(x, [F.expr(HOUR).alias("hour"), F.col("pop")], "ottfb"), f"{CTES} SELECT {HOUR} AS hour, pop, {_GAMMA.format(v='ottfb')} AS centroid, count(*) AS n FROM logs WHERE ottfb > 0 GROUP BY ALL")
     add("gamma_quantile", lambda x: A.gamma_quantile(A.gamma_histogram(x, [F.expr(HOUR).alias("hour"), F.col("pop")], "ottfb"), ["pop"], 0.95), f"{CTES}, s AS (SELECT pop, {_GAMMA.format(v='ottfb')} AS c, count(*) AS n FROM logs WHERE ottfb > 0 GROUP BY ALL), r AS (SELECT *, sum(n) OVER (PARTITION BY pop ORDER BY c) AS run, sum(n) OVER (PARTITION BY pop) AS all_n FROM s) SELECT pop, CAST(max(all_n) AS BIGINT) AS weight, round(power(1.02::DOUBLE, min(c)) * 2 / (1.02::DOUBLE + 1), 6) AS value FROM r WHERE run >= all_n * 0.95 GROUP BY pop")
     counts = f"{CTES}, r AS ({_FIELD_ROWS}), c AS (SELECT hour, field, value, count(*) AS count FROM r WHERE value <> '' GROUP BY 1, 2, 3), k AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY hour, field ORDER BY count DESC, value) <= 5 UNION ALL SELECT hour, field, '__total__', CAST(sum(count) AS BIGINT) FROM c GROUP BY 1, 2)"
     add("rollup_field_counts", lambda x: A.rollup_field_counts(x, _FIELDS, 5), f"{counts} SELECT * FROM k")
@@ -201,12 +200,10 @@ SELECT threshold, tp, fp, round(tp * 1.0::DOUBLE / nullif(nb, 0), 8) AS tpr, rou
     add("rollup_ip_spread", lambda x: A.ip_spread_days(A.rollup_ip_spread(x)))
     add("rollup_ip_spread_exact", lambda x: x.groupBy(F.expr("CAST(CAST(timestamp AS DATE) AS STRING)").alias("day"), "country").agg(F.countDistinct("ip").alias("ips"), F.count("*").alias("rows")), f"{CTES} SELECT CAST(CAST(timestamp AS DATE) AS VARCHAR) AS day, country, count(DISTINCT ip) AS ips, count(*) AS rows FROM logs GROUP BY 1, 2")
     overview = READS["rollup_overview"]
-    add("read_rollup_plus_live", lambda x: A.read_rollup_plus_live(overview.frame(x.filter(f"timestamp < TIMESTAMP_NTZ '{_CUT}'")), overview.frame(x), ["hour"], _CUT), overview.sql(CTES))
-    add("exact_window", lambda x: S.time_range(x, "2024-01-10 03:17:21", "2024-01-12 22:41:09").agg(F.count("*").alias("requests"), F.sum("resp_bytes").alias("bytes")), f"{CTES} SELECT count(*) AS requests, CAST(sum(resp_bytes) AS BIGINT) AS bytes FROM logs WHERE timestamp BETWEEN TIMESTAMP '2024-01-10 03:17:21' AND TIMESTAMP '2024-01-12 22:41:09'")
+    add("read_rollup_plus_live", lambda x: A.read_rollup_plus_live(overview.frame(x.filter(f"timestamp < TIMESTAMP_NTZ '{_CUT}'")), overview.frame(x), ["hour"], _CUT), _behind(read_sql.SQL["rollup_overview"]))
     add("rollup_verified_bots_ts", A.verified_bots_ts, f"{CTES}, x AS (SELECT {HOUR} AS bucket, unnest(string_split(waf_sig, ',')) AS tag FROM logs WHERE waf_sig ILIKE '%VERIFIED-BOT.%') SELECT bucket, replace(tag, 'VERIFIED-BOT.', '') AS bot_type, count(*) AS count FROM x WHERE tag LIKE 'VERIFIED-BOT.%' GROUP BY 1, 2")
     q["verified_bots_ts"], o["verified_bots_ts"] = q["rollup_verified_bots_ts"], o["rollup_verified_bots_ts"]
     add("ngwaf_top_bots", _waf_bots, f"{CTES}, b AS (SELECT DISTINCT waf_req_id, concat('bot', event_id % 50 % 5) AS bot_name, CASE WHEN event_id % 50 < 25 THEN 'search' ELSE 'ai' END AS category FROM logs) SELECT bot_name, category, count(*) AS cnt FROM logs JOIN b USING (waf_req_id) GROUP BY 1, 2")
-    add("rollup_rum", lambda x: READS["rum_vitals"].frame(rum_vitals(x)).select("metric_name", "total_count", "good_count", "ni_count", "poor_count"), f"{CTES} SELECT metric_name, count(*) AS total_count, count(*) FILTER (metric_rating = 'good') AS good_count, count(*) FILTER (metric_rating = 'needs_improvement') AS ni_count, count(*) FILTER (metric_rating = 'poor') AS poor_count FROM vitals GROUP BY 1")
     # Video and browser telemetry.
     add("cmcd_overview", A.cmcd_overview, f"{CTES} SELECT (SELECT count(DISTINCT cmcd_sid) FROM logs) AS active_sessions, round(CAST(count(*) FILTER (cmcd_bs) * 100.0 / count(*) AS DOUBLE), 4) AS rebuffer_rate, round(avg(cmcd_br), 6) AS avg_bitrate, round(avg(cmcd_bl), 6) AS avg_buffer_length, quantile_cont(cmcd_mtp, 0.5) AS median_throughput, (SELECT max(n) FROM (SELECT count(DISTINCT cmcd_sid) AS n FROM logs GROUP BY {HOUR})) AS peak_viewers, (SELECT round(avg(d), 0) FROM (SELECT (epoch_us(max(timestamp)) - epoch_us(min(timestamp))) / 1000000.0::DOUBLE AS d FROM logs GROUP BY cmcd_sid) WHERE d > 0) AS avg_dur FROM logs")
     for name, dim in (("cmcd_top_content", "cmcd_cid"), ("cmcd_rebuffer_country", "country"), ("cmcd_rebuffer_asn", "asn")):
@@ -233,9 +230,8 @@ SELECT hour, expected, stored, gap, coalesce(run_length, 0) AS run_length, round
     op = "CASE WHEN method = 'GET' THEN 'read' ELSE 'write' END"
     add("usage_ops", lambda x: A.usage_ops(x.groupBy(F.expr(HOUR).alias("hour"), F.expr(op).alias("op_class")).agg(F.count("*").alias("ops")), x.filter("event_id % 10 <> 0").groupBy(F.expr(HOUR).alias("hour"), F.expr(op).alias("op_class")).agg(F.count("*").alias("ops"))), f"{CTES}, c AS (SELECT {HOUR} AS hour, {op} AS op_class, count(*) AS counted FROM logs GROUP BY 1, 2), b AS (SELECT {HOUR} AS hour, {op} AS op_class, count(*) AS billed FROM logs WHERE event_id % 10 <> 0 GROUP BY 1, 2) SELECT hour, op_class, coalesce(counted, 0) AS counted, coalesce(billed, 0) AS billed, coalesce(billed, 0) - coalesce(counted, 0) AS residual FROM c FULL JOIN b USING (hour, op_class)")
     add("column_summary", lambda x: A.column_summary(x, ["ip", "url", "io_output_format", "edge_score"]), f"{CTES}, r AS (" + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", CAST({c} AS VARCHAR) AS v FROM logs" for c in ("ip", "url", "io_output_format", "edge_score")) + ") SELECT \"column\", count(v) AS non_null, count(*) FILTER (v IS NULL) AS nulls, count(DISTINCT v) AS n_distinct, min(v) AS least, max(v) AS greatest FROM r GROUP BY 1")
-    dims = ["country", "asn", "method", "p_type"]
-    add("coalesced_dim", lambda x: A.grouping_sets_counts(x, dims), f"{CTES} " + " UNION ALL ".join(f"SELECT '{d}' AS dim, CAST({d} AS VARCHAR) AS value, count(*) FILTER (is_w) AS w_cnt, count(*) FILTER (is_b) AS b_cnt FROM logs GROUP BY 2" for d in dims))
-    add("downsample", lambda x: A.downsample(READS["usage_bandwidth"].frame(x).withColumn("series", F.lit("all")), "series", "bucket", "bytes", 12).select("bucket", "bytes"))
+    add("downsample", lambda x: A.downsample(READS["usage_bandwidth"].frame(x).withColumn("series", F.lit("all")), "series", "bucket", "bytes", 12).select("bucket", "bytes"),
+        _behind(f"d AS ({read_sql.SQL['usage_bandwidth']}), t AS (SELECT bucket, bytes, row_number() OVER (ORDER BY bucket) AS i, count(*) OVER () AS n, ntile(8) OVER (ORDER BY bucket) AS tile FROM d), m AS (SELECT *, row_number() OVER (PARTITION BY tile ORDER BY bucket) AS head, row_number() OVER (ORDER BY bytes, bucket) AS lo, row_number() OVER (ORDER BY bytes DESC, bucket) AS hi FROM t) SELECT bucket, bytes FROM m WHERE n <= 12 OR i = 1 OR i = n OR head = 1 OR lo = 1 OR hi = 1"))
     add("cidr_filter", _cidr, f"{CTES}, n AS (SELECT ip, CAST(split_part(ip, '.', 1) AS BIGINT) * 16777216 + CAST(split_part(ip, '.', 2) AS BIGINT) * 65536 + CAST(split_part(ip, '.', 3) AS BIGINT) * 256 + CAST(split_part(ip, '.', 4) AS BIGINT) AS x FROM logs), f AS (SELECT ip, CASE WHEN x BETWEEN 167837696 AND 167903231 THEN 'a' WHEN x BETWEEN 167905280 AND 167907327 THEN 'b' WHEN x = 167969543 THEN 'c' END AS feed FROM n) SELECT feed, count(*) AS requests, count(DISTINCT ip) AS ips FROM f GROUP BY 1")
     spec = {"country": {"mode": "include", "values": ["US", "D*"]}, "url": {"mode": "exclude", "values": ["/wp-*"]}, "io_output_format": {"mode": "include", "values": [None]}, "nothing": {"mode": "exclude", "values": ["x"]}}
     add("filter_spec", lambda x: S.filter_spec(x, spec).groupBy("country").agg(F.count("*").alias("n")), f"{CTES} SELECT country, count(*) AS n FROM logs WHERE (country = 'US' OR country ILIKE 'D%') AND NOT url ILIKE '/wp-%' AND io_output_format IS NULL GROUP BY 1")
@@ -252,19 +248,26 @@ SELECT hour, expected, stored, gap, coalesce(run_length, 0) AS run_length, round
     add("detect_shield_path_degradation", D.shield_path_degradation, f"{CTES}, e AS (SELECT rid, pop AS edge_pop, ottfb AS e, is_w, is_b FROM logs WHERE edge), s AS (SELECT prid, pop AS s_pop, ottfb AS s FROM logs WHERE NOT edge AND prid <> ''), j AS (SELECT edge_pop, coalesce(s_pop, 'Direct to Origin') AS shield_pop, (e - coalesce(s, 0)) / 1000.0 AS t, is_w, is_b FROM e LEFT JOIN s ON s.prid = e.rid), g AS (SELECT edge_pop, shield_pop, quantile_cont(t, 0.5) FILTER (is_w) AS w_p50, quantile_cont(t, 0.5) FILTER (is_b) AS b_p50, count(*) FILTER (is_w) AS w_cnt FROM j GROUP BY 1, 2) SELECT * FROM g WHERE w_cnt >= 5 AND w_p50 > b_p50 * 1.5 ORDER BY w_p50 / nullif(b_p50, 0) DESC NULLS LAST, edge_pop, shield_pop LIMIT 20")
     add("detect_impossible_distance", lambda x: D.impossible_distance(x, _pops(x.sparkSession)), f"{CTES}, f AS (SELECT ja4 AS label, round(2 * 6371 * asin(sqrt(power(sin(radians(lat - pop_lat) / 2), 2) + cos(radians(lat)) * cos(radians(pop_lat)) * power(sin(radians(lon - pop_lon) / 2), 2))), 1) AS d, round(CAST(tcp_rtt AS DOUBLE) / 2.0 / 1e6 * 200000 * 2, 1) AS m FROM logs JOIN {_POPS_SQL} USING (pop) WHERE is_w AND tcp_rtt > 0) SELECT label, count(*) AS hits, round(max(d - m), 1) AS worst_excess_km, max(d) AS max_dist_km, min(m) AS min_allowed_km FROM f WHERE d > m GROUP BY 1 HAVING count(*) >= 2 ORDER BY 3 DESC, 1 LIMIT 15")
     for name, key, spread in (("repeated_patterns", "ip", "ua"), ("repeated_patterns_fp", "ja4", "ip")):
-        add(f"detect_{name}", lambda x, k=key, s=spread: D.repeated_patterns(x, k, s))
-    add("detect_crawler_disparity", D.crawler_disparity)
-    for name, (frame, sql) in more_queries.entries(_pops, _POPS_SQL).items():
+        add(f"detect_{name}", lambda x, k=key, s=spread: D.repeated_patterns(x, k, s), _behind(detection_sql.repeated(key, spread)))
+    crawl = "([a-z0-9_.-]*(bot|crawler|spider)[a-z0-9_.-]*|python-[a-z0-9_.-]+)"
+    add("detect_crawler_disparity", D.crawler_disparity, f"""{CTES}, t AS (SELECT *, regexp_extract(lower(ua), '{crawl}', 1) AS tok, regexp_extract(lower(ua), 'https?://(www[.])*([^/.:;) ]+)', 2) AS site FROM logs),
+c AS (SELECT CASE WHEN regexp_replace(tok, '(-user|crawler|spider|bot).*$', '') = '' THEN tok ELSE regexp_replace(tok, '(-user|crawler|spider|bot).*$', '') END AS stem, tok, site, is_w, resp_bytes FROM t WHERE tok <> ''),
+g AS (SELECT stem, min(tok) FILTER (is_w) AS label, max(site) FILTER (is_w) AS site, count(*) FILTER (is_w) AS w_crawls, CAST(coalesce(sum(resp_bytes) FILTER (is_w), 0) AS BIGINT) AS w_bytes FROM c GROUP BY 1 HAVING count(*) FILTER (is_w) >= 50),
+v AS (SELECT DISTINCT ip, CASE WHEN ua LIKE '%ChatGPT-User%' THEN 'chatgpt' ELSE regexp_extract(lower(referer), 'https?://(www[.])*([^/.:; ]+)', 2) END AS ref FROM logs WHERE is_w AND regexp_extract(lower(ua), '{crawl}', 1) = ''),
+j AS (SELECT stem, count(DISTINCT ip) AS w_referrals FROM g JOIN v ON ref <> '' AND (stem = ref OR (length(regexp_replace(stem, '[aeiou]', '', 'g')) >= 3 AND regexp_replace(stem, '[aeiou]', '', 'g') = regexp_replace(ref, '[aeiou]', '', 'g')) OR (length(stem) >= 3 AND length(ref) >= 3 AND (contains(ref, stem) OR contains(stem, ref))) OR (site <> '' AND site = ref)) GROUP BY 1),
+r AS (SELECT label, w_crawls, coalesce(w_referrals, 0) AS w_referrals, w_bytes, round(w_crawls / greatest(coalesce(w_referrals, 0), 1), 4) AS crawls_per_referral, round(w_bytes / greatest(coalesce(w_referrals, 0), 1), 4) AS bytes_per_referral, round(w_bytes * 100.0 / (SELECT sum(resp_bytes) FROM logs WHERE is_w), 2) AS bandwidth_share_pct FROM g LEFT JOIN j USING (stem))
+SELECT * FROM r WHERE w_referrals = 0 OR crawls_per_referral >= 100 OR bytes_per_referral >= 1048576 ORDER BY crawls_per_referral DESC, w_bytes DESC, label LIMIT 10""")
+    for name, (frame, sql) in {**more_queries.entries(_pops, _POPS_SQL), **extra_queries.entries(_pops, _POPS_SQL)}.items():
         add(name, frame, sql)
     return q, o
 
 
-_REPORTS, _SPECIAL = _reports(), _special()
+_REPORTS, _SPECIAL, _INGEST = _reports(), _special(), ingest_queries.queries()
 
 
 def queries() -> dict[str, Query]:
-    return {**_REPORTS[0], **_SPECIAL[0]}
+    return {**_REPORTS[0], **_SPECIAL[0], **{n: q for n, (q, _) in _INGEST.items()}}
 
 
 def oracles() -> dict[str, str]:
-    return {**_REPORTS[1], **_SPECIAL[1]}
+    return {**_REPORTS[1], **_SPECIAL[1], **{n: sql for n, (_, sql) in _INGEST.items() if sql}}

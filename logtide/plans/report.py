@@ -2,8 +2,7 @@
 
 A report names its aggregates as SQL expressions; :meth:`Report.frame` turns them into one DataFrame plan (filter,
 one grouped aggregate, a one-row total where needed, filter, top-K), and Catalyst does the rest: column pruning,
-filter push-down, partial aggregation and ``TakeOrderedAndProject``.  :meth:`Report.sql` states the same report as
-one SQL query, for comparison on another engine.
+filter push-down, partial aggregation and ``TakeOrderedAndProject``.
 """
 
 from __future__ import annotations
@@ -41,10 +40,6 @@ def ordering(name: str) -> Column:
     return F.col(name[1:]).desc_nulls_last() if name.startswith("-") else F.col(name).asc_nulls_last()
 
 
-#: Spark names of functions whose ANSI-side names differ.
-_OTHER_NAMES = {"percentile(": "quantile_cont(", "regexp_like(": "regexp_matches(", "startswith(": "starts_with("}
-
-
 @dataclass(frozen=True)
 class Report:
     keys: Mapping[str, str] = field(default_factory=dict)
@@ -89,25 +84,3 @@ class Report:
         if self.limit is not None:
             out = out.orderBy(*[ordering(o) for o in self._order()]).limit(self.limit)
         return out.select(*self._output())
-
-    def sql(self, ctes: str, **overrides: object) -> str:
-        """The same report as one SQL statement behind the named sub-queries ``ctes``."""
-        keys = [f"{e} AS {n}" for n, e in self.keys.items()]
-        group = f" GROUP BY {', '.join(str(k + 1) for k in range(len(keys)))}" if keys else ""
-        text = f"SELECT {', '.join([*keys, *[f'{e} AS {n}' for n, e in self.measures.items()]])} FROM {self.source} WHERE {self.where}{group}"
-        steps = [f"g0 AS ({text})"]
-        if self.totals:
-            steps.append(f"g1 AS (SELECT g0.*, t.* FROM g0, (SELECT {', '.join(f'{e} AS {n}' for n, e in self.totals.items())} FROM g0) t)")
-        last = f"g{len(steps) - 1}"
-        for n, e in self.derived.items():
-            steps.append(f"g{len(steps)} AS (SELECT *, {e} AS {n} FROM {last})")
-            last = f"g{len(steps) - 1}"
-        order = ""
-        if self.limit is not None:
-            names = [f"{o[1:]} DESC NULLS LAST" if o.startswith("-") else f"{o} NULLS LAST" for o in self._order()]
-            order = f" ORDER BY {', '.join(names)} LIMIT {self.limit}"
-        text = f"{ctes}, {', '.join(steps)} SELECT {', '.join(self._output())} FROM {last} WHERE {self.having}{order}"
-        text = self._fill(text, overrides)
-        for ours, theirs in _OTHER_NAMES.items():
-            text = text.replace(ours, theirs)
-        return text

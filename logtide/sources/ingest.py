@@ -35,7 +35,7 @@ CODES = {
 
 
 def read_ndjson(spark: SparkSession, path: str, schema: T.StructType = BASE_SCHEMA) -> DataFrame:
-    """Raw lines (plain, gzip or zstd, by suffix) parsed against a declared schema; what does not parse keeps its
+    """Raw lines (plain, gzip or zstd, told by suffix) parsed against a declared schema; what does not parse keeps its
     line in ``_corrupt_record``.  Unreadable containers are skipped and can be found with :func:`corrupt_container`."""
     full = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
     lines = spark.read.option("ignoreCorruptFiles", "true").text(path).select(F.col("value").alias("raw"), F.col("_metadata.file_path").alias("_source_file"))
@@ -107,9 +107,16 @@ def lake_union_buffer(lake: DataFrame, fresh: DataFrame, start: str | None = Non
 
 
 def write_facts(df: DataFrame, path: str, mode: str = "append", rows_per_file: int = 5_000_000) -> None:
-    """Parquet in zstd, partitioned by day and hour; rows of a partition are gathered into files of a bounded size."""
+    """Parquet in zstd, partitioned by day and hour; rows of an hour are gathered into files of a bounded size.
+
+    An hour is written by as many tasks as it has files' worth of rows: hours are counted first.
+    """
     rows = df if "timestamp_hour" in df.columns else lake_union_buffer(df, df.limit(0))
-    salted = rows.repartition("dt", "timestamp_hour", F.pmod(F.xxhash64(*[c for c in rows.columns if c not in ("dt", "timestamp_hour")][:4]), F.lit(4)))
+    # One row an hour of the batch: at most some ten thousand a year.
+    hours = rows.groupBy("timestamp_hour").agg(F.count("*").alias("__n")).select("timestamp_hour", F.ceil(F.col("__n") / rows_per_file).cast("int").alias("__tasks"))
+    names = rows.columns
+    rows = rows.join(F.broadcast(hours), "timestamp_hour").withColumn("__lane", F.floor(F.rand(7) * F.col("__tasks")).cast("int"))
+    salted = rows.repartition("dt", "timestamp_hour", "__lane").select(*names)
     salted.sortWithinPartitions("timestamp").write.mode(mode).option("compression", "zstd").option("maxRecordsPerFile", rows_per_file).option("partitionOverwriteMode", "dynamic").partitionBy("dt", "timestamp_hour").parquet(path)
 
 
@@ -149,17 +156,61 @@ def event_id(domain: str, *parts: Column) -> Column:
     return F.sha2(F.concat_ws("|", F.lit(domain), *[p.cast("string") for p in parts]), 256)
 
 
-_BEACON = "cid string, ts timestamp, page string, metrics map<string,double>, events array<struct<name:string,value:double>>, errors array<struct<message:string,file:string,line:long,col:long>>"
+#: Browser beacons: vitals, events (one of them holds the timings of the navigation), log lines and exceptions.
+_BEACON = (
+    "meta struct<browser:struct<name:string,mobile:boolean>,os:struct<name:string>,page:struct<url:string>>, page struct<url:string>, "
+    "measurements array<struct<type:string,values:map<string,double>,context:struct<rating:string>,meta:struct<rating:string>>>, "
+    "events array<struct<name:string,attributes:map<string,string>,values:map<string,string>>>, logs array<struct<level:string>>, "
+    "exceptions array<struct<value:string,message:string,stacktrace:struct<frames:array<struct<filename:string,lineno:long,colno:long>>>>>"
+)
+# The type of measurements that are vitals, and the event that holds navigation timings.
+_VITALS, _NAVIGATION = "web-vitals", "faro.performance.navigation"
+_ENTRY = "array<struct<metric_name:string,metric_value:double,metric_rating:string>>"
 
 
 def rum_extract(raw: DataFrame, column: str = "raw") -> tuple[DataFrame, DataFrame]:
-    """One row per metric and event, and one per exception, of each beacon's payload."""
-    rows = raw.withColumn("b", F.from_json(column, _BEACON)).withColumn("req_id", F.sha1(column))
-    base = ["req_id", F.col("b.cid").alias("cid"), F.col("b.ts").alias("timestamp"), F.col("b.page").alias("pathname")]
-    metrics = rows.select(*base, F.explode("b.metrics").alias("metric_name", "metric_value"))
-    events = rows.select(*base, F.explode("b.events").alias("e")).select("req_id", "cid", "timestamp", "pathname", F.concat(F.lit("event_"), F.col("e.name")).alias("metric_name"), F.col("e.value").alias("metric_value"))
-    errors = rows.select(*base, F.explode("b.errors").alias("e")).select("req_id", "cid", "timestamp", "pathname", F.col("e.message").alias("error_message"), F.col("e.file").alias("error_file"), F.col("e.line").alias("error_line"), F.col("e.col").alias("error_col"))
-    return metrics.unionByName(events), errors
+    """(one row per vital, timing, event and log line, one row per exception) of each beacon's JSON payload.
+
+    ``raw`` may carry cid, url, browser and os, which stand in for what the payload lacks.  A beacon without any
+    entry is a page view; what is no JSON object counts as an empty payload.  Names of browser and system default to
+    Chrome and macOS, the path to ``/``.
+    """
+    known = {c: F.col(c) if c in raw.columns else F.lit(None).cast("string") for c in ("cid", "url", "browser", "os")}
+    rows = raw.withColumn("b", F.from_json(column, _BEACON))
+    url = F.coalesce("b.page.url", "b.meta.page.url", known["url"], F.lit(""))
+    path = F.nullif(F.regexp_extract(url, r"^(?:[a-z]+://[^/?#]*)?([^?#]*)", 1), F.lit(""))
+    rows = rows.select(
+        F.sha1(column).alias("req_id"), F.coalesce(known["cid"], F.lit("")).alias("cid"), F.coalesce(path, F.lit("/")).alias("pathname"),
+        F.coalesce("b.meta.browser.name", known["browser"], F.lit("Chrome")).alias("browser"), F.coalesce("b.meta.os.name", known["os"], F.lit("macOS")).alias("os"),
+        F.when(F.col("b.meta.browser.mobile"), "Mobile").otherwise("Desktop").alias("device"), "b",
+    )
+    entry = lambda name, value, rating: F.struct(name.alias("metric_name"), value.cast("double").alias("metric_value"), rating.alias("metric_rating"))
+    of = lambda m, make: F.transform(F.map_entries(m), lambda e: make(e["key"], e["value"]))
+    none = F.array().cast(_ENTRY)
+    rating = lambda m: F.coalesce(m["context"]["rating"], m["meta"]["rating"], F.lit(""))
+    vitals = F.flatten(F.transform(
+        F.filter("b.measurements", lambda m: m["type"] == _VITALS),
+        lambda m: F.coalesce(of(F.map_filter(m["values"], lambda k, v: k != "delta"), lambda k, v: entry(k, v, rating(m))), none),
+    ))
+    timings = lambda e: F.coalesce(e["attributes"], e["values"])
+    events = F.flatten(F.transform(
+        F.filter("b.events", lambda e: e["name"] != ""),
+        lambda e: F.when(e["name"] == _NAVIGATION, F.coalesce(of(timings(e), lambda k, v: entry(k, v.try_cast("double"), F.lit(""))), none))
+        .otherwise(F.array(entry(F.concat(F.lit("event_"), e["name"]), F.lit(1.0), F.lit("")))),
+    ))
+    logs = F.transform("b.logs", lambda x: entry(F.lit("log"), F.lit(1.0), F.coalesce(x["level"], F.lit("info"))))
+    entries = F.concat(*[F.coalesce(c, none) for c in (vitals, events, logs)])
+    rows = rows.withColumn("entries", entries)
+    bare = (F.size("entries") == 0) & (F.coalesce(F.size("b.exceptions"), F.lit(0)) <= 0)
+    rows = rows.withColumn("entries", F.when(bare, F.array(entry(F.lit("pageview"), F.lit(1.0), F.lit("")))).otherwise(F.col("entries")))
+    base = ["req_id", "cid", "pathname", "browser", "os", "device"]
+    metrics = rows.select(*base, F.explode("entries").alias("e")).select(*base, "e.metric_name", "e.metric_value", "e.metric_rating")
+    frame = lambda c: F.get("e.stacktrace.frames", F.lit(0))[c]
+    errors = rows.select(*base, F.explode("b.exceptions").alias("e")).select(
+        *base, F.coalesce("e.value", "e.message", F.lit("Unknown error")).alias("error_message"), F.coalesce(frame("filename"), F.lit("unknown.js")).alias("error_file"),
+        F.coalesce(frame("lineno"), F.lit(0)).alias("error_line"), F.coalesce(frame("colno"), F.lit(0)).alias("error_col"),
+    )
+    return metrics, errors
 
 
 def rum_query_params(raw: DataFrame, column: str = "url", name: str = "m", value: str = "v") -> DataFrame:

@@ -17,13 +17,14 @@ LOG_SQL = f"""
 WITH e AS (
   SELECT event_id AS i, user_id AS u, event_type AS et, value AS v, ts, (ts >= TIMESTAMP '{WINDOW_START}') AS w FROM events
 )
-SELECT ts AS timestamp, w AS is_w, NOT w AS is_b, i AS event_id,
-  concat('10.', u % 4, '.', u % 16, '.', u % 250) AS ip,
-  CAST(CASE WHEN et = 'error' AND i % 4 = 0 THEN 500 WHEN et = 'error' AND i % 4 = 1 THEN 503
+SELECT CASE WHEN w AND i % 8 = 7 THEN (CASE WHEN hour(ts) < 6 THEN CAST(date_trunc('day', ts) AS TIMESTAMP) WHEN hour(ts) < 12 THEN CAST(date_trunc('day', ts) AS TIMESTAMP) + INTERVAL '6' HOUR
+    WHEN hour(ts) < 18 THEN CAST(date_trunc('day', ts) AS TIMESTAMP) + INTERVAL '12' HOUR ELSE CAST(date_trunc('day', ts) AS TIMESTAMP) + INTERVAL '18' HOUR END) ELSE ts END AS timestamp, w AS is_w, NOT w AS is_b, i AS event_id,
+  CASE WHEN w AND i % 8 = 7 THEN '10.8.8.8' WHEN w AND i % 50 = 2 THEN concat('10.9.9.', i % 3) ELSE concat('10.', u % 4, '.', u % 16, '.', u % 250) END AS ip,
+  CAST(CASE WHEN w AND i % 50 = 2 THEN 403 WHEN et = 'error' AND i % 4 = 0 THEN 500 WHEN et = 'error' AND i % 4 = 1 THEN 503
             WHEN et = 'error' AND i % 4 = 2 THEN 404 WHEN et = 'error' THEN 401
             WHEN w AND i % 40 < 4 THEN 502 ELSE 200 END AS INT) AS status,
   CAST(ROUND(v * 1000) AS BIGINT) * (CASE WHEN w AND i % 40 < 6 THEN 6 ELSE 1 END) AS elapsed,
-  CASE WHEN w AND i % 40 BETWEEN 10 AND 19 THEN (CASE WHEN i % 3 = 0 THEN 'PASS' ELSE 'MISS' END)
+  CASE WHEN w AND i % 50 = 4 THEN 'PASS' WHEN w AND i % 40 BETWEEN 10 AND 19 THEN (CASE WHEN i % 3 = 0 THEN 'PASS' ELSE 'MISS' END)
        WHEN i % 10 < 6 THEN 'HIT' WHEN i % 10 = 6 THEN 'HIT-STALE' WHEN i % 10 < 9 THEN 'MISS' ELSE 'PASS' END AS cache,
   CAST(ROUND(v * 100) AS BIGINT) AS resp_bytes,
   CASE WHEN i % 50 = 0 THEN '/wp-login.php' WHEN i % 50 = 1 AND w THEN '/.env'
@@ -31,9 +32,9 @@ SELECT ts AS timestamp, w AS is_w, NOT w AS is_b, i AS event_id,
        WHEN i % 50 = 4 THEN concat('/js/app', i % 5, '.js')
        ELSE concat('/', et, '/item/', i % 40) END AS url,
   CASE WHEN et = 'purchase' AND w THEN 'POST' WHEN et = 'signup' THEN 'PUT' ELSE 'GET' END AS method,
-  CASE u % 6 WHEN 0 THEN 'Mozilla/5.0 Chrome/120.0.0.0' WHEN 1 THEN 'Mozilla/5.0 (iPhone) Mobile Safari'
+  CASE WHEN i % 97 = 5 THEN 'Mozilla/5.0 (compatible; ChatGPT-User/1.0)' WHEN w AND i % 3 = 1 THEN 'Dalvik/2.1.0 (Linux; U; Android 14)' ELSE (CASE u % 6 WHEN 0 THEN 'Mozilla/5.0 Chrome/120.0.0.0' WHEN 1 THEN 'Mozilla/5.0 (iPhone) Mobile Safari'
        WHEN 2 THEN 'Googlebot/2.1 (+http://www.google.com/bot.html)' WHEN 3 THEN 'Mozilla/5.0 Chrome/133.0.0.0'
-       WHEN 4 THEN 'GPTBot/1.0 (+https://openai.com/gptbot)' ELSE 'python-requests/2.31' END AS ua,
+       WHEN 4 THEN 'GPTBot/1.0 (+https://openai.com/gptbot)' ELSE 'python-requests/2.31' END) END AS ua,
   CASE WHEN i % 3 = 0 THEN '' WHEN i % 3 = 1 THEN 'https://www.google.com/s' ELSE 'https://news.example.com/a' END AS referer,
   CASE i % 5 WHEN 0 THEN 'JFK' WHEN 1 THEN 'LAX' WHEN 2 THEN 'LHR' WHEN 3 THEN 'NRT' ELSE 'SYD' END AS pop,
   CASE WHEN w AND u % 25 = 7 THEN 'NZ' WHEN u % 4 = 0 THEN 'US' WHEN u % 4 = 1 THEN 'DE' WHEN u % 4 = 2 THEN 'JP' ELSE 'BR' END AS country,
@@ -46,7 +47,7 @@ SELECT ts AS timestamp, w AS is_w, NOT w AS is_b, i AS event_id,
   CAST((i % 20) * (CASE WHEN w AND u % 10 = 3 THEN 5 ELSE 1 END) AS DOUBLE) / 1000 AS ploss,
   CAST(i % 3 AS BIGINT) AS retrans,
   CAST(CASE WHEN w AND u % 12 = 5 THEN 200000 ELSE 1000000 END + (i % 13) * 1000 AS BIGINT) AS delivery_rate,
-  CASE WHEN i % 7 = 0 OR (w AND u % 10 = 6 AND i % 7 < 4) THEN 'hosting' WHEN i % 7 = 1 THEN 'public' ELSE '' END AS p_type,
+  CASE WHEN i % 7 = 0 OR (w AND u % 10 = 6 AND i % 7 < 4) THEN 'hosting' WHEN i % 35 = 1 OR (w AND i % 7 IN (1, 2)) THEN 'public' ELSE '' END AS p_type,
   CASE WHEN w AND i % 3 = 0 THEN 'cellular' WHEN i % 3 < 2 THEN 'broadband' ELSE '' END AS c_type,
   CASE i % 4 WHEN 0 THEN 'slow' WHEN 1 THEN 'fast' ELSE 'medium' END AS c_speed,
   CASE WHEN i % 10 < (CASE WHEN w THEN 2 ELSE 6 END) THEN 'quic' ELSE 'tcp' END AS transport,
@@ -55,7 +56,7 @@ SELECT ts AS timestamp, w AS is_w, NOT w AS is_b, i AS event_id,
   (i % 5 = 0) AS is_ipv6,
   CASE WHEN i % 11 = 0 THEN 'SQLI,XSS' WHEN i % 11 = 1 AND w THEN 'CMDEXE, XSS' WHEN i % 11 = 2 THEN 'VERIFIED-BOT.SEARCH' ELSE '' END AS waf_sig,
   CASE WHEN i % 11 < 2 THEN 406 ELSE 200 END AS waf_resp, concat('w', i % 50) AS waf_req_id,
-  concat('ja4_', CASE WHEN w THEN u % 5 ELSE u % 40 END) AS ja4, concat('ja3_', u % 20) AS ja3,
+  CASE WHEN w AND i % 8 = 7 THEN 'ja4_beat' ELSE concat('ja4_', CASE WHEN w THEN u % 5 ELSE u % 40 END) END AS ja4, concat('ja3_', u % 20) AS ja3,
   concat('c_', CASE WHEN w THEN u % 4 ELSE u % 30 END) AS tls_ciphers_sha,
   concat('s_', CASE WHEN w AND u % 15 = 2 THEN i ELSE u % 3 END) AS cookie_session,
   (i % 2 = 0) AS edge, CAST(i AS STRING) AS rid,
@@ -64,7 +65,7 @@ SELECT ts AS timestamp, w AS is_w, NOT w AS is_b, i AS event_id,
   CAST((ROUND(v * 400) + (i % 2) * 100) * (CASE WHEN w THEN 3 ELSE 1 END) AS BIGINT) AS ottfb,
   CAST((ROUND(v * 400) + (i % 2) * 100) * (CASE WHEN w THEN 3 ELSE 1 END) + (i % 9) * 1000 AS BIGINT) AS ottlb,
   CAST(i % 1000 AS DOUBLE) / 1000 AS ttfb,
-  CAST(CASE WHEN et = 'error' AND (w OR i % 3 = 0) THEN 503 ELSE 200 END AS INT) AS ost,
+  CAST(CASE WHEN w AND i % 6 = 4 THEN 503 WHEN et = 'error' AND (w OR i % 3 = 0) THEN 503 ELSE 200 END AS INT) AS ost,
   concat('192.0.2.', i % 6) AS oip,
   CAST((5 + i % 20) * (CASE WHEN w THEN 8 ELSE 1 END) AS DOUBLE) AS oconnect_ms, CAST(i % 9 % 4 AS INT) AS oretries,
   CAST(i % 5000 AS BIGINT) AS obytes,
@@ -110,7 +111,7 @@ CTES = f"WITH logs AS ({LOG_SQL}), vitals AS ({RUM_SQL}), errors AS ({RUM_ERROR_
 def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The derived log over ``events``; only the columns that a query uses are computed."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
-    return spark.sql(LOG_SQL.replace("FROM events", "FROM {events}"), events=events)
+    return spark.sql(LOG_SQL.replace("FROM events", "FROM {events}").replace("AS TIMESTAMP)", "AS TIMESTAMP_NTZ)"), events=events)
 
 
 def rum_vitals(logs: DataFrame) -> DataFrame:

@@ -88,9 +88,13 @@ def stream_top(rows: DataFrame, n: int, view: str, checkpoint: str, where: str =
 
 
 def stream_alerts(values: DataFrame, threshold: float, cooldown_s: int = 3600) -> DataFrame:
-    """Alerts from (name, at, value) with a cooldown per name: state is the time of the last one."""
+    """Alerts from (name, at, value) with a cooldown per name: state is the time of the last one, dropped once the
+    cooldown is over by the clock."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         last = state.get[0] if state.exists else None
         found = []
         for pdf in batches:
@@ -100,19 +104,28 @@ def stream_alerts(values: DataFrame, threshold: float, cooldown_s: int = 3600) -
                     found.append((key[0], at, value))
         if last is not None:
             state.update((last,))
+            state.setTimeoutDuration(cooldown_s * 1000)
         yield pd.DataFrame(found, columns=["name", "at", "value"])
 
-    return values.groupBy("name").applyInPandasWithState(step, "name string, at timestamp, value double", "last double", "append", "NoTimeout")
+    return values.groupBy("name").applyInPandasWithState(step, "name string, at timestamp, value double", "last double", "append", "ProcessingTimeTimeout")
 
 
-def stream_session_score(rows: DataFrame) -> DataFrame:
-    """Dwell-time rules on running statistics per session: count, mean and mean square of the gaps, last time."""
+def stream_session_score(rows: DataFrame, idle_s: int = 1800, longest_s: int = 86400) -> DataFrame:
+    """Dwell-time rules on running statistics per session: count, mean and mean square of the gaps, first and last
+    time.  A session ends after ``idle_s`` without a request or ``longest_s`` in all; its state goes when the clock
+    says that nothing came for ``idle_s``."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
-        n, s1, s2, last = state.get if state.exists else (0, 0.0, 0.0, None)
+        if state.hasTimedOut:
+            state.remove()
+            return
+        n, s1, s2, first, last = state.get if state.exists else (0, 0.0, 0.0, None, None)
         out = []
         for pdf in batches:
             for at in sorted(x.timestamp() for x in pdf["timestamp"]):
+                if last is not None and (at - last > idle_s or at - first > longest_s):
+                    n, s1, s2, first, last = 0, 0.0, 0.0, None, None
+                first = at if first is None else first
                 if last is not None:
                     s1, s2 = s1 + at - last, s2 + (at - last) ** 2
                 n, last = n + 1, at
@@ -120,10 +133,11 @@ def stream_session_score(rows: DataFrame) -> DataFrame:
                 var = s2 / max(1, n - 1) - mean * mean
                 score = 0 if n <= 3 else 50 * (mean < 0.2) + 40 * (var < 0.05 and 0.2 <= mean <= 3)
                 out.append((key[0], n, int(score)))
-        state.update((n, s1, s2, last))
+        state.update((n, s1, s2, first, last))
+        state.setTimeoutDuration(idle_s * 1000)
         yield pd.DataFrame(out, columns=["sid", "seq", "l1"])
 
-    return rows.groupBy("edge_sid").applyInPandasWithState(step, "sid string, seq long, l1 int", "n long, s1 double, s2 double, last double", "append", "NoTimeout")
+    return rows.groupBy("edge_sid").applyInPandasWithState(step, "sid string, seq long, l1 int", "n long, s1 double, s2 double, first double, last double", "append", "ProcessingTimeTimeout")
 
 
 def run_available(out: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:

@@ -45,10 +45,19 @@ def test_facts_and_rum(spark):
     raw = spark.createDataFrame([('{"st":"200","cmcd_br":"5","x":"y","bad":"q"}',)], "raw string")
     row = I.facts_from_json(raw, {"status": "int"}, {"st": "status"}).first()
     assert row["status"] == 200 and row["cmcd"] == {"cmcd_br": "5"} and row["custom_fields"] == {"x": "y", "bad": "q"}
-    beacon = spark.createDataFrame([('{"cid":"c","ts":"2024-01-01T00:00:00Z","page":"/p","metrics":{"LCP":1.5},"events":[{"name":"tap","value":2}],"errors":[{"message":"m","file":"f","line":1,"col":2}]}',)], "raw string")
-    vitals, errors = I.rum_extract(beacon)
-    assert sorted((r["metric_name"], r["metric_value"]) for r in vitals.collect()) == [("LCP", 1.5), ("event_tap", 2.0)]
-    assert errors.first()["error_line"] == 1
+    payload = {
+        "meta": {"browser": {"name": "Firefox", "mobile": True}, "page": {"url": "https://x.example/p/q?z=1"}},
+        "measurements": [{"type": "web-vitals", "values": {"LCP": 1.5, "delta": 9}, "context": {"rating": "good"}}, {"type": "other", "values": {"n": 1}}],
+        "events": [{"name": "tap"}, {"name": "faro.performance.navigation", "attributes": {"ttfb": "12.5", "kind": "reload"}}, {}],
+        "logs": [{"level": "warn"}, {}],
+        "exceptions": [{"value": "m", "stacktrace": {"frames": [{"filename": "f", "lineno": 1, "colno": 2}]}}, {}],
+    }
+    vitals, errors = I.rum_extract(spark.createDataFrame([(json.dumps(payload), "c"), ("{}", "d"), ("no json", "e"), (None, "f")], "raw string, cid string"))
+    got = sorted((r["cid"], r["metric_name"], r["metric_value"], r["metric_rating"]) for r in vitals.collect())
+    assert got[:6] == [("c", "LCP", 1.5, "good"), ("c", "event_tap", 1.0, ""), ("c", "kind", None, ""), ("c", "log", 1.0, "info"), ("c", "log", 1.0, "warn"), ("c", "ttfb", 12.5, "")]
+    assert [(r[0], r[1]) for r in got[6:]] == [("d", "pageview"), ("e", "pageview"), ("f", "pageview")]
+    assert {(r["pathname"], r["browser"], r["os"], r["device"]) for r in vitals.filter("cid = 'c'").collect()} == {("/p/q", "Firefox", "macOS", "Mobile")}
+    assert sorted((r["error_message"], r["error_file"], r["error_line"], r["error_col"]) for r in errors.collect()) == [("Unknown error", "unknown.js", 0, 0), ("m", "f", 1, 2)]
     params = I.rum_query_params(spark.createDataFrame([("/b?m=LCP&v=1.5&m=CLS&v=x",)], "url string")).collect()
     assert [(r["metric_name"], r["metric_value"]) for r in params] == [("LCP", 1.5), ("CLS", None)]
 
