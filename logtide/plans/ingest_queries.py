@@ -188,11 +188,11 @@ UNION ALL SELECT event_id, 'pageview', '', 1 FROM logs WHERE event_id % 4 = 0 AN
     dedup = _stream(lambda r: J.stream_dedup(r, _LOOSE).select("rid", "resp_bytes"), "dedup", "append")
     out["stream_dedup"] = lambda s, d: _totals(dedup(s, d)), f"{_RAW_SQL}, f AS (SELECT DISTINCT rid, resp_bytes FROM good) SELECT {_TOTALS} FROM f"
     out["stream_minute_rollup"] = lambda s, d: _stream(lambda r: J.stream_minute_rollup(r, _LOOSE), "minute")(s, d).withColumn("minute", _text("minute")), f"{_RAW_SQL} SELECT {_MINUTE} AS minute, count(*) AS requests, count(*) FILTER (status >= 400 AND status < 500) AS err4, count(*) FILTER (status >= 500) AS err5, count(*) FILTER (cache IN ('HIT', 'HIT-STALE')) AS hits, CAST(sum(resp_bytes) AS BIGINT) AS bytes FROM good GROUP BY 1"
-    out["stream_sliding_error_rate"] = lambda s, d: _stream(lambda r: J.stream_sliding_error_rate(r, "2 hours", "1 hour", _LOOSE), "sliding")(s, d).select(_text("at"), "requests", F.round("error_rate", 6).alias("error_rate")), f"{_RAW_SQL}, w AS (SELECT date_trunc('hour', timestamp) + INTERVAL 1 HOUR * unnest([1, 2]) AS at, status FROM good) SELECT strftime(at, '%Y-%m-%d %H:%M:%S') AS at, count(*) AS requests, round(count(*) FILTER (status >= 500) * 100.0 / count(*), 6) AS error_rate FROM w GROUP BY 1"
+    out["stream_sliding_error_rate"] = lambda s, d: _stream(lambda r: J.stream_sliding_error_rate(r, "2 hours", "1 hour", _LOOSE), "sliding")(s, d).select(_text("at"), "requests", F.round("error_rate", 6).alias("error_rate")), f"{_RAW_SQL}, w AS (SELECT date_trunc('hour', timestamp) + INTERVAL 1 HOUR * unnest([1, 2]) AS hr, status FROM good) SELECT strftime(hr, '%Y-%m-%d %H:%M:%S') AS \"at\", count(*) AS requests, round(count(*) FILTER (status >= 500) * 100.0 / count(*), 6) AS error_rate FROM w GROUP BY 1"
     out["stream_realtime_tick"] = lambda s, d: _stream(lambda r: J.stream_realtime_tick(r, _LOOSE), "tick")(s, d).select(_text("second"), "requests", F.round("hit_ratio", 6).alias("hit_ratio"), F.round("error_ratio", 6).alias("error_ratio")), f"{_RAW_SQL} SELECT strftime(date_trunc('second', timestamp), '%Y-%m-%d %H:%M:%S') AS second, count(*) AS requests, round(count(*) FILTER (cache LIKE 'HIT%') * 1.0 / count(*), 6) AS hit_ratio, round(count(*) FILTER (status >= 500) * 1.0 / count(*), 6) AS error_ratio FROM good GROUP BY 1"
     out["stream_sessions"] = lambda s, d: _stream(lambda r: J.stream_sessions(r, "30 minutes", _LOOSE), "sessions")(s, d).select("ip", _text("first_ts"), "requests", "err4", "bytes"), f"""{_RAW_SQL}, l AS (SELECT *, lag(timestamp) OVER (PARTITION BY ip ORDER BY timestamp) AS before FROM good), n AS (SELECT *, sum(CASE WHEN before IS NULL OR timestamp - before >= INTERVAL 30 MINUTES THEN 1 ELSE 0 END) OVER (PARTITION BY ip ORDER BY timestamp ROWS UNBOUNDED PRECEDING) AS k FROM l)
 SELECT ip, strftime(min(timestamp), '%Y-%m-%d %H:%M:%S') AS first_ts, count(*) AS requests, count(*) FILTER (status >= 400 AND status < 500) AS err4, CAST(sum(resp_bytes) AS BIGINT) AS bytes FROM n GROUP BY ip, k"""
     out["stream_late_data"] = lambda s, d: J.late_hours(_good(s, d), "2024-01-10 00:00:00").select(_text("hour")), f"{_RAW_SQL} SELECT DISTINCT strftime(date_trunc('hour', timestamp), '%Y-%m-%d %H:%M:%S') AS hour FROM good WHERE timestamp < TIMESTAMP '2024-01-10'"
-    score = _stream(lambda r: J.stream_session_score(r.filter("status = 404").select(F.col("ip").alias("edge_sid"), "timestamp")), "score", "append")
+    score = _stream(lambda r: J.stream_session_score(r.filter("status = 404").select(F.col("ip").alias("edge_sid"), "timestamp"), 10**8, 10**9, _LOOSE), "score", "append")
     out["stream_session_score"] = lambda s, d: score(s, d).groupBy("sid").agg(F.max("seq").alias("events")), f"{_RAW_SQL} SELECT ip AS sid, count(*) AS events FROM good WHERE status = 404 GROUP BY 1"
     return out

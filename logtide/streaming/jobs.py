@@ -87,9 +87,14 @@ def stream_top(rows: DataFrame, n: int, view: str, checkpoint: str, where: str =
     return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def stream_alerts(values: DataFrame, threshold: float, cooldown_s: int = 3600) -> DataFrame:
+def _expire(state: Any, at: float) -> None:
+    """Drop the state once the watermark has passed ``at`` (seconds)."""
+    state.setTimeoutTimestamp(max(int(at * 1000), state.getCurrentWatermarkMs() + 1))
+
+
+def stream_alerts(values: DataFrame, threshold: float, cooldown_s: int = 3600, delay: str = "10 minutes") -> DataFrame:
     """Alerts from (name, at, value) with a cooldown per name: state is the time of the last one, dropped once the
-    cooldown is over by the clock."""
+    watermark is past its cooldown."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -104,16 +109,16 @@ def stream_alerts(values: DataFrame, threshold: float, cooldown_s: int = 3600) -
                     found.append((key[0], at, value))
         if last is not None:
             state.update((last,))
-            state.setTimeoutDuration(cooldown_s * 1000)
+            _expire(state, last + cooldown_s)
         yield pd.DataFrame(found, columns=["name", "at", "value"])
 
-    return values.groupBy("name").applyInPandasWithState(step, "name string, at timestamp, value double", "last double", "append", "ProcessingTimeTimeout")
+    return values.withWatermark("at", delay).groupBy("name").applyInPandasWithState(step, "name string, at timestamp, value double", "last double", "append", "EventTimeTimeout")
 
 
-def stream_session_score(rows: DataFrame, idle_s: int = 1800, longest_s: int = 86400) -> DataFrame:
+def stream_session_score(rows: DataFrame, idle_s: int = 1800, longest_s: int = 86400, delay: str = "10 minutes") -> DataFrame:
     """Dwell-time rules on running statistics per session: count, mean and mean square of the gaps, first and last
-    time.  A session ends after ``idle_s`` without a request or ``longest_s`` in all; its state goes when the clock
-    says that nothing came for ``idle_s``."""
+    time.  A session ends after ``idle_s`` without a request or ``longest_s`` in all; its state goes when the
+    watermark is ``idle_s`` past its last request."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -134,10 +139,10 @@ def stream_session_score(rows: DataFrame, idle_s: int = 1800, longest_s: int = 8
                 score = 0 if n <= 3 else 50 * (mean < 0.2) + 40 * (var < 0.05 and 0.2 <= mean <= 3)
                 out.append((key[0], n, int(score)))
         state.update((n, s1, s2, first, last))
-        state.setTimeoutDuration(idle_s * 1000)
+        _expire(state, last + idle_s)
         yield pd.DataFrame(out, columns=["sid", "seq", "l1"])
 
-    return rows.groupBy("edge_sid").applyInPandasWithState(step, "sid string, seq long, l1 int", "n long, s1 double, s2 double, first double, last double", "append", "ProcessingTimeTimeout")
+    return rows.withWatermark("timestamp", delay).groupBy("edge_sid").applyInPandasWithState(step, "sid string, seq long, l1 int", "n long, s1 double, s2 double, first double, last double", "append", "EventTimeTimeout")
 
 
 def run_available(out: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
