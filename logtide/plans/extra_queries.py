@@ -51,6 +51,18 @@ a AS (SELECT {', '.join(dims)}, CAST(sum(k) AS BIGINT) AS n, CAST(sum(f) AS BIGI
 SELECT a.*, round(power(1.02::DOUBLE, v.c) * 2 / 2.02, 6) AS value FROM a LEFT JOIN v USING ({', '.join(dims)})"""
 
 
+def _all_facts(logs: DataFrame) -> DataFrame:
+    """All families, one row for each and dimension."""
+    parts = []
+    for family, (dims, _, _) in C.FACTS.items():
+        merged = C.merge_facts(C.minute_facts(logs, family), list(dims), 0.95)
+        parts.append(merged.select(F.lit(family).alias("family"), F.concat_ws("/", *dims).alias("key"), "n", "flagged", "total", "value"))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def _rum_sql() -> str:
     parts = [f"SELECT {H} AS hour, '{d}' AS dim, coalesce(CAST({d} AS VARCHAR), 'Unknown') AS value, count(DISTINCT req_id) AS beacons, count(*) AS rows, round(sum(metric_value), 4) AS value_sum, 'vital' AS kind FROM vitals GROUP BY 1, 3" for d in C.RUM_DIMS]
     parts += [f"SELECT {H}, '{d}', coalesce(CAST({d} AS VARCHAR), 'Unknown'), count(DISTINCT req_id), count(*), 0.0, 'error' FROM errors GROUP BY 1, 3" for d in C.RUM_ERROR_DIMS]
@@ -117,6 +129,7 @@ SELECT ja3 AS tls_fingerprint, requests, top_country, matched_waf_rules_count, b
     out["coalesced_dim"] = C.dimensions, _dims_sql()
     for family in C.FACTS:
         out[f"rollup_minute_facts_{family}"] = lambda x, f=family: C.merge_facts(C.minute_facts(x, f), list(C.FACTS[f][0]), 0.95), _facts_sql(family)
+    out["rollup_minute_facts"] = _all_facts, " UNION ALL ".join(f"SELECT '{f}' AS family, concat_ws('/', {', '.join(C.FACTS[f][0])}) AS key, n, flagged, total, value FROM ({_facts_sql(f)})" for f in C.FACTS)
     minutes = READS["rollup_time_series"]
     sums = ["requests", "err4", "err5", "hits", "bytes"]
     start, end = "2024-01-10 03:17:21", "2024-01-12 22:41:09"

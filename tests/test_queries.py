@@ -18,6 +18,9 @@ NAMES = [
     "cmcd_overview", "log_accounting", "filter_spec", "cidr_filter", "normalize_route", "coalesced_url", "coalesced_dim", "facts_page",
     "detect_error_spikes", "detect_cache_collapse", "detect_origin_error_rate", "detect_ua_monoculture", "detect_latency_regression", "detect_botnet_grouping",
     "detect_waf_signal_spikes", "detect_shield_path_degradation", "detect_stale_browser_version", "detect_low_and_slow", "detect_proxy_surge",
+    "detect_cacheability_regression", "detect_origin_ip_failure", "detect_credential_enumeration", "detect_repeated_patterns", "asn_leaderboard", "network_summary", "metro_leaderboard", "exact_window",
+    "rollup_rum", "alert_preview", "proxy_clients", "bot_efficiency", "cmcd_timeseries", "coalesced_fp", "coalesced_geo_latency", "coalesced_url_extended", "ngwaf_bots_ts", "alert_cooldown", "scoring_sessions",
+    "quarantine_split", "ingest_outcomes", "replace_by_source", "write_facts", "rum_extract", "stream_ingest", "stream_dedup", "stream_sessions", "stream_session_score",
 ]
 
 
