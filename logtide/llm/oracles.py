@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from string import Template
+
 from .sharding import layout
 
 _OP1 = r"""
@@ -150,6 +152,118 @@ SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(count(*) FILTER (gone)
 FROM flagged GROUP BY doc_id
 """
 
+#: crc32 of the decimal doc_id: a table of 256 remainders, and a fold over the bytes.
+_CRC_TABLE = """tab AS (
+  SELECT list(c ORDER BY i) AS crc FROM (
+    SELECT i, list_reduce(list_prepend(i, range(8)), lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END) AS c FROM range(256) r(i))
+)"""
+_CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+           lambda x, b: xor(x >> 8, crc[(xor(x, b) & 255) + 1])), 4294967295::BIGINT)"""
+
+_OP11 = r"""
+WITH words AS (
+  SELECT 'd' AS kind, row_number() OVER () AS row, doc_id AS id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents
+  UNION ALL
+  SELECT 'b', row_number() OVER (), item_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')
+  FROM benchmark
+), items AS (
+  SELECT DISTINCT id AS item, least(len(w), 10) AS m, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS win
+  FROM (SELECT *, unnest(generate_series(1, greatest(len(w) - 9, 1))) AS i FROM words WHERE kind = 'b' AND len(w) > 0)
+), sizes AS (SELECT DISTINCT m FROM items), places AS (
+  SELECT row, m, i, array_to_string(w[i:i + m - 1], ' ') AS win
+  FROM (SELECT words.*, sizes.m, unnest(generate_series(1, len(w) - sizes.m + 1)) AS i FROM words, sizes WHERE kind = 'd' AND len(w) >= sizes.m)
+), hits AS (SELECT p.row, p.i, p.m, t.item FROM places p JOIN items t ON p.m = t.m AND p.win = t.win
+), covered AS (SELECT row, count(DISTINCT k) AS n_hit FROM (SELECT row, unnest(generate_series(i, i + m - 1)) AS k FROM (SELECT DISTINCT row, i, m FROM hits)) GROUP BY row
+), named AS (SELECT row, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT row, coalesce(CAST(item AS VARCHAR), '') AS item FROM hits) GROUP BY row)
+SELECT w.id AS doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM words w LEFT JOIN covered USING (row) LEFT JOIN named USING (row)
+WHERE w.kind = 'd'
+"""
+
+_OP12 = r"""
+WITH $table, src AS (
+  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w0 FROM documents
+), crc AS (
+  SELECT *, CASE WHEN doc_id IS NULL THEN 1 ELSE $crc END AS h, len(w0) AS n FROM src, tab
+), plan AS (
+  SELECT *, h % 10 = 0 AND n > 0 AS changed, (h // 10) % greatest(n, 1) AS a, h // 10 AS g FROM crc
+), text AS (
+  SELECT row, doc_id, CASE WHEN changed THEN w0[:a] || list_transform(range(0, n - a), lambda k: w0[a + k % (1 + (n - a) // (3 + g % 8)) + 1]) ELSE w0 END AS w FROM plan
+), places AS (SELECT row, len(w) AS n, unnest(w) AS word, unnest(range(0, len(w))) AS i FROM text
+), equal AS (
+  SELECT a.row, a.i, b.i - a.i AS p FROM places a JOIN places b ON a.row = b.row AND a.word = b.word AND b.i > a.i AND b.i - a.i <= a.n // 4
+), island AS (SELECT row, p, i, i - row_number() OVER (PARTITION BY row, p ORDER BY i) AS g FROM equal
+), stretch AS (SELECT row, min(i) AS start, count(*) + p AS length, p FROM island GROUP BY row, p, g HAVING count(*) + p >= greatest(6, 4 * p)
+), runs AS (SELECT row, start, length, min(p) AS period FROM stretch GROUP BY row, start, length
+), dropped AS (SELECT DISTINCT row, unnest(range(start + period, start + length)) AS i FROM runs
+), kept AS (
+  SELECT row, string_agg(word, ' ' ORDER BY i) AS text FROM places p WHERE NOT EXISTS (SELECT 1 FROM dropped d WHERE d.row = p.row AND d.i = p.i) GROUP BY row
+), told AS (
+  SELECT row, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines FROM runs GROUP BY row
+), best AS (
+  SELECT * FROM runs r WHERE NOT EXISTS (
+    SELECT 1 FROM runs o WHERE o.row = r.row AND (o.length * r.period > r.length * o.period
+      OR o.length * r.period = r.length * o.period AND (o.start < r.start OR o.start = r.start AND o.period < r.period)))
+)
+SELECT t.doc_id, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, CAST(b.start AS BIGINT) AS start, CAST(b.length AS BIGINT) AS length, CAST(b.period AS BIGINT) AS period,
+       CAST(1000 * b.length // b.period AS BIGINT) AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(k.text, '')) AS collapsed_sha256
+FROM text t LEFT JOIN told USING (row) LEFT JOIN best b USING (row) LEFT JOIN kept k USING (row)
+"""
+
+
+
+def _field(name: str, value: str | None = None) -> str:
+    text = f"CAST({value or name} AS VARCHAR)"
+    return f"coalesce(strlen({text}) || ':' || {text}, '-')"
+
+
+_OP13 = r"""
+WITH RECURSIVE $table, leaves AS (
+  SELECT row_number() OVER () AS row, doc_id, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree,
+         row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n,
+         sha256(concat($doc_id, $source, $lang, $n_chars, $text)) AS leaf,
+         CASE WHEN doc_id IS NOT NULL AND $crc % 7 = 0 THEN sha256(concat($doc_id, $source, $lang, $more, $text))
+              ELSE sha256(concat($doc_id, $source, $lang, $n_chars, $text)) END AS start
+  FROM documents, tab
+), nodes AS (
+  SELECT tree, 0 AS level, pos, n, leaf AS digest FROM leaves
+  UNION ALL
+  SELECT tree, level + 1, pos // 2, (n + 1) // 2, sha256(string_agg(digest, '' ORDER BY pos)) FROM nodes WHERE n > 1 GROUP BY tree, level, pos // 2, n
+), subroots AS (SELECT tree, digest AS subroot FROM nodes WHERE n = 1
+), tops AS (
+  SELECT 0 AS level, tree AS pos, (SELECT count(*) FROM subroots) AS n, subroot AS digest FROM subroots
+  UNION ALL
+  SELECT level + 1, pos // 2, (n + 1) // 2, sha256(string_agg(digest, '' ORDER BY pos)) FROM tops WHERE n > 1 GROUP BY level, pos // 2, n
+), inner_climb AS (
+  SELECT row, tree, 0 AS level, pos, n, start AS folded, '' AS proof FROM leaves
+  UNION ALL
+  SELECT c.row, c.tree, c.level + 1, c.pos // 2, (c.n + 1) // 2,
+         sha256(CASE WHEN c.pos % 2 = 1 THEN s.digest || c.folded ELSE c.folded || coalesce(s.digest, '') END), c.proof || coalesce(s.digest, '')
+  FROM inner_climb c LEFT JOIN nodes s ON s.tree = c.tree AND s.level = c.level AND s.pos = xor(c.pos, 1) WHERE c.n > 1
+), outer_climb AS (
+  SELECT row, 0 AS level, tree AS pos, (SELECT count(*) FROM subroots) AS n, folded, proof FROM inner_climb WHERE n = 1
+  UNION ALL
+  SELECT c.row, c.level + 1, c.pos // 2, (c.n + 1) // 2,
+         sha256(CASE WHEN c.pos % 2 = 1 THEN s.digest || c.folded ELSE c.folded || coalesce(s.digest, '') END), c.proof || coalesce(s.digest, '')
+  FROM outer_climb c LEFT JOIN tops s ON s.level = c.level AND s.pos = xor(c.pos, 1) WHERE c.n > 1
+)
+SELECT l.doc_id, l.leaf, r.subroot, t.digest AS root, sha256(c.proof) AS proof_sha256, c.folded AS folded_root, c.folded = t.digest AS verified
+FROM leaves l JOIN subroots r USING (tree) JOIN outer_climb c USING (row), tops t
+WHERE c.n = 1 AND t.n = 1
+"""
+
+_FIELDS = {name: _field(name) for name in ("doc_id", "source", "lang", "n_chars", "text")} | {"more": _field("n_chars", "(n_chars + 1)")}
+
+
+def _filled(sql: str) -> str:
+    return Template(sql).substitute(_FIELDS, table=_CRC_TABLE, crc=_CRC)
+
+
 ORACLES: dict[str, str] = {
     "op1_exact_dedup": _OP1, "op3_source_mixing": _OP3, "op4_chat_format": _OP4, "op7_sharding": _op7(), "op8_ngram_jaccard": _OP8, "op10_line_dedup": _OP10,
+    "op11_decontamination": _OP11, "op12_periodic_runs": _filled(_OP12), "op13_merkle_manifest": _filled(_OP13),
 }
