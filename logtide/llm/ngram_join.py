@@ -7,8 +7,10 @@ prefix length, prefixes that do not meet prove that the sets do not either.  Can
 * order 1 puts rare tokens first.  A token is at most as frequent as its rarest word, and as the counter of its hash
   says: two count sketches of fixed size over the whole corpus, of words and of n-grams, give both bounds, and the
   lower one counts.  Words are far fewer than n-grams, so theirs still tells rare from frequent where the other is
-  long full; the other knows passages of frequent words that many documents share.  Order 1 makes the candidates, with
-  the size and position filters on top;
+  long full; the other knows passages of frequent words that many documents share.  Tokens that turn out to be crowded
+  all the same (the first prefixes of many documents hold them, which is counted exactly) are put behind all others, and the
+  documents that had them in front get new prefixes: the sketches may fill up as the input grows, the order stays good.
+  Order 1 makes the candidates, with the size and position filters on top;
 * orders 2 and 3 are by two independent hashes; their prefixes are kept as short signatures (equal tokens have equal
   signatures, so no link is lost) and are intersected with the candidates before any set is compared;
 * what is left is verified on the whole sets.
@@ -146,9 +148,15 @@ def _sketch(docs: DataFrame, n: int, bits: int) -> np.ndarray:
     return out
 
 
-def _rarest(words: np.ndarray, n: int, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(distinct n-grams in ascending order, their places under order 1: the lower bound of their frequency, then the
-    bound by their words, then hash)."""
+def _marked(tokens: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """Whether the bit of each token is set."""
+    slots = tokens & np.uint64(8 * len(marks) - 1)
+    return (marks[(slots >> np.uint64(3)).astype(np.int64)] >> (slots & np.uint64(7)).astype(np.uint8)) & 1 > 0
+
+
+def _rarest(words: np.ndarray, n: int, counts: np.ndarray, marks: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct n-grams in ascending order, their places under order 1: marked ones last, then the lower bound of their
+    frequency, then the bound by their words, then hash)."""
     grams = _ngrams(words, n)
     s, first = np.unique(grams, return_index=True)
     if not len(s):
@@ -156,22 +164,23 @@ def _rarest(words: np.ndarray, n: int, counts: np.ndarray) -> tuple[np.ndarray,
     bits = len(counts).bit_length() - 2
     k, c = min(n, len(words)), counts[_slots(words, bits)]
     by_word = np.minimum.reduce([c[j : len(words) - k + 1 + j] for j in range(k)])[first]
-    return s, np.lexsort((s, by_word, np.minimum(by_word, counts[_slots(s, bits) + (1 << bits)])))
+    keys = [s, by_word, np.minimum(by_word, counts[_slots(s, bits) + (1 << bits)])]
+    return s, np.lexsort(keys if marks is None else [*keys, _marked(s, marks)])
 
 
-def _prefixes(docs: DataFrame, n: int, num: int, den: int, counts: np.ndarray) -> DataFrame:
+def _prefixes(docs: DataFrame, n: int, num: int, den: int, counts: np.ndarray, marks: np.ndarray | None = None) -> DataFrame:
     """doc_id, size, set_key, prefix (tokens under order 1) and sig2, sig3 (signatures of the prefixes under orders 2
     and 3)."""
-    shared = docs.sparkSession.sparkContext.broadcast(counts)
+    shared = docs.sparkSession.sparkContext.broadcast((counts, marks))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        counts = shared.value
+        counts, marks = shared.value
         for batch in batches:
             sizes, keys, firsts, sigs = [], [], [], ([], [])
             for words in _word_hashes(batch.column(1)):
-                s, order = _rarest(words, n, counts)
+                s, order = _rarest(words, n, counts, marks)
                 p = _prefix_length(len(s), num, den)
                 sizes.append(len(s))
                 keys.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
@@ -187,6 +196,48 @@ def _prefixes(docs: DataFrame, n: int, num: int, den: int, counts: np.ndarray) -
     return docs.mapInArrow(run, "doc_id long, size long, set_key binary, prefix array<long>, sig2 array<short>, sig3 array<short>")
 
 
+def _crowded(prefixes: DataFrame, crowd: int, max_bits: int = 27) -> np.ndarray | None:
+    """Bitmap of the tokens that more than ``crowd`` prefixes hold, of at most 2**max_bits / 8 bytes; None where there is none."""
+    tokens = prefixes.filter("doc_id is not null").select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("k"))
+    tokens = stage(tokens.filter(F.col("k") > crowd).select("token"), "ngram-crowded")
+    n = tokens.count()
+    bits = min(max_bits, max(15, (16 * n).bit_length()))
+    slot = F.pmod("token", F.lit(1 << bits))
+    # At most 2**max_bits / 32768 rows of 4 KB.
+    blocks = tokens.groupBy(F.floor(slot / 32768).alias("block")).agg(F.bitmap_construct_agg(slot % 32768).alias("bits"))
+    marks = np.zeros((1 << bits) // 8, np.uint8)
+    for row in blocks.collect() if n else []:
+        marks[row["block"] * 4096 : (row["block"] + 1) * 4096] = np.frombuffer(row["bits"], np.uint8)
+    unstage(tokens)
+    return marks if n else None
+
+
+def _reordered(docs: DataFrame, prefixes: DataFrame, n: int, num: int, den: int, counts: np.ndarray, crowd: int) -> DataFrame:
+    """``prefixes`` with crowded tokens behind all others.
+
+    A prefix without any stays as it is, as the order of its tokens is unchanged; the others are made anew.
+    """
+    marks = _crowded(prefixes, crowd)
+    if marks is None:
+        return prefixes
+    shared = docs.sparkSession.sparkContext.broadcast(marks)
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))])
+            tokens = batch.column(1).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            hits = np.concatenate([[0], np.cumsum(_marked(tokens, shared.value))])
+            yield pa.record_batch([batch.column(0).filter(pa.array(hits[ends[1:]] > hits[ends[:-1]]))], ["doc_id"])
+
+    again = stage(prefixes.filter("doc_id is not null").select("doc_id", "prefix").mapInArrow(held, "doc_id long").distinct(), "ngram-again")
+    # The bitmap of ids parts documents and prefixes alike.
+    kept = split_by_ids(prefixes, again)[1].toDF(*prefixes.columns)
+    new = _prefixes(split_by_ids(docs, again)[0].toDF(*docs.columns), n, num, den, counts, marks)
+    out = stage(kept.unionByName(new), "ngram-prefixes")
+    unstage(prefixes, again)
+    return out
+
+
 def _may_link(n1: Column, p1: Column, n2: Column, p2: Column, num: int, den: int) -> Column:
     """Size filter, and position filter at a first common token: what may still be shared from there on."""
     n1, n2 = n1.cast("long"), n2.cast("long")
@@ -263,15 +314,17 @@ def _second_pass(shared: DataFrame, leads: DataFrame, found: DataFrame, num: int
     return rest
 
 
-def ngram_components(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, sketch_bits: int = 19) -> DataFrame:
+def ngram_components(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, sketch_bits: int = 19, crowd: int = 32) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id (smallest doc_id in reach).
 
-    Documents link where ``den * |both| >= num * |either|``.  ``sketch_bits`` sizes the count sketch; it decides
-    only how well rare tokens are told from frequent ones, never which links are found.
+    Documents link where ``den * |both| >= num * |either|``.  ``sketch_bits`` sizes the count sketch, and tokens that more than
+    ``crowd`` prefixes hold go to the end; both decide only how well rare tokens are told from frequent ones, never which
+    links are found.
     """
     ship_package(docs.sparkSession)
     docs = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text")
-    prefixes = stage(_prefixes(docs, n, num, den, _sketch(docs, n, sketch_bits)), "ngram-prefixes")
+    counts = _sketch(docs, n, sketch_bits)
+    prefixes = _reordered(docs, stage(_prefixes(docs, n, num, den, counts), "ngram-prefixes"), n, num, den, counts, crowd)
     members = prefixes.select("doc_id", "size", "set_key")
     named = members.filter("size > 0 and doc_id is not null")
     reps = stage(named.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("size").alias("size")), "ngram-reps")

@@ -66,6 +66,20 @@ def test_ngram_components(make_docs, n, num, den):
     assert {r[0] for r in kept.collect()} == {i for i, (_, c) in want.items() if i == c}
 
 
+def test_ngram_crowded_passages(make_docs):
+    """A passage that many unlinked documents share; the order changes, the links do not."""
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdef") for _ in range(2))
+    passage = " ".join(word() for _ in range(12))
+    texts = [" ".join(word() for _ in range(rng.randrange(10, 60))) + " " + passage for _ in range(50)]
+    texts += [t.replace("ab", "zz", 1) for t in texts[:15]] + [passage] * 3 + [passage + " end"]
+    rows = list(enumerate(texts))
+    want = brute_components(rows, 3, 80, 100)
+    for crowd in (1, 4, 1000):
+        got = ngram_components(make_docs(rows), 3, 80, 100, sketch_bits=8, crowd=crowd).collect()
+        assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
+
+
 def test_ngram_edges(make_docs):
     got = ngram_components(make_docs([(1, "a b c d"), (1, "a b c d"), (None, "a b c d"), (2, "A b c d")]), 3, 90, 100).collect()
     assert sorted((str(r["doc_id"]), r["component_id"]) for r in got) == [("1", 1), ("1", 1), ("2", 1), ("None", None)]
