@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import analytics as A
 from ..operators import detections as D
+from ..operators.detect_all import DetectAll
 from ..operators.reads import HOUR, READS
 from . import detection_sql, extra_queries, ingest_queries, more_queries, read_sql
 from ..sources.request_log import BASELINE_HOURS, CTES, WINDOW_HOURS, request_log, rum_errors, rum_vitals
@@ -47,6 +48,19 @@ _EASIER = {
 }
 
 
+def _detect_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = DetectAll(request_log(spark, sf_dir), _pops(spark), _EASIER)
+    return found.items().drop("meta")
+
+
+def _detect_all_sql(oracles: dict[str, str]) -> str:
+    """All detections one by one, each from rows of its own, and the verdicts over their items."""
+    each = " UNION ALL ".join(f"SELECT '{n.removeprefix('detect_')}' AS id, CAST(label AS VARCHAR) AS label, current_val, baseline_val, unit, severity FROM ({sql.removeprefix(CTES).lstrip(', ').join(('WITH ', ''))})" for n, sql in oracles.items())
+    return f"""{CTES.replace('logs AS (', 'logs AS MATERIALIZED (', 1)}, items AS ({each})
+SELECT *, CASE WHEN id = 'proxy_surge' THEN 'warning' WHEN count(*) FILTER (severity = 'critical') OVER (PARTITION BY id) > 0 THEN 'critical'
+  WHEN id LIKE 'repeated_patterns%' AND count(*) FILTER (severity = 'warning') OVER (PARTITION BY id) = 0 THEN 'info' ELSE 'warning' END AS verdict FROM items"""
+
+
 def _logs(f: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: f(request_log(spark, sf_dir))
 
@@ -242,27 +256,37 @@ SELECT hour, expected, stored, gap, coalesce(run_length, 0) AS run_length, round
     add("tunnel_filter", lambda x: x.join(F.broadcast(_pops(x.sparkSession)), "pop").filter((S.haversine_km(F.col("lat"), F.col("lon"), F.col("pop_lat"), F.col("pop_lon")) > F.col("rtt_min") / 1000.0 * 100 + 150) | (F.col("rtt_min") / F.col("tcp_rtt") < 0.1)).groupBy("pop").agg(F.count("*").alias("n")),
         f"{CTES} SELECT pop, count(*) AS n FROM logs JOIN {_POPS_SQL} USING (pop) WHERE 2 * 6371 * asin(sqrt(power(sin(radians(lat - pop_lat) / 2), 2) + cos(radians(lat)) * cos(radians(pop_lat)) * power(sin(radians(lon - pop_lon) / 2), 2))) > rtt_min / 1000.0 * 100 + 150 OR rtt_min / tcp_rtt < 0.1 GROUP BY 1")
     # Detections with joins or sequences.
+    shown = detection_sql.shown
     scaled = f"coalesce(b_cnt, 0) * 1.0 / {BASELINE_HOURS}.0 * {WINDOW_HOURS}.0"
-    add("detect_waf_signal_spikes", D.waf_signal_spikes, f"{CTES}, x AS (SELECT trim(unnest(string_split(waf_sig, ','))) AS label, is_w, is_b FROM logs WHERE waf_sig <> ''), g AS (SELECT label, count(*) FILTER (is_w) AS w_cnt, count(*) FILTER (is_b) AS b_cnt FROM x WHERE label <> '' AND label <> 'BOT-ANALYSIS' GROUP BY 1) SELECT label, w_cnt, b_cnt, round(CAST(w_cnt AS DOUBLE) / greatest({scaled}, 0.5), 4) AS spike_ratio FROM g WHERE w_cnt >= 3 AND w_cnt > {scaled} * 2 + 2 ORDER BY 4 DESC, 1 LIMIT 15")
-    add("detect_origin_latency_spike", D.origin_latency_spike, f"{CTES}, o AS (SELECT quantile_cont(ottfb, 0.95) FILTER (is_w) / 1000.0 AS w_p95, quantile_cont(ottfb, 0.95) FILTER (is_b) / 1000.0 AS b_p95 FROM logs), u AS (SELECT url, count(*) AS requests, round(quantile_cont(ottfb, 0.95) / 1000.0, 1) AS p95_ms FROM logs WHERE is_w GROUP BY 1 HAVING count(*) >= 10) SELECT u.*, w_p95, b_p95 FROM u, o WHERE w_p95 > b_p95 * 2 ORDER BY p95_ms DESC, url LIMIT 10")
-    add("detect_shield_path_degradation", D.shield_path_degradation, f"{CTES}, e AS (SELECT rid, pop AS edge_pop, ottfb AS e, is_w, is_b FROM logs WHERE edge), s AS (SELECT prid, pop AS s_pop, ottfb AS s FROM logs WHERE NOT edge AND prid <> ''), j AS (SELECT edge_pop, coalesce(s_pop, 'Direct to Origin') AS shield_pop, (e - coalesce(s, 0)) / 1000.0 AS t, is_w, is_b FROM e LEFT JOIN s ON s.prid = e.rid), g AS (SELECT edge_pop, shield_pop, quantile_cont(t, 0.5) FILTER (is_w) AS w_p50, quantile_cont(t, 0.5) FILTER (is_b) AS b_p50, count(*) FILTER (is_w) AS w_cnt FROM j GROUP BY 1, 2) SELECT * FROM g WHERE w_cnt >= 5 AND w_p50 > b_p50 * 1.5 ORDER BY w_p50 / nullif(b_p50, 0) DESC NULLS LAST, edge_pop, shield_pop LIMIT 20")
-    add("detect_impossible_distance", lambda x: D.impossible_distance(x, _pops(x.sparkSession)), f"{CTES}, f AS (SELECT ja4 AS label, round(2 * 6371 * asin(sqrt(power(sin(radians(lat - pop_lat) / 2), 2) + cos(radians(lat)) * cos(radians(pop_lat)) * power(sin(radians(lon - pop_lon) / 2), 2))), 1) AS d, round(CAST(tcp_rtt AS DOUBLE) / 2.0 / 1e6 * 200000 * 2, 1) AS m FROM logs JOIN {_POPS_SQL} USING (pop) WHERE is_w AND tcp_rtt > 0) SELECT label, count(*) AS hits, round(max(d - m), 1) AS worst_excess_km, max(d) AS max_dist_km, min(m) AS min_allowed_km FROM f WHERE d > m GROUP BY 1 HAVING count(*) >= 2 ORDER BY 3 DESC, 1 LIMIT 15")
+    add("detect_waf_signal_spikes", D.waf_signal_spikes, f"{CTES}, x AS (SELECT trim(unnest(string_split(waf_sig, ','))) AS label, is_w, is_b FROM logs WHERE waf_sig <> ''), g AS (SELECT label, count(*) FILTER (is_w) AS w_cnt, count(*) FILTER (is_b) AS b_cnt FROM x WHERE label <> '' AND label <> 'BOT-ANALYSIS' GROUP BY 1), c AS (SELECT label, w_cnt, b_cnt, round(CAST(w_cnt AS DOUBLE) / greatest({scaled}, 0.5), 4) AS spike_ratio FROM g WHERE w_cnt >= 3 AND w_cnt > {scaled} * 2 + 2 ORDER BY 4 DESC, 1 LIMIT 15) {shown('waf_signal_spikes')}")
+    add("detect_origin_latency_spike", D.origin_latency_spike, f"{CTES}, o AS (SELECT quantile_cont(ottfb, 0.95) FILTER (is_w) / 1000.0 AS w_p95, quantile_cont(ottfb, 0.95) FILTER (is_b) / 1000.0 AS b_p95 FROM logs), u AS (SELECT url AS label, count(*) AS requests, round(quantile_cont(ottfb, 0.95) / 1000.0, 1) AS p95_ms FROM logs WHERE is_w GROUP BY 1 HAVING count(*) >= 10), c AS (SELECT u.*, w_p95, b_p95 FROM u, o WHERE w_p95 > b_p95 * 2 ORDER BY p95_ms DESC, label LIMIT 10) {shown('origin_latency_spike')}")
+    add("detect_shield_path_degradation", D.shield_path_degradation, f"{CTES}, e AS (SELECT rid, pop AS edge_pop, ottfb AS e, is_w, is_b FROM logs WHERE edge), s AS (SELECT prid, pop AS s_pop, ottfb AS s FROM logs WHERE NOT edge AND prid <> ''), j AS (SELECT edge_pop, coalesce(s_pop, 'Direct to Origin') AS shield_pop, (e - coalesce(s, 0)) / 1000.0 AS t, is_w, is_b FROM e LEFT JOIN s ON s.prid = e.rid), g AS (SELECT edge_pop, shield_pop, quantile_cont(t, 0.5) FILTER (is_w) AS w_p50, quantile_cont(t, 0.5) FILTER (is_b) AS b_p50, count(*) FILTER (is_w) AS w_cnt FROM j GROUP BY 1, 2), c AS (SELECT concat(edge_pop, ' → ', shield_pop) AS label, * FROM g WHERE w_cnt >= 5 AND w_p50 > b_p50 * 1.5 ORDER BY w_p50 / nullif(b_p50, 0) DESC NULLS LAST, edge_pop, shield_pop LIMIT 20) {shown('shield_path_degradation')}")
+    add("detect_impossible_distance", lambda x: D.impossible_distance(x, _pops(x.sparkSession)), f"{CTES}, f AS (SELECT ja4 AS label, round(2 * 6371 * asin(sqrt(power(sin(radians(lat - pop_lat) / 2), 2) + cos(radians(lat)) * cos(radians(pop_lat)) * power(sin(radians(lon - pop_lon) / 2), 2))), 1) AS d, round(CAST(tcp_rtt AS DOUBLE) / 2.0 / 1e6 * 200000 * 2, 1) AS m FROM logs JOIN {_POPS_SQL} USING (pop) WHERE is_w AND tcp_rtt > 0), c AS (SELECT label, count(*) AS hits, round(max(d - m), 1) AS worst_excess_km, max(d) AS max_dist_km, min(m) AS min_allowed_km FROM f WHERE d > m GROUP BY 1 HAVING count(*) >= 2 ORDER BY 3 DESC, 1 LIMIT 15) {shown('impossible_distance')}")
     for name, key, spread in (("repeated_patterns", "ip", "ua"), ("repeated_patterns_fp", "ja4", "ip")):
         add(f"detect_{name}", lambda x, k=key, s=spread: D.repeated_patterns(x, k, s), _behind(detection_sql.repeated(key, spread)))
-    crawl = "([a-z0-9_.-]*(bot|crawler|spider)[a-z0-9_.-]*|python-[a-z0-9_.-]+)"
+    # The tokens of crawlers and the endings that are cut from them, written out for the comparison.
+    crawl = "([a-z0-9_.-]*(?:bot|crawler|spider|slurp|archiver|scraper|externalagent|extended|other|preview)[a-z0-9_.-]*|headless[a-z0-9_.-]*|python-[a-z0-9_.-]+|go-http-client|curl|wget|scrapy|aiohttp|httpx|okhttp|axios)"
+    ending = "(-searchbot|-assistbot|-externalagent|-extended|-user|searchbot|assistbot|externalagent|extended|crawler|spider|slurp|archiver|scraper|preview|other|bot).*$"
     add("detect_crawler_disparity", D.crawler_disparity, f"""{CTES}, t AS (SELECT *, regexp_extract(lower(ua), '{crawl}', 1) AS tok, regexp_extract(lower(ua), 'https?://(www[.])*([^/.:;) ]+)', 2) AS site FROM logs),
-c AS (SELECT CASE WHEN regexp_replace(tok, '(-user|crawler|spider|bot).*$', '') = '' THEN tok ELSE regexp_replace(tok, '(-user|crawler|spider|bot).*$', '') END AS stem, tok, site, is_w, resp_bytes FROM t WHERE tok <> ''),
-g AS (SELECT stem, min(tok) FILTER (is_w) AS label, max(site) FILTER (is_w) AS site, count(*) FILTER (is_w) AS w_crawls, CAST(coalesce(sum(resp_bytes) FILTER (is_w), 0) AS BIGINT) AS w_bytes FROM c GROUP BY 1 HAVING count(*) FILTER (is_w) >= 50),
-v AS (SELECT DISTINCT ip, CASE WHEN ua LIKE '%ChatGPT-User%' THEN 'chatgpt' ELSE regexp_extract(lower(referer), 'https?://(www[.])*([^/.:; ]+)', 2) END AS ref FROM logs WHERE is_w AND regexp_extract(lower(ua), '{crawl}', 1) = ''),
-j AS (SELECT stem, count(DISTINCT ip) AS w_referrals FROM g JOIN v ON ref <> '' AND (stem = ref OR (length(regexp_replace(stem, '[aeiou]', '', 'g')) >= 3 AND regexp_replace(stem, '[aeiou]', '', 'g') = regexp_replace(ref, '[aeiou]', '', 'g')) OR (length(stem) >= 3 AND length(ref) >= 3 AND (contains(ref, stem) OR contains(stem, ref))) OR (site <> '' AND site = ref)) GROUP BY 1),
-r AS (SELECT label, w_crawls, coalesce(w_referrals, 0) AS w_referrals, w_bytes, round(w_crawls / greatest(coalesce(w_referrals, 0), 1), 4) AS crawls_per_referral, round(w_bytes / greatest(coalesce(w_referrals, 0), 1), 4) AS bytes_per_referral, round(w_bytes * 100.0 / (SELECT sum(resp_bytes) FROM logs WHERE is_w), 2) AS bandwidth_share_pct FROM g LEFT JOIN j USING (stem))
-SELECT * FROM r WHERE w_referrals = 0 OR crawls_per_referral >= 100 OR bytes_per_referral >= 1048576 ORDER BY crawls_per_referral DESC, w_bytes DESC, label LIMIT 10""")
+k AS (SELECT CASE WHEN regexp_replace(tok, '{ending}', '') = '' THEN tok ELSE regexp_replace(tok, '{ending}', '') END AS stem, tok, site, is_w, is_b, resp_bytes FROM t WHERE tok <> ''),
+g AS (SELECT stem, min(tok) FILTER (is_w) AS label, max(site) FILTER (is_w) AS site, count(*) FILTER (is_w) AS w_crawls, count(*) FILTER (is_b) AS b_crawls, CAST(coalesce(sum(resp_bytes) FILTER (is_w), 0) AS BIGINT) AS w_bytes,
+  CAST(coalesce(sum(resp_bytes) FILTER (is_b), 0) AS BIGINT) AS b_bytes FROM k GROUP BY 1 HAVING count(*) FILTER (is_w) >= 50),
+v AS (SELECT DISTINCT ip, is_w, CASE WHEN ua LIKE '%ChatGPT-User%' THEN 'chatgpt' ELSE regexp_extract(lower(referer), 'https?://(www[.])*([^/.:; ]+)', 2) END AS ref FROM logs WHERE regexp_extract(lower(ua), '{crawl}', 1) = ''),
+j AS (SELECT stem, count(DISTINCT ip) FILTER (is_w) AS w_ref, count(DISTINCT ip) FILTER (NOT is_w) AS b_ref FROM g JOIN v ON ref <> '' AND (stem = ref OR (length(regexp_replace(stem, '[aeiou]', '', 'g')) >= 3 AND regexp_replace(stem, '[aeiou]', '', 'g') = regexp_replace(ref, '[aeiou]', '', 'g'))
+  OR (length(stem) >= 3 AND length(ref) >= 3 AND (contains(ref, stem) OR contains(stem, ref))) OR (site <> '' AND site = ref)) GROUP BY 1),
+n AS (SELECT g.*, coalesce(w_ref, 0) AS w_referrals, greatest(coalesce(w_ref, 0), 1) AS wr, greatest(coalesce(b_ref, 0), 1) AS br FROM g LEFT JOIN j USING (stem)),
+r AS (SELECT label, w_crawls, w_referrals, w_bytes, round(w_crawls / wr, 4) AS crawls_per_referral, round(b_crawls / br, 4) AS baseline_crawls_per_referral, round(w_bytes / wr, 4) AS bytes_per_referral, round(b_bytes / br, 4) AS baseline_bytes_per_referral,
+  round(w_bytes * 100.0 / (SELECT sum(resp_bytes) FROM logs WHERE is_w), 2) AS bandwidth_share_pct FROM n),
+c AS (SELECT * FROM r WHERE w_referrals = 0 OR crawls_per_referral >= 100 OR bytes_per_referral >= 1048576 ORDER BY crawls_per_referral DESC, w_bytes DESC, label LIMIT 10) {shown('crawler_disparity')}""")
+    detected = _REPORTS[1] | o
+    q["detect_all"], o["detect_all"] = _detect_all, _detect_all_sql({n: detected[n] for n in sorted(detected) if n.startswith("detect_")})
     for name, (frame, sql) in {**more_queries.entries(_pops, _POPS_SQL), **extra_queries.entries(_pops, _POPS_SQL)}.items():
         add(name, frame, sql)
     return q, o
 
 
-_REPORTS, _SPECIAL, _INGEST = _reports(), _special(), ingest_queries.queries()
+_REPORTS = _reports()
+_SPECIAL, _INGEST = _special(), ingest_queries.queries()
 
 
 def queries() -> dict[str, Query]:

@@ -45,6 +45,7 @@ class Report:
     keys: Mapping[str, str] = field(default_factory=dict)
     measures: Mapping[str, str] = field(default_factory=dict)
     where: str = "true"
+    key_where: str = "true"
     totals: Mapping[str, str] = field(default_factory=dict)
     derived: Mapping[str, str] = field(default_factory=dict)
     having: str = "true"
@@ -60,6 +61,10 @@ class Report:
             text = text.replace("{" + k + "}", str(v))
         return text
 
+    def filled(self, text: str, **overrides: object) -> str:
+        """``text`` with the thresholds put in."""
+        return self._fill(text, overrides)
+
     def _output(self) -> list[str]:
         return list(self.columns or [*self.keys, *self.measures, *self.totals, *self.derived])
 
@@ -67,12 +72,17 @@ class Report:
         rest = [k for k in self.keys if k not in [o.lstrip("-") for o in self.order]]
         return [*self.order, *rest]
 
-    def frame(self, rows: DataFrame, **overrides: object) -> DataFrame:
-        """The report over ``rows``; ``overrides`` replace its thresholds."""
+    def aggregate(self, rows: DataFrame, **overrides: object) -> DataFrame:
+        """Keys and measures.  ``key_where`` speaks of keys alone: Catalyst moves it below the aggregate."""
         fill = lambda text: self._fill(text, overrides)
         kept = rows if self.where == "true" else rows.filter(fill(self.where))
         keys = [F.expr(fill(e)).alias(n) for n, e in self.keys.items()]
         out = kept.groupBy(*keys).agg(*[F.expr(fill(e)).alias(n) for n, e in self.measures.items()])
+        return out if self.key_where == "true" else out.filter(fill(self.key_where))
+
+    def finish(self, out: DataFrame, **overrides: object) -> DataFrame:
+        """Totals, derived columns, thresholds and the top-K over what :meth:`aggregate` returns."""
+        fill = lambda text: self._fill(text, overrides)
         if self.totals:
             # One row: the totals of the aggregate, whose exchange is reused.
             one = out.agg(*[F.expr(fill(e)).alias(n) for n, e in self.totals.items()])
@@ -84,3 +94,7 @@ class Report:
         if self.limit is not None:
             out = out.orderBy(*[ordering(o) for o in self._order()]).limit(self.limit)
         return out.select(*self._output())
+
+    def frame(self, rows: DataFrame, **overrides: object) -> DataFrame:
+        """The report over ``rows``; ``overrides`` replace its thresholds."""
+        return self.finish(self.aggregate(rows, **overrides), **overrides)
