@@ -278,21 +278,25 @@ def rollup_virtual_fields(logs: DataFrame, column: str = "waf_sig") -> DataFrame
     return items.filter("value <> ''").groupBy("hour", "value").agg(F.sum("n").alias("count"))
 
 
-def rollup_ip_spread(logs: DataFrame, field: str = "country") -> DataFrame:
-    """(hour, value, ips_sketch, rows): distinct addresses as a mergeable sketch."""
-    return logs.filter(F.col(field).isNotNull()).groupBy(F.expr(HOUR).alias("hour"), F.col(field).alias("value")).agg(F.hll_sketch_agg("ip", 12).alias("ips_sketch"), F.count("*").alias("rows"))
+def rollup_ip_spread(logs: DataFrame, field: str = "country", k: int = 5000) -> DataFrame:
+    """(hour, value): distinct addresses that were observed, a sample of at most ``k`` of them as a mergeable sketch, whether the
+    sample is capped, the hash where it ends, and rows.
 
-
-def ip_spread_days(hourly: DataFrame) -> DataFrame:
-    out = hourly.groupBy(F.substring("hour", 1, 10).alias("day"), "value").agg(F.hll_union_agg("ips_sketch").alias("s"), F.sum("rows").alias("rows"))
-    return out.select("day", "value", F.hll_sketch_estimate("s").alias("ips"), "rows")
+    The sample has the addresses of smallest md5, so that reruns and other hours sample alike.  Every task keeps just its
+    own ``k`` smallest of a value before the shuffle (Spark limits the groups of the window).
+    """
+    named = logs.filter(F.col(field).isNotNull() & F.col("ip").isNotNull())
+    pairs = named.groupBy(F.expr(HOUR).alias("hour"), F.col(field).alias("value"), "ip").agg(F.count("*").alias("n"))
+    totals = pairs.groupBy("hour", "value").agg(F.count("*").alias("observed"), F.sum("n").alias("rows"))
+    place = F.row_number().over(Window.partitionBy("hour", "value").orderBy(F.md5("ip"), "ip"))
+    sample = pairs.withColumn("place", place).filter(F.col("place") <= k).groupBy("hour", "value").agg(F.hll_sketch_agg("ip", 12).alias("ips_sketch"), F.count("*").alias("sampled"), F.max(F.md5("ip")).alias("last_hash"))
+    return totals.join(sample, ["hour", "value"]).withColumn("capped", F.col("observed") > F.col("sampled"))
 
 
-def read_rollup_plus_live(rollup: DataFrame, live: DataFrame, keys: Sequence[str], closed_before: str) -> DataFrame:
-    """Closed hours from the rollup, all others from the live rows of the same shape; measures are summed."""
-    both = rollup.filter(F.col("hour") < closed_before).unionByName(live.filter(F.col("hour") >= closed_before))
-    measures = [c for c in rollup.columns if c not in keys]
-    return both.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in measures])
+def ip_spread_days(hourly: DataFrame) -> DataFrame:
+    """Days from hours: the union of the samples, and whether any was capped (then ``ips`` is a lower bound)."""
+    out = hourly.groupBy(F.substring("hour", 1, 10).alias("day"), "value").agg(F.hll_union_agg("ips_sketch").alias("s"), F.sum("rows").alias("rows"), F.max("capped").alias("capped"))
+    return out.select("day", "value", F.hll_sketch_estimate("s").alias("ips"), "rows", "capped")
 
 
 def correlate_errors(logs: DataFrame, fields: Sequence[str], k: int = 5) -> DataFrame:

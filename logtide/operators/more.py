@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -102,37 +102,6 @@ def insufficient_baseline(logs: DataFrame, window_start: str, baseline_hours: fl
     return logs.agg(F.round(have, 4).alias("hours")).withColumn("insufficient", F.col("hours") < baseline_hours)
 
 
-Builder = Callable[[DataFrame], DataFrame]
-
-
-def rollup_missing(rollup: DataFrame, logs: DataFrame) -> DataFrame:
-    """Hours that have rows but no rollup."""
-    hours = logs.select(F.expr(HOUR).alias("hour")).distinct()
-    return hours.join(rollup.select("hour").distinct(), "hour", "left_anti")
-
-
-def rollup_heal(rollup: DataFrame, logs: DataFrame, build: Builder) -> DataFrame:
-    """The rollup with its missing hours rebuilt, and only those."""
-    missing = rollup_missing(rollup, logs)
-    rows = logs.withColumn("__h", F.expr(HOUR)).join(missing.withColumnRenamed("hour", "__h"), "__h", "left_semi").drop("__h")
-    return rollup.unionByName(build(rows))
-
-
-def partial_hour_merge(rollup: DataFrame, fresh: DataFrame, keys: Sequence[str], watermark: str, build: Builder) -> DataFrame:
-    """Add the rows that came after ``watermark`` to the hours that are there; measures are sums."""
-    both = rollup.unionByName(build(fresh.filter(F.col("timestamp") > F.lit(watermark).cast("timestamp_ntz"))))
-    return both.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in rollup.columns if c not in keys])
-
-
-def rollup_repair_day(rollup: DataFrame, logs: DataFrame, day: str, build: Builder, measure: str) -> DataFrame:
-    """One day's hours rebuilt from rows and checked: (hour, was, now, differs)."""
-    start = F.lit(f"{day} 00:00:00").cast("timestamp_ntz")
-    rows = logs.filter((F.col("timestamp") >= start) & (F.col("timestamp") < start + F.expr("INTERVAL 1 DAY")))
-    was = rollup.filter(F.col("hour").startswith(day)).groupBy("hour").agg(F.sum(measure).alias("was"))
-    now = build(rows).groupBy("hour").agg(F.sum(measure).alias("now"))
-    return was.join(now, "hour", "full").fillna(0, ["was", "now"]).withColumn("differs", F.col("was") != F.col("now"))
-
-
 def weighted_percentiles(hourly: DataFrame, keys: Sequence[str], value: str, weight: str = "weight") -> DataFrame:
     """Weighted mean of hourly percentiles: an approximation, kept for comparison with the mergeable sketch."""
     return hourly.groupBy(*keys).agg(F.round(F.sum(F.col(value) * F.col(weight)) / F.sum(weight), 6).alias(value), F.sum(weight).alias(weight))

@@ -233,36 +233,7 @@ READS: dict[str, Report] = {
         | {"w_conn": r6("percentile(oconnect_ms, 0.95) FILTER (WHERE is_w)"), "b_conn": r6("percentile(oconnect_ms, 0.95) FILTER (WHERE is_b)")},
     ),
     # Rollups: hourly tables, one row per key.
-    "rollup_time_series": Report(
-        keys={"minute": MINUTE}, measures={"requests": "count(*)", "err4": count_if("status BETWEEN 400 AND 499"), "err5": count_if("status >= 500"), "hits": count_if(HIT["hit_exact2"]), "cache_total": count_if("cache IS NOT NULL"), "bytes": total("resp_bytes"), "ttfb_sum": r6("sum(ttfb)"), "ttfb_cnt": "count(ttfb)"},
-    ),
-    "rollup_overview": Report(
-        keys={"hour": HOUR},
-        measures={"requests": "count(*)", "hits": count_if(HIT["hit_prefix"]), "misses": count_if("startswith(cache, 'MISS')"), "passes": count_if("startswith(cache, 'PASS')"), "bytes": total("resp_bytes"), "hit_bytes": total("resp_bytes", HIT["hit_prefix"]), "shield": count_if("NOT edge"), "threats": count_if("waf_sig <> ''"), "elapsed_sum": total("elapsed"), "elapsed_cnt": "count(elapsed)", "ottfb_sum": total("ottfb"), "ottlb_sum": total("ottlb")},
-    ),
-    "rollup_sessions": Report(keys={"hour": HOUR, "ip": "ip", "ja4": "ja4"}, measures={"first_ts": "CAST(min(timestamp) AS STRING)", "last_ts": "CAST(max(timestamp) AS STRING)", "reqs": "count(*)", "err4": count_if("status BETWEEN 400 AND 499"), "err5": count_if("status >= 500"), "bytes": total("resp_bytes")}),
-    "rollup_origin_summary": Report(keys={"hour": HOUR}, measures={"weight": "count(*)", **_LATENCY3, "err5": count_if("ost >= 500")}, where=_LAT_OK),
-    "rollup_origin_pop": Report(keys={"hour": HOUR, "pop": "pop"}, measures={"weight": "count(*)", **_LATENCY3}, where=_LAT_OK),
-    "rollup_origin_ip": Report(keys={"hour": HOUR, "oip": "oip"}, measures={"weight": "count(*)", **_LATENCY3, "err5": count_if("ost >= 500")}, where=_LAT_OK),
-    "rollup_origin_path": Report(keys={"hour": HOUR, "edge": "edge"}, measures={"weight": "count(*)", **_LATENCY3}, where=_LAT_OK),
-    "rollup_origin_latency_ts": Report(keys={"minute": MINUTE}, measures={"weight": "count(*)", "p95_ms": _LATENCY3["p95_ms"]}, where=_LAT_OK),
-    "rollup_slow_urls": Report(keys={"hour": HOUR, "url": "url"}, measures={"weight": "count(*)", **_LATENCY3}, where=_LAT_OK),
-    "rollup_perf_latency": Report(keys={"hour": HOUR, "url": "url"}, measures={"weight": "count(*)", "p50": ms("elapsed", 0.5), "p95": ms("elapsed", 0.95), "p99": ms("elapsed", 0.99)}, where="elapsed IS NOT NULL"),
-    "rollup_ttl_dist": Report(keys={"hour": HOUR, "bucket": _buckets("ttl", TTL_EDGES, ">1d")}, measures={"count": "count(*)", "min_ttl": "min(ttl)"}, where="ttl IS NOT NULL"),
-    "rollup_pop_health": Report(keys={"hour": HOUR, "pop": "pop"}, measures={"requests": "count(*)", "errors": count_if("status >= 400"), "hits": count_if(HIT["hit_exact2"]), "p50_rtt_us": r6("percentile(tcp_rtt, 0.5)"), "p95_ttfb_ms": r6("percentile(ttfb, 0.95) * 1000.0"), "bytes": total("resp_bytes")}),
-    "rollup_network_quality": Report(keys={"hour": HOUR, "country": "country"}, measures={"weight": "count(*)", "rtt_ms": ms("tcp_rtt", 0.5)}, where=_RTT_OK),
-    "rollup_network_rtt": Report(keys={"hour": HOUR, "asn": "asn"}, measures={"weight": "count(*)", "p95_us": r6("percentile(tcp_rtt, 0.95)"), "p99_us": r6("percentile(tcp_rtt, 0.99)")}, where=_RTT_OK),
-    "rollup_network_summary": Report(keys={"hour": HOUR}, measures={"requests": "count(*)", "rtt_med_us": r6("percentile(tcp_rtt, 0.5)"), "avg_ploss": r6("avg(ploss)"), "retrans": total("retrans")}, where=_RTT_OK),
-    "rollup_network_speed": Report(keys={"hour": HOUR, "asn": "asn", "c_speed": "c_speed"}, measures={"cnt": "count(*)"}, where="c_speed <> ''"),
-    "rollup_network_geo": Report(keys={"hour": HOUR, "country": "country", "city": "city", "metro": "metro"}, measures={"reqs": "count(*)", "rtt_med_us": r6("percentile(tcp_rtt, 0.5)")}, where=_RTT_OK),
-    "rollup_network_heatmap": Report(keys={"hour": HOUR, "asn": "asn"}, measures={"reqs": "count(*)", "rtt_med_us": r6("percentile(tcp_rtt, 0.5)"), "avg_ploss": r6("avg(ploss)"), "jitter": r6("percentile(rtt_var, 0.5)"), "err5": count_if("status >= 500")}, where=_RTT_OK),
-    "rollup_req_size": Report(keys={"hour": HOUR, "bucket": _buckets("req_header_bytes", HEADER_EDGES, ">32KB")}, measures={"count": "count(*)", "min_val": "min(req_header_bytes)"}),
-    "rollup_conn_reuse": Report(keys={"hour": HOUR, "bucket": "CASE WHEN conn_requests = 1 THEN '1' WHEN conn_requests <= 5 THEN '2-5' WHEN conn_requests <= 20 THEN '6-20' ELSE '21+' END"}, measures={"count": "count(*)", "max_val": "max(conn_requests)"}, where="conn_requests > 0"),
-    "rollup_top_ips": Report(keys={"hour": HOUR, "ip": "ip"}, measures={"reqs": "count(*)", "max_header": "max(req_header_bytes)"}),
-    "rollup_coverage": Report(keys={"hour": HOUR}, measures={"total_rows": "count(*)", "ja3_rows": count_if("ja3 <> ''"), "ja4_rows": count_if("ja4 <> ''")}),
     "rollup_proxy_quality": Report(keys={"hour": HOUR, "tunnel": _TUNNEL}, measures={"count": "count(*)", "ips": distinct("ip")}),
-    "rollup_proxy_flagged": Report(keys={"hour": HOUR, "ip": "ip"}, measures={"count": "count(*)", "min_rtt": "min(rtt_min)"}, where=_TUNNEL),
-    "rollup_bot_eff": Report(keys={"hour": HOUR, "ua": "ua"}, measures={"cnt": "count(*)", "bytes": total("resp_bytes")}, where="ua IS NOT NULL AND ua <> ''"),
     "rollup_wellknown_bots": Report(keys={"hour": HOUR, "bot": "lower(regexp_extract(ua, '([A-Za-z0-9_-]*[Bb]ot)', 1))"}, measures={"requests": "count(*)", "ips": distinct("ip")}, where="ua LIKE '%bot%' OR ua LIKE '%Bot%'"),
     "bench_country_rollup": Report(keys={"country": "country"}, measures={"requests": "count(*)", "errors": count_if("status >= 500"), "avg_ottfb": r6("avg(ottfb)"), "p95_bytes": r6("percentile(resp_bytes, 0.95)")}),
 }

@@ -12,6 +12,7 @@ from ..operators import analytics as A
 from ..operators import network as N
 from ..operators import shared_scans as C
 from ..operators.reads import HOUR, READS
+from ..operators.rollups import ROLLUPS
 from ..sources.request_log import CTES, rum_errors, rum_vitals
 from .read_sql import D, H, M, n, share
 
@@ -130,11 +131,11 @@ SELECT ja3 AS tls_fingerprint, requests, top_country, matched_waf_rules_count, b
     for family in C.FACTS:
         out[f"rollup_minute_facts_{family}"] = lambda x, f=family: C.merge_facts(C.minute_facts(x, f), list(C.FACTS[f][0]), 0.95), _facts_sql(family)
     out["rollup_minute_facts"] = _all_facts, " UNION ALL ".join(f"SELECT '{f}' AS family, concat_ws('/', {', '.join(C.FACTS[f][0])}) AS key, n, flagged, total, value FROM ({_facts_sql(f)})" for f in C.FACTS)
-    minutes = READS["rollup_time_series"]
+    minutes = ROLLUPS["time_series"]
     sums = ["requests", "err4", "err5", "hits", "bytes"]
     start, end = "2024-01-10 03:17:21", "2024-01-12 22:41:09"
     out["exact_window"] = (
-        lambda x: C.exact_window(minutes.frame(x), x, start, end, sums, minutes.frame),
+        lambda x: C.exact_window(minutes.build(x), x, start, end, sums, minutes.build),
         f"{CTES} SELECT count(*) AS requests, {n('status >= 400 AND status < 500')} AS err4, {n('status >= 500')} AS err5, {n("cache = 'HIT' OR cache = 'HIT-STALE'")} AS hits, CAST(coalesce(sum(resp_bytes), 0) AS BIGINT) AS bytes FROM logs WHERE timestamp BETWEEN TIMESTAMP '{start}' AND TIMESTAMP '{end}'",
     )
     out["rollup_rum"] = lambda x: C.rollup_rum(rum_vitals(x), rum_errors(x)), _rum_sql()

@@ -12,7 +12,7 @@ from ..operators import analytics as A
 from ..operators import bots as B
 from ..operators import detections as D
 from ..operators import more as M
-from ..operators.reads import HOUR, READS
+from ..operators.reads import HOUR
 from ..sources.request_log import CTES, rum_vitals
 from .read_sql import SQL
 
@@ -54,12 +54,7 @@ SELECT CASE WHEN far OR ratio < 0.1 THEN 'High' ELSE 'Medium' END AS risk, count
     out["rank_two_ways"] = (lambda x: M.rank_two_ways(x.groupBy("url").agg(F.count("*").alias("n"), F.sum("resp_bytes").alias("bytes")), "n", "bytes", 5, ["url"])), f"{CTES}, g AS (SELECT url, count(*) AS n, CAST(sum(resp_bytes) AS BIGINT) AS bytes FROM logs GROUP BY 1) SELECT * FROM g QUALIFY row_number() OVER (ORDER BY n DESC, url) <= 5 OR row_number() OVER (ORDER BY bytes DESC, url) <= 5"
     out["top_k_per_group"] = (lambda x: M.top_k_per_group(x.groupBy("country", "url").agg(F.count("*").alias("n")), ["country"], [F.desc("n"), "url"], 3)), f"{CTES}, g AS (SELECT country, url, count(*) AS n FROM logs GROUP BY 1, 2) SELECT *, row_number() OVER (PARTITION BY country ORDER BY n DESC, url) AS rank FROM g QUALIFY rank <= 3"
     out["loss_runs"] = (lambda x: M.loss_runs(x.groupBy((F.unix_timestamp(F.col("timestamp").cast("timestamp")) / 3600).cast("long").alias("n")).agg(F.count_if(F.col("status") >= 500).alias("bad")), "bad > 0")), f"{CTES}, h AS (SELECT epoch_us(timestamp) // 3600000000 AS n, count(*) FILTER (status >= 500) AS bad FROM logs GROUP BY 1), i AS (SELECT n, n - row_number() OVER (ORDER BY n) AS i FROM h WHERE bad > 0) SELECT min(n) AS start, count(*) AS length FROM i GROUP BY i"
-    hourly = READS["rollup_overview"]
-    half = "(hour(timestamp) % 2 = 0)"
-    out["rollup_heal"] = (lambda x: M.rollup_heal(hourly.frame(x.filter(half)), x, hourly.frame)), f"{CTES} {SQL['rollup_overview']}"
-    out["partial_hour_merge"] = (lambda x: M.partial_hour_merge(hourly.frame(x.filter("timestamp <= TIMESTAMP_NTZ '2024-01-20 10:30:00'")), x, ["hour"], "2024-01-20 10:30:00", hourly.frame)), f"{CTES} {SQL['rollup_overview']}"
-    out["rollup_repair_day"] = (lambda x: M.rollup_repair_day(hourly.frame(x.filter("event_id % 7 <> 0")), x, "2024-01-15", hourly.frame, "requests")), f"{CTES} SELECT {HOUR} AS hour, count(*) FILTER (event_id % 7 <> 0) AS was, count(*) AS now, count(*) FILTER (event_id % 7 <> 0) <> count(*) AS differs FROM logs WHERE CAST(timestamp AS DATE) = DATE '2024-01-15' GROUP BY 1"
-    out["weighted_percentiles"] = (lambda x: M.weighted_percentiles(READS["rollup_origin_pop"].frame(x), ["pop"], "p95_ms")), f"{CTES}, h AS (SELECT {HOUR} AS hour, pop, count(*) AS weight, round(quantile_cont(coalesce(ottfb, ttfb * 1000000), 0.95) / 1000.0, 6) AS p95_ms FROM logs GROUP BY 1, 2) SELECT pop, round(sum(p95_ms * weight) / sum(weight), 6) AS p95_ms, CAST(sum(weight) AS BIGINT) AS weight FROM h GROUP BY 1"
+    out["weighted_percentiles"] = (lambda x: M.weighted_percentiles(x.filter("coalesce(ottfb, ttfb * 1e6) IS NOT NULL").groupBy(F.expr(HOUR).alias("hour"), "pop").agg(F.count("*").alias("weight"), F.expr("round(percentile(coalesce(ottfb, ttfb * 1000000), 0.95) / 1000.0, 6)").alias("p95_ms")), ["pop"], "p95_ms")), f"{CTES}, h AS (SELECT {HOUR} AS hour, pop, count(*) AS weight, round(quantile_cont(coalesce(ottfb, ttfb * 1000000), 0.95) / 1000.0, 6) AS p95_ms FROM logs GROUP BY 1, 2) SELECT pop, round(sum(p95_ms * weight) / sum(weight), 6) AS p95_ms, CAST(sum(weight) AS BIGINT) AS weight FROM h GROUP BY 1"
     out["insufficient_baseline"] = (lambda x: M.insufficient_baseline(x, "2024-01-24 00:00:00", 552)), f"{CTES}, h AS (SELECT round((epoch(TIMESTAMP '2024-01-24 00:00:00') - floor(epoch(min(timestamp)))) / 3600.0, 4) AS hours FROM logs) SELECT CAST(hours AS DOUBLE) AS hours, hours < 552 AS insufficient FROM h"
     out["alert_cooldown"] = (lambda x: M.alert_cooldown(x.filter("status >= 500").select(F.col("pop").alias("name"), F.col("timestamp").cast("timestamp").alias("at")), 86400).groupBy("name").agg(n_rows())), CTES.replace("WITH", "WITH RECURSIVE", 1) + ", a AS (SELECT DISTINCT pop AS name, epoch_us(timestamp) // 1000000 AS t FROM logs WHERE status >= 500), r AS (SELECT name, min(t) AS t FROM a GROUP BY 1 UNION ALL SELECT a.name, min(a.t) AS t FROM r JOIN a ON a.name = r.name AND a.t >= r.t + 86400 GROUP BY a.name) SELECT name, count(*) AS n FROM r GROUP BY 1"
     out["rum_header_stats"] = (lambda x: rum_vitals(x).groupBy("browser").agg(F.countDistinct("req_id").alias("beacons"), F.max("timestamp").cast("string").alias("newest"))), f"{CTES} SELECT browser, count(DISTINCT req_id) AS beacons, CAST(max(timestamp) AS VARCHAR) AS newest FROM vitals GROUP BY 1"

@@ -145,31 +145,7 @@ SQL: dict[str, str] = {
     "coalesced_ip_extended": f"SELECT ip, {n('is_w')} AS w_total, max(CASE WHEN is_w THEN req_header_bytes END) AS max_header, {q('req_header_bytes', 0.95, 1, 'is_b')} AS b_p95_header, max(CASE WHEN is_w THEN conn_requests END) AS max_conn, {q('conn_requests', 0.95, 1, 'is_b AND conn_requests > 0')} AS b_p95_conn, count(DISTINCT CASE WHEN is_w THEN cookie_session END) AS w_sessions, count(DISTINCT CASE WHEN is_b THEN cookie_session END) AS b_sessions FROM logs WHERE ip <> '' GROUP BY 1 HAVING {n('is_w')} > 0",
     "coalesced_asn": f"SELECT asn, {n('is_w')} AS w_cnt, {n('is_b')} AS b_cnt, {n("is_w AND p_type = 'hosting'")} AS w_hosting, {n("is_b AND p_type = 'hosting'")} AS b_hosting, round(avg(CASE WHEN is_w THEN ploss END), 6) AS w_ploss, round(avg(CASE WHEN is_b THEN ploss END), 6) AS b_ploss, {q('rtt_var', 0.95, 1, 'is_w')} AS w_jitter, {q('rtt_var', 0.95, 1, 'is_b')} AS b_jitter FROM logs WHERE asn IS NOT NULL GROUP BY 1",
     "coalesced_scalar": "SELECT " + ", ".join(f"{n(f'is_{s} AND {c}')} AS {s}_{x}" for s in "wb" for x, c in (("total", "true"), ("hits", _HIT), ("miss", _MISS), ("quic", "transport = 'quic'"), ("ost_5xx", "ost >= 500"))) + f", {q('oconnect_ms', 0.95, 1, 'is_w')} AS w_conn, {q('oconnect_ms', 0.95, 1, 'is_b')} AS b_conn FROM logs",
-    "rollup_time_series": f"SELECT {M} AS minute, count(*) AS requests, {n('status >= 400 AND status < 500')} AS err4, {n('status >= 500')} AS err5, {n("cache = 'HIT' OR cache = 'HIT-STALE'")} AS hits, count(cache) AS cache_total, {big('resp_bytes')} AS bytes, round(sum(ttfb), 6) AS ttfb_sum, count(ttfb) AS ttfb_cnt FROM logs GROUP BY 1",
-    "rollup_overview": f"SELECT {H} AS hour, count(*) AS requests, {n(_HIT)} AS hits, {n(_MISS)} AS misses, {n(_PASS)} AS passes, {big('resp_bytes')} AS bytes, {big(f'CASE WHEN {_HIT} THEN resp_bytes END')} AS hit_bytes, {n('edge = false')} AS shield, {n("waf_sig <> ''")} AS threats, {big('elapsed')} AS elapsed_sum, count(elapsed) AS elapsed_cnt, {big('ottfb')} AS ottfb_sum, {big('ottlb')} AS ottlb_sum FROM logs GROUP BY 1",
-    "rollup_sessions": f"SELECT {H} AS hour, ip, ja4, CAST(min(timestamp) AS VARCHAR) AS first_ts, CAST(max(timestamp) AS VARCHAR) AS last_ts, count(*) AS reqs, {n('status >= 400 AND status < 500')} AS err4, {n('status >= 500')} AS err5, {big('resp_bytes')} AS bytes FROM logs GROUP BY 1, 2, 3",
-    "rollup_origin_summary": f"SELECT {H} AS hour, count(*) AS weight, {_L3}, {n('ost >= 500')} AS err5 FROM logs WHERE {_ORIGIN} GROUP BY 1",
-    "rollup_origin_pop": f"SELECT {H} AS hour, pop, count(*) AS weight, {_L3} FROM logs WHERE {_ORIGIN} GROUP BY 1, 2",
-    "rollup_origin_ip": f"SELECT {H} AS hour, oip, count(*) AS weight, {_L3}, {n('ost >= 500')} AS err5 FROM logs WHERE {_ORIGIN} GROUP BY 1, 2",
-    "rollup_origin_path": f"SELECT {H} AS hour, edge, count(*) AS weight, {_L3} FROM logs WHERE {_ORIGIN} GROUP BY 1, 2",
-    "rollup_origin_latency_ts": f"SELECT {M} AS minute, count(*) AS weight, {q(OL, 0.95)} AS p95_ms FROM logs WHERE {_ORIGIN} GROUP BY 1",
-    "rollup_slow_urls": f"SELECT {H} AS hour, url, count(*) AS weight, {_L3} FROM logs WHERE {_ORIGIN} GROUP BY 1, 2",
-    "rollup_perf_latency": f"SELECT {H} AS hour, url, count(*) AS weight, {q('elapsed', 0.5)} AS p50, {q('elapsed', 0.95)} AS p95, {q('elapsed', 0.99)} AS p99 FROM logs WHERE elapsed IS NOT NULL GROUP BY 1, 2",
-    "rollup_ttl_dist": f"SELECT {H} AS hour, {_TTL} AS bucket, count(*) AS count, min(ttl) AS min_ttl FROM logs WHERE ttl IS NOT NULL GROUP BY 1, 2",
-    "rollup_pop_health": f"SELECT {H} AS hour, pop, count(*) AS requests, {n('status >= 400')} AS errors, {n("cache = 'HIT' OR cache = 'HIT-STALE'")} AS hits, {q('tcp_rtt', 0.5, 1)} AS p50_rtt_us, round(quantile_cont(ttfb, 0.95) * 1000.0, 6) AS p95_ttfb_ms, {big('resp_bytes')} AS bytes FROM logs GROUP BY 1, 2",
-    "rollup_network_quality": f"SELECT {H} AS hour, country, count(*) AS weight, {q('tcp_rtt', 0.5)} AS rtt_ms FROM logs WHERE {RTT} GROUP BY 1, 2",
-    "rollup_network_rtt": f"SELECT {H} AS hour, asn, count(*) AS weight, {q('tcp_rtt', 0.95, 1)} AS p95_us, {q('tcp_rtt', 0.99, 1)} AS p99_us FROM logs WHERE {RTT} GROUP BY 1, 2",
-    "rollup_network_summary": f"SELECT {H} AS hour, count(*) AS requests, {q('tcp_rtt', 0.5, 1)} AS rtt_med_us, round(avg(ploss), 6) AS avg_ploss, {big('retrans')} AS retrans FROM logs WHERE {RTT} GROUP BY 1",
-    "rollup_network_speed": f"SELECT {H} AS hour, asn, c_speed, count(*) AS cnt FROM logs WHERE length(c_speed) > 0 GROUP BY 1, 2, 3",
-    "rollup_network_geo": f"SELECT {H} AS hour, country, city, metro, count(*) AS reqs, {q('tcp_rtt', 0.5, 1)} AS rtt_med_us FROM logs WHERE {RTT} GROUP BY 1, 2, 3, 4",
-    "rollup_network_heatmap": f"SELECT {H} AS hour, asn, count(*) AS reqs, {q('tcp_rtt', 0.5, 1)} AS rtt_med_us, round(avg(ploss), 6) AS avg_ploss, {q('rtt_var', 0.5, 1)} AS jitter, {n('status >= 500')} AS err5 FROM logs WHERE {RTT} GROUP BY 1, 2",
-    "rollup_req_size": f"SELECT {H} AS hour, {_HEADER} AS bucket, count(*) AS count, min(req_header_bytes) AS min_val FROM logs GROUP BY 1, 2",
-    "rollup_conn_reuse": f"SELECT {H} AS hour, {_CONN} AS bucket, count(*) AS count, max(conn_requests) AS max_val FROM logs WHERE conn_requests > 0 GROUP BY 1, 2",
-    "rollup_top_ips": f"SELECT {H} AS hour, ip, count(*) AS reqs, max(req_header_bytes) AS max_header FROM logs GROUP BY 1, 2",
-    "rollup_coverage": f"SELECT {H} AS hour, count(*) AS total_rows, {n('length(ja3) > 0')} AS ja3_rows, {n('length(ja4) > 0')} AS ja4_rows FROM logs GROUP BY 1",
     "rollup_proxy_quality": f"SELECT {H} AS hour, {_TUNNEL} AS tunnel, count(*) AS count, count(DISTINCT ip) AS ips FROM logs GROUP BY 1, 2",
-    "rollup_proxy_flagged": f"SELECT {H} AS hour, ip, count(*) AS count, min(rtt_min) AS min_rtt FROM logs WHERE {_TUNNEL} GROUP BY 1, 2",
-    "rollup_bot_eff": f"SELECT {H} AS hour, ua, count(*) AS cnt, {big('resp_bytes')} AS bytes FROM logs WHERE length(ua) > 0 GROUP BY 1, 2",
     "rollup_wellknown_bots": f"SELECT {H} AS hour, {_BOT_NAME} AS bot, count(*) AS requests, count(DISTINCT ip) AS ips FROM logs WHERE {_BOT} GROUP BY 1, 2",
     "bench_country_rollup": f"SELECT country, count(*) AS requests, {n('status >= 500')} AS errors, round(avg(ottfb), 6) AS avg_ottfb, {q('resp_bytes', 0.95, 1)} AS p95_bytes FROM logs GROUP BY 1",
 }

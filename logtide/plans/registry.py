@@ -16,7 +16,8 @@ from ..operators import analytics as A
 from ..operators import detections as D
 from ..operators.detect_all import DetectAll
 from ..operators.reads import HOUR, READS
-from . import detection_sql, extra_queries, ingest_queries, more_queries, read_sql
+from ..operators.rollups import ROLLUPS
+from . import detection_sql, extra_queries, ingest_queries, more_queries, read_sql, rollup_queries
 from ..sources.request_log import BASELINE_HOURS, CTES, WINDOW_HOURS, request_log, rum_errors, rum_vitals
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -132,7 +133,6 @@ def _scored(logs: DataFrame) -> DataFrame:
 _GAMMA = "CAST(ceil(ln({v}) / ln(1.02::DOUBLE)) AS INTEGER)"
 _TOP_SQL = f"{CTES}, r AS ({_FIELD_ROWS}), c AS (SELECT field, value, count(*) AS count FROM r {{where}} GROUP BY 1, 2)"
 _RANKED = "SELECT field, value, count, CAST(sum(count) OVER (PARTITION BY field) AS BIGINT) AS total, row_number() OVER (PARTITION BY field ORDER BY count DESC, value) AS rank FROM c QUALIFY rank <= {k}"
-_CUT = "2024-01-20 00:00:00"
 
 
 def _expected(logs: DataFrame) -> DataFrame:
@@ -179,7 +179,7 @@ def _special() -> tuple[dict[str, Query], dict[str, str]]:
     add("session_count", lambda x: A.sessions(x).agg(F.count("*").alias("sessions"), F.count_if("flagged").alias("flagged")), f"SELECT count(*) AS sessions, count(*) FILTER (flagged) AS flagged FROM ({_sessions_sql(1800)})")
     add("scoring_sessions", lambda x: A.with_sessions(x, ["ip", "ua"], 86400).groupBy("ip", "ua", "session_no").agg(F.min("timestamp").cast("string").alias("start"), F.sort_array(F.collect_list(F.struct("timestamp", "rid", "url"))).alias("e")).select(F.sha1(F.concat_ws("|", "ip", "ua", "start")).alias("sid"), F.size("e").cast("long").alias("events"), F.get("e", F.lit(0))["url"].alias("entry")),
         f"{CTES}, {_SESSION_SQL.format(keys='ip, ua', gap=86400)} SELECT sha1(concat_ws('|', ip, ua, CAST(min(timestamp) AS VARCHAR))) AS sid, count(*) AS events, (list(url ORDER BY timestamp, rid))[1] AS entry FROM s1 GROUP BY ip, ua, session_no")
-    add("sessions_from_hours", lambda x: A.sessions_from_hours(READS["rollup_sessions"].frame(x), gap=86400), f"SELECT ip, ja4, session_no, first_ts, last_ts, requests, err4, bytes FROM ({_sessions_sql(86400)})")
+    add("sessions_from_hours", lambda x: A.sessions_from_hours(ROLLUPS["sessions"].build(x), gap=86400), f"SELECT ip, ja4, session_no, first_ts, last_ts, requests, err4, bytes FROM ({_sessions_sql(86400)})")
     add("shield_routes", A.shield_routes, f"""{CTES}, e AS (SELECT rid, pop AS edge_pop, coalesce(ottfb, ttfb * 1000000) AS e FROM logs WHERE edge), s AS (SELECT prid, pop AS shield_pop, coalesce(ottfb, ttfb * 1000000) AS s FROM logs WHERE NOT edge AND prid <> ''),
 p AS (SELECT edge_pop, shield_pop, count(*) AS requests, round(quantile_cont(e - s, 0.5) / 1000.0, 6) AS p50_ms, round(quantile_cont(e - s, 0.95) / 1000.0, 6) AS p95_ms, round(quantile_cont(e - s, 0.99) / 1000.0, 6) AS p99_ms FROM e JOIN s ON s.prid = e.rid GROUP BY 1, 2)
 SELECT *, count(*) OVER () AS total_routes FROM p QUALIFY row_number() OVER (ORDER BY requests DESC, edge_pop, shield_pop) <= 20 OR row_number() OVER (ORDER BY p50_ms DESC NULLS LAST, edge_pop, shield_pop) <= 20""")
@@ -211,10 +211,8 @@ SELECT threshold, tp, fp, round(tp * 1.0::DOUBLE / nullif(nb, 0), 8) AS tpr, rou
     add("rollup_field_counts", lambda x: A.rollup_field_counts(x, _FIELDS, 5), f"{counts} SELECT * FROM k")
     add("rollup_field_counts_day", lambda x: A.merge_days(A.rollup_field_counts(x, _FIELDS, 5)), f"{counts} SELECT substr(hour, 1, 10) AS day, field, value, CAST(sum(count) AS BIGINT) AS count FROM k GROUP BY 1, 2, 3")
     add("rollup_virtual_fields", A.rollup_virtual_fields, f"{CTES}, x AS (SELECT {HOUR} AS hour, trim(unnest(string_split(waf_sig, ','))) AS value FROM logs WHERE waf_sig <> '') SELECT hour, value, count(*) AS count FROM x WHERE value <> '' GROUP BY 1, 2")
-    add("rollup_ip_spread", lambda x: A.ip_spread_days(A.rollup_ip_spread(x)))
+    add("rollup_ip_spread_days", lambda x: A.ip_spread_days(A.rollup_ip_spread(x)))
     add("rollup_ip_spread_exact", lambda x: x.groupBy(F.expr("CAST(CAST(timestamp AS DATE) AS STRING)").alias("day"), "country").agg(F.countDistinct("ip").alias("ips"), F.count("*").alias("rows")), f"{CTES} SELECT CAST(CAST(timestamp AS DATE) AS VARCHAR) AS day, country, count(DISTINCT ip) AS ips, count(*) AS rows FROM logs GROUP BY 1, 2")
-    overview = READS["rollup_overview"]
-    add("read_rollup_plus_live", lambda x: A.read_rollup_plus_live(overview.frame(x.filter(f"timestamp < TIMESTAMP_NTZ '{_CUT}'")), overview.frame(x), ["hour"], _CUT), _behind(read_sql.SQL["rollup_overview"]))
     add("rollup_verified_bots_ts", A.verified_bots_ts, f"{CTES}, x AS (SELECT {HOUR} AS bucket, unnest(string_split(waf_sig, ',')) AS tag FROM logs WHERE waf_sig ILIKE '%VERIFIED-BOT.%') SELECT bucket, replace(tag, 'VERIFIED-BOT.', '') AS bot_type, count(*) AS count FROM x WHERE tag LIKE 'VERIFIED-BOT.%' GROUP BY 1, 2")
     q["verified_bots_ts"], o["verified_bots_ts"] = q["rollup_verified_bots_ts"], o["rollup_verified_bots_ts"]
     add("ngwaf_top_bots", _waf_bots, f"{CTES}, b AS (SELECT DISTINCT waf_req_id, concat('bot', event_id % 50 % 5) AS bot_name, CASE WHEN event_id % 50 < 25 THEN 'search' ELSE 'ai' END AS category FROM logs) SELECT bot_name, category, count(*) AS cnt FROM logs JOIN b USING (waf_req_id) GROUP BY 1, 2")
@@ -280,7 +278,7 @@ r AS (SELECT label, w_crawls, w_referrals, w_bytes, round(w_crawls / wr, 4) AS c
 c AS (SELECT * FROM r WHERE w_referrals = 0 OR crawls_per_referral >= 100 OR bytes_per_referral >= 1048576 ORDER BY crawls_per_referral DESC, w_bytes DESC, label LIMIT 10) {shown('crawler_disparity')}""")
     detected = _REPORTS[1] | o
     q["detect_all"], o["detect_all"] = _detect_all, _detect_all_sql({n: detected[n] for n in sorted(detected) if n.startswith("detect_")})
-    for name, (frame, sql) in {**more_queries.entries(_pops, _POPS_SQL), **extra_queries.entries(_pops, _POPS_SQL)}.items():
+    for name, (frame, sql) in {**more_queries.entries(_pops, _POPS_SQL), **extra_queries.entries(_pops, _POPS_SQL), **rollup_queries.entries()}.items():
         add(name, frame, sql)
     return q, o
 

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from ..operators.reads import HOUR
+from ..operators.rollups import Rollup, rebuild_hours
 from ..sources.ingest import BASE_SCHEMA, quarantine_split
 
 
@@ -68,9 +70,28 @@ def stream_sessions(rows: DataFrame, gap: str = "30 minutes", delay: str = "1 ho
     return out.select("ip", F.col("session_window.start").alias("first_ts"), F.col("session_window.end").alias("expires"), "requests", "err4", "bytes")
 
 
-def late_hours(rows: DataFrame, closed_before: str) -> DataFrame:
-    """Hours that late rows re-open, for the batch rollup to rebuild."""
-    return rows.filter(F.col("timestamp") < closed_before).select(F.date_trunc("hour", "timestamp").alias("hour")).distinct()
+def stream_rebuild(rows: DataFrame, rollup: Rollup, facts_path: str, table_path: str, staging_path: str, checkpoint: str, count: str = "requests") -> StreamingQuery:
+    """Rows to the facts of their hours, and every hour that a batch touches, however old, built anew in the stored rollup.
+
+    Facts lie by hour and batch, so that a batch that is written again replaces what it wrote before; the touched hours are
+    the only ones that are read and rewritten.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        fresh = batch.withColumns({"fact_hour": F.expr(HOUR), "batch": F.lit(number)}).persist()
+        try:
+            hours = [r["fact_hour"] for r in fresh.select("fact_hour").distinct().collect()]
+            if not hours:
+                return
+            fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("fact_hour", "batch").parquet(facts_path)
+            stored = spark.read.schema(StructType([*batch.schema.fields]).add("fact_hour", "string").add("batch", "int")).parquet(facts_path)
+            facts = stored.filter(F.col("fact_hour").isin(hours)).drop("fact_hour", "batch")
+            rebuild_hours(rollup, facts, table_path, staging_path, hours, count)
+        finally:
+            fresh.unpersist()
+
+    return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def stream_top(rows: DataFrame, n: int, view: str, checkpoint: str, where: str = "true") -> StreamingQuery:
