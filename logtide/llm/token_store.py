@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from ..plans.shipping import ship_package
 from .common import pick, stage
 from .tokens import default_tokenizer, tokenizer
+from .word_arrays import chunks
 
 CHUNK_BITS = 8
 RANK_BITS = 512
@@ -104,7 +105,7 @@ def encode_texts(docs: DataFrame, tokenizer_path: str | None = None, end_id: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokenizer(path).encode_array
-        for batch in batches:
+        for batch in (part for whole in batches for part in chunks(whole, 1)):
             ids, lens = with_end(*encode(batch.column(1)), end_id)
             ends = np.cumsum(lens)
             out = [pack(ids[a:b]) for a, b in zip((ends - lens).tolist(), ends.tolist())]
