@@ -5,11 +5,11 @@ time: up to 2**stride neighbours meet in one group, which halves them level by l
 becomes a row of the manifest, linked to its parent: the ancestor ``stride`` levels up (or the root, where that is
 nearer), with the siblings on the way.  The roots of the groups are the leaves of one more tree.
 
-Climb.  A recursive query starts at each leaf with the hash to be proved and ascends by the parent links, appending the
+Climb.  A recursive query starts at the first link of each leaf with the hash to be proved and ascends by the parent links, appending the
 siblings to the proof and folding the hash with them, until it has passed the last tree.
 
-Nodes above the first rows are stored once for each 2**stride leaves below them, so that a climb never meets more than
-2**stride others at one row, however large a group is: a root is no hot key.  The copies are 1 in 2**stride of the leaves
+Nodes above the first rows are stored once for each block of 2**block_bits leaves below them, so that no more than so many
+climbs meet at one row, however large a group is: a root is no hot key.  The copies are 1 in 2**block_bits of the leaves
 a step.  Upper nodes reach their copies by broadcast while they are few (which is counted), else by a join.
 
 Defined results: nulls, empty and long texts are hashed as they are (``-`` for null, else the number of UTF-8 bytes,
@@ -137,8 +137,9 @@ def _packed(step: Column, at: Column, node: Column, siblings: Column) -> list[Co
     return [step.cast("int").alias("step"), F.col("tree"), at.alias("at"), F.col("block"), node.alias("node"), F.array_join(there, "").alias("present"), joined.alias("siblings")]
 
 
-def build_manifest(leaves: DataFrame, group: str, key: str, stride: int = 8, few: int = 1 << 16) -> Manifest:
+def build_manifest(leaves: DataFrame, group: str, key: str, stride: int = 10, few: int = 1 << 16, block_bits: int = 8) -> Manifest:
     """Manifest of ``leaves`` (``digest``, ``start``, ``group``, ``key`` and columns that are handed on)."""
+    block_bits = min(block_bits, stride)
     rows = _numbered(stage(leaves, "merkle-digests"), group, key)
     trees = stage(rows.groupBy(group).agg(F.min("number").alias("tree"), F.count("*").alias("n")), "merkle-trees")
     n_trees, most = trees.agg(F.count("*"), F.coalesce(F.max("n"), F.lit(0))).first()
@@ -146,7 +147,7 @@ def build_manifest(leaves: DataFrame, group: str, key: str, stride: int = 8, few
     named = F.broadcast(named) if n_trees <= few else named
     rows = rows.join(named, F.col(group).eqNullSafe(F.col("__group"))).drop("__group").withColumn("at", F.col("number") - F.col("tree"))
     last = _strides(F.col("n"), stride) + F.lit(_strides_of(n_trees, stride))
-    rows = stage(rows.withColumn("block", F.shiftright("at", stride)).withColumn("last", last), "merkle-numbered")
+    rows = stage(rows.withColumn("block", F.shiftright("at", block_bits)).withColumn("last", last), "merkle-numbered")
 
     inner, subroots = _forest(rows.select("tree", "n", "at", "digest"), stride, most)
     subroots = stage(subroots.join(trees, "tree"), "merkle-subroots")
@@ -157,15 +158,15 @@ def build_manifest(leaves: DataFrame, group: str, key: str, stride: int = 8, few
 
     # A tree's own links come before those of the tree of roots.
     places = trees.join(tops.select(F.col("name").alias("tree"), F.col("at").alias("top")), "tree").select("tree", _strides(F.col("n"), stride).alias("inner"), "top")
-    blocks = rows.filter(F.col("at") % (1 << stride) == 0).select("tree", "block")
+    blocks = rows.filter(F.col("at") % (1 << block_bits) == 0).select("tree", "block")
     blocks = stage(blocks.join(F.broadcast(places) if n_trees <= few else places, "tree"), "merkle-blocks")
     parts = []
     for k, links in enumerate(inner):
         if k == 0:
-            made = links.withColumn("block", F.shiftright("at", stride))
+            made = links.withColumn("block", F.shiftright("at", block_bits))
             parts.append(made.select(*_packed(F.lit(0), F.col("at"), F.col("at"), F.col("siblings"))))
         else:
-            made = _copies(links, blocks, stride * (k - 1), few)
+            made = _copies(links, blocks, stride * k - block_bits, few)
             parts.append(made.select(*_packed(F.lit(k), F.col("block"), F.col("node"), F.col("siblings"))))
     for k, links in enumerate(outer):
         upper = links.select(F.col("at").alias("node"), "siblings")
@@ -182,15 +183,10 @@ def build_manifest(leaves: DataFrame, group: str, key: str, stride: int = 8, few
     return Manifest(rows, nodes, roots, len(inner) + len(outer))
 
 
-#: The climb.  A leaf's first row is keyed by its place, all later ones by its block; a row's siblings fold into the hash from the lowest level on.
-_CLIMB = """
-WITH RECURSIVE climb AS (
-  SELECT number, 0 AS step, last, tree, at, start AS folded, CAST('' AS BINARY) AS proof FROM {leaves}
-  UNION ALL
-  SELECT /*+ MERGE(n) */ c.number, c.step + 1, c.last, c.tree, n.block,
-         aggregate(
+#: A row's siblings fold into the hash from the lowest level on: {start} is the hash, n the node row.
+_FOLD = """aggregate(
            sequence(1, length(n.present)),
-           struct(c.folded AS hash, 0 AS used),
+           struct({start} AS hash, 0 AS used),
            (done, t) -> CASE
              WHEN substring(n.present, t, 1) = '0' THEN struct(unhex(sha2(CAST(lower(hex(done.hash)) AS BINARY), 256)) AS hash, done.used AS used)
              WHEN shiftright(n.node, t - 1) % 2 = 0 THEN struct(
@@ -198,9 +194,17 @@ WITH RECURSIVE climb AS (
              ELSE struct(
                unhex(sha2(CAST(lower(concat(hex(substring(n.siblings, {size} * done.used + 1, {size})), hex(done.hash))) AS BINARY), 256)) AS hash, done.used + 1 AS used)
            END
-         ).hash,
-         concat(c.proof, n.siblings)
-  FROM climb c JOIN {nodes} n ON c.step = n.step AND c.tree = n.tree AND c.at = n.at
+         ).hash"""
+#: The climb.  The first link of a leaf is keyed by its place, all later ones by its block, so that the rows of the leaves
+#: themselves, which are most of the manifest, are read once.  A dataset of one leaf has no links at all.
+_CLIMB = """
+WITH RECURSIVE climb AS (
+  SELECT l.number, CASE WHEN n.at IS NULL THEN 0 ELSE 1 END AS step, l.last, l.tree, l.block,
+         CASE WHEN n.at IS NULL THEN l.start ELSE {first} END AS folded, coalesce(n.siblings, CAST('' AS BINARY)) AS proof
+  FROM {leaves} l LEFT JOIN {lowest} n ON l.tree = n.tree AND l.at = n.at
+  UNION ALL
+  SELECT c.number, c.step + 1, c.last, c.tree, c.block, {next}, concat(c.proof, n.siblings)
+  FROM climb c JOIN {upper} n ON c.step = n.step AND c.tree = n.tree AND c.block = n.at
 )
 SELECT number, folded, proof FROM climb WHERE step = last
 """
@@ -213,18 +217,20 @@ def climb(manifest: Manifest, *columns: Column | str) -> DataFrame:
     # Spark stops a recursion at a million rows unless told otherwise.
     settings = {"spark.sql.cteRecursionRowLimit": "-1", "spark.sql.cteRecursionLevelLimit": str(manifest.steps + 2)}
     before = {k: spark.conf.get(k) for k in settings}
-    query = _CLIMB.format(leaves="{leaves}", nodes="{nodes}", size=_DIGEST)
+    first, later = (_FOLD.format(start=start, size=_DIGEST) for start in ("l.start", "c.folded"))
+    query = _CLIMB.replace("{first}", first).replace("{next}", later)
+    lowest, upper = manifest.nodes.filter("step = 0"), manifest.nodes.filter("step > 0")
     try:
         for k, v in settings.items():
             spark.conf.set(k, v)
-        passed = spark.sql(query, leaves=manifest.leaves, nodes=manifest.nodes)
+        passed = spark.sql(query, leaves=manifest.leaves, lowest=lowest, upper=upper)
         return stage(passed.select("number", *(columns or ("folded", "proof"))), "merkle-climb")
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
 
 
-def verify_rows(docs: DataFrame, values: list[Column], tampered: list[Column], changed: Column, group: str, key: str, stride: int = 8) -> DataFrame:
+def verify_rows(docs: DataFrame, values: list[Column], tampered: list[Column], changed: Column, group: str, key: str, stride: int = 10) -> DataFrame:
     """One row per row of ``docs``: ``key``, leaf, subroot, root, proof_sha256 (of the siblings' digests as text) and
     folded_root, the root that results where the rows that are ``changed`` have the values ``tampered`` instead."""
     honest = row_digest(*values)
@@ -239,7 +245,7 @@ def verify_rows(docs: DataFrame, values: list[Column], tampered: list[Column], c
     return out.select(key, "leaf", "subroot", "root", "proof_sha256", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
-def verify_documents(docs: DataFrame, changed: Column, stride: int = 8) -> DataFrame:
+def verify_documents(docs: DataFrame, changed: Column, stride: int = 10) -> DataFrame:
     """:func:`verify_rows` of doc_id, source, lang, n_chars and text by lang, with n_chars + 1 claimed for the rows that are ``changed``."""
     rows = pick(docs, "doc_id", "source", "lang", "n_chars", "text")
     values = [F.col(c) for c in rows.columns]

@@ -61,7 +61,7 @@ def changed():
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
 
 
-@pytest.mark.parametrize("n, langs, stride", [(1, ["en"], 8), (40, [None, "de", "en", "\xe9"], 1), (300, ["en", "en", "en", "fr"], 2), (600, ["en", None], 8), (30, [f"l{k}" for k in range(20)], 2)])
+@pytest.mark.parametrize("n, langs, stride", [(1, ["en"], 8), (40, [None, "de", "en", "\xe9"], 1), (300, ["en", "en", "en", "fr"], 2), (600, ["en", None], 8), (2500, ["en"], 10), (30, [f"l{k}" for k in range(20)], 2)])
 def test_matches_brute_force(spark, n, langs, stride):
     rows = rows_of(n, langs)
     docs = spark.createDataFrame(rows, SCHEMA)
