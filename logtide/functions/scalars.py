@@ -114,25 +114,62 @@ def ipv4_to_long(ip: Column) -> Column:
     return sum((F.get(parts, F.lit(k)).cast("long") * 256 ** (3 - k) for k in range(1, 4)), F.get(parts, F.lit(0)).cast("long") * 256**3)
 
 
-def cidr_bounds(cidr: Column) -> tuple[Column, Column]:
-    bits = F.coalesce(F.get(F.split(cidr, "/"), F.lit(1)).cast("int"), F.lit(32))
-    base = ipv4_to_long(F.get(F.split(cidr, "/"), F.lit(0)))
-    size = F.pow(F.lit(2), 32 - bits).cast("long")
-    low = base - F.pmod(base, size)
-    return low, low + size - 1
+def ip_hex(ip: Column) -> Column:
+    """An address as text that sorts like it: ``4`` and 8, or ``6`` and 32, hexadecimal digits; null where it is none."""
+    parts = F.split(ip, r"\.")
+    is_v4 = ip.rlike(r"^(25[0-5]|2[0-4]\d|1?\d?\d)(\.(25[0-5]|2[0-4]\d|1?\d?\d)){3}$")
+    octets = lambda p: F.concat(*[F.lpad(F.lower(F.hex(F.get(p, F.lit(k)).cast("long"))), 2, "0") for k in range(4)])
+    low = F.lower(ip)
+    # An IPv4 tail becomes two groups.
+    tail = F.regexp_extract(low, r"(\d+\.\d+\.\d+\.\d+)$", 1)
+    tail_hex = octets(F.split(tail, r"\."))
+    whole = F.when(tail != "", F.concat(F.regexp_replace(low, r"\d+\.\d+\.\d+\.\d+$", ""), F.substring(tail_hex, 1, 4), F.lit(":"), F.substring(tail_hex, 5, 4))).otherwise(low)
+    groups = lambda text: F.filter(F.split(text, ":"), lambda g: g != "")
+    halves = F.split(whole, "::")
+    head, rest = groups(F.get(halves, F.lit(0))), groups(F.coalesce(F.get(halves, F.lit(1)), F.lit("")))
+    gap = F.greatest(F.lit(8) - F.size(head) - F.size(rest), F.lit(0))
+    filled = F.concat(head, F.array_repeat(F.lit("0"), gap), rest)
+    is_v6 = whole.rlike(r"^[0-9a-f:]*:[0-9a-f:]*$") & ~whole.rlike(r":::|::.*::|^:[^:]|[^:]:$|[0-9a-f]{5}") & (F.size(filled) == 8) & ((F.size(halves) == 2) | (F.size(head) == 8)) & (F.size(halves) <= 2)
+    v6 = F.array_join(F.transform(filled, lambda g: F.lpad(g, 4, "0")), "")
+    return F.when(is_v4, F.concat(F.lit("4"), octets(parts))).when(is_v6, F.concat(F.lit("6"), v6))
+
+
+_BINARY = [f"{v:04b}" for v in range(16)]
+
+
+def cidr_bounds(cidr: Column) -> tuple[Column, Column, Column]:
+    """(least address, greatest address, whole hexadecimal digits that all share), as :func:`ip_hex` writes them.
+
+    A range without a length is one address; host bits are ignored.
+    """
+    base = ip_hex(F.get(F.split(cidr, "/"), F.lit(0)))
+    width = F.length(base) - 1
+    bits = F.coalesce(F.get(F.split(cidr, "/"), F.lit(1)).try_cast("int"), width * 4)
+    digits, left = F.floor(bits / 4).cast("int"), (bits % 4).cast("int")
+    fixed = F.substring(base, F.lit(1), digits + 1)
+    # The digit that the range cuts: its first ``left`` bits stay.
+    at = F.conv(F.substring(base, digits + 2, F.lit(1)), 16, 10).cast("int")
+    step = F.pow(F.lit(2), F.lit(4) - left).cast("int")
+    low = F.when(left > 0, F.lower(F.hex((at - at % step).cast("long")))).otherwise(F.lit(""))
+    high = F.when(left > 0, F.lower(F.hex((at - at % step + step - 1).cast("long")))).otherwise(F.lit(""))
+    sound = (bits >= 0) & (bits <= width * 4)
+    pad = lambda end, digit: F.when(sound, F.rpad(F.concat(fixed, end), width + 1, digit))
+    return pad(low, "0"), pad(high, "f"), F.when(sound, fixed)
 
 
 def cidr_join(logs: DataFrame, feeds: DataFrame, ip: str = "ip") -> DataFrame:
-    """Rows of ``logs`` with the ``feed`` whose ``cidr`` holds their address, on distinct addresses.
+    """Rows of ``logs`` with ``feeds``, all feeds whose ``cidr`` holds their address, in order, and ``feed``, the first.
 
-    Ranges are cut at /16 and joined by that bucket, so that the range condition is checked within a bucket only.
+    IPv4 and IPv6 alike, on distinct addresses: ranges and addresses meet by the leading digits that all of a range's addresses share,
+    of as many lengths as the feeds have (36 at most), and the bounds are checked among those that meet.
     """
-    low, high = cidr_bounds(F.col("cidr"))
-    ranges = feeds.select("feed", low.alias("lo"), high.alias("hi"))
-    ranges = ranges.withColumn("b", F.explode(F.sequence(F.floor(F.col("lo") / 65536), F.floor(F.col("hi") / 65536))))
-    ips = logs.select(ip).distinct().withColumn("n", ipv4_to_long(F.col(ip))).withColumn("b", F.floor(F.col("n") / 65536))
-    hits = ips.join(ranges, "b").filter("n BETWEEN lo AND hi").groupBy(ip).agg(F.min("feed").alias("feed"))
-    return logs.join(hits, ip, "left")
+    low, high, shared = cidr_bounds(F.col("cidr"))
+    ranges = feeds.select("feed", low.alias("lo"), high.alias("hi"), shared.alias("shared")).filter("lo IS NOT NULL")
+    lengths = ranges.select(F.struct(F.substring("shared", 1, 1).alias("v"), F.length("shared").alias("n")).alias("x")).distinct().agg(F.collect_list("x").alias("lengths"))
+    ips = logs.select(ip).distinct().withColumn("h", ip_hex(F.col(ip))).filter("h IS NOT NULL").crossJoin(F.broadcast(lengths))
+    ips = ips.select(ip, "h", F.explode(F.filter("lengths", lambda x: x["v"] == F.substring("h", 1, 1))).alias("x"))
+    hits = ips.withColumn("shared", F.expr("substring(h, 1, x.n)")).join(ranges, "shared").filter("h BETWEEN lo AND hi").groupBy(ip).agg(F.array_sort(F.collect_set("feed")).alias("feeds"))
+    return logs.join(hits, ip, "left").withColumn("feed", F.get("feeds", F.lit(0)))
 
 
 def filter_spec(logs: DataFrame, spec: Mapping[str, Mapping], types: Mapping[str, str] | None = None) -> DataFrame:

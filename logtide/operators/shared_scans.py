@@ -185,7 +185,7 @@ def flagged_clients(logs: DataFrame, pops: DataFrame, k: int = 100) -> DataFrame
     )
 
 
-def bot_efficiency(logs: DataFrame, k: int = 2000) -> DataFrame:
+def bot_efficiency(logs: DataFrame) -> DataFrame:
     """Bytes that each crawler family takes beside the visitors that its site refers.
 
     User agents are counted first and matched after; visitors are distinct addresses per referring site, of agents
@@ -194,7 +194,7 @@ def bot_efficiency(logs: DataFrame, k: int = 2000) -> DataFrame:
     crawler = "(bot|crawler|spider|slurp|archiver|scraper|externalagent|extended|headless)"
     low = F.lower(F.coalesce("ua", F.lit("")))
     site = logs.agg(F.greatest(F.sum("resp_bytes"), F.lit(1)).alias("site_bytes"))
-    uas = logs.filter("ua <> ''").groupBy("ua").agg(F.count("*").alias("cnt"), F.sum("resp_bytes").alias("bytes")).orderBy(F.desc("bytes"), F.desc("cnt"), "ua").limit(k)
+    uas = logs.filter("ua <> ''").groupBy("ua").agg(F.count("*").alias("cnt"), F.sum("resp_bytes").alias("bytes"))
     token = F.regexp_extract(F.lower("ua"), "([a-z0-9]+?)[-]?" + crawler, 1)
     bots = uas.filter(F.lower("ua").rlike(crawler)).groupBy(token.alias("stem")).agg(F.sum("cnt").alias("crawls"), F.sum("bytes").alias("crawl_bytes"))
     fetcher = F.nullif(F.regexp_extract(low, "([a-z0-9]+)-(user|externalfetcher)", 1), F.lit(""))

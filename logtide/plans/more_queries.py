@@ -58,11 +58,21 @@ SELECT CASE WHEN far OR ratio < 0.1 THEN 'High' ELSE 'Medium' END AS risk, count
     out["insufficient_baseline"] = (lambda x: M.insufficient_baseline(x, "2024-01-24 00:00:00", 552)), f"{CTES}, h AS (SELECT round((epoch(TIMESTAMP '2024-01-24 00:00:00') - floor(epoch(min(timestamp)))) / 3600.0, 4) AS hours FROM logs) SELECT CAST(hours AS DOUBLE) AS hours, hours < 552 AS insufficient FROM h"
     out["alert_cooldown"] = (lambda x: M.alert_cooldown(x.filter("status >= 500").select(F.col("pop").alias("name"), F.col("timestamp").cast("timestamp").alias("at")), 86400).groupBy("name").agg(n_rows())), CTES.replace("WITH", "WITH RECURSIVE", 1) + ", a AS (SELECT DISTINCT pop AS name, epoch_us(timestamp) // 1000000 AS t FROM logs WHERE status >= 500), r AS (SELECT name, min(t) AS t FROM a GROUP BY 1 UNION ALL SELECT a.name, min(a.t) AS t FROM r JOIN a ON a.name = r.name AND a.t >= r.t + 86400 GROUP BY a.name) SELECT name, count(*) AS n FROM r GROUP BY 1"
     out["rum_header_stats"] = (lambda x: rum_vitals(x).groupBy("browser").agg(F.countDistinct("req_id").alias("beacons"), F.max("timestamp").cast("string").alias("newest"))), f"{CTES} SELECT browser, count(DISTINCT req_id) AS beacons, CAST(max(timestamp) AS VARCHAR) AS newest FROM vitals GROUP BY 1"
-    bots = lambda x: x.sparkSession.sql("SELECT * FROM VALUES ('Googlebot', 'googlebot', 'google.com'), ('GPTBot', 'gptbot', NULL) AS t(bot, pattern, host_suffix)")
-    feeds = lambda x: x.sparkSession.sql("SELECT * FROM VALUES ('GPTBot', '10.0.0.0/16') AS t(feed, cidr)")
-    hosts = lambda x: x.filter("user_id % 3 > 0").select("ip", F.when(F.col("user_id") % 3 == 1, "crawl.google.com").otherwise("evil.example").alias("host")).groupBy("ip").agg(F.min("host").alias("host"))
-    out["wellknown_bots"] = (lambda x: B.wellknown_bots(B.enrich_bots(x, bots(x), feeds(x), hosts(x)))), f"""{CTES}, h AS (SELECT ip, min(CASE WHEN user_id % 3 = 1 THEN 'crawl.google.com' ELSE 'evil.example' END) AS host FROM logs WHERE user_id % 3 > 0 GROUP BY 1),
-s AS (SELECT CASE WHEN ua LIKE 'Googlebot%' THEN 'Googlebot' ELSE 'GPTBot' END AS bot_name, CASE WHEN ua LIKE 'GPTBot%' THEN (CASE WHEN ip LIKE '10.0.%' THEN 'verified' ELSE 'impersonator' END) WHEN host IS NULL THEN 'pending' WHEN host LIKE '%google.com' THEN 'verified' ELSE 'impersonator' END AS st FROM logs LEFT JOIN h USING (ip) WHERE ua LIKE 'Googlebot%' OR ua LIKE 'GPTBot%')
+    bots = lambda x: x.sparkSession.sql("SELECT * FROM VALUES ('Googlebot', 'googlebot', 'google.com'), ('GPTBot', 'gptbot', 'openai.com'), ('ChatGPT', 'chatgpt', NULL) AS t(bot, pattern, host_suffix)")
+    # An address in two feeds, an IPv6 range, a range that cuts a digit, and one that is no range.
+    feeds = lambda x: x.sparkSession.sql("SELECT * FROM VALUES ('Googlebot', '10.0.0.0/16'), ('GPTBot', '10.0.0.0/17'), ('GPTBot', '2001:db8:1::/47'), ('ChatGPT', '10.2.0.0/15'), ('GPTBot', '10.1.x/33') AS t(feed, cidr)")
+    v6 = F.concat(F.lit("2001:DB8:"), F.col("user_id") % 4, F.lit("::"), F.hex("user_id"))
+    address = lambda x: x.withColumn("ip", F.when((F.col("user_id") % 7 == 0) & F.col("ua").startswith("GPTBot"), v6).otherwise(F.col("ip")))
+    host = F.get(F.array(*[F.lit(h) for h in ("crawl.google.com", "evilgoogle.com", "google.com", "x.openai.com", "openai.com.evil.example")]), (F.col("user_id") % 6).cast("int"))
+    status = F.when(F.col("user_id") % 11 == 0, "pending").when(F.col("user_id") % 11 == 1, "nxdomain").otherwise("ok")
+    hosts = lambda x: address(x).filter("user_id % 5 > 0").groupBy("ip").agg(F.min("user_id").alias("user_id")).select("ip", host.alias("host"), status.alias("status"), (F.col("user_id") % 13 > 0).alias("fcrdns"))
+    out["wellknown_bots"] = (lambda x: B.wellknown_bots(B.enrich_bots(address(x), bots(x), feeds(x), hosts(x)))), f"""{CTES}, l AS (SELECT * REPLACE (CASE WHEN user_id % 7 = 0 AND ua LIKE 'GPTBot%' THEN concat('2001:DB8:', user_id % 4, '::', printf('%X', user_id)) ELSE ip END AS ip) FROM logs),
+u AS (SELECT ip, min(user_id) AS u FROM l WHERE user_id % 5 > 0 GROUP BY 1), h AS (SELECT ip, ['crawl.google.com', 'evilgoogle.com', 'google.com', 'x.openai.com', 'openai.com.evil.example'][u % 6 + 1] AS host, u % 11 AS st, u % 13 > 0 AS back FROM u),
+b AS (SELECT ip, ua, CASE WHEN ua LIKE 'Googlebot%' THEN 'Googlebot' WHEN ua LIKE 'GPTBot%' THEN 'GPTBot' ELSE 'ChatGPT' END AS bot_name FROM l WHERE ua LIKE 'Googlebot%' OR ua LIKE 'GPTBot%' OR ua LIKE '%ChatGPT%'),
+s AS (SELECT bot_name, CASE
+  WHEN bot_name = 'Googlebot' AND ip LIKE '10.0.%' OR bot_name = 'GPTBot' AND ip LIKE '10.0.%' AND CAST(split_part(ip, '.', 3) AS INTEGER) < 128 OR bot_name = 'GPTBot' AND (ip LIKE '2001:DB8:0:%' OR ip LIKE '2001:DB8:1:%') OR bot_name = 'ChatGPT' AND (ip LIKE '10.2.%' OR ip LIKE '10.3.%') THEN 'verified'
+  WHEN bot_name = 'ChatGPT' THEN 'unverified' WHEN h.ip IS NULL OR st = 0 THEN 'pending' WHEN st = 1 OR host IS NULL OR NOT back THEN 'impersonator'
+  WHEN bot_name = 'Googlebot' AND (host = 'google.com' OR host LIKE '%.google.com') OR bot_name = 'GPTBot' AND (host = 'openai.com' OR host LIKE '%.openai.com') THEN 'verified' ELSE 'impersonator' END AS st FROM b LEFT JOIN h USING (ip))
 SELECT bot_name, count(*) FILTER (st = 'verified') AS verified, count(*) FILTER (st = 'impersonator') AS impersonator, count(*) FILTER (st = 'unverified') AS unverified, count(*) FILTER (st = 'pending') AS pending FROM s GROUP BY 1"""
     out["top_bots"] = B.top_bots, f"{CTES}, t AS (SELECT CASE WHEN ua LIKE 'Googlebot%' THEN 'googlebot' WHEN ua LIKE 'GPTBot%' THEN 'gptbot' END AS token, resp_bytes FROM logs), u AS (SELECT CAST(sum(resp_bytes) AS BIGINT) AS site FROM t) SELECT token, count(*) AS requests, CAST(sum(resp_bytes) AS BIGINT) AS bytes, round(CAST(sum(resp_bytes) * 100.0 / max(site) AS DOUBLE), 4) AS bytes_pct FROM t, u WHERE token IS NOT NULL GROUP BY 1"
     return out

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import gzip
+import io
+import zlib
+from collections.abc import Iterator, Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..plans.shipping import ship_package
+
 #: A few typed fields that every raw record may carry; more come as declared by the caller.
 BASE_SCHEMA = T.StructType(
     [
@@ -34,15 +40,103 @@ CODES = {
 }
 
 
-def read_ndjson(spark: SparkSession, path: str, schema: T.StructType = BASE_SCHEMA) -> DataFrame:
-    """Raw lines (plain, gzip or zstd, told by suffix) parsed against a declared schema; what does not parse keeps its
-    line in ``_corrupt_record``.  Unreadable containers are skipped and can be found with :func:`corrupt_container`."""
+#: First bytes of gzip and zstd containers, and bytes that are decoded at a time.
+_GZIP, _ZSTD, _PIECE = b"\x1f\x8b", b"\x28\xb5\x2f\xfd", 1 << 20
+_OBJECTS = "raw string, _source_file string, codec string, error string, n_bytes long"
+
+
+def _codec(path: str, head: bytes) -> str:
+    """How an object is packed: by its first bytes, and where they tell nothing, by its name."""
+    if head[:4] == _ZSTD or (head[:2] != _GZIP and path.endswith((".zst", ".zstd"))):
+        return "zstd"
+    return "gzip" if head[:2] == _GZIP or path.endswith(".gz") else "plain"
+
+
+def _opened(data: bytes, codec: str) -> io.BufferedIOBase:
+    if codec == "gzip":
+        return gzip.GzipFile(fileobj=io.BytesIO(data))
+    if codec == "zstd":
+        import zstandard
+
+        return zstandard.ZstdDecompressor().stream_reader(io.BytesIO(data), read_across_frames=True)
+    return io.BytesIO(data)
+
+
+def _fault(data: bytes, codec: str) -> str | None:
+    """Why an object cannot be unpacked to its end."""
+    import zstandard
+
+    try:
+        if codec == "zstd":
+            # A stream that stops short is no error of the reader: the frames must end where the data ends.
+            unpacker, rest = zstandard.ZstdDecompressor().decompressobj(), data
+            while rest:
+                unpacker.decompress(rest)
+                if not unpacker.eof:
+                    return "the last frame is not complete"
+                rest = unpacker.unused_data
+                unpacker = zstandard.ZstdDecompressor().decompressobj()
+        with _opened(data, codec) as stream:
+            while stream.read(_PIECE):
+                pass
+    except (gzip.BadGzipFile, zlib.error, zstandard.ZstdError, EOFError, OSError) as error:
+        return f"{type(error).__name__}: {error}"[:2000]
+    return None
+
+
+def decode_objects(objects: DataFrame) -> DataFrame:
+    """Lines of raw objects (path, content): raw, _source_file, codec, error, n_bytes.
+
+    Gzip, zstd and plain text are told by their first bytes.  An object is unpacked to its end before any of its lines is
+    given: one that breaks has no lines, only a row with its ``error``, so that it is loaded wholly or not at all.  A task
+    holds one packed object, and hands on lines a few thousand at a time; lines that are no UTF-8 keep replacement characters.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(lines: list, path: str, codec: str, error: str | None, size: int) -> pa.RecordBatch:
+            n = len(lines)
+            return pa.record_batch([pa.array(lines, pa.string()), pa.array([path] * n), pa.array([codec] * n), pa.array([error] * n, pa.string()), pa.array([size] * n, pa.int64())], ["raw", "_source_file", "codec", "error", "n_bytes"])
+
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+                data = content.as_py() or b""
+                codec = _codec(path, data[:4])
+                error = _fault(data, codec)
+                if error is not None:
+                    yield rows([None], path, codec, error, len(data))
+                    continue
+                lines: list = []
+                with _opened(data, codec) as stream:
+                    for line in io.TextIOWrapper(stream, "utf-8", "replace", newline="\n"):
+                        lines.append(line.rstrip("\r\n"))
+                        if len(lines) == 4096:
+                            yield rows(lines, path, codec, None, len(data))
+                            lines = []
+                if lines:
+                    yield rows(lines, path, codec, None, len(data))
+
+    return objects.select("path", "content").mapInArrow(run, _OBJECTS)
+
+
+def read_objects(spark: SparkSession, path: str) -> DataFrame:
+    """:func:`decode_objects` over the files under ``path``, which are log objects of some tens of megabytes."""
+    ship_package(spark)
+    return decode_objects(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path))
+
+
+def parse_lines(lines: DataFrame, schema: T.StructType = BASE_SCHEMA) -> DataFrame:
+    """Lines (raw, _source_file) against a declared schema; what does not parse keeps its line in ``_corrupt_record``."""
     full = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
-    lines = spark.read.option("ignoreCorruptFiles", "true").text(path).select(F.col("value").alias("raw"), F.col("_metadata.file_path").alias("_source_file"))
-    parsed = lines.withColumn("j", F.from_json("raw", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}))
+    parsed = lines.select("raw", "_source_file").withColumn("j", F.from_json("raw", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}))
     return parsed.select("raw", "_source_file", "j.*")
 
 
+def read_ndjson(spark: SparkSession, path: str, schema: T.StructType = BASE_SCHEMA) -> DataFrame:
+    """Raw lines (plain, gzip or zstd, told by their first bytes) of the whole objects under ``path``, parsed; broken
+    objects give no rows and are found with :func:`corrupt_container`."""
+    return parse_lines(read_objects(spark, path).filter("error IS NULL"), schema)
+
+
 def quarantine_split(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(good rows, bad rows with category ``invalid_json`` or ``missing_timestamp``, their source and raw line)."""
     broken = F.col("_corrupt_record").isNotNull() | F.get_json_object("raw", "$").isNull()
@@ -52,9 +146,9 @@ def quarantine_split(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
     return good, rows.filter("category IS NOT NULL").select("_source_file", "category", "raw")
 
 
-def corrupt_container(listed: DataFrame, parsed: DataFrame) -> DataFrame:
-    """Listed files (``path``) of which no row was read."""
-    return listed.join(parsed.select(F.col("_source_file").alias("path")).distinct(), "path", "left_anti")
+def corrupt_container(objects: DataFrame) -> DataFrame:
+    """Objects that cannot be unpacked to their end (from :func:`decode_objects`), quarantined whole."""
+    return objects.filter("error IS NOT NULL").select("_source_file", F.lit("corrupt_container").alias("category"), "codec", "error", "n_bytes")
 
 
 def ingest_outcomes(good: DataFrame, bad: DataFrame) -> DataFrame:
@@ -85,9 +179,14 @@ def replace_by_source(target: DataFrame, new: DataFrame) -> DataFrame:
     return kept.unionByName(new, allowMissingColumns=True)
 
 
+def _comparable(df: DataFrame, without: Sequence[str] = ()) -> list[Column]:
+    """Columns that can be ordered and hashed: maps as their sorted entries."""
+    return [F.array_sort(F.map_entries(c)) if kind.startswith("map<") else F.col(c) for c, kind in df.dtypes if c not in without]
+
+
 def dedup_natural(df: DataFrame, keys: Sequence[str], order: str = "timestamp") -> DataFrame:
     """First row by ``order`` for each natural key."""
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(order).asc_nulls_last(), *[c for c in df.columns if c not in (*keys, order)]))
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(order).asc_nulls_last(), *_comparable(df, (*keys, order))))
     return df.withColumn("__r", rank).filter("__r = 1").drop("__r")
 
 
@@ -109,13 +208,14 @@ def lake_union_buffer(lake: DataFrame, fresh: DataFrame, start: str | None = Non
 def write_facts(df: DataFrame, path: str, mode: str = "append", rows_per_file: int = 5_000_000) -> None:
     """Parquet in zstd, partitioned by day and hour; rows of an hour are gathered into files of a bounded size.
 
-    An hour is written by as many tasks as it has files' worth of rows: hours are counted first.
+    An hour is written by as many tasks as it has files' worth of rows: hours are counted first.  A row's task follows from
+    its content, so that a stage that is computed again deals rows as before.
     """
     rows = df if "timestamp_hour" in df.columns else lake_union_buffer(df, df.limit(0))
     # One row an hour of the batch: at most some ten thousand a year.
     hours = rows.groupBy("timestamp_hour").agg(F.count("*").alias("__n")).select("timestamp_hour", F.ceil(F.col("__n") / rows_per_file).cast("int").alias("__tasks"))
     names = rows.columns
-    rows = rows.join(F.broadcast(hours), "timestamp_hour").withColumn("__lane", F.floor(F.rand(7) * F.col("__tasks")).cast("int"))
+    rows = rows.join(F.broadcast(hours), "timestamp_hour").withColumn("__lane", F.pmod(F.xxhash64(*_comparable(rows)), F.col("__tasks")).cast("int"))
     salted = rows.repartition("dt", "timestamp_hour", "__lane").select(*names)
     salted.sortWithinPartitions("timestamp").write.mode(mode).option("compression", "zstd").option("maxRecordsPerFile", rows_per_file).option("partitionOverwriteMode", "dynamic").partitionBy("dt", "timestamp_hour").parquet(path)
 

@@ -83,3 +83,41 @@ def test_downsample_keeps_extremes(spark):
 
 def test_combined_score(spark):
     assert one(spark, A.combined_score(F.col("a"), F.col("b"), F.col("d")), a=50, b=40, d=1.5) == 70
+
+
+def test_addresses_and_ranges_match_ipaddress(spark):
+    import ipaddress
+    import random
+
+    from pyspark.sql import functions as F
+
+    from logtide.functions.scalars import cidr_join, ip_hex
+
+    rng = random.Random(6)
+    ips = [".".join(str(rng.choice([0, 9, 10, 127, 128, 255])) for _ in range(4)) for _ in range(60)]
+    ips += [str(ipaddress.IPv6Address(rng.choice([rng.getrandbits(128), 0x20010DB8 << 96 | rng.getrandbits(20), rng.getrandbits(16)]))) for _ in range(60)]
+    ips += ["::", "::1", "1::", "::ffff:1.2.3.4", "2001:DB8::A", "256.1.1.1", "1.2.3", "", None, "x", "1:2:3:4:5:6:7", "1:2:3:4:5:6:7:8", "1::2::3", "12345::", ":1::2", "1:2:3:4:5:6:7:8:9", "::1:2:3:4:5:6:7"]
+
+    def parsed(text):
+        try:
+            at = ipaddress.ip_address(text)
+        except ValueError:
+            return None
+        return f"{at.version}{int(at):0{8 if at.version == 4 else 32}x}"
+
+    frame = spark.createDataFrame([(i,) for i in ips], "ip string")
+    got = {r.ip: r.h for r in frame.select("ip", ip_hex(F.col("ip")).alias("h")).collect()}
+    assert {i: got[i] for i in ips} == {i: parsed(i) for i in ips}
+    cidrs = [f"{i}/{rng.randrange(0, 33 if '.' in i and ':' not in i else 129)}" for i in ips if parsed(i)] + ["10.0.0.0", "10.0.0.0/99", "junk/8", "::/0", "0.0.0.0/0"]
+    feeds = spark.createDataFrame([(f"f{k % 9}", c) for k, c in enumerate(cidrs)], "feed string, cidr string")
+    joined = {r.ip: r.feeds for r in cidr_join(frame, feeds).collect()}
+    nets = []
+    for k, c in enumerate(cidrs):
+        try:
+            nets.append((f"f{k % 9}", ipaddress.ip_network(c, strict=False)))
+        except ValueError:
+            pass
+    for i in ips:
+        at = ipaddress.ip_address(i) if parsed(i) else None
+        want = sorted({f for f, n in nets if at is not None and at.version == n.version and at in n})
+        assert (joined[i] or []) == want, i

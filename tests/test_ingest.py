@@ -90,3 +90,32 @@ def test_streams_equal_batch(spark, tmp):
     assert 1 <= alerts.count() <= 3
     scored = J.run_available(J.stream_session_score(source().filter("ip is not null").withColumnRenamed("ip", "edge_sid")), "sc", f"{tmp}/cp6")
     assert scored.count() == 40
+
+
+def test_objects_are_told_by_their_first_bytes_and_break_whole(spark, tmp):
+    import gzip
+    import pathlib
+
+    import zstandard
+
+    text = "".join(f'{{"timestamp":"2024-01-01T00:00:00Z","rid":"r{k}"}}\n' for k in range(9000))
+    packed, squeezed = gzip.compress(text.encode()), zstandard.ZstdCompressor().compress(text.encode())
+    files = {
+        "a.gz": packed, "b.json": packed, "c.gz": squeezed, "d.zst": squeezed + squeezed, "e.log": text.encode(), "f.log": b"", "cut.gz": packed[: len(packed) // 2], "cut.zst": squeezed[:-9],
+        "tail.gz": packed + b"junk", "bad.gz": b"no gzip at all", "bad.zst": b"no zstd", "odd.log": b"caf\xe9\r\nend",
+    }
+    for name, data in files.items():
+        pathlib.Path(tmp, name).write_bytes(data)
+    objects = I.read_objects(spark, tmp).cache()
+    good = {pathlib.Path(r._source_file).name: (r.codec, r["count"]) for r in objects.filter("error IS NULL").groupBy("_source_file", "codec").count().collect()}
+    assert good == {"a.gz": ("gzip", 9000), "b.json": ("gzip", 9000), "c.gz": ("zstd", 9000), "d.zst": ("zstd", 18000), "e.log": ("plain", 9000), "odd.log": ("plain", 2)}
+    broken = {pathlib.Path(r._source_file).name: r.codec for r in I.corrupt_container(objects).collect()}
+    assert broken == {"cut.gz": "gzip", "cut.zst": "zstd", "tail.gz": "gzip", "bad.gz": "gzip", "bad.zst": "zstd"}
+    assert I.read_ndjson(spark, tmp).filter("rid = 'r7'").count() == 6
+
+
+def test_rows_with_maps_are_written_and_deduplicated(spark, tmp):
+    rows = spark.sql("SELECT timestamp '2024-01-01 00:00:00' AS timestamp, 'a' AS k, map('x', CAST(id % 2 AS STRING)) AS cmcd FROM range(4)")
+    assert I.dedup_natural(rows, ["k"]).collect()[0].cmcd == {"x": "0"}
+    I.write_facts(rows, tmp + "/facts", rows_per_file=2)
+    assert spark.read.parquet(tmp + "/facts").count() == 4
