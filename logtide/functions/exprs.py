@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.reads import DURATION_EDGES, HEADER_EDGES, TTL_EDGES, metrics
+from ..operators.reads import ASSETS, DURATION_EDGES, HEADER_EDGES, TTL_EDGES, metrics
 
 # The tokens by which crawlers and clients of libraries name themselves.
 CRAWLER = (
@@ -15,16 +15,6 @@ CRAWLER = (
     "|go-http-client|curl|wget|scrapy|aiohttp|httpx|okhttp|axios)"
 )
 
-# File endings of the asset types.
-ASSETS = {
-    "Images": ("jpg", "jpeg", "png", "gif", "webp", "svg"),
-    "Docs": ("pdf", "html", "txt"),
-    "JS/CSS": ("js", "css"),
-    "Fonts": ("woff", "woff2", "ttf"),
-    "Video": ("mp4", "m3u8", "ts"),
-}
-
-
 def origin_latency_us() -> Column:
     """Microseconds to the origin's first byte; ttfb is in seconds."""
     return F.coalesce(F.col("ottfb"), F.col("ttfb") * 1_000_000)
@@ -36,11 +26,11 @@ def metric_expr(name: str, statuses: Sequence[int] = (404,)) -> Column:
 
 
 def asset_type(url: Column) -> Column:
-    path = F.substring_index(F.lower(url), "?", 1)
-    ending = F.element_at(F.split(path, r"\."), -1)
-    out = F.lit("API/Other")
-    for name, endings in reversed(ASSETS.items()):
-        out = F.when(path.contains(".") & ending.isin(*endings), name).otherwise(out)
+    """The class of an asset by what stands behind the last dot of its URL."""
+    ending = F.lower(F.substring_index(url, ".", -1))
+    out = F.lit("API/Dynamic")
+    for name, endings in ASSETS.items():
+        out = F.when(F.contains(url, F.lit(".")) & ending.isin(*endings), name).otherwise(out)
     return out
 
 

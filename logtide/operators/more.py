@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import haversine_km
+from ..functions.scalars import haversine_km, io_cost
 from .reads import HOUR
 
 
@@ -105,3 +105,23 @@ def insufficient_baseline(logs: DataFrame, window_start: str, baseline_hours: fl
 def weighted_percentiles(hourly: DataFrame, keys: Sequence[str], value: str, weight: str = "weight") -> DataFrame:
     """Weighted mean of hourly percentiles: an approximation, kept for comparison with the mergeable sketch."""
     return hourly.groupBy(*keys).agg(F.round(F.sum(F.col(value) * F.col(weight)) / F.sum(weight), 6).alias(value), F.sum(weight).alias(weight))
+
+
+# Free image requests of a month, and price steps (upper bound of the month's requests, price per 10,000).
+IO_FREE = 100_000
+IO_STEPS = ((10_000_000, 0.50), (50_000_000, 0.15), (150_000_000, 0.07), (500_000_000, 0.03), (1_000_000_000, 0.02), (5_000_000_000, 0.015), (None, 0.01))
+
+
+def io_tiers(spark: SparkSession, free: int = IO_FREE, steps: Sequence[tuple[int | None, float]] = IO_STEPS) -> DataFrame:
+    """The price list as (lo, hi, price of one request)."""
+    lows = [free, *[top for top, _ in steps[:-1]]]
+    return spark.createDataFrame([(lo, top, price / 10_000) for lo, (top, price) in zip(lows, steps)], "lo long, hi long, price double")
+
+
+def io_usage(logs: DataFrame, tiers: DataFrame) -> DataFrame:
+    """Image transforms by month: their share of the month's requests and their cost at marginal prices."""
+    month = F.date_format("timestamp", "yyyy-MM").alias("month")
+    months = logs.groupBy(month).agg(F.count("*").alias("requests"), F.count("io_output_format").alias("transforms"), F.coalesce(F.sum(F.col("io_input_bytes") - F.col("io_output_bytes")), F.lit(0)).alias("saved_bytes"))
+    months = months.withColumn("traffic_pct", F.round(F.col("transforms") * 100.0 / F.col("requests"), 4).cast("double"))
+    priced = io_cost(months.select("month", "transforms"), tiers).select("month", "cost")
+    return months.join(priced, "month", "left").withColumn("cost", F.round(F.coalesce("cost", F.lit(0.0)), 6))

@@ -65,11 +65,28 @@ DURATION_EDGES = [(30, "<30s"), (120, "30s-2m"), (300, "2-5m"), (600, "5-10m"),
 _LAT_OK = f"{ORIGIN_LATENCY} IS NOT NULL"
 _LATENCY3 = {"p50_ms": ms(ORIGIN_LATENCY, 0.5), "p95_ms": ms(ORIGIN_LATENCY, 0.95), "p99_ms": ms(ORIGIN_LATENCY, 0.99)}
 _RTT_OK = "tcp_rtt IS NOT NULL AND tcp_rtt > 0"
-_ASSET = (
-    "CASE WHEN lower(url) LIKE '%.jpg' OR lower(url) LIKE '%.jpeg' OR lower(url) LIKE '%.png' OR lower(url) LIKE '%.gif' OR lower(url) LIKE '%.webp' OR lower(url) LIKE '%.svg' THEN 'Images' "
-    "WHEN lower(url) LIKE '%.pdf' OR lower(url) LIKE '%.html' OR lower(url) LIKE '%.txt' THEN 'Docs' WHEN lower(url) LIKE '%.js' OR lower(url) LIKE '%.css' THEN 'JS/CSS' "
-    "WHEN lower(url) LIKE '%.woff' OR lower(url) LIKE '%.woff2' OR lower(url) LIKE '%.ttf' THEN 'Fonts' WHEN lower(url) LIKE '%.mp4' OR lower(url) LIKE '%.m3u8' OR lower(url) LIKE '%.ts' THEN 'Video' ELSE 'API/Other' END"
-)
+# File endings of the asset types, and of texts that compress.
+ASSETS = {
+    "Images": ("png", "jpg", "jpeg", "gif", "svg", "webp", "ico"),
+    "Documents": ("pdf", "doc", "docx", "xls", "xlsx", "ppt", "pptx", "txt", "csv", "zip", "tar", "gz", "tgz", "rar", "7z"),
+    "JavaScript/CSS": ("js", "mjs", "css"),
+    "Fonts": ("woff", "woff2", "ttf", "otf", "eot"),
+    "Video": ("m3u8", "ts", "mp4", "m4s", "webm"),
+}
+COMPRESSIBLE = ("js", "mjs", "css", "svg", "html", "json")
+
+
+def endings(names: tuple[str, ...], url: str = "url") -> str:
+    """Whether what stands behind the last dot of a URL is one of ``names``."""
+    return f"(contains({url}, '.') AND lower(substring_index({url}, '.', -1)) IN ({', '.join(map(repr, names))}))"
+
+
+def asset_class(url: str = "url") -> str:
+    return "CASE " + " ".join(f"WHEN {endings(names, url)} THEN '{kind}'" for kind, names in ASSETS.items()) + " ELSE 'API/Dynamic' END"
+
+
+_ASSET = asset_class()
+_COMPRESSED, _COMPRESSIBLE = "lower(resp_header_content_encoding) IN ('gzip', 'br', 'deflate')", endings(COMPRESSIBLE)
 _ENCODING = "CASE WHEN contains(coalesce(resp_header_content_encoding, ''), 'br') THEN 'br' WHEN contains(coalesce(resp_header_content_encoding, ''), 'gzip') THEN 'gzip' WHEN coalesce(resp_header_content_encoding, '') = '' THEN 'uncompressed' ELSE 'other' END"
 _PROTO = "CASE WHEN proto IN ('HTTP/1.0', 'HTTP/1.1') THEN 'HTTP/1' WHEN proto IN ('HTTP/2', 'HTTP/2.0', 'h2') THEN 'HTTP/2' WHEN proto IN ('HTTP/3', 'HTTP/3.0', 'h3') THEN 'HTTP/3' ELSE 'Other' END"
 _TUNNEL = "(tcp_rtt > 0 AND CAST(rtt_min AS DOUBLE) / tcp_rtt < 0.1)"
@@ -158,7 +175,7 @@ READS: dict[str, Report] = {
         where="ja3 IS NOT NULL AND ja3 <> ''", order=["-requests"], limit=50,
     ),
     # Assets and value.
-    "assets_summary": Report(keys={"asset_type": _ASSET}, measures={"requests": "count(*)", "bytes": total("resp_bytes"), "hit_ratio": pct(HIT["hit_prefix_ci"]), "compression_rate": pct("coalesce(resp_header_content_encoding, '') <> ''")}, where="url IS NOT NULL"),
+    "assets_summary": Report(keys={"asset_type": _ASSET}, measures={"requests": "count(*)", "bytes": total("resp_bytes"), "hit_ratio": pct(HIT["hit_prefix_ci"]), "compression_rate": pct(_COMPRESSED), "compressible_requests": count_if(_COMPRESSIBLE), "compressible_rate": pct(_COMPRESSED, _COMPRESSIBLE)}, where="url IS NOT NULL"),
     "assets_cache_matrix": Report(keys={"asset_type": _ASSET, "cache": "cache"}, measures={"requests": "count(*)", "bytes": total("resp_bytes")}, where="url IS NOT NULL"),
     "assets_encoding_matrix": Report(keys={"asset_type": _ASSET, "encoding": _ENCODING}, measures={"requests": "count(*)", "bytes": total("resp_bytes")}, where="url IS NOT NULL"),
     "large_uncompressed": Report(keys={"url": "url"}, measures={"requests": "count(*)", "bytes": total("resp_bytes")}, where=f"{_ENCODING} = 'uncompressed' AND status = 200 AND resp_bytes >= {{floor}}", order=["-bytes"], limit=20, params={"floor": 1024}),

@@ -25,7 +25,13 @@ def entries(pops: Callable, pops_sql: str) -> dict[str, tuple[Frame, str | None]
     by = lambda make: lambda x: x.groupBy(make().alias("value")).agg(n_rows())
     grouped = lambda sql: f"{CTES} SELECT {sql} AS value, count(*) AS n FROM logs GROUP BY 1"
     ending = "split_part(split_part(lower(url), '?', 1), '.', -1)"
-    out["asset_type"] = by(lambda: X.asset_type(F.col("url"))), grouped(f"CASE WHEN url NOT LIKE '%.%' THEN 'API/Other' WHEN {ending} IN ('jpg', 'jpeg', 'png', 'gif', 'webp', 'svg') THEN 'Images' WHEN {ending} IN ('js', 'css') THEN 'JS/CSS' ELSE 'API/Other' END")
+    # Real endings are rare in the log: each stands behind the URL of some rows.
+    odd = ["a.PNG", "b.tar.gz", "c.mjs?v=1", "d.x/e.js", "f.otf", "g.m4s", "h.html", "i", "j.", "k.ico", "l.csv", "m.webm"]
+    ended = F.concat("url", F.get(F.array(*[F.lit(x) for x in odd]), (F.col("event_id") % 12).cast("int")))
+    kinds = ["Images", "Documents", "API/Dynamic", "JavaScript/CSS", "Fonts", "Video", "API/Dynamic", None, "API/Dynamic", "Images", "Documents", "Video"]
+    # Row 8 (``i``) keeps the ending that its URL has: an image's or a script's ending with an i behind it is none.
+    told = "[" + ", ".join(f"'{k or 'API/Dynamic'}'" for k in kinds) + "][event_id % 12 + 1]"
+    out["asset_type"] = by(lambda: X.asset_type(ended)), grouped(told)
     out["encoding_norm"] = by(lambda: X.encoding_norm(F.col("resp_header_content_encoding"))), grouped("CASE WHEN resp_header_content_encoding = 'gzip' THEN 'gzip' ELSE 'uncompressed' END")
     out["proto_label"] = by(lambda: X.proto_label(F.col("proto"))), grouped("left(proto, 6)")
     out["proto_flags"] = (lambda x: x.select(*X.proto_flags(F.col("proto"))).agg(*[F.sum(f"is_http{v}").alias(f"http{v}") for v in (1, 2, 3)])), f"{CTES} SELECT count(*) FILTER (proto = 'HTTP/1.1') AS http1, count(*) FILTER (proto = 'HTTP/2') AS http2, count(*) FILTER (proto = 'HTTP/3') AS http3 FROM logs"
@@ -74,5 +80,7 @@ s AS (SELECT bot_name, CASE
   WHEN bot_name = 'ChatGPT' THEN 'unverified' WHEN h.ip IS NULL OR st = 0 THEN 'pending' WHEN st = 1 OR host IS NULL OR NOT back THEN 'impersonator'
   WHEN bot_name = 'Googlebot' AND (host = 'google.com' OR host LIKE '%.google.com') OR bot_name = 'GPTBot' AND (host = 'openai.com' OR host LIKE '%.openai.com') THEN 'verified' ELSE 'impersonator' END AS st FROM b LEFT JOIN h USING (ip))
 SELECT bot_name, count(*) FILTER (st = 'verified') AS verified, count(*) FILTER (st = 'impersonator') AS impersonator, count(*) FILTER (st = 'unverified') AS unverified, count(*) FILTER (st = 'pending') AS pending FROM s GROUP BY 1"""
+    out["io_usage"] = (lambda x: M.io_usage(x, M.io_tiers(x.sparkSession, 100, ((150, 5.0), (180, 3.0), (None, 1.0))))), f"""{CTES}, m AS (SELECT strftime(timestamp, '%Y-%m') AS month, count(*) AS requests, count(io_output_format) AS transforms, CAST(coalesce(sum(io_input_bytes - io_output_bytes), 0) AS BIGINT) AS saved_bytes FROM logs GROUP BY 1)
+SELECT *, round(transforms * 100.0 / requests, 4) AS traffic_pct, round((greatest(0, least(transforms, 150) - 100) * 5.0 + greatest(0, least(transforms, 180) - 150) * 3.0 + greatest(0, transforms - 180)) / 10000, 6) AS cost FROM m"""
     out["top_bots"] = B.top_bots, f"{CTES}, t AS (SELECT CASE WHEN ua LIKE 'Googlebot%' THEN 'googlebot' WHEN ua LIKE 'GPTBot%' THEN 'gptbot' END AS token, resp_bytes FROM logs), u AS (SELECT CAST(sum(resp_bytes) AS BIGINT) AS site FROM t) SELECT token, count(*) AS requests, CAST(sum(resp_bytes) AS BIGINT) AS bytes, round(CAST(sum(resp_bytes) * 100.0 / max(site) AS DOUBLE), 4) AS bytes_pct FROM t, u WHERE token IS NOT NULL GROUP BY 1"
     return out

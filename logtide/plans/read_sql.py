@@ -37,9 +37,10 @@ _METRICS = f"""count(*) AS requests, {n('status >= 500')} AS errors_5xx, {share(
 _L3 = f"{q(OL, 0.5)} AS p50_ms, {q(OL, 0.95)} AS p95_ms, {q(OL, 0.99)} AS p99_ms"
 _L2 = f"{q(OL, 0.5)} AS p50_ms, {q(OL, 0.95)} AS p95_ms"
 _ORIGIN = "(ottfb IS NOT NULL OR ttfb IS NOT NULL)"
-_EXT = "regexp_extract(lower(url), '[.]([a-z0-9]+)$', 1)"
-_ASSET = f"""CASE WHEN {_EXT} IN ('jpg', 'jpeg', 'png', 'gif', 'webp', 'svg') THEN 'Images' WHEN {_EXT} IN ('pdf', 'html', 'txt') THEN 'Docs' WHEN {_EXT} IN ('js', 'css') THEN 'JS/CSS'
-  WHEN {_EXT} IN ('woff', 'woff2', 'ttf') THEN 'Fonts' WHEN {_EXT} IN ('mp4', 'm3u8', 'ts') THEN 'Video' ELSE 'API/Other' END"""
+_EXT = "regexp_extract(lower(url), '[.]([^.]*)$', 1)"
+_ASSET = f"""CASE WHEN {_EXT} IN ('ico', 'webp', 'svg', 'gif', 'jpeg', 'jpg', 'png') THEN 'Images' WHEN {_EXT} IN ('7z', 'rar', 'tgz', 'gz', 'tar', 'zip', 'csv', 'txt', 'pptx', 'ppt', 'xlsx', 'xls', 'docx', 'doc', 'pdf') THEN 'Documents'
+  WHEN {_EXT} IN ('css', 'mjs', 'js') THEN 'JavaScript/CSS' WHEN {_EXT} IN ('eot', 'otf', 'ttf', 'woff2', 'woff') THEN 'Fonts' WHEN {_EXT} IN ('webm', 'm4s', 'mp4', 'ts', 'm3u8') THEN 'Video' ELSE 'API/Dynamic' END"""
+_PACKED, _TEXTS = "resp_header_content_encoding IN ('gzip', 'br', 'deflate', 'GZIP', 'BR', 'DEFLATE')", f"{_EXT} IN ('json', 'html', 'svg', 'css', 'mjs', 'js')"
 _ENC = """CASE WHEN resp_header_content_encoding IS NULL OR resp_header_content_encoding = '' THEN 'uncompressed' WHEN resp_header_content_encoding LIKE '%br%' THEN 'br'
   WHEN resp_header_content_encoding LIKE '%gzip%' THEN 'gzip' ELSE 'other' END"""
 _PROTO = "CASE proto WHEN 'HTTP/1.0' THEN 'HTTP/1' WHEN 'HTTP/1.1' THEN 'HTTP/1' WHEN 'HTTP/2' THEN 'HTTP/2' WHEN 'HTTP/2.0' THEN 'HTTP/2' WHEN 'h2' THEN 'HTTP/2' WHEN 'HTTP/3' THEN 'HTTP/3' WHEN 'HTTP/3.0' THEN 'HTTP/3' WHEN 'h3' THEN 'HTTP/3' ELSE 'Other' END"
@@ -111,7 +112,7 @@ SQL: dict[str, str] = {
     "top_uas": "SELECT ua, count(*) AS cnt FROM logs WHERE ua IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50",
     "proxy_connection_quality": f"SELECT CASE WHEN {_TUNNEL} THEN 'Active Tunnel / Proxy' WHEN tcp_rtt > 0 AND rtt_min / tcp_rtt < 0.7 THEN 'WiFi / Mobile' ELSE 'Direct Connection' END AS type, count(*) AS count FROM logs GROUP BY 1",
     "proxy_isps": f"SELECT asn, count(*) AS count FROM logs WHERE {_TUNNEL} GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10",
-    "assets_summary": f"SELECT {_ASSET} AS asset_type, count(*) AS requests, {big('resp_bytes')} AS bytes, {share(_HIT)} AS hit_ratio, {share("resp_header_content_encoding <> ''")} AS compression_rate FROM logs WHERE url IS NOT NULL GROUP BY 1",
+    "assets_summary": f"SELECT {_ASSET} AS asset_type, count(*) AS requests, {big('resp_bytes')} AS bytes, {share(_HIT)} AS hit_ratio, {share(_PACKED)} AS compression_rate, {n(_TEXTS)} AS compressible_requests, {share(_PACKED, _TEXTS)} AS compressible_rate FROM logs WHERE url IS NOT NULL GROUP BY 1",
     "assets_cache_matrix": f"SELECT {_ASSET} AS asset_type, cache, count(*) AS requests, {big('resp_bytes')} AS bytes FROM logs WHERE url IS NOT NULL GROUP BY 1, 2",
     "assets_encoding_matrix": f"SELECT {_ASSET} AS asset_type, {_ENC} AS encoding, count(*) AS requests, {big('resp_bytes')} AS bytes FROM logs WHERE url IS NOT NULL GROUP BY 1, 2",
     "large_uncompressed": f"SELECT url, count(*) AS requests, {big('resp_bytes')} AS bytes FROM logs WHERE resp_header_content_encoding = '' AND status = 200 AND resp_bytes >= 1024 GROUP BY 1 ORDER BY 3 DESC, 1 LIMIT 20",
