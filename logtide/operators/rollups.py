@@ -88,19 +88,19 @@ class Rollup:
         # One row for the plain measures, which has no centroid, and one for each sketch.
         plain = F.struct(F.lit(None).cast("string").alias("sketch"), F.lit(None).cast("int").alias("at"))
         cells = [F.struct(F.lit(c).alias("sketch"), F.col(c).alias("at")) for c in self.sketches]
-        dealt = kept.withColumn("cell", F.explode(F.array(plain, *cells))).filter("cell.sketch IS NULL OR cell.at IS NOT NULL")
-        main = F.col("cell.sketch").isNull()
+        dealt = kept.withColumn("__cell", F.explode(F.array(plain, *cells))).filter("__cell.sketch IS NULL OR __cell.at IS NOT NULL")
+        main = F.col("__cell.sketch").isNull()
         parts = [F.sum(F.when(main, F.col(c))).alias(c) for c in self.sums] + [F.min(F.when(main, F.col(c))).alias(c) for c in self.least] + [F.max(F.when(main, F.col(c))).alias(c) for c in self.greatest]
         parts += [F.hll_sketch_agg(F.when(main, F.col(c)), _HLL_BITS).alias(c) for c in self.distinct]
-        counted = dealt.groupBy(*self.keys, "cell").agg(F.count("*").alias("n"), *parts)
+        counted = dealt.groupBy(*self.keys, "__cell").agg(F.count("*").alias("__n"), *parts)
         return self._assembled(counted, list(self.keys))
 
     def _assembled(self, counted: DataFrame, keys: Sequence[str]) -> DataFrame:
         """Cells (keys, cell, n, plain measures in the cells without sketch) as one row for each key."""
-        main = F.col("cell.sketch").isNull()
+        main = F.col("__cell.sketch").isNull()
         plain = [F.sum(F.when(main, F.col(c))).alias(c) for c in self.sums] + [F.min(c).alias(c) for c in self.least] + [F.max(c).alias(c) for c in self.greatest]
         plain += [F.hll_union_agg(F.when(main, F.col(c))).alias(c) for c in self.distinct]
-        entry = lambda s: F.when(F.col("cell.sketch") == s, F.struct(F.col("cell.at").alias("key"), F.col("n").alias("value")))
+        entry = lambda s: F.when(F.col("__cell.sketch") == s, F.struct(F.col("__cell.at").alias("key"), F.col("__n").alias("value")))
         maps = [F.map_from_entries(F.array_sort(F.collect_list(entry(s)))).alias(s) for s in self.sketches]
         return counted.groupBy(*keys).agg(*plain, *maps).select(*keys, *self.sums, *self.least, *self.greatest, *self.distinct, *self.sketches)
 
@@ -115,12 +115,12 @@ class Rollup:
             return F.transform(F.map_entries(s), lambda e: F.struct(F.lit(s).alias("sketch"), e["key"].alias("at"), e["value"].alias("k")))
 
         cells = [entries(s) for s in self.sketches]
-        rows = table.withColumn("x", F.explode(F.concat(none, *[F.coalesce(c, F.array().cast("array<struct<sketch:string,at:int,k:bigint>>")) for c in cells])))
-        rows = rows.withColumn("cell", F.struct(F.col("x.sketch").alias("sketch"), F.col("x.at").alias("at")))
-        main = F.col("cell.sketch").isNull()
+        rows = table.withColumn("__x", F.explode(F.concat(none, *[F.coalesce(c, F.array().cast("array<struct<sketch:string,at:int,k:bigint>>")) for c in cells])))
+        rows = rows.withColumn("__cell", F.struct(F.col("__x.sketch").alias("sketch"), F.col("__x.at").alias("at")))
+        main = F.col("__cell.sketch").isNull()
         plain = [F.sum(F.when(main, F.col(c))).alias(c) for c in self.sums] + [F.min(F.when(main, F.col(c))).alias(c) for c in self.least] + [F.max(F.when(main, F.col(c))).alias(c) for c in self.greatest]
         plain += [F.hll_union_agg(F.when(main, F.col(c))).alias(c) for c in self.distinct]
-        return self._assembled(rows.groupBy(*keys, "cell").agg(F.sum("x.k").alias("n"), *plain), keys)
+        return self._assembled(rows.groupBy(*keys, "__cell").agg(F.sum("__x.k").alias("__n"), *plain), keys)
 
     def days(self, hourly: DataFrame) -> DataFrame:
         """Hours, or minutes, merged to days."""

@@ -12,11 +12,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import scalars as S
+from ..operators.reads import HOUR
+from ..operators.rollups import Rollup, one_if
 from ..sources import ingest as I
 from ..sources.request_log import CTES, request_log, rum_vitals
 from ..streaming import jobs as J
+from .shipping import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -150,6 +154,57 @@ def _stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("kind").agg(F.count("*").alias("rows"), F.sum("resp_bytes").alias("bytes"))
 
 
+#: Rows of the first three quarters come first, those of the last quarter, which are as old, when the others have been read.
+_FIRST = "part < 3"
+_LATE = Rollup({"hour": HOUR}, {"requests": "1L", "err5": one_if("status >= 500"), "bytes": "coalesce(resp_bytes, 0)"}, sketches={"elapsed": "elapsed"}, quantiles={"p95_ms": ("elapsed", 0.95, 1e3)})
+_P95 = "round(quantile_disc(CASE WHEN elapsed > 0 THEN power(1.02::DOUBLE, ceil(ln(elapsed) / ln(1.02::DOUBLE))) * 2 / 2.02 WHEN elapsed <= 0 THEN 0 END, 0.95) / 1000, 6)"
+
+
+def _in_two(spark: SparkSession, sf_dir: str, start: Callable[[DataFrame], StreamingQuery]) -> None:
+    """Run a stream twice: over three quarters of the raw lines, then over what the last quarter adds."""
+    raw, lines = scratch(spark, "raw"), raw_lines(request_log(spark, sf_dir))
+    for rows in (lines.filter(_FIRST), lines.filter(f"NOT ({_FIRST})")):
+        rows.write.mode("append").option("compression", "gzip").partitionBy("part").text(raw)
+        start(I.quarantine_split(J.stream_raw(spark, raw))[0]).awaitTermination()
+
+
+def _late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    facts, table, aside, ledger = (scratch(spark, f"late-{n}") for n in ("facts", "table", "aside", "ledger"))
+    _in_two(spark, sf_dir, lambda rows: J.stream_rebuild(rows, _LATE, facts, table, aside, ledger))
+    return _LATE.read(spark.read.parquet(table).drop("part_hour"))
+
+
+def _alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, ledger = scratch(spark, "alerts"), scratch(spark, "alerts-ledger")
+    _in_two(spark, sf_dir, lambda rows: J.stream_error_alerts(rows, "method", 30.0, out, ledger, "1 hour", 6 * 3600, "1 hour"))
+    found = spark.read.schema("name string, at timestamp, value double, batch long").parquet(out)
+    return found.select("name", _text("at"), F.round("value", 6).alias("value"))
+
+
+def _containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw objects of which one is cut in half, one packed anew as zstd under its old name, and one unpacked."""
+    ship_package(spark)
+    objects = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(write_raw(spark, sf_dir)).filter("length > 0")
+
+    def changed(batches):
+        import gzip
+
+        import pyarrow as pa
+        import zstandard
+
+        for batch in batches:
+            out = []
+            for path, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                part = path.rsplit("part=", 1)[1][0]
+                out.append(data[: len(data) // 2] if part == "1" else zstandard.ZstdCompressor().compress(gzip.decompress(data)) if part == "2" else gzip.decompress(data) if part == "3" else data)
+            names = [p.removesuffix(".gz") if "part=3" in p else p for p in batch.column(0).to_pylist()]
+            yield pa.record_batch([pa.array(names), pa.array(out, pa.binary())], ["path", "content"])
+
+    read = I.decode_objects(objects.select("path", "content").mapInArrow(changed, "path string, content binary"))
+    kind = F.when(F.col("error").isNotNull(), "corrupt_container").otherwise("good").alias("kind")
+    return read.groupBy(kind, "codec").agg(F.countDistinct("_source_file").alias("objects"), F.count("raw").alias("lines"))
+
+
 def _text(column: str) -> F.Column:
     return F.date_format(column, "yyyy-MM-dd HH:mm:ss").alias(column)
 
@@ -192,7 +247,21 @@ UNION ALL SELECT event_id, 'pageview', '', 1 FROM logs WHERE event_id % 4 = 0 AN
     out["stream_realtime_tick"] = lambda s, d: _stream(lambda r: J.stream_realtime_tick(r, _LOOSE), "tick")(s, d).select(_text("second"), "requests", F.round("hit_ratio", 6).alias("hit_ratio"), F.round("error_ratio", 6).alias("error_ratio")), f"{_RAW_SQL} SELECT strftime(date_trunc('second', timestamp), '%Y-%m-%d %H:%M:%S') AS second, count(*) AS requests, round(count(*) FILTER (cache LIKE 'HIT%') * 1.0 / count(*), 6) AS hit_ratio, round(count(*) FILTER (status >= 500) * 1.0 / count(*), 6) AS error_ratio FROM good GROUP BY 1"
     out["stream_sessions"] = lambda s, d: _stream(lambda r: J.stream_sessions(r, "30 minutes", _LOOSE), "sessions")(s, d).select("ip", _text("first_ts"), "requests", "err4", "bytes"), f"""{_RAW_SQL}, l AS (SELECT *, lag(timestamp) OVER (PARTITION BY ip ORDER BY timestamp) AS before FROM good), n AS (SELECT *, sum(CASE WHEN before IS NULL OR timestamp - before >= INTERVAL 30 MINUTES THEN 1 ELSE 0 END) OVER (PARTITION BY ip ORDER BY timestamp ROWS UNBOUNDED PRECEDING) AS k FROM l)
 SELECT ip, strftime(min(timestamp), '%Y-%m-%d %H:%M:%S') AS first_ts, count(*) AS requests, count(*) FILTER (status >= 400 AND status < 500) AS err4, CAST(sum(resp_bytes) AS BIGINT) AS bytes FROM n GROUP BY ip, k"""
-    out["stream_late_data"] = lambda s, d: J.late_hours(_good(s, d), "2024-01-10 00:00:00").select(_text("hour")), f"{_RAW_SQL} SELECT DISTINCT strftime(date_trunc('hour', timestamp), '%Y-%m-%d %H:%M:%S') AS hour FROM good WHERE timestamp < TIMESTAMP '2024-01-10'"
-    score = _stream(lambda r: J.stream_session_score(r.filter("status = 404").select(F.col("ip").alias("edge_sid"), "timestamp"), 10**8, 10**9, _LOOSE), "score", "append")
-    out["stream_session_score"] = lambda s, d: score(s, d).groupBy("sid").agg(F.max("seq").alias("events")), f"{_RAW_SQL} SELECT ip AS sid, count(*) AS events FROM good WHERE status = 404 GROUP BY 1"
+    out["stream_late_data"] = _late, f"{_RAW_SQL} SELECT CAST(date_trunc('hour', timestamp) AS VARCHAR) AS hour, count(*) AS requests, count(*) FILTER (status >= 500) AS err5, CAST(sum(resp_bytes) AS BIGINT) AS bytes, {_P95} AS p95_ms FROM good GROUP BY 1"
+    late = f"{_RAW_SQL}, m AS (SELECT max(timestamp) FILTER (event_id % 4 < 3) - INTERVAL 1 HOUR AS w1, max(timestamp) - INTERVAL 1 HOUR AS w2 FROM good)"
+    score = _stream(lambda r: J.stream_session_score(r.select(F.col("ip").alias("edge_sid"), "timestamp"), delay="1 hour"), "score", "append")
+    out["stream_session_score"] = lambda s, d: score(s, d).select("sid", _text("at"), "seq", "l1"), f"""{late}, l AS (SELECT ip AS sid, timestamp AS t, epoch_us(timestamp) / 1e6 - lag(epoch_us(timestamp) / 1e6) OVER w AS gap FROM good, m WHERE timestamp < w2 WINDOW w AS (PARTITION BY ip ORDER BY timestamp)),
+k AS (SELECT *, sum(CASE WHEN gap IS NULL OR gap > 1800 THEN 1 ELSE 0 END) OVER (PARTITION BY sid ORDER BY t ROWS UNBOUNDED PRECEDING) AS session FROM l),
+r AS (SELECT sid, t, row_number() OVER w AS seq, sum(CASE WHEN gap <= 1800 THEN gap ELSE 0 END) OVER w AS s1, sum(CASE WHEN gap <= 1800 THEN gap * gap ELSE 0 END) OVER w AS s2 FROM k WINDOW w AS (PARTITION BY sid, session ORDER BY t ROWS UNBOUNDED PRECEDING)),
+p AS (SELECT *, s1 / greatest(1, seq - 1) AS mean, s2 / greatest(1, seq - 1) AS square FROM r)
+SELECT sid, strftime(t, '%Y-%m-%d %H:%M:%S') AS "at", seq, CASE WHEN seq > 3 AND mean < 0.2 THEN 50 WHEN seq > 3 AND mean <= 3 AND square - mean * mean < 0.05 THEN 40 ELSE 0 END AS l1 FROM p"""
+    capped = _stream(lambda r: J.stream_capped_sessions(r), "capped", "append")
+    out["stream_capped_sessions"] = lambda s, d: capped(s, d).select("ip", _text("first_ts"), _text("last_ts"), "requests", "err4", "bytes"), f"""{late}, l AS (SELECT g.*, timestamp - lag(timestamp) OVER (PARTITION BY ip ORDER BY timestamp) AS gap FROM good g, m WHERE timestamp < w2),
+k AS (SELECT *, sum(CASE WHEN gap IS NULL OR gap > INTERVAL 30 MINUTES THEN 1 ELSE 0 END) OVER (PARTITION BY ip ORDER BY timestamp ROWS UNBOUNDED PRECEDING) AS session FROM l)
+SELECT ip, strftime(min(timestamp), '%Y-%m-%d %H:%M:%S') AS first_ts, strftime(max(timestamp), '%Y-%m-%d %H:%M:%S') AS last_ts, count(*) AS requests, count(*) FILTER (status >= 400 AND status < 500) AS err4, CAST(sum(resp_bytes) AS BIGINT) AS bytes
+FROM k, m GROUP BY ip, session, w2 HAVING max(timestamp) + INTERVAL 30 MINUTES < w2"""
+    out["stream_alerts"] = _alerts, f"""{late.replace('WITH', 'WITH RECURSIVE', 1)}, v AS (SELECT method AS name, date_trunc('hour', timestamp) + INTERVAL 1 HOUR AS e, count(*) FILTER (status >= 500) * 100.0 / count(*) AS value FROM good, m WHERE event_id % 4 < 3 OR date_trunc('hour', timestamp) + INTERVAL 1 HOUR > w1 GROUP BY 1, 2),
+a AS (SELECT name, e, value FROM v, m WHERE value > 30 AND e <= w2), k AS (SELECT name, min(e) AS e FROM a GROUP BY 1 UNION ALL SELECT k.name, (SELECT min(a.e) FROM a WHERE a.name = k.name AND a.e >= k.e + INTERVAL 6 HOURS) FROM k WHERE k.e IS NOT NULL)
+SELECT k.name, strftime(k.e, '%Y-%m-%d %H:%M:%S') AS "at", round(a.value, 6) AS value FROM k JOIN a ON a.name = k.name AND a.e = k.e"""
+    out["corrupt_container"] = _containers, f"{_RAW_SQL} SELECT CASE WHEN event_id % 4 = 1 THEN 'corrupt_container' ELSE 'good' END AS kind, CASE event_id % 4 WHEN 2 THEN 'zstd' WHEN 3 THEN 'plain' ELSE 'gzip' END AS codec, count(DISTINCT event_id % 4) AS objects, count(*) FILTER (event_id % 4 <> 1) AS lines FROM raw GROUP BY ALL"
     return out

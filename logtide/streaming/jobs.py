@@ -10,13 +10,14 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from ..operators.reads import HOUR
 from ..operators.rollups import Rollup, rebuild_hours
+from ..plans.shipping import ship_package
 from ..sources.ingest import BASE_SCHEMA, quarantine_split
 
 
@@ -66,10 +67,60 @@ def stream_realtime_tick(rows: DataFrame, delay: str = "10 seconds") -> DataFram
 
 
 def stream_sessions(rows: DataFrame, gap: str = "30 minutes", delay: str = "1 hour") -> DataFrame:
+    """Sessions by Spark's own windows; without a limit to their length (see :func:`stream_capped_sessions`)."""
     out = rows.withWatermark("timestamp", delay).groupBy(F.session_window("timestamp", gap), "ip").agg(F.count("*").alias("requests"), F.count_if(F.col("status").between(400, 499)).alias("err4"), F.sum("resp_bytes").alias("bytes"))
     return out.select("ip", F.col("session_window.start").alias("first_ts"), F.col("session_window.end").alias("expires"), "requests", "err4", "bytes")
 
 
+def _passed(state: Any, batches: Iterator[pd.DataFrame], held: list[tuple], width: int) -> tuple[list[tuple], list[tuple], int]:
+    """(rows that the watermark has passed in order of time, rows that must wait, the watermark), of the first
+    ``width`` columns; times, of which the first column is one, are in microseconds.
+
+    Rows of a key come in any order, over several Arrow chunks and batches.  Those that the watermark has passed can have
+    no earlier ones still to come; the others wait in the state.
+    """
+    mark = state.getCurrentWatermarkMs() * 1000
+    rows = held + [(row[0].value // 1000, *row[1:width]) for pdf in batches for row in pdf.itertuples(index=False, name=None)]
+    rows.sort()
+    ready = sum(row[0] < mark for row in rows)
+    return rows[:ready], rows[ready:], mark
+
+
+def stream_capped_sessions(rows: DataFrame, idle_s: int = 1800, longest_s: int = 86400, delay: str = "1 hour") -> DataFrame:
+    """Sessions of each address: one ends after more than ``idle_s`` without a request, or before the request that would make
+    it longer than ``longest_s``.  A session is given once the watermark is ``idle_s`` past its last request."""
+
+    idle, longest = idle_s * 1_000_000, longest_s * 1_000_000
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
+        at, err, size, first, last, n, errs, total = state.get if state.exists else ([], [], [], None, None, 0, 0, 0)
+        ready, waiting, mark = _passed(state, iter(()) if state.hasTimedOut else batches, list(zip(at, err, size)), 3)
+        out = []
+        for t, bad, b in ready:
+            if last is not None and (t - last > idle or t - first > longest):
+                out.append((key[0], pd.Timestamp(first, unit="us"), pd.Timestamp(last, unit="us"), n, errs, total))
+                first, last, n, errs, total = None, None, 0, 0, 0
+            first = t if first is None else first
+            last, n, errs, total = t, n + 1, errs + int(bad), total + int(b)
+        if last is not None and last + idle < mark:
+            out.append((key[0], pd.Timestamp(first, unit="us"), pd.Timestamp(last, unit="us"), n, errs, total))
+            last = None
+        if last is None and not waiting:
+            state.remove()
+        else:
+            state.update((*([list(c) for c in zip(*waiting)] or [[], [], []]), first, last, n, errs, total))
+            _expire(state, (waiting[0][0] if waiting else last + idle) / 1e6)
+        if out:
+            yield pd.DataFrame(out, columns=["ip", "first_ts", "last_ts", "requests", "err4", "bytes"])
+
+    ship_package(rows.sparkSession)
+    kept = rows.select("ip", "timestamp", F.when(F.col("status").between(400, 499), 1).otherwise(0).alias("bad"), F.coalesce("resp_bytes", F.lit(0)).cast("long").alias("size"))
+    kept = kept.withWatermark("timestamp", delay).select("timestamp", "bad", "size", "ip")
+    held = "at array<long>, err array<long>, size array<long>, first long, last long, n long, errs long, total long"
+    given = "ip string, first_ts timestamp, last_ts timestamp, requests long, err4 long, bytes long"
+    return kept.groupBy("ip").applyInPandasWithState(step, given, held, "append", "EventTimeTimeout")
+
+
 def stream_rebuild(rows: DataFrame, rollup: Rollup, facts_path: str, table_path: str, staging_path: str, checkpoint: str, count: str = "requests") -> StreamingQuery:
     """Rows to the facts of their hours, and every hour that a batch touches, however old, built anew in the stored rollup.
 
@@ -85,7 +136,7 @@ def stream_rebuild(rows: DataFrame, rollup: Rollup, facts_path: str, table_path:
             if not hours:
                 return
             fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("fact_hour", "batch").parquet(facts_path)
-            stored = spark.read.schema(StructType([*batch.schema.fields]).add("fact_hour", "string").add("batch", "int")).parquet(facts_path)
+            stored = spark.read.schema(StructType([*batch.schema.fields]).add("fact_hour", "string").add("batch", "integer")).parquet(facts_path)
             facts = stored.filter(F.col("fact_hour").isin(hours)).drop("fact_hour", "batch")
             rebuild_hours(rollup, facts, table_path, staging_path, hours, count)
         finally:
@@ -123,47 +174,83 @@ def stream_alerts(values: DataFrame, threshold: float, cooldown_s: int = 3600, d
             return
         last = state.get[0] if state.exists else None
         found = []
-        for pdf in batches:
-            for at, value in sorted(zip(pdf["at"], pdf["value"])):
-                if value > threshold and (last is None or at.timestamp() - last >= cooldown_s):
-                    last = at.timestamp()
-                    found.append((key[0], at, value))
+        # All chunks of the key together, in order of time.
+        for at, value in sorted(pair for pdf in batches for pair in zip(pdf["at"], pdf["value"])):
+            if value > threshold and (last is None or at.timestamp() - last >= cooldown_s):
+                last = at.timestamp()
+                found.append((key[0], at, value))
         if last is not None:
             state.update((last,))
             _expire(state, last + cooldown_s)
-        yield pd.DataFrame(found, columns=["name", "at", "value"])
+        if found:
+            yield pd.DataFrame(found, columns=["name", "at", "value"])
 
     return values.withWatermark("at", delay).groupBy("name").applyInPandasWithState(step, "name string, at timestamp, value double", "last double", "append", "EventTimeTimeout")
 
 
+def stream_error_alerts(rows: DataFrame, name: str, threshold: float, path: str, checkpoint: str, length: str = "5 minutes", cooldown_s: int = 3600, delay: str = "10 minutes") -> StreamingQuery:
+    """Alerts (name, at, value) on the share of server errors of each ``name`` in windows of ``length``, into the table ``path``.
+
+    A window is judged once, when the watermark has closed it; rows that come later are dropped.  (Spark allows no
+    grouped state behind an aggregate.)  The cooldown's state is the table of alerts itself: a batch reads what the earlier ones
+    wrote, and one that is run again replaces its own folder.
+    """
+    share = rows.withWatermark("timestamp", delay).groupBy(F.window("timestamp", length), F.col(name).alias("name")).agg((F.count_if(F.col("status") >= 500) * 100.0 / F.count("*")).cast("double").alias("value"))
+    closed = share.select("name", F.col("window.end").alias("at"), "value")
+    schema = StructType([*closed.schema.fields]).add("batch", "long")
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        over = batch.filter(F.col("value") > threshold).groupBy("name").agg(F.array_sort(F.collect_list(F.struct("at", "value"))).alias("over"))
+        sent = spark.createDataFrame([], schema) if number == 0 else spark.read.schema(schema).option("ignoreMissingFiles", "true").parquet(path).filter(F.col("batch") < number)
+        last = sent.groupBy("name").agg(F.max("at").alias("last"))
+        # Windows of one name in one batch, one after the other.
+        start = F.struct(F.col("last").alias("last"), F.array().cast("array<struct<at:timestamp,value:double>>").alias("kept"))
+
+        def next_window(done: Column, x: Column) -> Column:
+            due = done["last"].isNull() | (F.unix_timestamp(x["at"]) - F.unix_timestamp(done["last"]) >= cooldown_s)
+            return F.when(due, F.struct(x["at"].alias("last"), F.concat(done["kept"], F.array(x)).alias("kept"))).otherwise(done)
+
+        kept = over.join(last, "name", "left").select("name", F.explode(F.aggregate("over", start, next_window)["kept"]).alias("x"))
+        kept.select("name", "x.at", "x.value", F.lit(number).cast("long").alias("batch")).coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
+
+    return closed.writeStream.foreachBatch(write).outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def stream_session_score(rows: DataFrame, idle_s: int = 1800, longest_s: int = 86400, delay: str = "10 minutes") -> DataFrame:
     """Dwell-time rules on running statistics per session: count, mean and mean square of the gaps, first and last
-    time.  A session ends after ``idle_s`` without a request or ``longest_s`` in all; its state goes when the
-    watermark is ``idle_s`` past its last request."""
+    time.  A session ends after ``idle_s`` without a request or ``longest_s`` in all; requests are scored in order of time
+    as the watermark passes them, and the state goes when it is ``idle_s`` past the last one."""
+
+    idle, longest = idle_s * 1_000_000, longest_s * 1_000_000
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        n, s1, s2, first, last = state.get if state.exists else (0, 0.0, 0.0, None, None)
+        held, n, s1, s2, first, last = state.get if state.exists else ([], 0, 0.0, 0.0, None, None)
+        ready, waiting, mark = _passed(state, iter(()) if state.hasTimedOut else batches, [(t,) for t in held], 1)
         out = []
-        for pdf in batches:
-            for at in sorted(x.timestamp() for x in pdf["timestamp"]):
-                if last is not None and (at - last > idle_s or at - first > longest_s):
-                    n, s1, s2, first, last = 0, 0.0, 0.0, None, None
-                first = at if first is None else first
-                if last is not None:
-                    s1, s2 = s1 + at - last, s2 + (at - last) ** 2
-                n, last = n + 1, at
-                mean = s1 / max(1, n - 1)
-                var = s2 / max(1, n - 1) - mean * mean
-                score = 0 if n <= 3 else 50 * (mean < 0.2) + 40 * (var < 0.05 and 0.2 <= mean <= 3)
-                out.append((key[0], n, int(score)))
-        state.update((n, s1, s2, first, last))
-        _expire(state, last + idle_s)
-        yield pd.DataFrame(out, columns=["sid", "seq", "l1"])
-
-    return rows.withWatermark("timestamp", delay).groupBy("edge_sid").applyInPandasWithState(step, "sid string, seq long, l1 int", "n long, s1 double, s2 double, first double, last double", "append", "EventTimeTimeout")
+        for (at,) in ready:
+            if last is not None and (at - last > idle or at - first > longest):
+                n, s1, s2, first, last = 0, 0.0, 0.0, None, None
+            first = at if first is None else first
+            if last is not None:
+                gap = (at - last) / 1e6
+                s1, s2 = s1 + gap, s2 + gap * gap
+            n, last = n + 1, at
+            mean = s1 / max(1, n - 1)
+            var = s2 / max(1, n - 1) - mean * mean
+            score = 0 if n <= 3 else 50 * (mean < 0.2) + 40 * (var < 0.05 and 0.2 <= mean <= 3)
+            out.append((key[0], pd.Timestamp(at, unit="us"), n, int(score)))
+        if not waiting and (last is None or last + idle < mark):
+            state.remove()
+        else:
+            state.update(([t for (t,) in waiting], n, s1, s2, first, last))
+            _expire(state, (waiting[0][0] if waiting else last + idle) / 1e6)
+        if out:
+            yield pd.DataFrame(out, columns=["sid", "at", "seq", "l1"])
+
+    ship_package(rows.sparkSession)
+    held = "held array<long>, n long, s1 double, s2 double, first long, last long"
+    return rows.withWatermark("timestamp", delay).select("timestamp", "edge_sid").groupBy("edge_sid").applyInPandasWithState(step, "sid string, at timestamp, seq long, l1 int", held, "append", "EventTimeTimeout")
 
 
 def run_available(out: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
