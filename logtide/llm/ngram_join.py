@@ -42,6 +42,7 @@ from pyspark.sql import functions as F
 from ..plans.shipping import ship_package
 from .common import drop_rows, pick, split_by_ids, stage, unstage
 from .components import components, join_components
+from .word_arrays import release
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _ORDERS = (np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB))
@@ -116,6 +117,7 @@ def _counts(docs: DataFrame, n: int, bits: int) -> DataFrame:
             part = counts[b : b + _BLOCK]
             if part.any():
                 yield pa.record_batch([pa.array([b // _BLOCK], pa.int32()), pa.array([task], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["block", "task", "counts"])
+        release()
 
     return docs.select("text").mapInArrow(run, "block int, task int, counts binary")
 
@@ -192,6 +194,7 @@ def _prefixes(docs: DataFrame, n: int, num: int, den: int, counts: np.ndarray, m
             lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, kind), *x]))) for x, kind in ((firsts, np.int64), (sigs[0], np.int16), (sigs[1], np.int16))]
             columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), *lists]
             yield pa.record_batch(columns, ["doc_id", "size", "set_key", "prefix", "sig2", "sig3"])
+        release()
 
     return docs.mapInArrow(run, "doc_id long, size long, set_key binary, prefix array<long>, sig2 array<short>, sig3 array<short>")
 
@@ -269,6 +272,7 @@ def _verify(docs: DataFrame, sigs: DataFrame, pairs: DataFrame, n: int, num: int
         for batch in batches:
             data = [np.unique(_ngrams(words, n)).tobytes() for words in _word_hashes(batch.column(1))]
             yield pa.record_batch([batch.column(0), pa.array(data, pa.binary())], ["doc_id", "tokens"])
+        release()
 
     wanted = named(left)
     texts = split_by_ids(docs.select("doc_id", "text"), wanted)[0].toDF("doc_id", "text")

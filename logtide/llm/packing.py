@@ -29,7 +29,7 @@ from ..plans.shipping import ship_package
 from .common import pick, stage
 from .token_store import pack, with_end
 from .tokens import default_tokenizer, tokenizer
-from .word_arrays import chunks
+from .word_arrays import chunks, release
 
 _PIECES = "piece long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
 
@@ -92,7 +92,7 @@ def token_pieces(docs: DataFrame, window: int = 4096, tokenizer_path: str | None
         from pyspark import TaskContext
 
         encode, next_piece = tokenizer(path).encode_array, TaskContext.get().partitionId() << 33
-        for batch in (part for whole in batches for part in chunks(whole, 1)):
+        for batch in (part for whole in batches for part in chunks(whole, 1, 1 << 22)):
             ids, lens = with_end(*encode(batch.column(1)), end_id)
             # Document k is cut into n[k] pieces; ``at`` is where a piece begins within its document.
             n, ends = -(-lens // window), np.cumsum(lens)
@@ -108,6 +108,7 @@ def token_pieces(docs: DataFrame, window: int = 4096, tokenizer_path: str | None
             ]
             next_piece += len(doc)
             yield pa.record_batch(columns, [c.split()[0] for c in _PIECES.split(", ")])
+        release()
 
     return pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _PIECES)
 

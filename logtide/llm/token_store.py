@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from ..plans.shipping import ship_package
 from .common import pick, stage
 from .tokens import default_tokenizer, tokenizer
-from .word_arrays import chunks
+from .word_arrays import chunks, release
 
 CHUNK_BITS = 8
 RANK_BITS = 512
@@ -105,11 +105,12 @@ def encode_texts(docs: DataFrame, tokenizer_path: str | None = None, end_id: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokenizer(path).encode_array
-        for batch in (part for whole in batches for part in chunks(whole, 1)):
+        for batch in (part for whole in batches for part in chunks(whole, 1, 1 << 22)):
             ids, lens = with_end(*encode(batch.column(1)), end_id)
             ends = np.cumsum(lens)
             out = [pack(ids[a:b]) for a, b in zip((ends - lens).tolist(), ends.tolist())]
             yield pa.record_batch([batch.column(0), pa.array(lens), pa.array(out, pa.binary())], ["doc_id", "n_tokens", "ids"])
+        release()
 
     return pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _TOKENS)
 

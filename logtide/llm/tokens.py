@@ -47,11 +47,11 @@ class WordTokenizer:
     """``encode_array(texts)`` gives the ids of all texts behind one another and how many each has, as the tokenizer
     does without special tokens.
 
-    Words are numbered; their ids lie in one flat array.  Beyond ``remember`` words, or 64 MB of them, the less used
+    Words are numbered; their ids lie in one flat array.  Beyond ``remember`` words, or 32 MB of them, the less used
     half and all very long ones are forgotten, and texts are taken ``chunk_chars`` bytes at a time, so memory is bounded.
     """
 
-    def __init__(self, path: str, remember: int = 500_000, chunk_chars: int = 1 << 23):
+    def __init__(self, path: str, remember: int = 250_000, chunk_chars: int = 1 << 22):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
@@ -119,7 +119,7 @@ class WordTokenizer:
         """The numbers of distinct ``words``; unknown ones are encoded."""
         number = pc.fill_null(pc.index_in(words, self.words), -1).to_numpy(zero_copy_only=False).astype(np.int64)
         unknown = number < 0
-        if len(self.words) + np.count_nonzero(unknown) > self.remember or self.words.nbytes > 64 << 20:
+        if len(self.words) + np.count_nonzero(unknown) > self.remember or self.words.nbytes > 32 << 20:
             self._forget()
             number = pc.fill_null(pc.index_in(words, self.words), -1).to_numpy(zero_copy_only=False).astype(np.int64)
             unknown = number < 0

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,3 +53,13 @@ def chunks(batch: pa.RecordBatch, column: int, max_bytes: int = 1 << 23) -> Iter
         stop = max(start + 1, int(np.searchsorted(total, total[start] + max_bytes, side="right")) - 1)
         yield batch.slice(start, stop - start)
         start = stop
+
+
+def release() -> None:
+    """Give freed memory back to the system at the end of a task: Python workers are reused, and what they keep would add
+    to what the next stage needs."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
