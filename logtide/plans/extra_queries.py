@@ -43,13 +43,40 @@ def _bots(logs: DataFrame) -> DataFrame:
     ).distinct()
 
 
-def _facts_sql(family: str) -> str:
-    dims, measure, flag = C.FACTS[family]
-    keys = ", ".join(f"coalesce(CAST({d} AS VARCHAR), '') AS {d}" for d in dims)
-    return f"""{CTES}, s AS (SELECT {keys}, CASE WHEN {measure} > 0 THEN CAST(ceil(ln({measure}) / ln(1.02::DOUBLE)) AS INTEGER) END AS c, count(*) AS k, count(CASE WHEN {flag} THEN 1 END) AS f, sum({measure}) AS t FROM logs GROUP BY ALL),
-r AS (SELECT *, sum(k) OVER (PARTITION BY {', '.join(dims)} ORDER BY c) AS upto, sum(k) OVER (PARTITION BY {', '.join(dims)}) AS every FROM s WHERE c IS NOT NULL), v AS (SELECT {', '.join(dims)}, min(c) AS c FROM r WHERE upto >= every * 0.95 GROUP BY ALL),
-a AS (SELECT {', '.join(dims)}, CAST(sum(k) AS BIGINT) AS n, CAST(sum(f) AS BIGINT) AS flagged, round(CAST(sum(t) AS DOUBLE), 3) AS total FROM s GROUP BY ALL)
-SELECT a.*, round(power(1.02::DOUBLE, v.c) * 2 / 2.02, 6) AS value FROM a LEFT JOIN v USING ({', '.join(dims)})"""
+#: Dimensions, measure and flag of the minute facts, written out for the comparison.
+_FACTS = {
+    "origin": (("pop", "edge"), "ottfb", "ost > 499"),
+    "performance": (("url",), "elapsed", "status > 499"),
+    "network": (("asn", "country"), "tcp_rtt", "ploss > 0.01"),
+    "security": (("ja4",), "req_header_bytes", "length(waf_sig) > 0"),
+    "cmcd": (("cmcd_cid",), "cmcd_mtp", "cmcd_bs"),
+    "request": (("method", "status"), "resp_bytes", "status > 399"),
+}
+_RUM_DIMS = ("metric_name", "metric_rating", "browser", "os", "device", "pathname", "country", "city", "pop")
+_RUM_ERROR_DIMS = ("error_message", "error_file", "pathname")
+_DIMS = (("country",), ("p_type",), ("method",), ("c_type", "c_speed"), ("ost",), ("oip",), ("referer",), ("ua",))
+
+
+def _facts_sql(family: str, minutes: bool = False) -> str:
+    dims, measure, flag = _FACTS[family]
+    named = [f"{M} AS minute"] * minutes + [f"coalesce(CAST({d} AS VARCHAR), '') AS {d}" for d in dims]
+    by = ", ".join(["minute"] * minutes + list(dims))
+    return f"""{CTES}, s AS (SELECT {', '.join(named)}, CASE WHEN {measure} > 0 THEN CAST(ceil(ln({measure}) / ln(1.02::DOUBLE)) AS INTEGER) END AS c, count(*) AS k, count(CASE WHEN {flag} THEN 1 END) AS f, sum({measure}) AS t FROM logs GROUP BY ALL),
+r AS (SELECT *, sum(k) OVER (PARTITION BY {by} ORDER BY c) AS upto, sum(k) OVER (PARTITION BY {by}) AS every FROM s WHERE c IS NOT NULL), v AS (SELECT {by}, min(c) AS c FROM r WHERE upto >= every * 0.95 GROUP BY ALL),
+a AS (SELECT {by}, CAST(sum(k) AS BIGINT) AS n, CAST(sum(f) AS BIGINT) AS flagged, round(CAST(sum(t) AS DOUBLE), 3) AS total FROM s GROUP BY ALL)
+SELECT a.*, round(power(1.02::DOUBLE, v.c) * 2 / 2.02, 6) AS value FROM a LEFT JOIN v USING ({by})"""
+
+
+def _minute_facts(logs: DataFrame) -> DataFrame:
+    """All families by minute, as they are stored."""
+    parts = []
+    for family, (dims, _, _) in C.FACTS.items():
+        rows = C.merge_facts(C.minute_facts(logs, family), ["minute", *dims], 0.95)
+        parts.append(rows.select(F.lit(family).alias("family"), "minute", F.concat_ws("/", *dims).alias("key"), "n", "flagged", "total", "value"))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def _all_facts(logs: DataFrame) -> DataFrame:
@@ -65,15 +92,15 @@ def _all_facts(logs: DataFrame) -> DataFrame:
 
 
 def _rum_sql() -> str:
-    parts = [f"SELECT {H} AS hour, '{d}' AS dim, coalesce(CAST({d} AS VARCHAR), 'Unknown') AS value, count(DISTINCT req_id) AS beacons, count(*) AS rows, round(sum(metric_value), 4) AS value_sum, 'vital' AS kind FROM vitals GROUP BY 1, 3" for d in C.RUM_DIMS]
-    parts += [f"SELECT {H}, '{d}', coalesce(CAST({d} AS VARCHAR), 'Unknown'), count(DISTINCT req_id), count(*), 0.0, 'error' FROM errors GROUP BY 1, 3" for d in C.RUM_ERROR_DIMS]
+    parts = [f"SELECT {H} AS hour, '{d}' AS dim, coalesce(CAST({d} AS VARCHAR), 'Unknown') AS value, count(DISTINCT req_id) AS beacons, count(*) AS rows, round(sum(metric_value), 4) AS value_sum, 'vital' AS kind FROM vitals GROUP BY 1, 3" for d in _RUM_DIMS]
+    parts += [f"SELECT {H}, '{d}', coalesce(CAST({d} AS VARCHAR), 'Unknown'), count(DISTINCT req_id), count(*), 0.0, 'error' FROM errors GROUP BY 1, 3" for d in _RUM_ERROR_DIMS]
     return f"{CTES} " + " UNION ALL ".join(parts)
 
 
 def _dims_sql() -> str:
     value = lambda d: " || '/' || ".join(f"coalesce(CAST({c} AS VARCHAR), '')" for c in d)
     both = ", ".join(f"{n(f'is_{s} AND {c}')} AS {s}_{x}" for x, c in (("cnt", "true"), ("ost_known", "ost IS NOT NULL"), ("ost_5xx", "ost >= 500")) for s in "wb")
-    return f"{CTES} " + " UNION ALL ".join(f"SELECT '{'+'.join(d)}' AS dim, {value(d)} AS value, {both} FROM logs GROUP BY 2" for d in C.DIMS)
+    return f"{CTES} " + " UNION ALL ".join(f"SELECT '{'+'.join(d)}' AS dim, {value(d)} AS value, {both} FROM logs GROUP BY 2" for d in _DIMS)
 
 
 def _geo_sql() -> str:
@@ -130,7 +157,9 @@ SELECT ja3 AS tls_fingerprint, requests, top_country, matched_waf_rules_count, b
     out["coalesced_dim"] = C.dimensions, _dims_sql()
     for family in C.FACTS:
         out[f"rollup_minute_facts_{family}"] = lambda x, f=family: C.merge_facts(C.minute_facts(x, f), list(C.FACTS[f][0]), 0.95), _facts_sql(family)
-    out["rollup_minute_facts"] = _all_facts, " UNION ALL ".join(f"SELECT '{f}' AS family, concat_ws('/', {', '.join(C.FACTS[f][0])}) AS key, n, flagged, total, value FROM ({_facts_sql(f)})" for f in C.FACTS)
+    families = lambda minutes: " UNION ALL ".join(f"SELECT '{f}' AS family, {'minute, ' * minutes}concat_ws('/', {', '.join(_FACTS[f][0])}) AS key, n, flagged, total, value FROM ({_facts_sql(f, minutes)})" for f in _FACTS)
+    out["rollup_minute_facts"] = _all_facts, families(False)
+    out["rollup_minute_facts_minutes"] = _minute_facts, families(True)
     minutes = ROLLUPS["time_series"]
     sums = ["requests", "err4", "err5", "hits", "bytes"]
     start, end = "2024-01-10 03:17:21", "2024-01-12 22:41:09"

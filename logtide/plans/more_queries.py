@@ -27,11 +27,11 @@ def entries(pops: Callable, pops_sql: str) -> dict[str, tuple[Frame, str | None]
     ending = "split_part(split_part(lower(url), '?', 1), '.', -1)"
     # Real endings are rare in the log: each stands behind the URL of some rows.
     odd = ["a.PNG", "b.tar.gz", "c.mjs?v=1", "d.x/e.js", "f.otf", "g.m4s", "h.html", "i", "j.", "k.ico", "l.csv", "m.webm"]
-    ended = F.concat("url", F.get(F.array(*[F.lit(x) for x in odd]), (F.col("event_id") % 12).cast("int")))
+    ended = lambda: F.concat("url", F.get(F.array(*[F.lit(x) for x in odd]), (F.col("event_id") % 12).cast("int")))
     kinds = ["Images", "Documents", "API/Dynamic", "JavaScript/CSS", "Fonts", "Video", "API/Dynamic", None, "API/Dynamic", "Images", "Documents", "Video"]
     # Row 8 (``i``) keeps the ending that its URL has: an image's or a script's ending with an i behind it is none.
     told = "[" + ", ".join(f"'{k or 'API/Dynamic'}'" for k in kinds) + "][event_id % 12 + 1]"
-    out["asset_type"] = by(lambda: X.asset_type(ended)), grouped(told)
+    out["asset_type"] = by(lambda: X.asset_type(ended())), grouped(told)
     out["encoding_norm"] = by(lambda: X.encoding_norm(F.col("resp_header_content_encoding"))), grouped("CASE WHEN resp_header_content_encoding = 'gzip' THEN 'gzip' ELSE 'uncompressed' END")
     out["proto_label"] = by(lambda: X.proto_label(F.col("proto"))), grouped("left(proto, 6)")
     out["proto_flags"] = (lambda x: x.select(*X.proto_flags(F.col("proto"))).agg(*[F.sum(f"is_http{v}").alias(f"http{v}") for v in (1, 2, 3)])), f"{CTES} SELECT count(*) FILTER (proto = 'HTTP/1.1') AS http1, count(*) FILTER (proto = 'HTTP/2') AS http2, count(*) FILTER (proto = 'HTTP/3') AS http3 FROM logs"
@@ -67,11 +67,11 @@ SELECT CASE WHEN far OR ratio < 0.1 THEN 'High' ELSE 'Medium' END AS risk, count
     bots = lambda x: x.sparkSession.sql("SELECT * FROM VALUES ('Googlebot', 'googlebot', 'google.com'), ('GPTBot', 'gptbot', 'openai.com'), ('ChatGPT', 'chatgpt', NULL) AS t(bot, pattern, host_suffix)")
     # An address in two feeds, an IPv6 range, a range that cuts a digit, and one that is no range.
     feeds = lambda x: x.sparkSession.sql("SELECT * FROM VALUES ('Googlebot', '10.0.0.0/16'), ('GPTBot', '10.0.0.0/17'), ('GPTBot', '2001:db8:1::/47'), ('ChatGPT', '10.2.0.0/15'), ('GPTBot', '10.1.x/33') AS t(feed, cidr)")
-    v6 = F.concat(F.lit("2001:DB8:"), F.col("user_id") % 4, F.lit("::"), F.hex("user_id"))
-    address = lambda x: x.withColumn("ip", F.when((F.col("user_id") % 7 == 0) & F.col("ua").startswith("GPTBot"), v6).otherwise(F.col("ip")))
-    host = F.get(F.array(*[F.lit(h) for h in ("crawl.google.com", "evilgoogle.com", "google.com", "x.openai.com", "openai.com.evil.example")]), (F.col("user_id") % 6).cast("int"))
-    status = F.when(F.col("user_id") % 11 == 0, "pending").when(F.col("user_id") % 11 == 1, "nxdomain").otherwise("ok")
-    hosts = lambda x: address(x).filter("user_id % 5 > 0").groupBy("ip").agg(F.min("user_id").alias("user_id")).select("ip", host.alias("host"), status.alias("status"), (F.col("user_id") % 13 > 0).alias("fcrdns"))
+    v6 = lambda: F.concat(F.lit("2001:DB8:"), F.col("user_id") % 4, F.lit("::"), F.hex("user_id"))
+    address = lambda x: x.withColumn("ip", F.when((F.col("user_id") % 7 == 0) & F.col("ua").startswith("GPTBot"), v6()).otherwise(F.col("ip")))
+    host = lambda: F.get(F.array(*[F.lit(h) for h in ("crawl.google.com", "evilgoogle.com", "google.com", "x.openai.com", "openai.com.evil.example")]), (F.col("user_id") % 6).cast("int"))
+    status = lambda: F.when(F.col("user_id") % 11 == 0, "pending").when(F.col("user_id") % 11 == 1, "nxdomain").otherwise("ok")
+    hosts = lambda x: address(x).filter("user_id % 5 > 0").groupBy("ip").agg(F.min("user_id").alias("user_id")).select("ip", host().alias("host"), status().alias("status"), (F.col("user_id") % 13 > 0).alias("fcrdns"))
     out["wellknown_bots"] = (lambda x: B.wellknown_bots(B.enrich_bots(address(x), bots(x), feeds(x), hosts(x)))), f"""{CTES}, l AS (SELECT * REPLACE (CASE WHEN user_id % 7 = 0 AND ua LIKE 'GPTBot%' THEN concat('2001:DB8:', user_id % 4, '::', printf('%X', user_id)) ELSE ip END AS ip) FROM logs),
 u AS (SELECT ip, min(user_id) AS u FROM l WHERE user_id % 5 > 0 GROUP BY 1), h AS (SELECT ip, ['crawl.google.com', 'evilgoogle.com', 'google.com', 'x.openai.com', 'openai.com.evil.example'][u % 6 + 1] AS host, u % 11 AS st, u % 13 > 0 AS back FROM u),
 b AS (SELECT ip, ua, CASE WHEN ua LIKE 'Googlebot%' THEN 'Googlebot' WHEN ua LIKE 'GPTBot%' THEN 'GPTBot' ELSE 'ChatGPT' END AS bot_name FROM l WHERE ua LIKE 'Googlebot%' OR ua LIKE 'GPTBot%' OR ua LIKE '%ChatGPT%'),
