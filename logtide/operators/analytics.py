@@ -215,15 +215,18 @@ def threshold_sweep(scored: DataFrame, thresholds: Sequence[int]) -> DataFrame:
     )
 
 
-def _last(logs: DataFrame, minutes: int, ago: int = 0) -> DataFrame:
-    """Rows of the last ``minutes`` up to ``ago`` minutes before the newest row.
-
-    The newest timestamp is read first (one value), so that the filter is a literal, which prunes files and hours.
-    """
+def _newest(logs: DataFrame) -> Column | None:
+    """The newest timestamp as a literal, so that what is filtered by it prunes files and hours; one value is read."""
     newest = logs.agg(F.max("timestamp").cast("string")).first()[0]
+    return None if newest is None else F.lit(newest).cast(logs.schema["timestamp"].dataType)
+
+
+def _last(logs: DataFrame, minutes: int, ago: int = 0, newest: Column | None = None) -> DataFrame:
+    """Rows of the last ``minutes`` up to ``ago`` minutes before the newest row, which is read where it is not given."""
+    newest = _newest(logs) if newest is None else newest
     if newest is None:
         return logs.limit(0)
-    end = F.lit(newest).cast(logs.schema["timestamp"].dataType) - F.expr(f"INTERVAL {ago} MINUTES")
+    end = newest - F.expr(f"INTERVAL {ago} MINUTES")
     return logs.filter((F.col("timestamp") >= end - F.expr(f"INTERVAL {minutes} MINUTES")) & (F.col("timestamp") <= end))
 
 
@@ -241,8 +244,9 @@ def alert_absolute(logs: DataFrame, metric: str, operator: str, threshold: float
 
 def alert_relative(logs: DataFrame, metric: str, threshold: float, minutes: int, comparison: int, increase: bool = True) -> DataFrame:
     """Change in percent against the same window ``comparison`` minutes earlier; needs 50 requests to trigger."""
-    now = _last(logs, minutes).agg(F.count("*").alias("requests"), F.expr(metric).cast("double").alias("now"))
-    then = _last(logs, minutes, comparison).agg(F.expr(metric).cast("double").alias("then"))
+    newest = _newest(logs)
+    now = _last(logs, minutes, newest=newest).agg(F.count("*").alias("requests"), F.expr(metric).cast("double").alias("now"))
+    then = _last(logs, minutes, comparison, newest).agg(F.expr(metric).cast("double").alias("then"))
     change = (F.col("now") - F.col("then")) / F.col("then") * 100.0 * (1 if increase else -1)
     rows = now.crossJoin(then).withColumn("val", F.when((F.col("requests") >= 10) & (F.col("then") != 0), F.round(change, 6)))
     return rows.withColumn("triggered", F.coalesce((F.col("val") > threshold) & (F.col("requests") >= 50), F.lit(False)))
@@ -250,13 +254,12 @@ def alert_relative(logs: DataFrame, metric: str, threshold: float, minutes: int,
 
 def alert_zscore(logs: DataFrame, metric: str, minutes: int = 60, days: int = 7, threshold: float = 3.0) -> DataFrame:
     """The last window against the same hour of earlier days."""
-    newest = logs.agg(F.max("timestamp").alias("newest"))
-    past = logs.crossJoin(F.broadcast(newest)).filter(
-        (F.col("timestamp") >= F.col("newest") - F.expr(f"INTERVAL {days} DAYS")) & (F.col("timestamp") <= F.col("newest") - F.expr("INTERVAL 1 HOUR")) & (F.hour("timestamp") == F.hour("newest"))
-    )
+    newest = _newest(logs)
+    end = F.lit(None).cast("timestamp_ntz") if newest is None else newest
+    past = logs.filter((F.col("timestamp") >= end - F.expr(f"INTERVAL {days} DAYS")) & (F.col("timestamp") <= end - F.expr("INTERVAL 1 HOUR")) & (F.hour("timestamp") == F.hour(end)))
     hourly = past.groupBy(F.date_trunc("hour", "timestamp").alias("h")).agg(F.expr(metric).cast("double").alias("val"))
     base = hourly.agg(F.avg("val").alias("mean"), F.stddev_samp("val").alias("sd"))
-    now = _last(logs, minutes).agg(F.count("*").alias("requests"), F.expr(metric).cast("double").alias("val"))
+    now = _last(logs, minutes, newest=newest).agg(F.count("*").alias("requests"), F.expr(metric).cast("double").alias("val"))
     sd = F.when(F.coalesce(F.col("sd"), F.lit(0.0)) == 0, 1e-4).otherwise(F.col("sd"))
     rows = now.crossJoin(base).withColumn("zscore", F.round((F.col("val") - F.col("mean")) / sd, 6))
     return rows.select("requests", "val", F.round("mean", 6).alias("mean"), "zscore", F.coalesce((F.col("zscore") > threshold) & (F.col("requests") >= 50), F.lit(False)).alias("triggered"))
