@@ -89,7 +89,12 @@ def test_streams_equal_batch(spark, tmp):
     alerts = J.run_available(J.stream_alerts(values, 499.0, 600), "aa", f"{tmp}/cp5")
     assert 1 <= alerts.count() <= 3
     scored = J.run_available(J.stream_session_score(source().filter("ip is not null").withColumnRenamed("ip", "edge_sid")), "sc", f"{tmp}/cp6")
-    assert scored.count() == 40
+    # Requests are scored once the watermark has passed them, ten minutes behind the newest.
+    known = good.filter("ip is not null")
+    passed = known.crossJoin(known.agg((F.max("timestamp") - F.expr("INTERVAL 10 MINUTES")).alias("mark"))).filter("timestamp < mark").groupBy("ip").count()
+    assert {r["ip"]: r["count"] for r in passed.collect()} == {r["sid"]: r["count"] for r in scored.groupBy("sid").count().collect()}
+    capped = J.run_available(J.stream_capped_sessions(source().filter("ip is not null"), 1800, 300, "0 seconds"), "cs", f"{tmp}/cp7").collect()
+    assert capped and all((r.last_ts - r.first_ts).total_seconds() <= 300 for r in capped)
 
 
 def test_objects_are_told_by_their_first_bytes_and_break_whole(spark, tmp):
