@@ -134,8 +134,8 @@ CARDS: dict[str, Card] = {
     "new_probe_urls": Card("w_cnt", "NULL", "requests", "w_cnt >= 5"),
     "waf_signal_spikes": Card("w_cnt", _scaled("b_cnt"), "hits", "spike_ratio >= 10"),
     "proxy_surge": Card("round(w_cnt * 100.0 / greatest(w_all, 1), 1)", "NULL", "% of traffic"),
-    "request_size_anomaly": Card("max_val", "floor(b_p95)", "bytes (max header)", "max_val > 64000"),
-    "connection_abuse": Card("max_val", "floor(b_p95)", "reqs/conn (max)", "max_val > 500"),
+    "request_size_anomaly": Card("max_val", "floor(round(b_p95, 6))", "bytes (max header)", "max_val > 64000"),
+    "connection_abuse": Card("max_val", "floor(round(b_p95, 6))", "reqs/conn (max)", "max_val > 500"),
     "impossible_distance": Card("round(max_dist_km, 0)", "round(min_allowed_km, 0)", "km", "worst_excess_km > 5000"),
     "repeated_patterns": Card("avg_interval", "stddev", "s interval", f"{_REGULARITY} >= 90 AND n_events >= 30", f"{_REGULARITY} >= 70"),
     "repeated_patterns_fp": Card("avg_interval", "stddev", "s interval", f"{_REGULARITY} >= 90 AND n_events >= 30", f"{_REGULARITY} >= 70"),
