@@ -5,6 +5,7 @@ import datetime
 import pyarrow as pa
 import pyarrow.parquet as pq
 
+from logtide.operators import rollups as R
 from logtide.plans import registry
 
 from .oracle import assert_same, connect
@@ -23,3 +24,10 @@ def write_events(folder, n, first_user=0, ties=1):
 def test_bots_of_large_user_numbers(spark, tmp):
     sf_dir = write_events(tmp, 3000, 70_000)
     assert_same(registry.queries()["wellknown_bots"](spark, sf_dir), connect(sf_dir), registry.oracles()["wellknown_bots"])
+
+
+def test_an_average_at_a_tie_follows_from_no_order(spark):
+    """4.516 / 320 = 0.0141125: sums whose last bits differ give one average."""
+    for total in (4.516, 4.515999999999996, 4.516000000000004):
+        table = spark.createDataFrame([("h", 320, total, 320, 1, {1: 320})], "hour string, requests long, ploss_sum double, ploss_cnt long, retrans long, rtt map<int,long>")
+        assert R.ROLLUPS["network_summary"].read(table).first()["avg_ploss"] == 0.014113
