@@ -212,7 +212,7 @@ def stream_error_alerts(rows: DataFrame, name: str, threshold: float, path: str,
             return F.when(due, F.struct(x["at"].alias("last"), F.concat(done["kept"], F.array(x)).alias("kept"))).otherwise(done)
 
         kept = over.join(last, "name", "left").select("name", F.explode(F.aggregate("over", start, next_window)["kept"]).alias("x"))
-        kept.select("name", "x.at", "x.value", F.lit(number).cast("long").alias("batch")).coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
+        kept.select("name", "x.at", "x.value", F.lit(number).cast("long").alias("batch")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
 
     return closed.writeStream.foreachBatch(write).outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

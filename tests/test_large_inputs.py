@@ -21,6 +21,15 @@ def write_events(folder, n, first_user=0, ties=1):
     return str(folder)
 
 
+def test_alerts_are_not_gathered_by_coalesce(spark, tmp, monkeypatch):
+    def gathered(self, n):
+        raise AssertionError("all partitions of the batch in one task")
+
+    monkeypatch.setattr(type(spark.range(1)), "coalesce", gathered)
+    sf_dir = write_events(tmp, 2000)
+    assert_same(registry.queries()["stream_alerts"](spark, sf_dir), connect(sf_dir), registry.oracles()["stream_alerts"])
+
+
 def test_bots_of_large_user_numbers(spark, tmp):
     sf_dir = write_events(tmp, 3000, 70_000)
     assert_same(registry.queries()["wellknown_bots"](spark, sf_dir), connect(sf_dir), registry.oracles()["wellknown_bots"])
