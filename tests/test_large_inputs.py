@@ -1,11 +1,16 @@
 """What holds however large the input is: objects of a bounded size, addresses of large user numbers, ties, alerts."""
 
+import collections
 import datetime
+import pathlib
 
 import pyarrow as pa
 import pyarrow.parquet as pq
+import pytest
+from pyspark.sql import functions as F
 
 from logtide.operators import rollups as R
+from logtide.plans import ingest_queries as Q
 from logtide.plans import registry
 
 from .oracle import assert_same, connect
@@ -21,6 +26,22 @@ def write_events(folder, n, first_user=0, ties=1):
     return str(folder)
 
 
+def test_more_lines_make_more_objects(spark, tmp, monkeypatch):
+    monkeypatch.setattr(Q, "_OBJECT_ROWS", 100)
+    path = Q.write_raw(spark, write_events(tmp, 4000))
+    files = spark.read.text(path).groupBy(F.input_file_name().alias("f")).count().collect()
+    assert len(list(pathlib.Path(path).rglob("*.gz"))) >= 40
+    assert max(r["count"] for r in files) <= 200 and sum(r["count"] for r in files) == 4100
+    assert set(collections.Counter(r["f"].split("part=")[1][0] for r in files)) == set("0123")
+
+
+@pytest.mark.parametrize("name", ["ingest_outcomes", "quarantine_summary", "replace_by_source", "corrupt_container", "stream_ingest", "stream_alerts", "compact_files"])
+def test_many_objects_give_the_same(spark, tmp, monkeypatch, name):
+    monkeypatch.setattr(Q, "_OBJECT_ROWS", 100)
+    sf_dir = write_events(tmp, 2000)
+    assert_same(registry.queries()[name](spark, sf_dir), connect(sf_dir), registry.oracles()[name])
+
+
 def test_alerts_are_not_gathered_by_coalesce(spark, tmp, monkeypatch):
     def gathered(self, n):
         raise AssertionError("all partitions of the batch in one task")
