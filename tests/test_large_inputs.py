@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from logtide.operators import rollups as R
 from logtide.plans import ingest_queries as Q
 from logtide.plans import registry
+from logtide.sources import ingest as I
 
 from .oracle import assert_same, connect
 
@@ -74,3 +75,10 @@ def test_streams_with_requests_of_one_time(spark, tmp, name):
     cols = [c for c in got.columns if c not in ("seq", "l1")]
     want = connect(sf_dir).execute(f"SELECT {', '.join(chr(34) + c + chr(34) for c in cols)} FROM ({sql})").fetchall()
     assert collections.Counter(map(tuple, got.select(*cols).collect())) == collections.Counter(want)
+
+
+def test_compaction_has_more_tasks_for_more_rows(spark, tmp):
+    rows = spark.sql("SELECT timestamp '2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, id) AS timestamp, id FROM range(1000)")
+    I.compact_files(rows, tmp + "/compact", 1, rows_per_file=100)
+    assert len({p.name.split("-")[1] for p in pathlib.Path(tmp, "compact").glob("part-*")}) >= 8
+    assert spark.read.parquet(tmp + "/compact").count() == 1000
