@@ -43,6 +43,25 @@ def test_many_objects_give_the_same(spark, tmp, monkeypatch, name):
     assert_same(registry.queries()[name](spark, sf_dir), connect(sf_dir), registry.oracles()[name])
 
 
+def test_changed_objects_are_decoded_one_at_a_time(spark, tmp):
+    """Objects are changed and decoded in one worker: the second is not made before the lines of the first are given."""
+    made = []
+
+    def change(batches):
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                made.append(path)
+                yield pa.record_batch([pa.array([path]), pa.array([b"a\nb\n"], pa.binary())], ["path", "content"])
+
+    objects = pa.record_batch([pa.array(["x", "y"]), pa.array([b"", b""], pa.binary())], ["path", "content"])
+    lines = I.decode_batches(change(iter([objects])))
+    assert next(lines).column("raw").to_pylist() == ["a", "b"] and made == ["x"]
+    frame = spark.createDataFrame([("x", b""), ("y", b"")], "path string, content binary").coalesce(1)
+    read = I.decode_objects(frame, change)
+    assert read._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert sorted(map(tuple, read.select("raw", "_source_file").collect())) == [("a", "x"), ("a", "y"), ("b", "x"), ("b", "y")]
+
+
 def test_alerts_are_not_gathered_by_coalesce(spark, tmp, monkeypatch):
     def gathered(self, n):
         raise AssertionError("all partitions of the batch in one task")
