@@ -10,9 +10,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from logtide.operators import rollups as R
+from logtide.operators import shared_scans as C
 from logtide.plans import ingest_queries as Q
 from logtide.plans import registry
 from logtide.sources import ingest as I
+from logtide.sources.request_log import request_log
 
 from .oracle import assert_same, connect
 
@@ -101,3 +103,13 @@ def test_compaction_has_more_tasks_for_more_rows(spark, tmp):
     I.compact_files(rows, tmp + "/compact", 1, rows_per_file=100)
     assert len({p.name.split("-")[1] for p in pathlib.Path(tmp, "compact").glob("part-*")}) >= 8
     assert spark.read.parquet(tmp + "/compact").count() == 1000
+
+
+def test_minute_facts_have_more_tasks_for_more_rows(spark, tmp, monkeypatch):
+    monkeypatch.setattr(C, "_FACT_ROWS", 100)
+    sf_dir = write_events(tmp, 2000)
+    facts = C.minute_facts(request_log(spark, sf_dir), "performance")
+    dealt = facts.groupBy(F.spark_partition_id()).agg(F.sum("n").alias("n")).collect()
+    assert len(dealt) == 20 and max(r["n"] for r in dealt) <= 200 and sum(r["n"] for r in dealt) == 2000
+    for name in ("rollup_minute_facts_minutes", "rollup_minute_facts"):
+        assert_same(registry.queries()[name](spark, sf_dir), connect(sf_dir), registry.oracles()[name])
