@@ -64,6 +64,17 @@ def test_changed_objects_are_decoded_one_at_a_time(spark, tmp):
     assert sorted(map(tuple, read.select("raw", "_source_file").collect())) == [("a", "x"), ("a", "y"), ("b", "x"), ("b", "y")]
 
 
+def test_objects_are_dealt_to_tasks_by_their_size(spark, tmp, monkeypatch):
+    """A scan would put all these objects into few tasks: none reads more than the bytes of a task and one object."""
+    monkeypatch.setattr(I, "_TASK_BYTES", 100)
+    for k in range(60):
+        pathlib.Path(tmp, f"{k:02d}.log").write_bytes(b"x" * 29 + b"\n")
+    pathlib.Path(tmp, "empty.log").write_bytes(b"")
+    tasks = I.read_objects(spark, tmp).groupBy(F.spark_partition_id()).agg(F.countDistinct("_source_file").alias("n"), F.count("*").alias("lines")).collect()
+    assert len(tasks) == 18 and max(r["n"] for r in tasks) <= 4 and sum(r["lines"] for r in tasks) == 60
+    assert I.read_objects(spark, tmp + "/empty.log").count() == 0
+
+
 def test_alerts_are_not_gathered_by_coalesce(spark, tmp, monkeypatch):
     def gathered(self, n):
         raise AssertionError("all partitions of the batch in one task")
