@@ -14,6 +14,9 @@ blank lines always stay.
    needs only the earliest; a line that equals another one's variant is joined with it.  No group emits its pairs.
 5. Candidates are verified word by word, and the later line goes.
 
+What is shuffled to find partners is mostly without any.  Keys and variants are counted first, and rows whose key occurs
+once are left where they are read (:func:`mark_by_ids`); so are lines without copies, and texts that lose no line.
+
 A document is a doc_id with a text: within the steps doc_id is the pair of the id and the text's hash, so that different
 texts under one id, or none, are different documents.
 
@@ -26,13 +29,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, SPACE_CHARS, pick, stage, value_key
+from .common import SPACE, SPACE_CHARS, mark_by_ids, pick, stage, unstage, value_key
 
 
 def _words(line: Column) -> Column:
     return F.split(F.trim(line, F.lit(SPACE_CHARS)), SPACE + "+")
 
 
+def _identity() -> list[Column]:
+    """What equal lines have in common."""
+    return [F.xxhash64("words").alias("h"), F.hash("words").alias("c"), F.size("words").alias("n")]
+
+
 def _half_keys() -> Column:
     """Four keys: first and second half for the line's own length and for one word less."""
     n = F.col("n")
@@ -49,12 +57,8 @@ def _half_keys() -> Column:
 def _lines(docs: DataFrame, words_per_edit: int) -> DataFrame:
     exploded = docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line"))
     rows = exploded.filter(F.col("line").rlike(r"[^\x20\x09-\x0D]")).withColumn("words", _words(F.col("line")))
-    rows = rows.withColumn("n", F.size("words"))
-    return rows.select(
-        "doc_id", "line_no", "n",
-        F.xxhash64("words").alias("h"), F.hash("words").alias("c"),
-        F.when(F.col("n") >= words_per_edit, _half_keys()).alias("halves"),
-    )
+    rows = rows.select("doc_id", "line_no", "words", *_identity())
+    return rows.select("doc_id", "line_no", "h", "c", "n", F.when(F.col("n") >= words_per_edit, _half_keys()).alias("halves"))
 
 
 def _near(a: Column, b: Column) -> Column:
@@ -72,16 +76,20 @@ def _near(a: Column, b: Column) -> Column:
     )
 
 
+def _possible(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    return mark_by_ids(rows, ids, key).filter("__maybe").drop("__maybe")
+
+
 def near_lines(docs: DataFrame, first: DataFrame) -> DataFrame:
-    """(doc_id, line_no) of the lines in ``first`` that are near an earlier one of them."""
+    """(h, c, n) of the lines in ``first`` that are near an earlier one of them."""
     keys = first.filter("halves is not null").select("doc_id", "line_no", F.explode("halves").alias("key"))
-    shared = keys.groupBy("key").agg(F.count("*").alias("k")).filter("k > 1").select("key")
-    able = keys.join(shared, "key", "left_semi").select("doc_id", "line_no").distinct()
-    by_doc = able.groupBy(F.col("doc_id").alias("d")).agg(F.collect_list("line_no").alias("nos"))
-    texts = docs.join(by_doc, docs["doc_id"].eqNullSafe(by_doc["d"])).withColumn("lines", F.split("text", "\n"))
-    picked = texts.select("doc_id", F.explode("nos").alias("line_no"), "lines")
-    picked = picked.select("doc_id", "line_no", _words(F.get("lines", F.col("line_no"))).alias("words"))
-    lines = stage(picked.dropDuplicates(["doc_id", "line_no"]).withColumn("n", F.size("words")), "lines-able")
+    shared = stage(keys.groupBy("key").agg(F.count("*").alias("k")).filter("k > 1").select("key"), "lines-shared")
+    able = _possible(keys, shared, "key").join(shared, "key", "left_semi").select("doc_id", "line_no").distinct()
+    able = stage(able.withColumn("at", F.struct("doc_id", "line_no")), "lines-able")
+    picked = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).withColumn("at", F.struct("doc_id", "line_no"))
+    picked = _possible(picked, able, "at").select("doc_id", "line_no", _words(F.col("line")).alias("words"))
+    picked = picked.join(able.select("doc_id", "line_no"), ["doc_id", "line_no"], "left_semi").dropDuplicates(["doc_id", "line_no"])
+    lines = stage(picked.withColumn("n", F.size("words")), "lines-words")
 
     at = F.struct("doc_id", "line_no")
     words = lines.select(at.alias("at"), "n", F.posexplode("words").alias("pos", "w"))
@@ -96,16 +104,22 @@ def near_lines(docs: DataFrame, first: DataFrame) -> DataFrame:
     )
     variants = stage(variants, "lines-variants")
 
-    same_place = variants.groupBy("v", "pos", "n").agg(F.min("at").alias("early"), F.count("*").alias("k")).filter("k > 1")
-    swapped = variants.join(same_place, ["v", "pos", "n"]).select("early", F.col("at").alias("late"))
     own = variants.filter("pos = 0").select(F.col("at").alias("o_at"), F.col("n").alias("o_n"), F.col("own").alias("o_v"))
-    cut = variants.join(own, (F.col("v") == F.col("o_v")) & (F.col("n") - 1 == F.col("o_n")))
+    values = variants.select("v").unionByName(own.select(F.col("o_v").alias("v")))
+    values = stage(values.groupBy("v").agg(F.count("*").alias("k")).filter("k > 1").select("v"), "lines-values")
+    met = stage(_possible(variants.drop("own"), values, "v"), "lines-met")
+    same_place = met.groupBy("v", "pos", "n").agg(F.min("at").alias("early"), F.count("*").alias("k")).filter("k > 1")
+    swapped = met.join(same_place, ["v", "pos", "n"]).select("early", F.col("at").alias("late"))
+    cut = met.join(own, (F.col("v") == F.col("o_v")) & (F.col("n") - 1 == F.col("o_n")))
     cut = cut.select(F.least("at", "o_at").alias("early"), F.greatest("at", "o_at").alias("late"))
     pairs = stage(swapped.unionByName(cut).filter("early < late").distinct(), "lines-pairs")
 
     side = lambda who: lines.select(at.alias(who), F.col("words").alias(f"{who}_words"))
     checked = pairs.join(side("early"), "early").join(side("late"), "late")
-    return checked.filter(_near(F.col("early_words"), F.col("late_words"))).select("late.doc_id", "late.line_no").distinct()
+    late = checked.filter(_near(F.col("early_words"), F.col("late_words"))).select(F.col("late_words").alias("words"))
+    near = stage(late.select(*_identity()).distinct(), "lines-near")
+    unstage(shared, able, lines, variants, values, met, pairs)
+    return near
 
 
 def dedup_lines(docs: DataFrame, words_per_edit: int = 6) -> DataFrame:
@@ -113,17 +127,25 @@ def dedup_lines(docs: DataFrame, words_per_edit: int = 6) -> DataFrame:
     docs = pick(docs, "doc_id", "text")
     docs = docs.select(F.struct("doc_id", value_key(F.coalesce("text", F.lit(""))).alias("text_key")).alias("doc_id"), "text")
     lines = stage(_lines(docs, words_per_edit), "lines-all")
-    first = lines.groupBy("h", "c", "n").agg(F.min(F.struct("doc_id", "line_no")).alias("at"), F.max("halves").alias("halves"))
-    first = stage(first.select("h", "c", "n", "at.doc_id", "at.line_no", "halves"), "lines-first")
-    near = near_lines(docs, first).withColumn("near", F.lit(True))
-    named = first.select("h", "c", "n", F.col("doc_id").alias("f_doc"), F.col("line_no").alias("f_no"))
-    on = named["f_doc"].eqNullSafe(near["doc_id"]) & (named["f_no"] == near["line_no"])
-    named = named.join(near, on, "left").select("h", "c", "n", "f_doc", "f_no", F.coalesce("near", F.lit(False)).alias("near"))
-    out = lines.select("doc_id", "line_no", "h", "c", "n").join(named, ["h", "c", "n"])
-    later = ~(F.col("doc_id").eqNullSafe(F.col("f_doc")) & (F.col("line_no") == F.col("f_no")))
-    dropped = stage(out.filter(later | F.col("near")).select("doc_id", "line_no"), "lines-dropped")
-    by_doc = dropped.groupBy(F.col("doc_id").alias("d")).agg(F.collect_set("line_no").alias("gone"))
-    rows = docs.join(by_doc, docs["doc_id"].eqNullSafe(by_doc["d"]), "left")
+    first = lines.groupBy("h", "c", "n").agg(
+        F.min(F.struct("doc_id", "line_no")).alias("at"), F.max("halves").alias("halves"), F.count("*").alias("copies")
+    )
+    first = stage(first.select("h", "c", "n", "at.doc_id", "at.line_no", "halves", "copies"), "lines-first")
+    near = near_lines(docs, first)
+    # Lines to look at again: those that occur more than once and those that are near an earlier one.
+    at = F.struct("doc_id", "line_no")
+    found = first.filter("copies > 1").select("h", "c", "n", at.alias("f_at"), F.lit(False).alias("near"))
+    found = found.unionByName(near.withColumn("near", F.lit(True)), allowMissingColumns=True)
+    found = stage(found.groupBy("h", "c", "n").agg(F.max("f_at").alias("f_at"), F.max("near").alias("near")), "lines-found")
+    unstage(first, near)
+    out = _possible(lines.select("doc_id", "line_no", "h", "c", "n"), found, "h").join(found, ["h", "c", "n"])
+    dropped = out.filter(F.col("near") | ~at.eqNullSafe(F.col("f_at"))).select("doc_id", "line_no")
+    by_doc = stage(dropped.groupBy("doc_id").agg(F.collect_set("line_no").alias("gone")), "lines-dropped")
+    unstage(lines, found)
+    told = mark_by_ids(docs, by_doc)
+    gone = by_doc.withColumnRenamed("doc_id", "d")
+    rows = told.filter("__maybe").join(gone, F.col("doc_id").eqNullSafe(F.col("d")), "left").select("doc_id", "text", "gone")
+    rows = rows.unionByName(told.filter("not __maybe").select("doc_id", "text"), allowMissingColumns=True)
     rows = rows.withColumn("lines", F.split(F.coalesce("text", F.lit("")), "\n"))
     stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.coalesce("gone", F.array().cast("array<int>")))
     rows = rows.withColumn("stay", stay)

@@ -1,6 +1,6 @@
 import os
 
-from logtide.llm.common import clear_stages, drop_rows, pick, shared_root, stage
+from logtide.llm.common import clear_stages, drop_rows, mark_by_ids, pick, shared_root, stage
 
 
 def test_stages_are_kept_apart_and_cleared(spark):
@@ -23,3 +23,13 @@ def test_drop_rows_is_exact_and_null_safe(spark):
     assert out.columns == docs.columns
     assert sorted(r[0] for r in out.collect()) == [i for i in range(1, 3000) if i % 3 != 1]
     assert drop_rows(docs, gone.limit(0)).count() == 3001
+
+
+def test_marks_lose_none_however_many_ids(spark):
+    """More ids than the bitmap serves let more other rows through."""
+    rows, ids = spark.range(6000).toDF("doc_id"), spark.range(0, 6000, 2).toDF("doc_id")
+    for bits, most in ((27, 3300), (12, 6000)):
+        marked = mark_by_ids(rows, ids, max_bits=bits)
+        got = [r["doc_id"] for r in marked.filter("__maybe").collect()]
+        assert marked.count() == 6000 and set(range(0, 6000, 2)) <= set(got) and len(got) <= most
+    assert mark_by_ids(rows, ids.limit(0)).filter("__maybe").count() == 0

@@ -1,4 +1,5 @@
 import hashlib
+import pathlib
 import random
 import zlib
 
@@ -75,6 +76,22 @@ def test_line_dedup_matches_brute_force(make_docs):
     assert dedup_lines(make_docs([])).count() == 0
 
 
+def test_line_dedup_moves_only_what_may_meet(spark, make_docs):
+    """Lines without a partner are told where they are read: neither their texts nor their variants are shuffled or kept."""
+    rng = random.Random(6)
+    rows = [(i, "\n".join(" ".join(f"{rng.randrange(16**6):06x}" for _ in range(25)) for _ in range(10))) for i in range(2000)]
+    rows += [(2000, rows[0][1].split("\n")[3] + "\nleft alone"), (2001, rows[1][1].replace(rows[1][1].split(" ")[4], "other"))]
+    docs = make_docs(rows).localCheckpoint()
+    local, root = spark.conf.get("spark.local.dir"), f"{spark.conf.get('spark.checkpoint.dir')}/logtide/{spark.sparkContext.applicationId}"
+    shuffled = lambda: {p: p.stat().st_size for p in pathlib.Path(local).rglob("shuffle_*.data")}
+    kept = lambda: {p.name for p in pathlib.Path(root).glob("lines-*")}
+    had, known = shuffled(), kept()
+    got = {r["doc_id"]: r["n_dropped"] for r in dedup_lines(docs).collect()}
+    assert {k: v for k, v in got.items() if v} == {2000: 1, 2001: 10}
+    assert sum(n for p, n in shuffled().items() if p not in had) < sum(len(t) for _, t in rows)
+    assert {name.split("-")[1] for name in kept() - known} == {"dropped"}
+
+
 @pytest.mark.parametrize("shards", [8, 40, 43])
 def test_sharding(make_docs, shards):
     rows = [(i, "x" * (i % 50)) for i in range(4000)] + [(4000, None), (4001, "é"), (None, "a"), (7, "again")]
