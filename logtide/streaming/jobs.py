@@ -7,6 +7,7 @@ that the same code is checked on a batch; ``run_available`` drives a query over
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from typing import Any
 
 import pandas as pd
@@ -42,7 +43,27 @@ def stream_ingest(raw: DataFrame, good_path: str, bad_path: str, checkpoint: str
     return raw.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+@contextmanager
+def state_on_disk(spark: SparkSession, memory_mb: int = 500) -> Iterator[None]:
+    """Streams that are started within keep their state in RocksDB on the executors' disks, with some ``memory_mb`` in an
+    executor for all of its partitions.  Spark's default store holds every key, in two versions, in the executors' heap."""
+    store = "spark.sql.streaming.stateStore"
+    wanted = {
+        f"{store}.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+        f"{store}.rocksdb.boundedMemoryUsage": "true", f"{store}.rocksdb.maxMemoryUsageMB": str(memory_mb),
+    }
+    before = {name: spark.conf.get(name, None) for name in wanted}
+    try:
+        for name, value in wanted.items():
+            spark.conf.set(name, value)
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
 def stream_dedup(rows: DataFrame, delay: str = "1 hour", keys: tuple[str, ...] = ("rid",)) -> DataFrame:
+    """First row of each key; the state is one row a key until the watermark has passed it (see :func:`state_on_disk`)."""
     return rows.withWatermark("timestamp", delay).dropDuplicatesWithinWatermark(list(keys))
 
 

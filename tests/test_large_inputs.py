@@ -45,6 +45,17 @@ def test_many_objects_give_the_same(spark, tmp, monkeypatch, name):
     assert_same(registry.queries()[name](spark, sf_dir), connect(sf_dir), registry.oracles()[name])
 
 
+def test_dedup_keeps_its_state_on_disk(spark, tmp):
+    """The state has every request id: it lies in RocksDB, whose memory is bounded, and the session's own store stays as it was."""
+    store = "spark.sql.streaming.stateStore.providerClass"
+    before, sf_dir = spark.conf.get(store), write_events(tmp, 2000)
+    result = registry.queries()["stream_dedup"](spark, sf_dir)
+    root = pathlib.Path(spark.conf.get("spark.checkpoint.dir")) / "logtide" / spark.sparkContext.applicationId
+    ledger = max(root.glob("dedup-ledger-*"), key=lambda p: p.stat().st_mtime)
+    assert list(ledger.glob("state/0/*/*.zip")) and spark.conf.get(store) == before
+    assert_same(result, connect(sf_dir), registry.oracles()["stream_dedup"])
+
+
 def test_changed_objects_are_decoded_one_at_a_time(spark, tmp):
     """Objects are changed and decoded in one worker: the second is not made before the lines of the first are given."""
     made = []
