@@ -120,6 +120,35 @@ def test_streams_with_requests_of_one_time(spark, tmp, name):
     assert collections.Counter(map(tuple, got.select(*cols).collect())) == collections.Counter(want)
 
 
+def test_sessions_end_after_a_day(spark, tmp):
+    """A client that never pauses for long: a session ends before the request that would make it longer than 24 hours, and
+    requests are scored in order of time.  Three requests at a time."""
+    sf_dir = write_events(tmp, 6000, ties=3)
+    table = pq.read_table(f"{sf_dir}/events.parquet")
+    pq.write_table(table.set_column(2, "user_id", pa.array([7] * len(table))), f"{sf_dir}/events.parquet")
+    rows = connect(sf_dir).execute(f"{Q._RAW_SQL} SELECT ip, epoch_us(timestamp), status, resp_bytes FROM good ORDER BY ALL").fetchall()
+    end, text = max(r[1] for r in rows) - 3600 * 10**6, lambda us: f"{datetime.datetime(1970, 1, 1) + datetime.timedelta(seconds=us // 10**6)}"
+    sessions, scores, last_ip = [], collections.Counter(), None
+    for ip, at, status, size in rows:
+        if at >= end:
+            continue
+        if ip != last_ip or at - sessions[-1][2] > 1800 * 10**6 or at - sessions[-1][1] > 86400 * 10**6:
+            sessions.append([ip, at, at, 0, 0, 0])
+            last_ip, gaps = ip, []
+        else:
+            gaps.append((at - sessions[-1][2]) / 1e6)
+        session = sessions[-1]
+        session[2:] = [at, session[3] + 1, session[4] + (400 <= status < 500), session[5] + size]
+        mean = sum(gaps) / max(1, len(gaps))
+        var = sum(g * g for g in gaps) / max(1, len(gaps)) - mean * mean
+        scores[ip, text(at), session[3], 0 if session[3] <= 3 else 50 if mean < 0.2 else 40 if mean <= 3 and var < 0.05 else 0] += 1
+    ended = [(s[0], text(s[1]), text(s[2]), *s[3:]) for s in sessions if s[2] + 1800 * 10**6 < end]
+    assert sum(s[2] - s[1] > 85000 * 10**6 for s in sessions) >= 20
+    queries = registry.queries()
+    assert collections.Counter(map(tuple, queries["stream_capped_sessions"](spark, sf_dir).collect())) == collections.Counter(ended)
+    assert collections.Counter(map(tuple, queries["stream_session_score"](spark, sf_dir).collect())) == scores
+
+
 def test_compaction_has_more_tasks_for_more_rows(spark, tmp):
     rows = spark.sql("SELECT timestamp '2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, id) AS timestamp, id FROM range(1000)")
     I.compact_files(rows, tmp + "/compact", 1, rows_per_file=100)
